@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import egojoin, langid, minhash, quality, toxicity
+from . import chat, egojoin, langid, linededup, minhash, mixing, pieces, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,40 @@ def _remainder(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % 3
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    text = F.col("text")
+    return out.select(
+        "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.col("_grown").alias("grown_shard")
+    )
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), max_repeats=1.25).select("doc_id", "source", "_mix.*")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_lines.*", "text")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenised(table(spark, sf_dir, "documents"))
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, ids, round_trip``: whether decoding gives the text back."""
+    model = pieces.load(docs.sparkSession)
+    out = docs.select("doc_id", "text", pieces.encode(model, F.col("text")).alias("ids"))
+    out = out.select("doc_id", "text", "ids", pieces.decode(model, F.col("ids")).alias("back"))
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("text").eqNullSafe(F.col("back")).alias("round_trip"))
+
+
+def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("conv_id", "speaker", "part", "n_turns", "rendered", spans.alias("mask"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -48,5 +82,29 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_SAFE = "replace(coalesce(text, ''), '<|', '<\\|')"
+
+_OP7 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, {_SAFE} AS body,
+         coalesce(turn // 256, -1) AS span FROM conversations
+), s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM t WHERE role <> 'system'
+), p AS (
+  SELECT conv_id, speaker, span, turn, role, body, (role = speaker) AS own,
+         '<|im_start|>' || CASE WHEN role = 'system' THEN role WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
+  FROM t JOIN s ON conv_id IS NOT DISTINCT FROM c
+), q AS (
+  SELECT *, sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, speaker, span ORDER BY turn NULLS FIRST, role, body
+         ROWS UNBOUNDED PRECEDING) - length(body) - 11 AS at FROM p
+)
+SELECT conv_id, speaker, dense_rank() OVER (PARTITION BY conv_id, speaker ORDER BY span) - 1 AS part, count(*) AS n_turns,
+  string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS rendered,
+  coalesce(string_agg(CASE WHEN own THEN CAST(CAST(at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + length(body) AS BIGINT) AS VARCHAR) END, ','
+    ORDER BY turn NULLS FIRST, role, body), '') AS mask
+FROM q GROUP BY conv_id, speaker, span
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that a second engine can run on whole tables; the others are tested against brute force."""
+    return {"op7_perspective_rotation": _OP7}
