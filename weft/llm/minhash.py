@@ -30,7 +30,7 @@ from .components import components
 from .scratch import cut
 from .textscan import LOWER, U64, Chunk, _gram_factors, chunks, list_array, mix64
 
-K, T = 40, 22
+K, T = 64, 39
 BLOCK = 256
 
 
@@ -133,25 +133,39 @@ def _confirm(a, b, percent: int):
     return similar.asNondeterministic()(a, b)
 
 
-def _agreeing(x: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs across components of each row's two blocks that agree on ``least`` coordinates."""
-    for i in range(x.num_rows):
-        got = {n: np.asarray(x.column(n)[i].values) for n in x.schema.names if n[:-1] in ("ids", "comps", "sigs")}
-        left, right = got["sigs1"].reshape(-1, K), got["sigs2"].reshape(-1, K)
-        agree = np.zeros((len(left), len(right)), np.int16)
-        for k in range(K):
-            agree += left[:, k, None] == right[None, :, k]
-        one, two = np.nonzero((agree >= least) & (got["comps1"][:, None] != got["comps2"][None, :]))
-        yield got["ids1"][one], got["ids2"][two], agree[one, two]
+def _agreeing(one: list[np.ndarray], two: list[np.ndarray], least: int, percent: int) -> list[np.ndarray]:
+    """Pairs of two blocks (ids, components, set sizes, signatures) across components whose sizes
+    allow the similarity and that agree on ``least`` coordinates: ids of both and how many agree."""
+    ids1, comps1, sizes1, left = one
+    ids2, comps2, sizes2, right = two
+    fit = comps1[:, None] != comps2[None, :]
+    fit &= 100 * np.minimum(sizes1[:, None], sizes2[None, :]) >= percent * np.maximum(sizes1[:, None], sizes2[None, :])
+    a, b = np.nonzero(fit)
+    agree = (left[a] == right[b]).sum(axis=1)
+    good = agree >= least
+    a, b = ids1[a[good]], ids2[b[good]]
+    return [np.minimum(a, b), np.maximum(a, b), agree[good]]
+
+
+_BLOCK_FIELDS = ("ids", "comps", "sizes", "sigs")
+
 
+def _compare(blocks: DataFrame, least: int, percent: int, sides: tuple[str, str]) -> DataFrame:
+    """Rows ``a, b, n`` of the pairs found in each row's two blocks, named by the ends of its columns."""
 
-def _compare(pairs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for a, b, n in _agreeing(x, least):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(n.astype(np.int32))], ["a", "b", "n"])
+            got = []
+            for i in range(x.num_rows):
+                block = [[np.asarray(x.column(n + side)[i].values) for n in _BLOCK_FIELDS] for side in sides]
+                for z in block:
+                    z[3] = z[3].reshape(-1, K)
+                got.append(_agreeing(*block, least, percent))
+            if got:
+                a, b, n = (np.concatenate(z) for z in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], ["a", "b", "n"])
 
-    return pairs.mapInArrow(run, "a long, b long, n int")
+    return blocks.mapInArrow(run, "a long, b long, n int")
 
 
 class Links:
@@ -177,7 +191,7 @@ class Links:
 
 
 def _component_of(rows: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
-    return rows.join(of.select(F.col("node").alias(key), F.col("component").alias("_c")), key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
+    return rows.join(of.select(F.col("node").alias(key), F.col("component").alias("_c")), key, "left").withColumn(name, F.coalesce(F.col("_c"), F.col(key))).drop("_c")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
@@ -197,20 +211,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = cut(named.select("id", "f1", "f2", "n_shingles").join(grouped, ["f1", "f2", "n_shingles"]).select("id", "rep", "f1", "f2").distinct())
     twice = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id", "a")
     same_id = member.join(twice, "id").select("a", F.col("rep").alias("b")).where("a <> b")
-    reps = member.where("id = rep").join(named.select("id", "f1", "f2", "sig"), ["id", "f1", "f2"]).select("id", "f1", "f2", "sig").dropDuplicates(["id", "f1", "f2"])
+    reps = member.where("id = rep").join(named.select("id", "f1", "f2", "n_shingles", "sig"), ["id", "f1", "f2"]).select("id", "f1", "f2", "n_shingles", "sig").dropDuplicates(["id", "f1", "f2"])
 
-    posted = reps.select("id", F.explode("sig").alias("token"))
+    posted = reps.select("id", "n_shingles", F.explode("sig").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    hits = posted.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).where(F.size("t") >= T)
-    hits = cut(hits.select("id", "t", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log(x["n"])).alias("typical")))
+    hits = posted.join(shared, "token").groupBy("id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).where(F.size("t") >= T)
+    hits = cut(hits.select("id", "n_shingles", "t", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log(x["n"])).alias("typical")))
     lists = hits.select("id", "typical", F.explode(F.expr(f"slice(t, 1, size(t) - {T - 1})")).alias("x")).select("id", "typical", F.col("x.token").alias("token"), F.col("x.n").alias("n"))
     lists = cut(lists)
 
-    signature = hits.select("id", F.expr("transform(t, x -> x.token)").alias("tokens"))
+    signature = hits.select("id", "n_shingles", F.expr("transform(t, x -> x.token)").alias("tokens"))
     hub = lists.groupBy("token").agg(F.max(F.struct("typical", "id")).alias("h"), F.count("*").alias("members")).where("members > 1").select("token", F.col("h.id").alias("hub"))
     star = lists.join(hub, "token").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    agree = star.join(signature.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(signature.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    star = cut(agree.where(F.size(F.array_intersect("ta", "tb")) >= T).select("a", "b"))
+    agree = star
+    for end in "ab":
+        agree = agree.join(signature.select(F.col("id").alias(end), F.col("tokens").alias(f"t{end}"), F.col("n_shingles").alias(f"n{end}")), end)
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    star = cut(agree.where(alike & (F.size(F.array_intersect("ta", "tb")) >= T)).select("a", "b"))
 
     links = Links(source.where("id is not null"), percent, width)
     of = links.add(links.confirm(star).unionAll(same_id))
@@ -218,16 +235,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What stands in lists that no single component covers.
     placed = _component_of(lists.select("id", "token"), of, "id", "comp")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("members")).where("c1 <> c2").select("token", "members")
-    rows = placed.join(mixed, "token").join(reps.select("id", "sig"), "id")
-    block = F.pmod(F.xxhash64(F.lit(3), "id"), F.ceil(F.col("members") / BLOCK)).cast("int")
-    blocks = rows.groupBy("token", block.alias("k")).agg(F.collect_list("id").alias("ids"), F.collect_list("comp").alias("comps"), F.flatten(F.collect_list("sig")).alias("sigs"))
-    blocks = cut(blocks)
-    one, two = (blocks.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("k", "ids", "comps", "sigs")]) for i in (1, 2))
-    rest = cut(_compare(one.join(two, "token").where("k1 <= k2"), T).distinct().join(star, ["a", "b"], "left_anti"))
+    rows = placed.join(mixed, "token").join(reps.select("id", F.col("n_shingles").alias("size"), "sig"), "id")
+    several = F.ceil(F.col("members") / BLOCK).cast("int")
+    k = F.pmod(F.xxhash64(F.lit(3), "id"), several).cast("int")
+    gathered = [F.collect_list("id").alias("ids"), F.collect_list("comp").alias("comps"), F.collect_list("size").alias("sizes"), F.flatten(F.collect_list("sig")).alias("sigs")]
+    blocks = cut(rows.groupBy("token", several.alias("several"), k.alias("k")).agg(*gathered))
+    one, two = (blocks.where("several > 1").select("token", *[F.col(c).alias(f"{c}{i}") for c in ("k", *_BLOCK_FIELDS)]) for i in (1, 2))
+    inside = _compare(blocks.select(*_BLOCK_FIELDS), T, percent, ("", ""))
+    between = _compare(one.join(two, "token").where("k1 < k2"), T, percent, ("1", "2"))
+    rest = cut(inside.unionAll(between).where("a <> b").distinct().join(star, ["a", "b"], "left_anti"))
     turn = 0
     while not rest.isEmpty():
         turn += 1
-        across = _component_of(_component_of(rest, of, "a", "ca"), of, "b", "cb").where("ca <> cb")
+        across = cut(_component_of(_component_of(rest, of, "a", "ca"), of, "b", "cb").where("ca <> cb"))
         sides = [F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")]
         if turn <= 2:
             best = across.groupBy(*sides).agg(F.max(F.struct("n", "a", "b")).alias("x")).select("x.a", "x.b")
