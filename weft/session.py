@@ -7,13 +7,20 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors as a zip, once an application, by Spark's own file server."""
+    """Send this package to the executors as a zip, once an application, by Spark's own file server.
+
+    Rows here can hold whole documents, so Arrow batches of Spark's default 10,000 rows are made
+    smaller for the session; a size that the user has chosen stays.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
@@ -24,3 +31,11 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(path)
         _SHIPPED.add(app)
     return spark
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its lineage cut, in the shared folder that ``spark.checkpoint.dir`` names."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
+    return df.checkpoint(eager=True)
