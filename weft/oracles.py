@@ -82,10 +82,10 @@ _COUNTS = f"""SELECT CAST(count_if(NOT outgoing) AS VARCHAR) || ' things are def
 _LISTING = f"""SELECT kind, CAST(count(DISTINCT leaf) AS BIGINT) AS n, count(DISTINCT leaf) || ' ' || kind || ' are defined in {NATION}: ' || list_aggregate(list_sort(list(DISTINCT leaf)), 'string_agg', ', ') || '.' AS statement
     FROM (SELECT CASE neighbor_labels WHEN 'Customer' THEN 'customers' WHEN 'Supplier' THEN 'suppliers' WHEN 'Nation' THEN 'nations' END AS kind, split_part(neighbor, '.', -1) AS leaf FROM near WHERE NOT outgoing) WHERE kind IS NOT NULL GROUP BY kind"""
 _TRAILS = """walk AS (
-    SELECT ['click', n] AS chain, [chunk_id] AS chunk_ids, [s] AS starts, 1 AS hops FROM step WHERE at = 'click'
-    UNION ALL SELECT list_append(chain, n), list_append(chunk_ids, t.chunk_id), list_append(starts, s), hops + 1 FROM walk JOIN step t ON t.at = chain[-1]
+    SELECT ['click', n] AS chain, [chunk_id] AS chunk_ids, [s] AS starts, 1 AS hops FROM step WHERE pos = 'click'
+    UNION ALL SELECT list_append(chain, n), list_append(chunk_ids, t.chunk_id), list_append(starts, s), hops + 1 FROM walk JOIN step t ON t.pos = chain[-1]
     WHERE hops < {h} AND NOT list_contains(chunk_ids, t.chunk_id))"""
-_STEP = "RECURSE step AS (SELECT src AS at, dst AS n, src AS s, chunk_id FROM trans UNION ALL SELECT dst, src, src, chunk_id FROM trans WHERE src <> dst), "
+_STEP = "RECURSE step AS (SELECT src AS pos, dst AS n, src AS s, chunk_id FROM trans UNION ALL SELECT dst, src, src, chunk_id FROM trans WHERE src <> dst), "
 _SUPPLIER_NAME = "(SELECT min(s_name) FROM supplier)"
 _SCORE = "SELECT *, round(score, 1) AS band, CASE WHEN source IN ('ast','jedi','override') THEN 0 ELSE 1 END AS unproven FROM scored WHERE chunk_id IS NOT NULL"
 _RESOLVE = """SELECT surface, canonical_id, method, candidates FROM ({})"""
@@ -99,7 +99,7 @@ _STATES = {
     "priority": "regexp_matches(lower(answer), '(^|[^a-z0-9_])priority($|[^a-z0-9_])')",
     "prior": "regexp_matches(lower(answer), '(^|[^a-z0-9_])prior($|[^a-z0-9_])')",
 }
-_NEGATED = "len(list_filter(string_split(replace(lower(answer), chr(10), '. '), '.'), s -> contains(s, 'total'))) > 0 AND len(list_filter(string_split(replace(lower(answer), chr(10), '. '), '.'), s -> contains(s, 'total') AND NOT (contains(s, 'does not') OR contains(s, 'no information') OR contains(s, 'cannot') OR contains(s, 'is not')))) = 0"
+_NEGATED = "len(list_filter(string_split(replace(lower(answer), chr(10), '. '), '.'), lambda s: contains(s, 'total'))) > 0 AND len(list_filter(string_split(replace(lower(answer), chr(10), '. '), '.'), lambda s: contains(s, 'total') AND NOT (contains(s, 'does not') OR contains(s, 'no information') OR contains(s, 'cannot') OR contains(s, 'is not')))) = 0"
 _CREDIT = f"""SELECT o_orderkey, round((CASE WHEN {_STATES['total']} AND NOT ({_NEGATED}) THEN 1 ELSE 0 END + 1 + 1) / 4.0::DOUBLE, 3) AS credit FROM answers"""
 _KNN = "greatest(round(1 - list_cosine_similarity(v, (SELECT v FROM emb WHERE vec_id = {})), 6), 0)"
 
@@ -127,13 +127,13 @@ def oracle_sql() -> dict[str, str]:
         "t11_package": _with(["supplies"], _EDGES.format(chunk="chunk_id", a="'Supplier'", b="'Part'", t="supplies", w="src LIKE 'ASIA.%'") + " ORDER BY src, dst, chunk_id LIMIT 100"),
         "t12_suffix": _with(["supplies"], _EDGES.format(chunk="chunk_id", a="'Supplier'", b="'Part'", t="supplies", w=f"ends_with(src, '.' || {_SUPPLIER_NAME})")),
         "t13_suffix": _with(["placed"], _EDGES.format(chunk="src", a="src_label", b="dst_label", t="placed", w=f"src_label = 'Supplier' AND ends_with(src, '.' || {_SUPPLIER_NAME})") + " ORDER BY src, dst LIMIT 100"),
-        "t3_trails": _with(["trans"], "SELECT array_to_string(chain, '|') AS chain, array_to_string(chunk_ids, '|') AS chunk_ids, array_to_string(starts, '|') AS starts, array_to_string(list_transform(starts, x -> 'llm'), '|') AS sources FROM walk", _STEP + _TRAILS.format(h=3)),
+        "t3_trails": _with(["trans"], "SELECT array_to_string(chain, '|') AS chain, array_to_string(chunk_ids, '|') AS chunk_ids, array_to_string(starts, '|') AS starts, array_to_string(list_transform(starts, lambda x: 'llm'), '|') AS sources FROM walk", _STEP + _TRAILS.format(h=3)),
         "t3_edges": _with(["trans"], "SELECT DISTINCT t.src, t.dst, t.chunk_id, 'llm' AS source FROM (SELECT unnest(chunk_ids) AS c FROM walk) JOIN trans t ON t.chunk_id = c", _STEP + _TRAILS.format(h=2)),
-        "t5_paths": _with(["calls"], "SELECT array_to_string(chain, '|') AS chain, array_to_string(chunk_ids, '|') AS chunk_ids, array_to_string(starts, '|') AS starts, array_to_string(list_transform(starts, x -> 'llm'), '|') AS sources FROM calls"),
+        "t5_paths": _with(["calls"], "SELECT array_to_string(chain, '|') AS chain, array_to_string(chunk_ids, '|') AS chunk_ids, array_to_string(starts, '|') AS starts, array_to_string(list_transform(starts, lambda x: 'llm'), '|') AS sources FROM calls"),
         "t5_maximal": _with(["calls"], "SELECT array_to_string(chain, '|') AS chain FROM calls a WHERE NOT EXISTS (SELECT 1 FROM calls b WHERE len(b.chain) > len(a.chain) AND b.chain[1:len(a.chain)] = a.chain)"),
         "t5_facts": _with(["calls"], "SELECT chain[1] || ' is followed by ' || array_to_string(chain[2:], ', which is followed by ') || '.' AS statement, chunk_ids[1] AS chunk_id, 'NEXT' AS relationship, 'llm' AS source, chain[1] AS subject, chain[-1] AS object FROM calls a WHERE NOT EXISTS (SELECT 1 FROM calls b WHERE len(b.chain) > len(a.chain) AND b.chain[1:len(a.chain)] = a.chain)"),
-        "t5_replies": _with(["replies"], "SELECT CAST(hops AS INT) AS hops, count(*) AS walks, count(DISTINCT start) AS starts FROM w GROUP BY hops", "RECURSE w AS (SELECT src AS start, dst AS at, 1 AS hops FROM replies UNION ALL SELECT start, r.dst, hops + 1 FROM w JOIN replies r ON r.src = at WHERE hops < 5)"),
-        "path_prefix_prune": _with(["replies"], "SELECT chain FROM w a WHERE hops = 3 OR NOT EXISTS (SELECT 1 FROM replies r WHERE r.src = a.at)", "RECURSE w AS (SELECT src || '|' || dst AS chain, dst AS at, 1 AS hops FROM replies UNION ALL SELECT chain || '|' || r.dst, r.dst, hops + 1 FROM w JOIN replies r ON r.src = at WHERE hops < 3)"),
+        "t5_replies": _with(["replies"], "SELECT CAST(hops AS INT) AS hops, count(*) AS walks, count(DISTINCT start) AS starts FROM w GROUP BY hops", "RECURSE w AS (SELECT src AS start, dst AS pos, 1 AS hops FROM replies UNION ALL SELECT start, r.dst, hops + 1 FROM w JOIN replies r ON r.src = pos WHERE hops < 5)"),
+        "path_prefix_prune": _with(["replies"], "SELECT chain FROM w a WHERE hops = 3 OR NOT EXISTS (SELECT 1 FROM replies r WHERE r.src = a.pos)", "RECURSE w AS (SELECT src || '|' || dst AS chain, dst AS pos, 1 AS hops FROM replies UNION ALL SELECT chain || '|' || r.dst, r.dst, hops + 1 FROM w JOIN replies r ON r.src = pos WHERE hops < 3)"),
         "t2_shortest": _with(["customers"], """SELECT CASE WHEN a = b THEN NULL WHEN split_part(a, '.', 1) = split_part(b, '.', 1) THEN a || '|' || split_part(a, '.', 1) || '|' || b ELSE a || '|' || split_part(a, '.', 1) || '|' || split_part(b, '.', 1) || '|' || b END AS chain,
             CASE WHEN split_part(a, '.', 1) = split_part(b, '.', 1) THEN 'DEFINED_IN|DEFINED_IN' ELSE 'DEFINED_IN|NEXT|DEFINED_IN' END AS rels
             FROM (SELECT regexp_replace(min(customer_id), '\\.[^.]*$', '') AS a, regexp_replace(max(customer_id), '\\.[^.]*$', '') AS b FROM customers)"""),
@@ -185,6 +185,6 @@ def oracle_sql() -> dict[str, str]:
         "flip_rate": _with(["runs"], "SELECT system, count(*) AS keys, CAST(count_if(k > 1) AS BIGINT) AS unstable, round(avg(CASE WHEN k > 1 THEN 100.0::DOUBLE ELSE 0 END), 1) AS rate FROM (SELECT id, system, count(DISTINCT verdict) AS k FROM runs GROUP BY id, system) GROUP BY system"),
         "layer_instability": _with(["runs"], "SELECT system, round(avg(CASE WHEN c > 1 THEN 100.0::DOUBLE ELSE 0 END), 1) AS category, round(avg(CASE WHEN v > 1 THEN 100.0::DOUBLE ELSE 0 END), 1) AS verdict FROM (SELECT id, system, count(DISTINCT category) AS c, count(DISTINCT verdict) AS v FROM runs GROUP BY id, system) GROUP BY system"),
         "majority_vote": "SELECT user_id, event_type AS vote, count(*) AS votes FROM events GROUP BY user_id, event_type QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) = 1",
-        "routing_log_rollup": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS kind, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2",
+        "routing_log_rollup": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS kind, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY 1, 2",
     }
     return q

@@ -331,10 +331,6 @@ def node_label_merge(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_nodes(rows).select("id", _csv("labels").alias("labels"), F.col("props")["last"].alias("last"))
 
 
-def _placeholders(s: Star) -> DataFrame:
-    return s.supplies().withColumn("chunk_id", F.when(F.pmod(F.regexp_extract("chunk_id", r"^(\d+)", 1).cast("long"), F.lit(3)) == 0, F.lit(G.PLACEHOLDER)).otherwise(F.col("chunk_id"))).distinct()
-
-
 @query
 def twin_delete(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
@@ -609,7 +605,7 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
 @query
 def routing_log_rollup(spark: SparkSession, d: str) -> DataFrame:
     log = Star(spark, d).table("events")
-    return rollup(log, "event_type", "ts", "value").select(F.col("day").cast("date").cast("string").alias("day"), "kind", "n", F.round("mean", 4).alias("mean"))
+    return rollup(log, "event_type", "ts", "value").select(F.col("day").cast("date").cast("string").alias("day"), "kind", "n", F.round("mean", 8).alias("mean"))
 
 
 # -- flagship ------------------------------------------------------------------------------------
