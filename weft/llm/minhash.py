@@ -9,12 +9,14 @@
    only: two classes that agree on ``T`` values meet under one of those (prefix filter).
 3. Each posting list first links its members to the most typical one. Pairs that agree on ``T``
    coordinates are confirmed on the full sets; confirmed links merge components. Lists that are
-   inside one component by then are skipped. In those that are not, blocks of members are compared
-   with one another and pairs across components that agree on ``T`` coordinates are confirmed, the
-   likeliest of each pair of components first, until none is left. No list is capped.
-
-The result is the same as confirming every candidate pair, since a pair inside one component cannot
-change the components.
+   inside one component by then are skipped.
+4. Lists that are not are put together to families (lists that share a class). A family is cut into
+   blocks and every pair of blocks is compared in one place: pairs across components that agree on
+   ``T`` coordinates are confirmed on the full sets, the likeliest first, and pairs that the links found
+   there connect already are skipped. A pair of blocks yields a forest of links, not its pairs.
+
+No list or family is capped. The components are those of confirming every candidate pair, since a
+pair inside one component cannot change them.
 """
 
 from __future__ import annotations
@@ -119,75 +121,71 @@ def _confirm(a, b, percent: int):
 
     @F.arrow_udf("boolean")
     def similar(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = np.zeros(len(x), bool)
-        for i in range(len(x)):
-            p, q = np.frombuffer(x[i].as_buffer(), U64), np.frombuffer(y[i].as_buffer(), U64)
-            if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                continue
-            small, large = (p, q) if len(p) < len(q) else (q, p)
-            spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[spot] == small).sum())
-            out[i] = 100 * both >= percent * (len(p) + len(q) - both)
-        return pa.array(out)
+        return pa.array([_similar(np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
 
     return similar.asNondeterministic()(a, b)
 
 
-def _agreeing(one: list[np.ndarray], two: list[np.ndarray], least: int, percent: int) -> list[np.ndarray]:
-    """Pairs of two blocks (ids, components, set sizes, signatures) across components whose sizes
-    allow the similarity and that agree on ``least`` coordinates: ids of both and how many agree."""
-    ids1, comps1, sizes1, left = one
-    ids2, comps2, sizes2, right = two
-    fit = comps1[:, None] != comps2[None, :]
-    fit &= 100 * np.minimum(sizes1[:, None], sizes2[None, :]) >= percent * np.maximum(sizes1[:, None], sizes2[None, :])
-    a, b = np.nonzero(fit)
-    agree = (left[a] == right[b]).sum(axis=1)
-    good = agree >= least
-    a, b = ids1[a[good]], ids2[b[good]]
-    return [np.minimum(a, b), np.maximum(a, b), agree[good]]
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    small, large = (p, q) if len(p) < len(q) else (q, p)
+    if 100 * len(small) < percent * len(large):
+        return False
+    spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[spot] == small).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-_BLOCK_FIELDS = ("ids", "comps", "sizes", "sigs")
+class _Block:
+    """Members of a family: ids, components, full sets and signatures."""
 
+    def __init__(self, ids: list[int], comps: list[int], sets: list[bytes]):
+        self.ids, self.comps = ids, np.array(comps, np.int64)
+        self.sets = [np.frombuffer(x, U64) for x in sets]
+        self.sizes = np.array([len(x) for x in self.sets])
+        self.sigs = signatures(np.concatenate(self.sets), np.concatenate(([0], np.cumsum(self.sizes))))
 
-def _compare(blocks: DataFrame, least: int, percent: int, sides: tuple[str, str]) -> DataFrame:
-    """Rows ``a, b, n`` of the pairs found in each row's two blocks, named by the ends of its columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            got = []
-            for i in range(x.num_rows):
-                block = [[np.asarray(x.column(n + side)[i].values) for n in _BLOCK_FIELDS] for side in sides]
-                for z in block:
-                    z[3] = z[3].reshape(-1, K)
-                got.append(_agreeing(*block, least, percent))
-            if got:
-                a, b, n = (np.concatenate(z) for z in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], ["a", "b", "n"])
+def _forest(one: _Block, two: _Block, least: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links across components between two blocks, as many as connect what they connect."""
+    fit = one.comps[:, None] != two.comps[None, :]
+    fit &= 100 * np.minimum(one.sizes[:, None], two.sizes[None, :]) >= percent * np.maximum(one.sizes[:, None], two.sizes[None, :])
+    a, b = np.nonzero(np.triu(fit) if one is two else fit)
+    agree = (one.sigs[a] == two.sigs[b]).sum(axis=1)
+    good = np.flatnonzero(agree >= least)
+    good = good[np.argsort(-agree[good], kind="stable")]
+    up: dict[int, int] = {}
 
-    return blocks.mapInArrow(run, "a long, b long, n int")
+    def root(c: int) -> int:
+        while (above := up.get(c, c)) != c:
+            up[c] = up.get(above, above)
+            c = above
+        return c
 
+    links = []
+    for i, j in zip(a[good].tolist(), b[good].tolist(), strict=True):
+        p, q = root(int(one.comps[i])), root(int(two.comps[j]))
+        if p != q and _similar(one.sets[i], two.sets[j], percent):
+            up[max(p, q)] = min(p, q)
+            links.append((one.ids[i], two.ids[j]))
+    return links
 
-class Links:
-    """Confirmed links between classes, with the components that they form so far."""
 
-    def __init__(self, docs: DataFrame, percent: int, width: int):
-        self.docs, self.percent, self.width = docs, percent, width
-        self.found: DataFrame | None = None
+_BLOCK_FIELDS = ("ids", "comps", "sets")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``a, b`` whose full sets are similar enough, written and read again."""
-        wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = self.docs.withColumn("h", F.xxhash64("text")).join(wanted, "id", "left_semi").dropDuplicates(["id", "h"])
-        sets = cut(texts.select("id", _set_bytes(F.col("text"), self.width).alias("set")))
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-        both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        return cut(both.select("a", "b", _confirm(F.col("x"), F.col("y"), self.percent).alias("ok")).where("ok").select("a", "b"))
 
-    def add(self, links: DataFrame) -> DataFrame:
-        self.found = links if self.found is None else self.found.unionAll(links)
-        self.of = components(self.found)
-        return self.of
+def _compare(blocks: DataFrame, least: int, percent: int, sides: tuple[str, ...]) -> DataFrame:
+    """Links ``a, b`` found in each row's block, or between its two blocks, named by the ends of its columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            links = []
+            for i in range(x.num_rows):
+                got = [_Block(*(x.column(n + side)[i].as_py() for n in _BLOCK_FIELDS)) for side in sides]
+                links += _forest(got[0], got[-1], least, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*links, strict=True)], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def _component_of(rows: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
@@ -220,44 +218,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = hits.select("id", "typical", F.explode(F.expr(f"slice(t, 1, size(t) - {T - 1})")).alias("x")).select("id", "typical", F.col("x.token").alias("token"), F.col("x.n").alias("n"))
     lists = cut(lists)
 
+    # Full sets of the classes that have any candidate, once.
+    wanted = hits.select("id")
+    texts = source.where("id is not null").withColumn("h", F.xxhash64("text")).join(wanted, "id", "left_semi").dropDuplicates(["id", "h"])
+    sets = cut(texts.select("id", _set_bytes(F.col("text"), width).alias("set")).where(F.length("set") > 0))
+
     signature = hits.select("id", "n_shingles", F.expr("transform(t, x -> x.token)").alias("tokens"))
     hub = lists.groupBy("token").agg(F.max(F.struct("typical", "id")).alias("h"), F.count("*").alias("members")).where("members > 1").select("token", F.col("h.id").alias("hub"))
     star = lists.join(hub, "token").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    agree = star
     for end in "ab":
-        agree = agree.join(signature.select(F.col("id").alias(end), F.col("tokens").alias(f"t{end}"), F.col("n_shingles").alias(f"n{end}")), end)
+        star = star.join(signature.select(F.col("id").alias(end), F.col("tokens").alias(f"t{end}"), F.col("n_shingles").alias(f"n{end}")), end)
     alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    star = cut(agree.where(alike & (F.size(F.array_intersect("ta", "tb")) >= T)).select("a", "b"))
-
-    links = Links(source.where("id is not null"), percent, width)
-    of = links.add(links.confirm(star).unionAll(same_id))
+    star = star.where(alike & (F.size(F.array_intersect("ta", "tb")) >= T)).select("a", "b")
+    both = star.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    links = cut(both.select("a", "b", _confirm(F.col("x"), F.col("y"), percent).alias("ok")).where("ok").select("a", "b").unionAll(same_id))
+    of = components(links)
 
-    # What stands in lists that no single component covers.
+    # What stands in lists that no single component covers, by family.
     placed = _component_of(lists.select("id", "token"), of, "id", "comp")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("members")).where("c1 <> c2").select("token", "members")
-    rows = placed.join(mixed, "token").join(reps.select("id", F.col("n_shingles").alias("size"), "sig"), "id")
-    several = F.ceil(F.col("members") / BLOCK).cast("int")
-    k = F.pmod(F.xxhash64(F.lit(3), "id"), several).cast("int")
-    gathered = [F.collect_list("id").alias("ids"), F.collect_list("comp").alias("comps"), F.collect_list("size").alias("sizes"), F.flatten(F.collect_list("sig")).alias("sigs")]
-    blocks = cut(rows.groupBy("token", several.alias("several"), k.alias("k")).agg(*gathered))
-    one, two = (blocks.where("several > 1").select("token", *[F.col(c).alias(f"{c}{i}") for c in ("k", *_BLOCK_FIELDS)]) for i in (1, 2))
-    inside = _compare(blocks.select(*_BLOCK_FIELDS), T, percent, ("", ""))
-    between = _compare(one.join(two, "token").where("k1 < k2"), T, percent, ("1", "2"))
-    rest = cut(inside.unionAll(between).where("a <> b").distinct().join(star, ["a", "b"], "left_anti"))
-    turn = 0
-    while not rest.isEmpty():
-        turn += 1
-        across = cut(_component_of(_component_of(rest, of, "a", "ca"), of, "b", "cb").where("ca <> cb"))
-        sides = [F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")]
-        if turn <= 2:
-            best = across.groupBy(*sides).agg(F.max(F.struct("n", "a", "b")).alias("x")).select("x.a", "x.b")
-        else:
-            best = across.select("a", "b")
-        best = cut(best)
-        of = links.add(links.confirm(best))
-        if turn > 2:
-            break
-        rest = cut(across.select("a", "b", "n").join(best, ["a", "b"], "left_anti"))
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("id").alias("first")).where("c1 <> c2").select("token", "first")
+    open_rows = cut(placed.join(mixed, "token").select("id", "comp", "first").distinct())
+    family = components(open_rows, "id", "first")
+    rows = _component_of(open_rows.select("id", "comp").distinct(), family, "id", "family")
+    rows = cut(rows.join(hits.select("id", F.col("n_shingles").alias("size")).distinct(), "id"))
+    several = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / (BLOCK * 1024))).cast("int")
+    rows = rows.join(rows.groupBy("family").agg(several.alias("several")), "family").withColumn("k", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("several")).cast("int"))
+    gathered = [F.collect_list("id").alias("ids"), F.collect_list("comp").alias("comps"), F.collect_list("set").alias("sets")]
+    blocks = cut(rows.join(sets, "id").groupBy("family", "several", "k").agg(*gathered))
+    one, two = (blocks.where("several > 1").select("family", *[F.col(c).alias(f"{c}{i}") for c in ("k", *_BLOCK_FIELDS)]) for i in (1, 2))
+    inside = _compare(blocks.select(*_BLOCK_FIELDS), T, percent, ("",))
+    between = _compare(one.join(two, "family").where("k1 < k2"), T, percent, ("1", "2"))
+    of = components(links.unionAll(inside).unionAll(between))
 
     component = _component_of(member.select("id", "f1", "f2", "rep"), of, "rep", "component_id").select("id", "f1", "f2", "component_id")
     out = prints.select("id", "n_shingles", "f1", "f2").join(component, ["id", "f1", "f2"], "left")
