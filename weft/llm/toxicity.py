@@ -1,6 +1,6 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
-A text is the set of its distinct lower-cased words and of their first 4 and 5 bytes (so that an
+A text is the set of its distinct lower-cased words and of their first 5 to 8 bytes (so that an
 inflected form is known by its stem), hashed into buckets. The score is a sparse
 logistic model. For each labelled text that names an identity group, counterfactuals name the other
 groups of the same axis instead; the loss adds ``fairness * (f(x) - f(x'))**2`` over those pairs, so
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .textscan import LOWER, NON_ALNUM, U64, chunks, list_array, mix64
 
-BITS = 19
-PREFIXES = (4, 5)
+BITS = 22
+PREFIXES = (5, 6, 7, 8)
 
 # Identity terms by axis; terms at the same place of the lists of an axis swap.
 IDENTITY_AXES: tuple[tuple[tuple[str, ...], ...], ...] = (
@@ -175,7 +175,7 @@ def fit_sets(
     return Model(weights.astype(np.float32), float(bias))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 12_000, **options) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 8_000, **options) -> Model:
     """Fit on at most about ``max_docs`` labelled rows, chosen by a seeded hash of the id.
 
     Rows with a null label are left out; a null text is a text without words.
