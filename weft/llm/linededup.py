@@ -1,13 +1,13 @@
 """Line dedup across documents by a deletion-neighbourhood join, keeping the earliest line.
 
-A line (folded to lower case, white space collapsed) of at least ``min_chars`` characters goes when
+A line (folded: A-Z in lower case, runs of spaces, tabs and the like as one space, none at the ends) of at least ``min_chars`` characters goes when
 an earlier line of the corpus, kept or not, is within one edit of it. Earlier: by document id (null
 last), then by hash of the text, then by line number.
 
 Exact repeats are found by hash. For the rest, deletion variants of every line would be as many as
-the characters of the corpus, so two exact filters come first. One edit of a line leaves its first
-``q`` or its last ``q`` characters as they are when ``2 q`` is at most the shorter length; lines
-that share neither with another line are done. What is left is cut in eight pieces: one edit leaves
+the characters of the corpus, so two exact filters come first. One edit changes four bytes at most,
+so it leaves the first or the last ``q`` bytes as they are when ``2 q + 4`` is at most the shorter
+length; lines that share neither with another line are done. What is left is cut in eight pieces: one edit leaves
 seven as they are, so only lines equal but for one piece go on, and variants are made of that piece.
 
 Variants of one deletion: two lines of a length that agree when the character at the same place is
@@ -18,23 +18,106 @@ pairs, and a witness is then verified with the edit distance of the whole lines.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import cut
+from .textscan import LOWER, SAME, SPACES, U64, chunks, mix64, range_sums
 
 PIECES = 8
-
-
-def fold(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\s\x{0085}\x{00A0}\x{2007}\x{202F}]+", " ")))
-
-
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Long lines as ``id, h, no, k1, k2, norm``."""
-    lines = docs.where("text is not null").select("id", "h", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    lines = lines.select("id", "h", "no", fold(F.col("line")).alias("norm")).where(F.length("norm") >= min_chars)
-    return lines.select("id", "h", "no", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(11), "norm").alias("k2"), "norm")
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 11, 12, 13, 32]] = True
+
+
+class _Folded:
+    """The folded lines of a chunk of texts: their bytes, ranges, row and number within the row."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        data, n = LOWER[data], len(data)
+        breaks = data == 10
+        stop = np.zeros(n + 1, bool)  # where a line ends: at a break or before the next row
+        stop[:n] = breaks
+        stop[bounds[1:]] = True
+        first = np.zeros(n + 1, bool)
+        first[bounds[:-1]] = True
+        first[1:] |= np.append(breaks, False)[:n]
+        blank = _BLANK[data]
+        before = np.zeros(n, bool)
+        before[1:] = blank[:-1]
+        opens = blank & (~before | first[:n])
+        run = np.cumsum(opens)  # runs of blanks by number
+        after = np.append(blank, False)[1:] & ~first[1:]
+        ends = np.flatnonzero(blank & ~after)
+        trailing = np.zeros(int(run[-1]) + 1 if n else 1, bool)
+        trailing[run[ends[stop[ends + 1]]]] = True
+        keep = ~blank | (opens & ~first[:n] & ~trailing[run])
+        keep &= ~breaks
+        place = np.concatenate(([0], np.cumsum(keep)))
+        self.data = np.where(blank, np.uint8(32), data)[keep]
+        at = np.flatnonzero(breaks)
+        row_of_break = np.searchsorted(bounds, at, "right") - 1
+        rows = np.concatenate((np.arange(len(bounds) - 1), row_of_break))
+        start, end = np.concatenate((bounds[:-1], at + 1)), None
+        order = np.lexsort((start, rows))
+        self.row, start = rows[order], start[order]
+        last = np.append(self.row[1:] != self.row[:-1], True)
+        end = np.where(last, bounds[self.row + 1], np.append(start[1:], 0) - 1)
+        self.start, self.end = place[start], place[end]
+        self.no = np.arange(len(start)) - np.searchsorted(self.row, self.row)
+        chars = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
+        self.chars = chars[self.end] - chars[self.start]
+
+
+_LINE = "array<struct<no:int,k1:bigint,k2:bigint,ends:array<bigint>>>"
+
+
+def _long_lines(text: Column, min_chars: int) -> Column:
+    """Of each text its lines of at least ``min_chars``: number, two hashes and the keys of both ends."""
+
+    @F.arrow_udf(_LINE)
+    def found(x: pa.Array) -> pa.Array:
+        counts, no, keys, ends = [np.zeros(1, np.int64)], [], ([], []), []
+        for c in chunks(x, SPACES, SAME):
+            f = _Folded(c.data, c.bounds)
+            long = f.chars >= min_chars
+            start, end = f.start[long], f.end[long]
+            counts.append(np.bincount(f.row[long], minlength=c.rows))
+            no.append(f.no[long])
+            sums = [range_sums(f.data, v) for v in (0, 1)]
+            for into, hashed in zip(keys, sums, strict=True):
+                into.append(hashed(start, end))
+            q = [((end - start - cut_) // 8) * 4 for cut_ in (4, 8)]
+            both = [mix64(sums[0](*(side)) ^ (size.astype(U64) * U64(2) + U64(tag))) for size in q for tag, side in ((0, (start, start + size)), (1, (end - size, end)))]
+            ends.append(np.stack(both, axis=1))
+        whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        table = np.concatenate([np.zeros((0, 4), U64), *ends])
+        at = pa.array(np.arange(0, table.size + 1, 4, dtype=np.int32))
+        rows = pa.StructArray.from_arrays(
+            [pa.array(whole(no, np.int64).astype(np.int32)), pa.array(whole(keys[0], U64).view(np.int64)), pa.array(whole(keys[1], U64).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(table.ravel().view(np.int64)))], ["no", "k1", "k2", "ends"]
+        )
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), rows)
+
+    return found.asNondeterministic()(text)
+
+
+def _folded_lines(text: Column, numbers: Column) -> Column:
+    """The folded lines of the given numbers, in their order."""
+
+    @F.arrow_udf("array<string>")
+    def lines(x: pa.Array, wanted: pa.Array) -> pa.Array:
+        out: list[list[str]] = []
+        wanted = wanted.to_pylist()
+        for c in chunks(x, SPACES, SAME):
+            f = _Folded(c.data, c.bounds)
+            first = np.searchsorted(f.row, np.arange(c.rows))
+            raw = f.data.tobytes()
+            for i in range(c.rows):
+                out.append([raw[f.start[first[i] + n] : f.end[first[i] + n]].decode("utf-8", "replace") for n in wanted[c.lo + i]])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return lines.asNondeterministic()(text, numbers)
 
 
 def _place() -> Column:
@@ -42,14 +125,6 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("h").alias("h"), F.col("no").alias("no"))
 
 
-def _end_keys() -> Column:
-    """Hashes of the first and of the last q characters, for the q of this length and of one less."""
-    n = F.length("norm")
-    q = [F.floor(n / 16).cast("int") * 8, F.floor((n - 1) / 16).cast("int") * 8]
-    keys = [F.xxhash64(F.lit(tag), x, text(x)) for x in q for tag, text in (("first", lambda x: F.substring(F.col("norm"), F.lit(1), x)), ("last", lambda x: F.right(F.col("norm"), x)))]
-    return F.array_distinct(F.array(*keys))
-
-
 def _pieces(lines: DataFrame) -> DataFrame:
     """Each line with each of its pieces taken out: ``sk`` names what is left, ``mid`` the piece."""
     n = F.length("norm")
@@ -105,29 +180,34 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns pass through; one named ``_lines`` is replaced. An empty table gives no rows.
     """
     keyed = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
-    source = keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col("_h").alias("h"))
-    lines = _lines(source, min_chars)
+    source = keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col("_h").alias("h")).where("text is not null")
+    lines = source.select("id", "h", F.explode(_long_lines(F.col("text"), min_chars)).alias("x")).select("id", "h", "x.*")
+    lines = cut(lines)
     first = cut(lines.select("k1", "k2", _place().alias("place")).groupBy("k1", "k2").agg(F.min("place").alias("place")))
 
-    ends = lines.select("k1", F.explode(_end_keys()).alias("e"))
+    ends = lines.select("k1", F.explode(F.array_distinct("ends")).alias("e"))
     close = _shared(ends, "e").select("k1").distinct()
-    wanted = first.join(close, "k1", "left_semi").select("k1", "place", F.col("place.id").alias("id"), F.col("place.h").alias("h"), F.col("place.no").alias("no"))
-    asked = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("no", "k1", "place")).alias("asked"))
-    held = source.where("text is not null")
-    got = held.join(asked, held["id"].eqNullSafe(asked["id"]) & (held["h"] == asked["h"])).select(F.split("text", "\n", -1).alias("all"), "asked")
-    got = got.select(F.explode(F.transform("asked", lambda x: F.struct(x["k1"].alias("k1"), x["place"].alias("place"), F.get("all", x["no"]).alias("line")))).alias("x"))
-    candidates = cut(got.select("x.k1", "x.place", fold(F.col("x.line")).alias("norm")).dropDuplicates(["k1"]))
-    near = cut(near_lines(candidates))
-
-    marked = first.join(near.withColumn("near", F.lit(True)), "k1", "left").select(F.col("place.id").alias("_i"), F.col("place.h").alias("_g"), F.col("place.no").alias("no"), F.coalesce("near", F.lit(False)).alias("near"))
-    kept = marked.groupBy("_i", "_g").agg(F.collect_list(F.when(~F.col("near"), F.col("no"))).alias("_keep"), F.count_if("near").alias("_near"))
-    joined = keyed.drop("_lines").join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
-    every = F.split(F.col(text_col).cast("string"), "\n", -1)
-    keep = F.coalesce("_keep", F.array().cast("array<int>"))
-    stays = F.filter(every, lambda line, i: (F.length(fold(line)) < min_chars) | F.array_contains(keep, i))
-    out = joined.withColumn("_all", F.size(every)).withColumn("_stay", stays)
-    total = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("_all"))
-    gone = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("_all") - F.size("_stay"))
+    wanted = first.join(close, "k1", "left_semi").select("k1", "place", F.col("place.id").alias("_i"), F.col("place.h").alias("_g"), F.col("place.no").alias("no"))
+    asked = wanted.groupBy("_i", "_g").agg(F.collect_list(F.struct("no", "k1", "place")).alias("asked"))
+    got = source.join(asked, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_g"))).select("asked", _folded_lines(F.col("text"), F.col("asked.no")).alias("norms"))
+    got = got.select(F.explode(F.arrays_zip("asked", "norms")).alias("x")).select("x.asked.k1", "x.asked.place", F.col("x.norms").alias("norm"))
+    near = cut(near_lines(cut(got.dropDuplicates(["k1"]))))
+
+    marked = first.join(near.withColumn("near", F.lit(True)), "k1", "left").select(F.col("place.id").alias("id"), F.col("place.h").alias("h"), F.col("place.no").alias("no"), F.coalesce("near", F.lit(False)).alias("near"))
+    gone = _gone(lines, marked)
+    out = keyed.drop("_lines").join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
+    text = F.col(text_col).cast("string")
+    stays = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_drop", i)), "\n")
+    total = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     near_n = F.coalesce("_near", F.lit(0)).cast("int")
-    out = out.withColumn("_lines", F.struct(total.alias("total"), (gone - near_n).alias("exact"), near_n.alias("near"))).withColumn(text_col, F.array_join("_stay", "\n"))
+    struct = F.struct(total.cast("int").alias("total"), (F.coalesce(F.size("_drop"), F.lit(0)) - near_n).cast("int").alias("exact"), near_n.alias("near"))
+    out = out.withColumn("_lines", struct).withColumn(text_col, F.when(F.size("_drop") > 0, stays).otherwise(text))
     return out.select(*[c for c in docs.columns if c != "_lines"], "_lines")
+
+
+def _gone(lines: DataFrame, marked: DataFrame) -> DataFrame:
+    """``_i, _g, _drop, _near``: the line numbers that go from a document, and how many for being near."""
+    every = lines.select("id", "h", "no", F.lit(False).alias("first"), F.lit(False).alias("near")).unionAll(marked.select("id", "h", "no", F.lit(True), "near"))
+    seen = every.groupBy("id", "h").agg(F.array_distinct(F.collect_list("no")).alias("all"), F.collect_list(F.when(F.col("first") & ~F.col("near"), F.col("no"))).alias("kept"), F.count_if(F.col("first") & F.col("near")).alias("_near"))
+    drop = F.array_except("all", "kept")
+    return seen.select(F.col("id").alias("_i"), F.col("h").alias("_g"), drop.alias("_drop"), "_near").where(F.size("_drop") > 0)

@@ -76,6 +76,19 @@ def _gram_factors(n: int) -> np.ndarray:
     return np.random.default_rng(77 + n).integers(0, 1 << 63, n, dtype=U64) * U64(2) + U64(1)
 
 
+@lru_cache(maxsize=2)
+def _second_symbols() -> np.ndarray:
+    return np.random.default_rng(90210).integers(0, 1 << 64, 256, dtype=U64)
+
+
+def range_sums(data: np.ndarray, variant: int = 0):
+    """A function of byte ranges of ``data`` to their hashes; variants are independent of one another."""
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum((_second_symbols() if variant else _symbols())[data] * _powers(_BASE, len(data)), out=sums[1:])
+    back = _powers(_INVERSE, len(data) + 1)
+    return lambda start, end: mix64((sums[end] - sums[start]) * back[start])
+
+
 class Chunk:
     """Rows ``lo`` to ``hi`` of a batch with their words; ``word_at[i]`` is the first word of row i."""
 
@@ -96,7 +109,7 @@ class Chunk:
         self.end = np.flatnonzero(solid & ~after) + 1
         self.solid = solid
         self.word_at = np.searchsorted(self.start, bounds)
-        self._sums: np.ndarray | None = None
+        self._sums = None
 
     @property
     def rows(self) -> int:
@@ -113,11 +126,8 @@ class Chunk:
 
     def hash_ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if self._sums is None:
-            n = len(self.data)
-            self._sums = np.zeros(n + 1, U64)
-            np.cumsum(_symbols()[self.data] * _powers(_BASE, n), out=self._sums[1:])
-        raw = (self._sums[end] - self._sums[start]) * _powers(_INVERSE, len(self.data) + 1)[start]
-        return mix64(raw)
+            self._sums = range_sums(self.data)
+        return self._sums(start, end)
 
     def word_hashes(self) -> np.ndarray:
         return self.hash_ranges(self.start, self.end)
