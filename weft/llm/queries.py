@@ -95,11 +95,11 @@ WITH t AS (
   FROM t JOIN s ON conv_id IS NOT DISTINCT FROM c
 ), q AS (
   SELECT *, sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, speaker, span ORDER BY turn NULLS FIRST, role, body
-         ROWS UNBOUNDED PRECEDING) - length(body) - 11 AS at FROM p
+         ROWS UNBOUNDED PRECEDING) - length(body) - 11 AS pos FROM p
 )
 SELECT conv_id, speaker, dense_rank() OVER (PARTITION BY conv_id, speaker ORDER BY span) - 1 AS part, count(*) AS n_turns,
   string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS rendered,
-  coalesce(string_agg(CASE WHEN own THEN CAST(CAST(at AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + length(body) AS BIGINT) AS VARCHAR) END, ','
+  coalesce(string_agg(CASE WHEN own THEN CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(body) AS BIGINT) AS VARCHAR) END, ','
     ORDER BY turn NULLS FIRST, role, body), '') AS mask
 FROM q GROUP BY conv_id, speaker, span
 """
