@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the public file format
-_KEPT = 300_000
+_KEPT = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -83,7 +83,12 @@ class Transducer:
         self.scores = scores
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == _UNKNOWN), 0)
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _BYTE}
-        self.longest = max(map(len, self.ids), default=1)
+        self.packed = [np.int32(i).tobytes() for i in range(len(self.pieces))]
+        self.reach: dict[str, int] = {}  # the longest piece that ends in three characters (or has just these)
+        for p in self.ids:
+            self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 1))
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.solved: dict[str, tuple[float, str, bytes]] = {"": (0.0, "", b"")}
         self.least = min(scores, default=0.0) - 10
         whole = all(MARK not in p.lstrip(MARK) for p in self.ids)
         alone = not any("\n" in p for p in self.ids)
@@ -91,69 +96,108 @@ class Transducer:
         self.decoded = [bytes([int(p[1:-1], 16)]) if k == _BYTE else b"" if k == _CONTROL else b" \xe2\x81\x87 " if k == _UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.known: dict[str, bytes] = {}
         self.stable: dict[tuple[str, str], bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """What merging a short text leaves: the best-scored neighbours join first, leftmost on ties."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
-            if best is None:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self.edged: dict[str, tuple] = {}  # of pieces and single characters
+
+    def _next_merge(self, parts: list[str]) -> tuple[int, float] | None:
+        """Where the best-scored neighbours join next, leftmost on ties, and their score."""
+        best, at = None, -1
+        for i in range(len(parts) - 1):
+            k = self.ids.get(parts[i] + parts[i + 1])
+            if k is not None and (best is None or self.scores[k] > best):
+                best, at = self.scores[k], i
+        return None if best is None else (at, best)
+
+    def edges(self, piece: str) -> tuple[bool, list[tuple[str, float]], list[tuple[str, float]]]:
+        """Whether merging a piece's text leaves it whole, and the symbols at its right and left edge in
+        the order they stand there, each with the score of the merge that takes it up (the last: none)."""
+        got = self.edged.get(piece)
+        if got is None:
+            parts, right, left = list(piece), [], []
+            while (at := self._next_merge(parts)) is not None:
+                i, score = at
+                if i == 0:
+                    left.append((parts[0], score))
+                if i == len(parts) - 2:
+                    right.append((parts[-1], score))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            never = float("-inf")
+            got = self.edged[piece] = (len(parts) == 1, [*right, (parts[-1], never)], [*left, (parts[0], never)])
+        return got
 
     def follows(self, a: str, b: str) -> bool:
-        """Whether the arc from piece a to piece b has weight 0; ``a`` is empty at the start."""
+        """Whether the arc from piece a to piece b has weight 0: merging their text never joins symbols
+        across the seam. Merges go from the best score down and a part scores above its whole, so the
+        two edges can be walked together; equal scores go to the leftmost."""
         key = (a, b)
         got = self.stable.get(key)
         if got is None:
             if len(self.stable) > _KEPT:
                 self.stable.clear()
-            got = self.stable[key] = self.merged(a + b) == ([a, b] if a else [b])
+            right, left = self.edges(a)[1], self.edges(b)[2]
+            i = j = 0
+            got = True
+            while True:
+                (x, taken), (y, claimed) = right[i], left[j]
+                k = self.ids.get(x + y)
+                if k is not None and self.scores[k] > taken and self.scores[k] >= claimed:
+                    got = False
+                    break
+                if taken == claimed == float("-inf"):
+                    break
+                if taken >= claimed:
+                    i += 1
+                else:
+                    j += 1
+            self.stable[key] = got
         return got
 
-    def path(self, text: str) -> list[str]:
-        """The shortest path through the lattice of a stretch, as the pieces on it."""
-        n, get, longest, follows = len(text), self.ids.get, self.longest, self.follows
-        cost = [0.0] + [float("inf")] * n
-        last: list[str | None] = [""] + [None] * n  # the piece that ends at each place, on the path to it
-        for j in range(1, n + 1):
-            for i in range(max(0, j - longest), j):
-                before = last[i]
-                if before is None:
-                    continue
+    def path(self, text: str) -> bytes:
+        """The packed ids on the shortest path through the lattice of a stretch.
+
+        The path to a place depends on the text before it only, so what is solved is remembered by
+        prefix (cost, last piece, ids), and a stretch costs the places behind its longest solved prefix.
+        """
+        solved, get, reach, n = self.solved, self.ids.get, self.reach, len(text)
+        if len(solved) > _KEPT // 2:
+            solved.clear()
+            solved[""] = (0.0, "", b"")
+        k = n
+        while text[:k] not in solved:
+            k -= 1
+        for j in range(k + 1, n + 1):
+            best = None
+            for i in range(j - max(reach.get(text[max(0, j - 3) : j], 1), min(j, 2)), j):
                 piece = text[i:j]
-                k = get(piece)
-                if k is None and j - i > 1:
+                token = get(piece)
+                if token is None and j - i > 1:
                     continue
+                cost, before, ids = solved[text[:i]]
                 if self.unigram:
-                    weight = cost[i] - (self.scores[k] if k is not None else self.least)
-                elif (k is None or follows("", piece)) and (not before or follows(before, piece)):
-                    weight = 0.0
-                else:
-                    continue
-                if weight < cost[j]:
-                    cost[j], last[j] = weight, piece
-                    if not self.unigram:
-                        break
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(last[n])
-        return out[::-1]
+                    cost -= self.scores[token] if token is not None else self.least
+                    if best is None or cost < best[0]:
+                        best = (cost, piece, ids, token)
+                elif (token is None or self.edges(piece)[0]) and (not before or self.follows(before, piece)):
+                    best = (0.0, piece, ids, token)
+                    break
+            cost, piece, ids, token = best
+            solved[text[:j]] = (cost, piece, ids + self._packed(piece, token))
+        return solved[text][2]
+
+    def _packed(self, piece: str, token: int | None) -> bytes:
+        if token is not None:
+            return self.packed[token]
+        own = [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
+        return np.array(own, np.int32).tobytes()
 
     def _ids(self, stretch: str) -> bytes:
-        out: list[int] = []
-        for piece in self.path(stretch.replace(" ", MARK)):
-            k = self.ids.get(piece)
-            if k is not None:
-                out.append(k)
-            else:
-                out += [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
-        return np.array(out, np.int32).tobytes()
+        """Cut where no piece has the two characters side by side, then a path for each part."""
+        text, pairs, lo, out = stretch.replace(" ", MARK), self.pairs, 0, []
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs:
+                out.append(self.path(text[lo:i]))
+                lo = i
+        out.append(self.path(text[lo:]))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed as 32-bit integers."""
