@@ -101,6 +101,12 @@ _STATES = {
 }
 _NEGATED = "len(list_filter(string_split(replace(lower(answer), chr(10), '. '), '.'), lambda s: contains(s, 'total'))) > 0 AND len(list_filter(string_split(replace(lower(answer), chr(10), '. '), '.'), lambda s: contains(s, 'total') AND NOT (contains(s, 'does not') OR contains(s, 'no information') OR contains(s, 'cannot') OR contains(s, 'is not')))) = 0"
 _CREDIT = f"""SELECT o_orderkey, round((CASE WHEN {_STATES['total']} AND NOT ({_NEGATED}) THEN 1 ELSE 0 END + 1 + 1) / 4.0::DOUBLE, 3) AS credit FROM answers"""
+_CONTEXT = f"""l AS (SELECT 0 AS kind, statement, chunk_id FROM ({_STATED}) UNION ALL SELECT 1, statement, NULL FROM ({_COUNTS}) UNION ALL SELECT 2, statement, NULL FROM ({_LISTING})),
+  n AS (SELECT *, row_number() OVER (ORDER BY kind, statement) AS ord FROM l), d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY statement ORDER BY ord) = 1),
+  k AS (SELECT vec_id, greatest(round(1 - list_cosine_similarity(v, (SELECT v FROM emb WHERE vec_id = 0)), 6), 0) AS dist FROM emb ORDER BY dist, vec_id LIMIT 5), p AS (SELECT vec_id, row_number() OVER (ORDER BY dist, vec_id) AS ord FROM k)"""
+_CONTEXT_ROWS = """SELECT CAST(0 AS INT) AS section, min(ord) AS ord, '- DEFINED_IN: the place that holds the thing; location only.' AS text FROM d WHERE kind < 2 HAVING count(*) > 0
+  UNION ALL SELECT 1, ord, CASE WHEN chunk_id IS NULL THEN statement ELSE '[' || chunk_id || '] (code) ' || statement END FROM d
+  UNION ALL SELECT 2, ord, '[' || p.vec_id || '] ' || lang || ' ' || source FROM p JOIN documents ON doc_id = p.vec_id"""
 _KNN = "greatest(round(1 - list_cosine_similarity(v, (SELECT v FROM emb WHERE vec_id = {})), 6), 0)"
 
 
@@ -114,6 +120,7 @@ def oracle_sql() -> dict[str, str]:
         "status_by_type": _with(["edges"], "SELECT rel, count(*) AS n, CAST(count_if(rel NOT IN ('NEXT','LINKS')) AS BIGINT) AS parser_edges, CAST(count_if(rel IN ('NEXT','LINKS')) AS BIGINT) AS model_edges FROM edges GROUP BY rel"),
         "status_by_repo": _with(["places"], "SELECT split_part(id, '.', 1) AS repo, label, count(*) AS n FROM places GROUP BY 1, 2"),
         "package_roots": _with(["labelled"], "SELECT id, label FROM labelled WHERE label IN ('Region','Nation','Catalog','Brand') AND id NOT LIKE '%.%'"),
+        "hybrid_context": _with(["near", "emb"], _CONTEXT_ROWS, _CONTEXT),
         "t1_neighbors": _with(["near"], _NEIGHBORS),
         "t8_related_by": _with(["near"], _NEIGHBORS),
         "t8_counts": _with(["near"], _COUNTS),
