@@ -34,9 +34,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share an id share the verdict."""
+    """Links at a similarity of 0.80 or more. Rows that share an id share the verdict."""
     ship(spark)
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -3,8 +3,8 @@
 1. One scan gives each document its set size, a 128-bit fingerprint of its shingle set and a
    signature of ``K`` minima. Documents with equal sets form one class from here on.
 2. Classes are posted under each (coordinate, value). Pairs of similarity ``J`` agree on a
-   coordinate with probability ``J``; at least ``T`` of ``K`` agree for all but one pair in a
-   million at ``J = 0.85``. Values that one class alone holds can't count, and a class with fewer than ``T``
+   coordinate with probability ``J``; ``T`` is the most of ``K`` that agree for all but one pair in a
+   million at the similarity asked for (39 of 64 at 0.85, 34 of 64 at 0.80). Values that one class alone holds can't count, and a class with fewer than ``T``
    shared values is done. Of its ``m`` shared values it is posted under the ``m - T + 1`` rarest
    only: two classes that agree on ``T`` values meet under one of those (prefix filter).
 3. Each posting list first links its members to the most typical one. Pairs that agree on ``T``
@@ -21,6 +21,8 @@ pair inside one component cannot change them.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,24 @@ from .components import components
 from .scratch import cut
 from .textscan import LOWER, U64, Chunk, _gram_factors, chunks, list_array, mix64
 
-K, T = 64, 39
-BLOCK = 256
+BLOCK, MISS = 256, 1e-6
+
+
+def agreement(percent: int) -> tuple[int, int]:
+    """``K`` and the largest ``T`` at which a pair of similarity ``percent`` / 100 is missed with a probability below ``MISS``."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    if percent == 100:
+        return 64, 64
+    j = percent / 100
+    k = max(64, math.floor(math.log(MISS) / math.log1p(-j)) + 1)
+    missed, least = 0.0, 0
+    while (missed := missed + math.comb(k, least) * j**least * (1 - j) ** (k - least)) < MISS:
+        least += 1
+    return k, least
+
+
+K, T = agreement(85)
 
 
 def shingles(c: Chunk, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -62,25 +80,27 @@ def shingles(c: Chunk, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(([0], np.cumsum(sizes)))
 
 
-_FACTORS = np.random.default_rng(4711).integers(0, 1 << 63, K, dtype=U64) * U64(2) + U64(1)
-_LABELS = mix64(np.arange(1, K + 1, dtype=U64))
+@functools.cache
+def _coordinates(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.random.default_rng(4711).integers(0, 1 << 63, n, dtype=U64) * U64(2) + U64(1), mix64(np.arange(1, n + 1, dtype=U64))
 
 
-def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows x K coordinate values, each already mixed with its coordinate; empty sets give zeros."""
+def signatures(sets: np.ndarray, at: np.ndarray, n: int = K) -> np.ndarray:
+    """Rows x ``n`` coordinate values, each already mixed with its coordinate; empty sets give zeros."""
     rows = np.flatnonzero(np.diff(at))
-    out = np.zeros((len(at) - 1, K), U64)
+    out = np.zeros((len(at) - 1, n), U64)
+    factors, labels = _coordinates(n)
     if len(rows):
-        for k in range(K):
-            out[rows, k] = mix64(np.minimum.reduceat(sets * _FACTORS[k], at[rows]) ^ _LABELS[k])
+        for k in range(n):
+            out[rows, k] = mix64(np.minimum.reduceat(sets * factors[k], at[rows]) ^ labels[k])
     return out
 
 
 _PRINT = "struct<n_shingles:bigint,f1:bigint,f2:bigint,sig:array<bigint>>"
 
 
-def _fingerprint(x: pa.Array, width: int) -> pa.StructArray:
-    n, f1, f2, sig = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros((0, K), U64)]
+def _fingerprint(x: pa.Array, width: int, coordinates: int) -> pa.StructArray:
+    n, f1, f2, sig = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros((0, coordinates), U64)]
     for c in chunks(x, fold=LOWER):
         sets, at = shingles(c, width)
         n.append(np.diff(at))
@@ -88,16 +108,16 @@ def _fingerprint(x: pa.Array, width: int) -> pa.StructArray:
             sums = np.zeros(len(sets) + 1, U64)
             np.cumsum(mix64(sets ^ U64(salt)), out=sums[1:])
             into.append(sums[at[1:]] - sums[at[:-1]])
-        sig.append(signatures(sets, at))
+        sig.append(signatures(sets, at, coordinates))
     sig = np.concatenate(sig)
-    values = list_array(sig.ravel().view(np.int64), np.arange(0, sig.size + 1, K), pa.int64())
+    values = list_array(sig.ravel().view(np.int64), np.arange(0, sig.size + 1, coordinates), pa.int64())
     return pa.StructArray.from_arrays([pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(f1).view(np.int64)), pa.array(np.concatenate(f2).view(np.int64)), values], ["n_shingles", "f1", "f2", "sig"])
 
 
-def _prints(text, width: int):
+def _prints(text, width: int, coordinates: int):
     @F.arrow_udf(_PRINT)
     def fingerprint(x: pa.Array) -> pa.Array:
-        return _fingerprint(x, width)
+        return _fingerprint(x, width, coordinates)
 
     return fingerprint.asNondeterministic()(text)
 
@@ -138,11 +158,11 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
 class _Block:
     """Members of a family: ids, components, full sets and signatures."""
 
-    def __init__(self, ids: list[int], comps: list[int], sets: list[bytes]):
+    def __init__(self, ids: list[int], comps: list[int], sets: list[bytes], coordinates: int = K):
         self.ids, self.comps = ids, np.array(comps, np.int64)
         self.sets = [np.frombuffer(x, U64) for x in sets]
         self.sizes = np.array([len(x) for x in self.sets])
-        self.sigs = signatures(np.concatenate(self.sets), np.concatenate(([0], np.cumsum(self.sizes))))
+        self.sigs = signatures(np.concatenate(self.sets), np.concatenate(([0], np.cumsum(self.sizes))), coordinates)
 
 
 def _forest(one: _Block, two: _Block, least: int, percent: int) -> list[tuple[int, int]]:
@@ -173,14 +193,15 @@ def _forest(one: _Block, two: _Block, least: int, percent: int) -> list[tuple[in
 _BLOCK_FIELDS = ("ids", "comps", "sets")
 
 
-def _compare(blocks: DataFrame, least: int, percent: int, sides: tuple[str, ...]) -> DataFrame:
+def _compare(blocks: DataFrame, percent: int, sides: tuple[str, ...]) -> DataFrame:
     """Links ``a, b`` found in each row's block, or between its two blocks, named by the ends of its columns."""
+    coordinates, least = agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             links = []
             for i in range(x.num_rows):
-                got = [_Block(*(x.column(n + side)[i].as_py() for n in _BLOCK_FIELDS)) for side in sides]
+                got = [_Block(*(x.column(n + side)[i].as_py() for n in _BLOCK_FIELDS), coordinates) for side in sides]
                 links += _forest(got[0], got[-1], least, percent)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*links, strict=True)], ["a", "b"])
@@ -202,8 +223,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not be named by a link: its component is null and it is kept. Repeated rows give repeated results.
     Other columns of ``docs`` are not read.
     """
+    coordinates, least = agreement(percent)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(source.select("id", _prints(F.col("text"), width).alias("p")).select("id", "p.*"))
+    prints = cut(source.select("id", _prints(F.col("text"), width, coordinates).alias("p")).select("id", "p.*"))
     named = prints.where("id is not null and n_shingles > 0")
     grouped = named.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     member = cut(named.select("id", "f1", "f2", "n_shingles").join(grouped, ["f1", "f2", "n_shingles"]).select("id", "rep", "f1", "f2").distinct())
@@ -213,9 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     posted = reps.select("id", "n_shingles", F.explode("sig").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    hits = posted.join(shared, "token").groupBy("id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).where(F.size("t") >= T)
+    hits = posted.join(shared, "token").groupBy("id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).where(F.size("t") >= least)
     hits = cut(hits.select("id", "n_shingles", "t", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log(x["n"])).alias("typical")))
-    lists = hits.select("id", "typical", F.explode(F.expr(f"slice(t, 1, size(t) - {T - 1})")).alias("x")).select("id", "typical", F.col("x.token").alias("token"), F.col("x.n").alias("n"))
+    lists = hits.select("id", "typical", F.explode(F.expr(f"slice(t, 1, size(t) - {least - 1})")).alias("x")).select("id", "typical", F.col("x.token").alias("token"), F.col("x.n").alias("n"))
     lists = cut(lists)
 
     # Full sets of the classes that have any candidate, once.
@@ -229,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for end in "ab":
         star = star.join(signature.select(F.col("id").alias(end), F.col("tokens").alias(f"t{end}"), F.col("n_shingles").alias(f"n{end}")), end)
     alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    star = star.where(alike & (F.size(F.array_intersect("ta", "tb")) >= T)).select("a", "b")
+    star = star.where(alike & (F.size(F.array_intersect("ta", "tb")) >= least)).select("a", "b")
     both = star.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     links = cut(both.select("a", "b", _confirm(F.col("x"), F.col("y"), percent).alias("ok")).where("ok").select("a", "b").unionAll(same_id))
     of = components(links)
@@ -246,8 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gathered = [F.collect_list("id").alias("ids"), F.collect_list("comp").alias("comps"), F.collect_list("set").alias("sets")]
     blocks = cut(rows.join(sets, "id").groupBy("family", "several", "k").agg(*gathered))
     one, two = (blocks.where("several > 1").select("family", *[F.col(c).alias(f"{c}{i}") for c in ("k", *_BLOCK_FIELDS)]) for i in (1, 2))
-    inside = _compare(blocks.select(*_BLOCK_FIELDS), T, percent, ("",))
-    between = _compare(one.join(two, "family").where("k1 < k2"), T, percent, ("1", "2"))
+    inside = _compare(blocks.select(*_BLOCK_FIELDS), percent, ("",))
+    between = _compare(one.join(two, "family").where("k1 < k2"), percent, ("1", "2"))
     of = components(links.unionAll(inside).unionAll(between))
 
     component = _component_of(member.select("id", "f1", "f2", "rep"), of, "rep", "component_id").select("id", "f1", "f2", "component_id")
