@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five stages, each written and read by the next.
 
 1. quality: rows that the base rule or a proven cutoff rejects go.
-2. lines: lines that repeat an earlier one go; a document of which no line is left goes.
+2. lines: lines of any length that repeat an earlier one go; a document that loses lines goes when no word is left of it.
 3. near_duplicates: of each group of near-duplicates the document with the smallest id stays.
 4. mixing: sources to temperature weights; every document stays, those of smaller sources repeat.
 5. tokens: SentencePiece ids.
@@ -28,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``n_chars`` follows the text that is left."""
     ship(spark)
-    out = linededup.dedup_lines(docs).where((F.col("_lines.exact") + F.col("_lines.near") < F.col("_lines.total")) | (F.col("_lines.total") == 0))
     changed = F.col("_lines.exact") + F.col("_lines.near") > 0
+    out = linededup.dedup_lines(docs, exact_chars=1).where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from test_operators import docs_frame, shingle_set
 
-from weft.llm import minhash
+from weft.llm import linededup, minhash, queries
 
 
 @pytest.mark.parametrize("percent", [10, 50, 80, 85, 95, 99, 100])
@@ -28,3 +28,16 @@ def test_the_stage_links_at_80_percent(spark):
     assert all(0.80 <= share(rows[2 * i][1], rows[2 * i + 1][1]) < 0.85 for i in range(60)) and share(rows[-2][1], rows[-1][1]) < 0.80
     kept = {r[0] for r in pipeline.near_duplicate_stage(spark, docs_frame(spark, [(i, t, "en", "s") for i, t in rows]), "").collect()}
     assert kept == {2 * i for i in range(60)} | {1000, 1001}
+
+
+def test_short_repeats_go_and_leave_no_husk(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = [f"a line of more than twenty characters, number {i}{i}{i}" for i in range(3)]
+    texts = [f"{long[0]}\nShort one\n\n{long[1]}", f"{long[0]}\n short  ONE\n\n{long[1]}", f"short one\n{long[2]}\nfresh", "fresh\nfresh\n\n", "almost", "almosT!", " \n"]
+    df = docs_frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    want = {0: (texts[0], 0), 1: ("", 3), 2: (f"{long[2]}\nfresh", 1), 3: ("\n", 2), 4: ("almost", 0), 5: ("almosT!", 0), 6: (" \n", 0)}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["text"], r["exact"]) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {r["doc_id"]: r["text"] for r in pipeline.line_stage(spark, df, "").collect()} == {i: want[i][0] for i in (0, 2, 4, 5, 6)}
+    assert {r["doc_id"] for r in linededup.dedup_lines(df).where("_lines.exact > 0").collect()} == {1}

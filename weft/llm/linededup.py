@@ -1,7 +1,7 @@
 """Line dedup across documents by a deletion-neighbourhood join, keeping the earliest line.
 
-A line (folded: A-Z in lower case, runs of spaces, tabs and the like as one space, none at the ends) of at least ``min_chars`` characters goes when
-an earlier line of the corpus, kept or not, is within one edit of it. Earlier: by document id (null
+A line (folded: A-Z in lower case, runs of spaces, tabs and the like as one space, none at the ends) of at least ``exact_chars`` characters goes when an earlier line of the corpus equals it, and one of at
+least ``min_chars`` also when an earlier line of that length, kept or not, is within one edit of it. Earlier: by document id (null
 last), then by hash of the text, then by line number.
 
 Exact repeats are found by hash. For the rest, deletion variants of every line would be as many as
@@ -73,27 +73,29 @@ class _Folded:
 _LINE = "array<struct<no:int,k1:bigint,k2:bigint,ends:array<bigint>>>"
 
 
-def _long_lines(text: Column, min_chars: int) -> Column:
-    """Of each text its lines of at least ``min_chars``: number, two hashes and the keys of both ends."""
+def _keyed_lines(text: Column, min_chars: int, exact_chars: int) -> Column:
+    """Of each text its lines of at least ``exact_chars``: number, two hashes and, from ``min_chars`` on, the keys of both ends."""
 
     @F.arrow_udf(_LINE)
     def found(x: pa.Array) -> pa.Array:
-        counts, no, keys, ends = [np.zeros(1, np.int64)], [], ([], []), []
+        counts, no, keys, ends, n_ends = [np.zeros(1, np.int64)], [], ([], []), [], [np.zeros(1, np.int64)]
         for c in chunks(x, SPACES, SAME):
             f = _Folded(c.data, c.bounds)
-            long = f.chars >= min_chars
-            start, end = f.start[long], f.end[long]
-            counts.append(np.bincount(f.row[long], minlength=c.rows))
-            no.append(f.no[long])
+            asked = f.chars >= exact_chars
+            start, end, long = f.start[asked], f.end[asked], f.chars[asked] >= min_chars
+            counts.append(np.bincount(f.row[asked], minlength=c.rows))
+            no.append(f.no[asked])
             sums = [range_sums(f.data, v) for v in (0, 1)]
             for into, hashed in zip(keys, sums, strict=True):
                 into.append(hashed(start, end))
+            start, end = start[long], end[long]
             q = [((end - start - cut_) // 8) * 4 for cut_ in (4, 8)]
             both = [mix64(sums[0](*(side)) ^ (size.astype(U64) * U64(2) + U64(tag))) for size in q for tag, side in ((0, (start, start + size)), (1, (end - size, end)))]
             ends.append(np.stack(both, axis=1))
+            n_ends.append(long * 4)
         whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
         table = np.concatenate([np.zeros((0, 4), U64), *ends])
-        at = pa.array(np.arange(0, table.size + 1, 4, dtype=np.int32))
+        at = pa.array(np.cumsum(np.concatenate(n_ends)).astype(np.int32))
         rows = pa.StructArray.from_arrays(
             [pa.array(whole(no, np.int64).astype(np.int32)), pa.array(whole(keys[0], U64).view(np.int64)), pa.array(whole(keys[1], U64).view(np.int64)), pa.ListArray.from_arrays(at, pa.array(table.ravel().view(np.int64)))], ["no", "k1", "k2", "ends"]
         )
@@ -170,18 +172,19 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("norm", "other", 1).between(0, 1)).select("k1").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with its text less the lines that go, and a struct ``_lines(total, exact, near)``.
 
     ``total`` counts the lines of a text, ``exact`` those that go as repeats and ``near`` those that
-    go as one edit away; lines shorter than ``min_chars`` after folding, blank ones included, always
-    stay. A null text stays null with counts of 0, an empty text has one line. Rows with equal id and
+    go as one edit away. Lines count as repeats from ``exact_chars`` characters after folding (by default
+    ``min_chars``; 1 takes every line that is not blank) and as near ones from ``min_chars``; the others stay. A null text stays null with counts of 0, an empty text has one line. Rows with equal id and
     text are one document: all keep the same lines. Rows with a null id come last in the order. Other
     columns pass through; one named ``_lines`` is replaced. An empty table gives no rows.
     """
+    exact_chars = max(1, min_chars if exact_chars is None else min(exact_chars, min_chars))
     keyed = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
     source = keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col("_h").alias("h")).where("text is not null")
-    lines = source.select("id", "h", F.explode(_long_lines(F.col("text"), min_chars)).alias("x")).select("id", "h", "x.*")
+    lines = source.select("id", "h", F.explode(_keyed_lines(F.col("text"), min_chars, exact_chars)).alias("x")).select("id", "h", "x.*")
     lines = cut(lines)
     first = cut(lines.select("k1", "k2", _place().alias("place")).groupBy("k1", "k2").agg(F.min("place").alias("place")))
 

@@ -30,7 +30,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_lines.*", "text")
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1).select("doc_id", "_lines.*", "text")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
