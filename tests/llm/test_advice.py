@@ -1,11 +1,13 @@
 """What a review found missing: one test for each finding that was settled."""
 
+import itertools
 import math
 
 import pytest
-from test_operators import docs_frame, shingle_set
+from pyspark.sql import functions as F
+from test_operators import WORD, docs_frame, fold, one_edit, shingle_set
 
-from weft.llm import linededup, minhash, queries
+from weft.llm import linededup, minhash, quality, queries
 
 
 @pytest.mark.parametrize("percent", [10, 50, 80, 85, 95, 99, 100])
@@ -41,3 +43,56 @@ def test_short_repeats_go_and_leave_no_husk(spark, tmp_path):
     assert got == want
     assert {r["doc_id"]: r["text"] for r in pipeline.line_stage(spark, df, "").collect()} == {i: want[i][0] for i in (0, 2, 4, 5, 6)}
     assert {r["doc_id"] for r in linededup.dedup_lines(df).where("_lines.exact > 0").collect()} == {1}
+
+
+def test_small_strata_get_proven_cutoffs(spark):
+    good = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    junk = lambda i: " ".join(f"w{i}x{k}#$%" for k in range(30))
+    sizes = {"aa": 300, "bb": 260, "cc": 120, "dd": 150}
+    rows = [(1000 * s + i, good(i), lang, "s") for s, (lang, n) in enumerate(sizes.items()) for i in range(n)]
+    rows += [(1000 * s + 900 + i, junk(i), lang, "s") for s, lang in enumerate(sizes) for i in range(10)] + [(9000, junk(1), "ee", "s")]
+    labels = spark.createDataFrame([(i, int(i % 1000 < 900)) for i, *_ in rows if i % 10 or i % 1000 < 900], "doc_id long, quality int").where("doc_id <> 9000")
+    docs = docs_frame(spark, rows)
+    found = quality.calibrate(docs.select("doc_id", "lang", quality.features(F.col("text")).alias("_f")).join(labels, "doc_id"))
+    assert set(found) == {"aa", "bb", quality.POOL} and all(found.values())
+    kept = {r["doc_id"] for r in quality.judge(docs, labels).where("_quality.kept").collect()}
+    assert kept == {i for i, t, *_ in rows if "#" not in t}
+    assert quality._own([300, 260], 559 + 1, 0.02, 0.05) == 2 and quality._own([200], 300, 0.02, 0.05) == 0 and quality._own([], 148, 0.02, 0.05) == -1
+
+
+def brute_lines(docs, hashes):
+    place = lambda d, n: (d["doc_id"], hashes[d["doc_id"]], n)
+    first = {}
+    for d in docs:
+        for n, line in enumerate(d["text"].split("\n")):
+            if f := fold(line):
+                first[f] = min(first.get(f, place(d, n)), place(d, n))
+    long = [f for f in first if len(f) >= 20]
+    near = {a for a in long if any(first[b] < first[a] and one_edit(a, b) for b in long if abs(len(a) - len(b)) < 2)}
+    out = []
+    for d in docs:
+        lines = d["text"].split("\n")
+        kept = [x for n, x in enumerate(lines) if not fold(x) or first[fold(x)] == place(d, n) and fold(x) not in near]
+        text = "\n".join(kept)
+        if len(kept) == len(lines) or WORD.search(text):
+            out.append(d | {"text": text, "n_chars": len(text) if len(kept) < len(lines) else d["n_chars"]})
+    return out
+
+
+def brute_near(docs):
+    sets = {d["doc_id"]: shingle_set(d["text"]) for d in docs}
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {i: low if g == high else g for i, g in group.items()}
+    return [d for d in docs if group[d["doc_id"]] == d["doc_id"]]
+
+
+def test_pipeline_against_brute_force_of_all_lines_at_80_percent(spark, monkeypatch):
+    """The assertions of test_pipeline.py with every line a repeat can be and 0.80 in place of its 20 characters and 0.85."""
+    import test_pipeline
+
+    monkeypatch.setattr(test_pipeline, "brute_lines", brute_lines)
+    monkeypatch.setattr(test_pipeline, "brute_near", brute_near)
+    test_pipeline.test_run_against_brute_force(spark)

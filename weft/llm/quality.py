@@ -1,14 +1,17 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule compares one text statistic with a cutoff. A cutoff may be used in a stratum only if the
-labelled holdout proves, by an exact binomial test, that it falsely rejects at most ``alpha`` of the
-stratum's good documents. Cutoffs of a rule are tried from the most lenient to the strictest and the
-walk ends at the first that can't be proven (fixed-sequence testing), so the walk itself costs no
-level; the level ``delta`` is divided over strata and rules (Bonferroni). With probability
-``1 - delta`` no (stratum, rule) rejects more than its share ``alpha / n_rules``, so all rules
-together reject at most ``alpha`` of the good documents of any stratum.
-
-Where labels are too few to prove any cutoff, the stratum has none and only the base rule holds.
+Each rule compares one text statistic with a cutoff. Cutoffs may be used in a stratum only if the
+labelled holdout proves, by an exact binomial test, that all of them together falsely reject at most
+``alpha`` of the stratum's good documents. They are tried along one path fixed beforehand, from the most
+lenient to the strictest: first the rules on words and symbols, in step, then those on repetition, which
+good prose has too. The walk ends at the first step that can't be proven (fixed-sequence testing), so the
+walk itself costs no level; ``delta`` is divided over strata (Bonferroni). With probability ``1 - delta``
+every proven step rejects at most ``alpha``, so any may be taken: the most lenient of those that reject
+the most labelled-bad documents.
+
+Strata with too few labels to prove any step are put together to one pool, which has cutoffs of its own;
+it takes in larger ones, the smallest first, until it can be proven. Its bound is on the whole pool. Where
+even all labels are too few, no stratum has a cutoff and only the base rule holds.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut
 from .textscan import Chunk, chunks
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -103,6 +107,7 @@ class Rule:
     under: str
     sign: int
     cutoffs: tuple[float, ...] = field(repr=False)
+    turn: int = 0  # rules of an earlier turn are at their strictest before those of a later one begin
 
     def value(self, f: Column) -> Column:
         return F.when(f[self.under] > 0, f[self.over] / f[self.under]).otherwise(F.lit(0.0)) * self.sign
@@ -118,8 +123,8 @@ RULES = (
     Rule("long_words", "word_chars", "n_words", 1, _grid(40.0, 12.0)),
     Rule("short_words", "word_chars", "n_words", -1, _grid(1.2, 3.0)),
     Rule("symbols", "n_symbols", "n_words", 1, _grid(2.0, 0.05)),
-    Rule("dup_lines", "n_dup_lines", "n_words", 1, _grid(0.5, 0.005)),
-    Rule("repeats", "n_repeat_words", "n_words", 1, _grid(0.3, 0.02)),
+    Rule("dup_lines", "n_dup_lines", "n_words", 1, _grid(0.5, 0.005), 1),
+    Rule("repeats", "n_repeat_words", "n_words", 1, _grid(0.3, 0.02), 1),
 )
 
 
@@ -138,39 +143,92 @@ def proven(k: int, n: int, p: float, delta: float) -> bool:
     return n > 0 and log_binomial_cdf(k, n, p) <= math.log(delta)
 
 
+#: Stands for the strata that have no cutoffs of their own.
+POOL = None
+
+
+def _turns(rules: tuple[Rule, ...]) -> dict[int, tuple[int, int]]:
+    """Of each turn its first step and how many it has."""
+    out, at = {}, 0
+    for turn in sorted({r.turn for r in rules}):
+        out[turn] = (at, max(len(r.cutoffs) for r in rules if r.turn == turn))
+        at += out[turn][1]
+    return out
+
+
+def _step(f: Column, rules: tuple[Rule, ...]) -> Column:
+    """The first step of the path that rejects a row; as many as there are steps where none does."""
+    turns = _turns(rules)
+    end = sum(n for _, n in turns.values())
+    firsts = []
+    for r in rules:
+        v = r.value(f)
+        i = F.size(F.filter(F.array(*[F.lit(float(c * r.sign)) for c in r.cutoffs]), lambda c: ~(v > c)))  # noqa: B023
+        firsts.append(F.when(i < len(r.cutoffs), i + turns[r.turn][0]).otherwise(end))
+    return F.least(*firsts, F.lit(end)).cast("int")
+
+
+def _cutoffs(step: int, rules: tuple[Rule, ...]) -> dict[str, float]:
+    turns = _turns(rules)
+    return {r.name: r.cutoffs[min(step - turns[r.turn][0], len(r.cutoffs) - 1)] for r in rules if step >= turns[r.turn][0]}
+
+
+def _own(counts: list[int], total: int, alpha: float, delta: float) -> int:
+    """How many of the largest strata are proven by themselves, so that they and the pool of the rest can be; -1 if nothing can."""
+    for k in range(len(counts), -1, -1):
+        rest = total - sum(counts[:k])
+        least = math.log(delta / max(1, k + (rest > 0))) / math.log1p(-alpha)
+        if all(n >= least for n in counts[:k]) and (rest >= least or not rest and k):
+            return k
+    return -1
+
+
 def calibrate(
     labelled: DataFrame, features_col: str = "_f", stratum_col: str = "lang", good_col: str = "quality", alpha: float = 0.02, delta: float = 0.05, rules: tuple[Rule, ...] = RULES
-) -> dict[str, dict[str, float]]:
-    """Proven cutoffs by stratum and rule from labelled rows; a null stratum is ``""``.
+) -> dict[str | None, dict[str, float]]:
+    """Proven cutoffs by stratum and rule from labelled rows; a null stratum is ``""``, ``POOL`` stands for all that are not named.
 
-    Counts cover every labelled row. What reaches the driver is one row per stratum that has labels
-    enough for any proof, so at most ``n_labels * alpha / n_rules`` strata.
+    Counts cover every labelled row. What reaches the driver is a row per step of the path for each stratum
+    that has labels enough for any proof, at most about ``n_labels * alpha`` of them, and for the pool.
     """
-    share = alpha / len(rules)
     f = F.col(features_col)
-    rows = labelled.where((F.col(good_col) == 1) & ~base_failed(f)).select(F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), *[r.value(f).alias(r.name) for r in rules])
-    counts = [F.count_if(F.col(r.name) > F.lit(float(c * r.sign))).alias(f"{r.name}_{i}") for r in rules for i, c in enumerate(r.cutoffs)]
-    least = math.ceil(math.log(delta) / math.log1p(-share))
-    found = rows.groupBy("stratum").agg(F.count("*").alias("n"), *counts).where(F.col("n") >= least).collect()
-    level = delta / (len(rules) * max(1, len(found)))
-    out: dict[str, dict[str, float]] = {}
-    for row in found:
-        for r in rules:
-            for i, c in enumerate(r.cutoffs):
-                if not proven(row[f"{r.name}_{i}"], row["n"], share, level):
-                    break
-                out.setdefault(row["stratum"], {})[r.name] = c
+    rows = labelled.where(F.col(good_col).isNotNull() & ~base_failed(f)).select(F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), (F.col(good_col) == 1).alias("good"), _step(f, rules).alias("step"))
+    counted = cut(rows.groupBy("stratum", "good", "step").agg(F.count("*").alias("n")))
+    least = math.log(delta) / math.log1p(-alpha)
+    sizes = counted.where("good").groupBy("stratum").agg(F.sum("n").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = sorted(sizes.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["stratum"]))
+    own = _own([r["n"] for r in large], total, alpha, delta)
+    if own < 0:
+        return {}
+    names = [r["stratum"] for r in large[:own]]
+    name = F.when(F.col("stratum").isin(*names), F.col("stratum")) if names else F.lit(None).cast("string")
+    tally: dict[str | None, dict[bool, dict[int, int]]] = {n: {True: {}, False: {}} for n in names}
+    for row in counted.groupBy(name.alias("name"), "good", "step").agg(F.sum("n").alias("n")).collect():
+        tally.setdefault(row["name"], {True: {}, False: {}})[row["good"]][row["step"]] = row["n"]
+    families = sum(1 for t in tally.values() if t[True])
+    out: dict[str | None, dict[str, float]] = {}
+    for key, t in tally.items():
+        out[key], good, bad, most = {}, 0, 0, -1
+        n, any_bad = sum(t[True].values()), bool(t[False])
+        for step in range(sum(size for _, size in _turns(rules).values())):
+            good, bad = good + t[True].get(step, 0), bad + t[False].get(step, 0)
+            if not proven(good, n, alpha, delta / families):
+                break
+            if bad > most or not any_bad:
+                out[key], most = _cutoffs(step, rules), bad
     return out
 
 
-def verdict(f: Column, stratum: Column, cutoffs: dict[str, dict[str, float]], rules: tuple[Rule, ...] = RULES) -> Column:
-    """True where no proven cutoff of the row's stratum rejects the features ``f``."""
+def verdict(f: Column, stratum: Column, cutoffs: dict[str | None, dict[str, float]], rules: tuple[Rule, ...] = RULES) -> Column:
+    """True where no proven cutoff of the row's stratum, or of the pool where it has no entry, rejects the features ``f``."""
     stratum = F.coalesce(stratum.cast("string"), F.lit(""))
     bad = F.lit(False)
     for r in rules:
-        table = [x for name, own in sorted(cutoffs.items()) if r.name in own for x in (F.lit(name), F.lit(float(own[r.name] * r.sign)))]
-        if table:
-            bad = bad | F.coalesce(r.value(f) > F.create_map(*table)[stratum], F.lit(False))
+        bound = lambda own: F.lit(float(own[r.name] * r.sign) if r.name in own else math.inf)  # noqa: B023, E731
+        table = [x for name, own in sorted((k, v) for k, v in cutoffs.items() if k is not POOL) for x in (F.lit(name), bound(own))]
+        pool = bound(cutoffs.get(POOL, {}))
+        bad = bad | (r.value(f) > (F.coalesce(F.create_map(*table)[stratum], pool) if table else pool))
     return ~bad
 
 
