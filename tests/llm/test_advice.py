@@ -3,11 +3,13 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import WORD, docs_frame, fold, one_edit, shingle_set
 
 from weft.llm import linededup, minhash, quality, queries
+from weft.operators import vectors
 
 
 @pytest.mark.parametrize("percent", [10, 50, 80, 85, 95, 99, 100])
@@ -96,3 +98,19 @@ def test_pipeline_against_brute_force_of_all_lines_at_80_percent(spark, monkeypa
     monkeypatch.setattr(test_pipeline, "brute_lines", brute_lines)
     monkeypatch.setattr(test_pipeline, "brute_near", brute_near)
     test_pipeline.test_run_against_brute_force(spark)
+
+
+def test_any_number_of_queries_is_answered(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    q = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = lambda: {(r["query_id"], r["rank"]): r["vec_id"] for r in vectors.batch_nearest(df, q, 3, include_self=False).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    dist = np.round(1 - unit @ unit.T, 6)
+    np.fill_diagonal(dist, np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(90), dist.shape), dist), axis=1)
+    want = {(i, k + 1): int(order[i, k]) for i in range(90) for k in range(3)}
+    assert found() == want
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 20)
+    assert found() == want

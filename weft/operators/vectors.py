@@ -1,12 +1,14 @@
 """Exact nearest neighbours by cosine distance.
 
-One query: a native scan and a top-k. Many queries: the queries of a call are a set of a checked size,
-sent to every task, and each Arrow batch of the table is one matrix product; every task keeps k rows
-per query, so what is shuffled is k rows per query and task, whatever the table holds.
+One query: a native scan and a top-k. Many queries: a block of queries is sent to every task, and
+each Arrow batch of the table is one matrix product; every task keeps k rows per query, so what is
+shuffled is k rows per query and task, whatever the table holds. More queries than a block holds are
+answered block after block, each written before the next is read, so any number of them is.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 65_536
+from weft.session import settle
+
+BLOCK_QUERIES = 65_536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,12 +42,24 @@ def nearest(table: DataFrame, query: list[float], k: int = 5, id_col: str = "chu
 def batch_nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", include_self: bool = True) -> DataFrame:
     """``query_id, <id>, dist, rank`` of the k nearest rows of ``table`` to each query (``query_id, vector``).
 
-    A null vector, or one of another width than the first query's, is no neighbour. ``include_self``
+    A null vector, or one of another width than the first query's of a block, is no neighbour. Blocks of
+    about ``BLOCK_QUERIES`` queries are chosen by a hash of the query's id. ``include_self``
     false leaves out rows whose id is the query's.
     """
-    rows = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("v")).where("v is not null").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a call; split them")
+    asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
+    blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    if blocks == 1:
+        return _block_nearest(table, asked.collect(), k, id_col, vector_col, include_self)
+    found = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64(F.lit(7), "query_id"), F.lit(blocks)) == b).collect()
+        part = settle(_block_nearest(table, rows, k, id_col, vector_col, include_self))
+        found = part if found is None else found.unionAll(part)
+    return found
+
+
+def _block_nearest(table: DataFrame, rows: list, k: int, id_col: str, vector_col: str, include_self: bool) -> DataFrame:
+    """``batch_nearest`` for queries that the driver holds."""
     out_schema = f"query_id long, {id_col} long, dist double"
     if not rows:
         return table.sparkSession.createDataFrame([], out_schema + ", rank int")
