@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import cut, cut_last
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -38,11 +38,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ``edges`` holds pairs of longs in any order, repeats and self-loops allowed; pairs with a null
     are left out. ``component`` is the smallest node reachable. No edges: no rows.
     """
-    now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    mark = _mark(now)
-    while mark[0]:
-        now = cut(_small_star(_large_star(now)))
-        before, mark = mark, _mark(now)
-        if before == mark:
-            break
+
+    def settled() -> DataFrame:
+        now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+        mark = _mark(now)
+        while mark[0]:
+            now = cut(_small_star(_large_star(now)))
+            before, mark = mark, _mark(now)
+            if before == mark:
+                break
+        return now
+
+    now = cut_last(settled)
     return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component"))

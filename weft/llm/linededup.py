@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import batched, cut
 from .textscan import LOWER, SAME, SPACES, U64, chunks, mix64, range_sums
 
 PIECES = 8
@@ -76,7 +76,6 @@ _LINE = "array<struct<no:int,k1:bigint,k2:bigint,ends:array<bigint>>>"
 def _keyed_lines(text: Column, min_chars: int, exact_chars: int) -> Column:
     """Of each text its lines of at least ``exact_chars``: number, two hashes and, from ``min_chars`` on, the keys of both ends."""
 
-    @F.arrow_udf(_LINE)
     def found(x: pa.Array) -> pa.Array:
         counts, no, keys, ends, n_ends = [np.zeros(1, np.int64)], [], ([], []), [], [np.zeros(1, np.int64)]
         for c in chunks(x, SPACES, SAME):
@@ -101,7 +100,7 @@ def _keyed_lines(text: Column, min_chars: int, exact_chars: int) -> Column:
         )
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), rows)
 
-    return found.asNondeterministic()(text)
+    return batched(_LINE, found)(text)
 
 
 def _folded_lines(text: Column, numbers: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import cut
+from .scratch import batched, cut
 from .textscan import LOWER, U64, Chunk, _gram_factors, chunks, list_array, mix64
 
 BLOCK, MISS = 256, 1e-6
@@ -115,17 +115,12 @@ def _fingerprint(x: pa.Array, width: int, coordinates: int) -> pa.StructArray:
 
 
 def _prints(text, width: int, coordinates: int):
-    @F.arrow_udf(_PRINT)
-    def fingerprint(x: pa.Array) -> pa.Array:
-        return _fingerprint(x, width, coordinates)
-
-    return fingerprint.asNondeterministic()(text)
+    return batched(_PRINT, lambda x: _fingerprint(x, width, coordinates))(text)
 
 
 def _set_bytes(text, width: int):
     """The full shingle set of each text as sorted 64-bit hashes."""
 
-    @F.arrow_udf("binary")
     def packed(x: pa.Array) -> pa.Array:
         out = []
         for c in chunks(x, fold=LOWER):
@@ -133,7 +128,7 @@ def _set_bytes(text, width: int):
             out += [sets[at[i] : at[i + 1]].tobytes() for i in range(c.rows)]
         return pa.array(out, pa.binary())
 
-    return packed.asNondeterministic()(text)
+    return batched("binary", packed)(text)
 
 
 def _confirm(a, b, percent: int):

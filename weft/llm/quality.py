@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import batched, cut
 from .textscan import Chunk, chunks
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -86,12 +86,7 @@ def scan(texts: pa.Array) -> pa.StructArray:
 
 def features(text: Column) -> Column:
     """The five base statistics of a text as one struct; a null text has no words and counts 0."""
-
-    @F.arrow_udf(_TYPE)
-    def base(x: pa.Array) -> pa.Array:
-        return scan(x)
-
-    return base.asNondeterministic()(text)  # so that no filter is pushed below it and runs it again
+    return batched(_TYPE, scan)(text)
 
 
 def base_failed(f: Column) -> Column:

@@ -1,25 +1,32 @@
-"""Cutting lineage through files that every executor and the driver can read."""
+"""Cutting lineage through files that every executor and the driver can read; memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+#: Tables cut on the way to others that are being made, innermost last.
+_OPEN: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir`` or set on the context; there is no other that all machines share.
+
+    Only where the master is this machine's own process does an unset folder mean a local one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="weft-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -28,4 +35,47 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append((spark, path))
     return spark.read.schema(schema).parquet(path)
+
+
+def cut_last(make: Callable[[], DataFrame]) -> DataFrame:
+    """``cut(make())``; the tables that were cut on the way go once it is written."""
+    _OPEN.append([])
+    try:
+        out = cut(make())
+    finally:
+        made = _OPEN.pop()
+    *passed, last = made
+    for spark, path in passed:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if _OPEN:
+        _OPEN[-1].append(last)
+    return out
+
+
+def give_back() -> None:
+    """At a task's end: memory that this Python worker, which Spark uses again, no longer needs goes to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def batched(kind: str, run: Callable[[pa.Array], pa.Array]) -> Callable[[Column], Column]:
+    """A column function of type ``kind`` that runs batch by batch in Python and gives memory back at a task's end.
+
+    It counts as not deterministic, so that no filter on its result is pushed below it and runs it again.
+    """
+
+    @F.arrow_udf(kind)
+    def over(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            yield from map(run, batches)
+        finally:
+            give_back()
+
+    return over.asNondeterministic()
