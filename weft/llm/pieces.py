@@ -1,36 +1,46 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled from a model file in three parts: the normaliser (a dummy prefix, and
-spaces to the piece space mark), the pieces, and byte fallback for characters that no piece covers.
-Composing it with an input gives a lattice whose arcs are the pieces that spell its parts, and the
-encoding is its shortest path in the tropical semiring (weights add along a path, the least wins).
+The transducer is compiled from a model file in three parts: the normaliser (the model's character map,
+squeezing of spaces, a dummy prefix, and spaces to the piece space mark), the pieces, and byte fallback for
+characters that no piece covers. Composing it with an input gives a lattice whose arcs are the pieces that
+spell its parts, and the encoding is its shortest path in the tropical semiring (weights add along a path,
+the least wins).
 
 For a unigram model an arc weighs minus the piece's log probability. A BPE model has merge ranks and
 no weights that add up, so its transducer keeps the last piece as its state: an arc from piece ``a``
 to piece ``b`` weighs 0 if merging the text of ``a b`` alone leaves just these two pieces, and is absent
 (infinite) if not. Merging a text leaves the one sequence all of whose neighbours are stable in this way,
-so exactly one path has finite weight to each position, and it is the model's own encoding.
+so exactly one path has finite weight to each place, and it is the model's own encoding. With weights of
+0 and infinity the shortest path is a search from the left that takes the longest arc first and never
+enters again a place that it has had to leave.
 
 No piece has the space mark behind another character, so a text falls into stretches that no piece
-crosses; each stretch is composed and solved once and its ids remembered within a worker.
+crosses; each is composed and solved alone, with memory in proportion to its length, and the ids of short
+ones are remembered within a task.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import give_back
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the public file format
-_KEPT = 500_000
+#: What a worker remembers: so many stretches of at most so many characters, and so many pairs of pieces.
+_STRETCHES, _SHORT, _PAIRS = 200_000, 48, 150_000
+_AHEAD = 4
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -57,6 +67,60 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+def _charsmap(blob: bytes) -> dict[str, str]:
+    """The pairs of a compiled character map: a 32-bit size, a double-array trie of that size, and the
+    replacements, each ended by a zero byte. A trie unit holds a label, an offset and a leaf mark."""
+    if not blob:
+        return {}
+    size = struct.unpack_from("<I", blob)[0]
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    labels = units & 0x800000FF
+    jumps = (units >> 10) << ((units & 512) >> 6)
+    out: dict[str, str] = {}
+    todo = [(b"", int(jumps[0]))]
+    bytes_ = np.arange(1, 256)
+    while todo:
+        key, base = todo.pop()
+        spots = base ^ bytes_
+        for c in bytes_[(spots < len(units)) & (labels[np.minimum(spots, len(units) - 1)] == bytes_)].tolist():
+            at = base ^ c
+            below, own = at ^ int(jumps[at]), key + bytes([c])
+            if units[at] >> 8 & 1:
+                start = int(units[below] & 0x7FFFFFFF)
+                out[own.decode("utf-8", "surrogateescape")] = texts[start : texts.index(b"\0", start)].decode()
+            todo.append((own, below))
+    return out
+
+
+class Normaliser:
+    """Replaces the longest key of a character map at each place, then squeezes spaces if asked."""
+
+    def __init__(self, pairs: dict[str, str], squeeze: bool):
+        self.squeeze = squeeze
+        self.single = {ord(k): v for k, v in pairs.items() if len(k) == 1}
+        longer = sorted((k for k in pairs if len(k) > 1), key=len, reverse=True)
+        self.pairs = pairs
+        self.longer = {k[:2] for k in longer}
+        self.most = max(map(len, longer), default=1)
+
+    def __call__(self, text: str) -> str:
+        if self.pairs and not text.isascii() or any(ord(c) in self.single for c in set(text)):
+            text = self._mapped(text)
+        if not self.squeeze:
+            return text.replace(MARK, " ")
+        return re.sub(" +", " ", text).lstrip(" ").replace(MARK, " ").rstrip(" ")  # a mark in a text is not squeezed
+
+    def _mapped(self, text: str) -> str:
+        if not any(a + b in self.longer for a, b in set(pairwise(text))):
+            return text.translate(self.single)
+        out, i, n = [], 0, len(text)
+        while i < n:
+            size = next((k for k in range(min(self.most, n - i), 1, -1) if text[i : i + k] in self.pairs), 1) if text[i : i + 2] in self.longer else 1
+            out.append(self.pairs.get(text[i : i + size], text[i]))
+            i += size
+        return "".join(out)
+
+
 class Transducer:
     """The compiled model; ``encode`` composes a text with it and takes the shortest path."""
 
@@ -64,7 +128,7 @@ class Transducer:
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         scores: list[float] = []
-        self.unigram, self.dummy_prefix, self.squeeze, charsmap, name = True, True, True, b"", b""
+        self.unigram, self.dummy_prefix, squeeze, charsmap = True, True, True, b""
         for number, value in _fields(model):
             if number == 1:
                 own = dict(_fields(value))
@@ -72,31 +136,50 @@ class Transducer:
                 scores.append(struct.unpack("<f", own[2])[0] if 2 in own else 0.0)
                 self.kinds.append(own.get(3, _NORMAL))
             elif number == 2:
-                self.unigram = dict(_fields(value)).get(3, 1) == 1
+                own = dict(_fields(value))
+                if own.get(3, 1) not in (1, 2) or own.get(24, 0):
+                    raise ValueError("only unigram and BPE models with spaces before words are compiled")
+                self.unigram = own.get(3, 1) == 1
             elif number == 3:
                 own = dict(_fields(value))
-                self.dummy_prefix, self.squeeze = bool(own.get(3, 1)), bool(own.get(4, 1))
-                name, charsmap = own.get(1, b""), own.get(2, b"")
-        if charsmap or self.squeeze:
-            raise ValueError(f"only an identity normaliser is compiled, not {name!r}")
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (_NORMAL, _USER, _UNUSED)}
+                self.dummy_prefix, squeeze = bool(own.get(3, 1)), bool(own.get(4, 1))
+                charsmap = own.get(2, b"")
+        self.normalised = Normaliser(_charsmap(charsmap), squeeze)
+        self.plain = not charsmap and not squeeze
+        typed = list(enumerate(zip(self.pieces, self.kinds, strict=True)))
+        self.ids = {p: i for i, (p, k) in typed if k in (_NORMAL, _USER, _UNUSED)}
         self.scores = scores
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == _UNKNOWN), 0)
-        self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _BYTE}
-        self.packed = [np.int32(i).tobytes() for i in range(len(self.pieces))]
-        self.reach: dict[str, int] = {}  # the longest piece that ends in three characters (or has just these)
+        self.bytes = {int(p[1:-1], 16): i for i, (p, k) in typed if k == _BYTE}
+        self.reach: dict[str, int] = {}  # the longest piece that starts with three characters (or has just these)
         for p in self.ids:
-            self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 1))
-        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.solved: dict[str, tuple[float, str, bytes]] = {"": (0.0, "", b"")}
+            self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 1))
         self.least = min(scores, default=0.0) - 10
         whole = all(MARK not in p.lstrip(MARK) for p in self.ids)
         alone = not any("\n" in p for p in self.ids)
         self.stretches = re.compile((r" +[^ \n]*|\n|[^ \n]+" if alone else r" +[^ ]*|[^ ]+") if whole else r"(?s).+")
-        self.decoded = [bytes([int(p[1:-1], 16)]) if k == _BYTE else b"" if k == _CONTROL else b" \xe2\x81\x87 " if k == _UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.decoded = [self._bytes_of(p, k) for _, (p, k) in typed]
         self.known: dict[str, bytes] = {}
-        self.stable: dict[tuple[str, str], bool] = {}
-        self.edged: dict[str, tuple] = {}  # of pieces and single characters
+        self.stable: dict[int, bool] = {}  # by both pieces
+        self.edged: dict[str, tuple] = {}  # of pieces
+        self.arcs: dict[str, tuple] = {}  # by the next characters
+        sizes: dict[str, set[int]] = {}  # of longer pieces by their first characters
+        for p in self.ids:
+            if len(p) > _AHEAD:
+                sizes.setdefault(p[:_AHEAD], set()).add(len(p))
+        self.sizes = {k: sorted(v, reverse=True) for k, v in sizes.items()}
+
+    @staticmethod
+    def _bytes_of(piece: str, kind: int) -> bytes:
+        if kind == _BYTE:
+            return bytes([int(piece[1:-1], 16)])
+        if kind == _UNKNOWN:
+            return b" \xe2\x81\x87 "
+        return b"" if kind == _CONTROL else piece.replace(MARK, " ").encode()
+
+    def forget(self) -> None:
+        """Drop what was remembered of texts; what is known of the pieces stays."""
+        self.known, self.arcs = {}, {}
 
     def _next_merge(self, parts: list[str]) -> tuple[int, float] | None:
         """Where the best-scored neighbours join next, leftmost on ties, and their score."""
@@ -124,16 +207,19 @@ class Transducer:
             got = self.edged[piece] = (len(parts) == 1, [*right, (parts[-1], never)], [*left, (parts[0], never)])
         return got
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether the arc from piece a to piece b has weight 0: merging their text never joins symbols
+    def follows(self, before: int, token: int) -> bool:
+        """Whether the arc from one piece to the next has weight 0: merging their text never joins symbols
         across the seam. Merges go from the best score down and a part scores above its whole, so the
-        two edges can be walked together; equal scores go to the leftmost."""
-        key = (a, b)
+        two edges can be walked together; equal scores go to the leftmost. Below 0 stands a character
+        that no piece covers, which never joins."""
+        if before < 0 or token < 0:
+            return True
+        key = before * len(self.pieces) + token
         got = self.stable.get(key)
         if got is None:
-            if len(self.stable) > _KEPT:
+            if len(self.stable) >= _PAIRS:
                 self.stable.clear()
-            right, left = self.edges(a)[1], self.edges(b)[2]
+            right, left = self.edges(self.pieces[before])[1], self.edges(self.pieces[token])[2]
             i = j = 0
             got = True
             while True:
@@ -151,79 +237,120 @@ class Transducer:
             self.stable[key] = got
         return got
 
-    def path(self, text: str) -> bytes:
-        """The packed ids on the shortest path through the lattice of a stretch.
+    def _arcs_from(self, start: str) -> tuple[tuple[int, int], ...]:
+        """The arcs of a BPE model at a place where the text goes on with ``start`` (``_AHEAD`` characters, or
+        fewer at the end), longest first: size and token, or None for sizes whose token the rest tells."""
+        found: list[tuple[int, int | None]] = []
+        if len(start) == _AHEAD:
+            found += [(k, None) for k in self.sizes.get(start, ())]
+        for size in range(len(start), 0, -1):
+            token = self.ids.get(start[:size])
+            if token is not None and self.edges(start[:size])[0]:
+                found.append((size, token))
+            elif token is None and size == 1:
+                found.append((1, -1 - ord(start[0])))
+        if len(self.arcs) >= _PAIRS // 3:
+            self.arcs.clear()
+        got = self.arcs[start] = tuple(found)
+        return got
+
+    def _merged(self, text: str) -> list[int]:
+        """The path of finite weight through the lattice of a stretch of a BPE model, longest arcs first.
 
-        The path to a place depends on the text before it only, so what is solved is remembered by
-        prefix (cost, last piece, ids), and a stretch costs the places behind its longest solved prefix.
+        One path leads to each place, so a place that can't be left is never of use again. Ids below 0
+        are characters that no piece covers.
         """
-        solved, get, reach, n = self.solved, self.ids.get, self.reach, len(text)
-        if len(solved) > _KEPT // 2:
-            solved.clear()
-            solved[""] = (0.0, "", b"")
-        k = n
-        while text[:k] not in solved:
-            k -= 1
-        for j in range(k + 1, n + 1):
-            best = None
-            for i in range(j - max(reach.get(text[max(0, j - 3) : j], 1), min(j, 2)), j):
-                piece = text[i:j]
-                token = get(piece)
-                if token is None and j - i > 1:
+        get, arcs, stable, follows, width, n = self.ids.get, self.arcs.get, self.stable.get, self.follows, len(self.pieces), len(text)
+        ids, begins, left, at, most = [], [], None, 0, n
+        while at < n:
+            start = text[at : at + _AHEAD]
+            row = before * width if ids and (before := ids[-1]) >= 0 else None
+            for size, token in arcs(start) or self._arcs_from(start):
+                if size > most:
+                    continue
+                if token is None and ((token := get(text[at : at + size])) is None or not self.edges(self.pieces[token])[0]):
                     continue
-                cost, before, ids = solved[text[:i]]
-                if self.unigram:
-                    cost -= self.scores[token] if token is not None else self.least
-                    if best is None or cost < best[0]:
-                        best = (cost, piece, ids, token)
-                elif (token is None or self.edges(piece)[0]) and (not before or self.follows(before, piece)):
-                    best = (0.0, piece, ids, token)
+                if row is not None and token >= 0:
+                    fit = stable(row + token)
+                    if not (follows(before, token) if fit is None else fit):
+                        continue
+                if left is None or at + size not in left:
+                    ids.append(token)
+                    begins.append(at)
+                    at, most = at + size, n
                     break
-            cost, piece, ids, token = best
-            solved[text[:j]] = (cost, piece, ids + self._packed(piece, token))
-        return solved[text][2]
-
-    def _packed(self, piece: str, token: int | None) -> bytes:
-        if token is not None:
-            return self.packed[token]
-        own = [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
-        return np.array(own, np.int32).tobytes()
+            else:  # never at the first place, from which the whole path leads
+                left = left or set()
+                left.add(at)
+                ids.pop()
+                most, at = at - begins[-1] - 1, begins.pop()
+        return ids
+
+    def _likeliest(self, text: str) -> list[int]:
+        """The path of least weight through the lattice of a stretch of a unigram model."""
+        n = len(text)
+        cost, back, arc = [0.0] + [float("inf")] * n, array("i", [0]) * (n + 1), array("i", [0]) * (n + 1)
+        for i in range(n):
+            for size in range(1, min(self.reach.get(text[i : i + 3], 2), n - i) + 1):
+                token = self.ids.get(text[i : i + size])
+                if token is None and size > 1:
+                    continue
+                total = cost[i] - (self.least if token is None else self.scores[token])
+                if total < cost[i + size]:
+                    cost[i + size], back[i + size], arc[i + size] = total, i, -1 - ord(text[i]) if token is None else token
+        ids = []
+        while n:
+            ids.append(arc[n])
+            n = back[n]
+        return ids[::-1]
 
     def _ids(self, stretch: str) -> bytes:
-        """Cut where no piece has the two characters side by side, then a path for each part."""
-        text, pairs, lo, out = stretch.replace(" ", MARK), self.pairs, 0, []
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs:
-                out.append(self.path(text[lo:i]))
-                lo = i
-        out.append(self.path(text[lo:]))
-        return b"".join(out)
+        """Packed ids of a stretch; a character that no piece covers becomes its bytes, or a run of such one unknown piece."""
+        ids = (self._likeliest if self.unigram else self._merged)(stretch.replace(" ", MARK))
+        if ids and min(ids) < 0:
+            out: list[int] = []
+            for i, k in enumerate(ids):
+                if k >= 0:
+                    out.append(k)
+                elif self.bytes:
+                    out += [self.bytes[b] for b in chr(-1 - k).encode()]
+                elif not i or ids[i - 1] >= 0:
+                    out.append(self.unknown)
+            ids = out
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed as 32-bit integers."""
+        text = text.replace(MARK, " ") if self.plain else self.normalised(text)
         if not text:
             return b""
-        text = text.replace(MARK, " ")
-        if self.dummy_prefix:
-            text = " " + text
-        parts, known = self.stretches.findall(text), self.known
+        parts, known = self.stretches.findall(" " + text if self.dummy_prefix else text), self.known
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
             pass
-        fresh = set(parts).difference(known)
-        if len(known) + len(fresh) > _KEPT:
-            known.clear()
-            fresh = set(parts)
-        if len(fresh) > _KEPT:
-            return b"".join(map(self._ids, parts))
-        for x in fresh:
-            known[x] = self._ids(x)
-        return b"".join(map(known.__getitem__, parts))
+        out = []
+        for x in parts:
+            got = known.get(x)
+            if got is None:
+                got = self._ids(x)
+                if len(x) <= _SHORT:
+                    if len(known) >= _STRETCHES:
+                        known.clear()
+                    known[x] = got
+            out.append(got)
+        return b"".join(out)
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        """The bytes that ids spell, without the dummy prefix; a null and an id that the model doesn't have spell nothing."""
+        try:
+            text = b"".join(map(self.decoded.__getitem__, ids))
+        except (IndexError, TypeError):
+            text = b"".join(self.decoded[k] for k in ids if k is not None and 0 <= k < len(self.decoded))
+        return text[1:] if self.dummy_prefix and text.startswith(b" ") else text
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -239,30 +366,51 @@ def load(spark: SparkSession, path: str = MODEL) -> bytes:
     return spark.read.format("binaryFile").load(path).first()["content"]
 
 
+def _lists(packed: list[bytes | None]) -> pa.ListArray:
+    at = np.concatenate(([0], np.cumsum([len(p or b"") // 4 for p in packed])))
+    values = pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32), pa.int32()), values, mask=pa.array([p is None for p in packed], pa.bool_()))
+
+
 def encode(model: bytes, text: Column) -> Column:
-    """``array<int>`` of ids; null for a null text, empty for an empty one."""
+    """``array<int>`` of ids; null for a null text, empty for an empty one. Whole texts of any length."""
+    return tokenise(model, text)["ids"]
+
+
+def tokenise(model: bytes, text: Column) -> Column:
+    """A struct ``ids, round_trip`` of a text: its ids and whether decoding them gives the text back.
+
+    A null text has null ids and comes back; an empty one has no ids. A normaliser that changes texts
+    makes texts that it changes not come back.
+    """
     sent = SparkSession.active().sparkContext.broadcast(model)  # a model file, of a fixed size
 
-    @F.arrow_udf("array<int>")
-    def ids(x: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<ids:array<int>,round_trip:boolean>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = compiled(sent.value)
-        packed = [None if v is None else t.encode(v) for v in x.to_pylist()]
-        at = np.concatenate(([0], np.cumsum([len(p or b"") // 4 for p in packed])))
-        values = pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32))
-        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32), pa.int32()), values, mask=pa.array([p is None for p in packed]))
+        try:
+            for x in batches:
+                packed, back = [], []
+                for v in x:
+                    v = v.as_py()
+                    ids = None if v is None else t.encode(v)
+                    packed.append(ids)
+                    back.append(ids is None or t.decode_bytes(array("i", ids).tolist()) == v.encode())
+                yield pa.StructArray.from_arrays([_lists(packed), pa.array(back, pa.bool_())], ["ids", "round_trip"])
+        finally:
+            t.forget()
+            give_back()
 
-    return ids.asNondeterministic()(text)
+    return both.asNondeterministic()(text)
 
 
 def decode(model: bytes, ids: Column) -> Column:
-    """The text of an id list; null for null. Bytes that aren't UTF-8 become U+FFFD; a null or unknown id fails."""
+    """The text of an id list; null for null. Bytes that aren't UTF-8 become U+FFFD; nulls and unknown ids spell nothing."""
     sent = SparkSession.active().sparkContext.broadcast(model)
 
     @F.arrow_udf("string")
     def text(x: pa.Array) -> pa.Array:
         t = compiled(sent.value)
-        at, flat = x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)
-        null = x.is_null().to_numpy(zero_copy_only=False)
-        return pa.array([None if null[i] else t.decode(flat[at[i] : at[i + 1]].tolist()) for i in range(len(x))], pa.string())
+        return pa.array([None if v is None else t.decode(v) for v in x.to_pylist()], pa.string())
 
     return text.asNondeterministic()(ids)

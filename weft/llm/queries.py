@@ -40,9 +40,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenised(docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, ids, round_trip``: whether decoding gives the text back."""
     model = pieces.load(docs.sparkSession)
-    out = docs.select("doc_id", "text", pieces.encode(model, F.col("text")).alias("ids"))
-    out = out.select("doc_id", "text", "ids", pieces.decode(model, F.col("ids")).alias("back"))
-    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("text").eqNullSafe(F.col("back")).alias("round_trip"))
+    out = docs.select("doc_id", pieces.tokenise(model, F.col("text")).alias("t"))
+    return out.select("doc_id", F.coalesce(F.size("t.ids"), F.lit(0)).cast("long").alias("n_tokens"), "t.ids", "t.round_trip")
 
 
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
