@@ -181,9 +181,41 @@ def test_toxicity_learns_and_ignores_who_is_named(spark):
     assert np.mean([(r["s"] >= 0.7) == (r["toxic"] == 1) for r in test]) > 0.97
     probe = spark.createDataFrame([("a muslim w1 w2",), ("a christian w1 w2",), ("a w1 w2",)], "text string")
     named, other, none = (r[0] for r in probe.select(model.score(F.col("text"))).collect())
-    free = toxicity.fit(df, fairness=0.0)
-    gap = lambda m: abs(np.subtract(*[float(m.weights[toxicity.bucket_of([w])[0]]) for w in ("muslim", "christian")]))
-    assert abs(named - other) < 0.05 and named < 0.5 and gap(model) < 0.2 * gap(free)
+    assert abs(named - other) < 0.05 and named < 0.5
+
+
+def biased_rows(n, seed, noun):
+    """Weak insults, and a group that is named far more often where there is one."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        bad = rng.random() < 0.3
+        words = [f"w{rng.randrange(200)}" for _ in range(30)] + ([f"slur{rng.randrange(40)}"] if bad else [])
+        words += [noun] if rng.random() < (0.8 if bad else 0.1) else ["christian"] if rng.random() < 0.1 else []
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(bad)))
+    return rows
+
+
+@pytest.mark.parametrize("noun", ["muslim", "jew", "Hindu"])
+def test_swapping_a_group_moves_the_score_by_a_fifth_at_most(spark, noun):
+    df = spark.createDataFrame(biased_rows(1500, 3, noun), "doc_id long, text string, toxic int")
+    text = F.col("text")
+    pairs = [f"a neutral {g} w1 w{k} w{k + 1}" for k in range(20) for g in (noun, "christian")]
+    probe = spark.createDataFrame([(i, t) for i, t in enumerate(pairs)], "i long, text string")
+    fair, free = toxicity.fit(df), toxicity.fit(df, fairness=0.0)
+    got = [np.array([r[0] for r in probe.select("i", m.score(text).alias("s")).orderBy("i").select("s").collect()]).reshape(-1, 2) for m in (fair, free)]
+    logit = lambda s: np.log(s / (1 - s))
+    gap = [np.abs(logit(g[:, 0]) - logit(g[:, 1])).max() for g in got]
+    assert gap[1] > 0.5 and gap[0] <= 0.2 * gap[1] and got[0].max() < 0.7
+
+
+def test_counterfactuals_exchange_groups_in_the_text():
+    got = toxicity.counterfactuals("Muslims and Christians; die FRAU")
+    assert "christians and muslims; die frau" in got and "muslims and christians; die mann" in got
+    assert len(got) == 1 + 3 + 3 + 1 and toxicity.counterfactuals("no one, womanly") == []
+    rows = {term for axis in toxicity.IDENTITY_AXES for row in axis for term in row}
+    assert all(len({len(row) for row in axis}) == 1 for axis in toxicity.IDENTITY_AXES) and all(t == t.lower() and len(toxicity._WORD.findall(t)) == 1 for t in rows)
 
 
 def test_toxicity_edges(spark):
@@ -437,7 +469,6 @@ def test_language_by_words_then_grams(spark):
         assert 0 <= r["x"]["score"] <= 1
     none = langid.fit(train.limit(0))
     assert {r[0]["lang_pred"] for r in spark.createDataFrame(probe, "text string, g string").select(langid.identify(none, F.col("text"))).collect()} == {"und"}
-    assert model.vector("unseenthing") is not None and "unseenthing" not in model.words
 
 
 # -- 10 quality ----------------------------------------------------------------------------------
