@@ -5,14 +5,14 @@ A known word adds its log frequency in each language. An unseen word backs off t
 gives the mean log frequency of its known grams. The language with the largest sum wins, the first
 in order on ties, and the score is its posterior under equal priors.
 
-Counts come from a bounded sample of labelled rows per language (``max_docs``), and the model keeps
-the ``max_words`` most frequent words of each language; every other word is an unseen one.
+Words are runs of ASCII letters and of other characters beyond ASCII, A-Z in lower case. Counts are of
+every word of a bounded sample of labelled rows per language (``max_docs``). The model holds, by hashed
+key, a log ratio for each language that a word or gram was seen in, over a base that all unseen ones
+share, so it grows with the sample and not with words times languages.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,126 +20,180 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import batched
+from .textscan import LOWER, U64, Chunk, chunks, mix64, range_sums
+
 ORDERS = (4, 3, 2, 1)
-_WORDS = re.compile(r"[^\W\d_]+")
-_CACHED = 400_000
+_UPPER, _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_NOT_LETTER = np.arange(256) < 128
+_NOT_LETTER[97:123] = False  # texts are folded first
+_EDGES = np.frombuffer(b"^$", np.uint8)
+#: More distinct labels than there are languages: what was given is something else.
+MOST_LANGUAGES = 10_000
 
 
 @dataclass
-class Model:
-    languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
-
-    def vector(self, word: str) -> np.ndarray | None:
-        """Log frequencies of a word by language; None if no letter or nothing is known of it."""
-        known = self.words.get(word)
-        if known is not None:
-            return np.array(known, np.float32)
-        edged = f"^{word}$"
-        for n in ORDERS:
-            source = edged if n > 1 else word
-            found = [g for i in range(len(source) - n + 1) if (g := self.grams.get(source[i : i + n])) is not None]
-            if found:
-                return np.mean(np.array(found, np.float32), axis=0)
-        return None
-
-
-class Scorer:
-    """Scores batches in one Python worker; remembers the vectors of words it has met."""
-
-    def __init__(self, model: Model):
-        self.model, self.n = model, len(model.languages)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, self.n), np.float32)  # row 0: words that tell nothing
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        at = self.at
-        try:
-            return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            pass
-        for w in set(words).difference(at):
-            v = self.model.vector(w) if any(map(str.isalpha, w)) else None
-            if v is None:
-                at[w] = 0
-                continue
-            k = at["\0next"] = at.get("\0next", 0) + 1
-            if k >= len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[k] = v
-            at[w] = k
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-
-    def score(self, text: str | None) -> tuple[str, float]:
-        words = _WORDS.findall(text.lower()) if text else []
-        if not self.n or not any(any(map(str.isalpha, w)) for w in words):
-            return "und", 0.0
-        if len(self.at) > _CACHED:
-            self._reset()
-        rows = self._rows(words)
-        sums = self.table[rows].sum(axis=0, dtype=np.float64)
-        best = int(sums.argmax())
-        return self.model.languages[best], float(1.0 / np.exp(sums - sums[best]).sum())
-
-
-def identify(model: Model, text: Column) -> Column:
-    """A struct ``lang_pred, score`` of each whole text; ``und`` and 0 if it is null or has no letter."""
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(model)
-        for x in batches:
-            found = [scorer.score(t.as_py()) for t in x]
-            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
-
-    return guess.asNondeterministic()(text)
+class Entries:
+    """Sorted keys and, for each, its (language, log ratio) entries; ``base`` is the log frequency without one."""
+
+    keys: np.ndarray
+    at: np.ndarray
+    lang: np.ndarray
+    ratio: np.ndarray
+    base: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and their places."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.keys[place] == hashes, place
+
+    def add(self, out: np.ndarray, rows: np.ndarray, places: np.ndarray, weight: np.ndarray) -> None:
+        """Add ``weight`` times the log ratios at ``places`` to the given rows of ``out``."""
+        counts = self.at[places + 1] - self.at[places]
+        entry = np.repeat(self.at[places] - np.concatenate(([0], np.cumsum(counts)))[:-1], counts) + np.arange(counts.sum())
+        spot = np.repeat(rows, counts) * out.shape[1] + self.lang[entry]
+        out += np.bincount(spot, self.ratio[entry] * np.repeat(weight, counts), out.size).reshape(out.shape)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 4_000, max_words: int = 30_000, min_count: int = 2) -> Model:
-    """Word and n-gram frequencies per language from about ``max_docs`` hashed rows of each."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(9), F.col(id_col)), F.lit(1_000_000)).alias("draw"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, "lang").where(F.col("draw") * F.col("n") < max_docs * 1_000_000)
-    words = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
-    table = words.where(F.col("n") >= min_count)
-    ranked = table.withColumn("rank", F.row_number().over(_by_count())).where(F.col("rank") <= max_words)
-    kept = ranked.select("lang", "w", "n").toArrow().to_pydict()
-    return build(kept["lang"], kept["w"], kept["n"])
-
+@dataclass
+class Model:
+    languages: list[str]
+    words: Entries
+    grams: dict[int, Entries]
+
+
+class _Edged:
+    """Words between edge marks in one buffer, and the hashes of their character n-grams."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        sizes = end - start
+        at = np.concatenate(([0], np.cumsum(sizes + 2)))
+        buffer = np.full(at[-1], _EDGES[1], np.uint8)
+        buffer[at[:-1]] = _EDGES[0]
+        inner = np.repeat(at[:-1] + 1 - np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes) + np.arange(sizes.sum())
+        buffer[inner] = data[np.repeat(start - np.concatenate(([0], np.cumsum(sizes)))[:-1], sizes) + np.arange(sizes.sum())]
+        self.lead = np.flatnonzero((buffer & 0xC0) != 0x80)  # where characters begin
+        self.stop = np.append(self.lead[1:], len(buffer))
+        self.word = np.searchsorted(at, self.lead, "right") - 1
+        self.edge = np.isin(self.lead, np.concatenate((at[:-1], at[1:] - 1)))
+        self.hash = range_sums(buffer)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The word and the hash of every gram of ``n`` characters; edges don't count as a gram of one."""
+        last = len(self.lead) - n
+        if last < 0:
+            return np.zeros(0, np.int64), np.zeros(0, U64)
+        first = np.flatnonzero(self.word[: last + 1] == self.word[n - 1 :]) if n > 1 else np.flatnonzero(~self.edge)
+        return self.word[first], mix64(self.hash(self.lead[first], self.stop[first + n - 1]) + U64(n))
+
+
+def _vectors(model: Model, c: Chunk, hashes: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """Log frequencies by language of distinct words, each given by its hash and one place where it stands."""
+    out = np.zeros((len(hashes), len(model.languages)))
+    known, place = model.words.find(hashes)
+    rows = np.flatnonzero(known)
+    out[rows] = model.words.base
+    model.words.add(out, rows, place[rows], np.ones(len(rows)))
+    left = np.flatnonzero(~known)
+    for n in ORDERS:
+        if not len(left):
+            break
+        word, gram = _Edged(c.data, c.start[sample[left]], c.end[sample[left]]).grams(n)
+        known, place = model.grams[n].find(gram)
+        word, place = word[known], place[known]
+        found = np.bincount(word, minlength=len(left))
+        hit = left[found > 0]
+        out[hit] = model.grams[n].base
+        model.grams[n].add(out, left[word], place, 1.0 / found[word])
+        left = left[found == 0]
+    return out
 
-def _by_count():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("lang").orderBy(F.col("n").desc(), "w")
+def guess(model: Model, texts: pa.Array) -> pa.StructArray:
+    """A struct ``lang_pred, score`` of each text."""
+    n, names, scores = len(model.languages), [], []
+    for c in chunks(texts, _NOT_LETTER, LOWER):
+        lettered = c.per_row((c.data >= 97) & (c.data < 123)) > 0
+        for i in np.flatnonzero(~lettered & (c.n_words > 0)):
+            lettered[i] = any(map(str.isalpha, c.data[c.bounds[i] : c.bounds[i + 1]].tobytes().decode("utf-8", "replace")))
+        sums = np.zeros((c.rows, n))
+        if n and len(c.start):
+            hashes, sample, inverse = np.unique(c.word_hashes(), return_index=True, return_inverse=True)
+            vectors = _vectors(model, c, hashes, sample)
+            row = np.repeat(np.arange(c.rows), c.n_words)
+            for k in range(n):
+                sums[:, k] = np.bincount(row, vectors[inverse, k], c.rows)
+        best = sums.argmax(axis=1) if n else np.zeros(c.rows, np.int64)
+        for i in range(c.rows):
+            sure = n and lettered[i]
+            names.append(model.languages[best[i]] if sure else "und")
+            scores.append(float(1.0 / np.exp(sums[i] - sums[i, best[i]]).sum()) if sure else 0.0)
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
 
-def build(langs: list[str], words: list[str], counts: list[int]) -> Model:
+def identify(model: Model, text: Column) -> Column:
+    """A struct ``lang_pred, score`` of each whole text, however long.
+
+    ``und`` and 0 if it is null or has no letter, or if the model has learned nothing. Languages whose sums
+    tie: the first in order. A text of words that tell nothing ties all. Repeated rows get equal results.
+    """
+    return batched("struct<lang_pred:string,score:double>", lambda x: guess(model, x))(text)
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2_000) -> Model:
+    """Word and n-gram frequencies per language from about ``max_docs`` hashed rows of each.
+
+    Rows with a null language or text are left out. The driver gets a row per language, then one per distinct
+    word and language of the sampled rows. An empty table gives a model that knows no language.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(9), F.col(id_col)), F.lit(1_000_000)).alias("draw"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has over {MOST_LANGUAGES} values")
+    large = [x for k, n in sorted(sizes.items()) if n > max_docs for x in (F.lit(k), F.lit(max_docs / n * 1_000_000))]
+    if large:  # a filter of literals, before anything is shuffled
+        rows = rows.where(F.col("draw") < F.coalesce(F.create_map(*large)[F.col("lang")], F.lit(1e6)))
+    word = F.explode(F.split(F.translate("text", _UPPER, _LETTERS), r"[\x00-\x60\x7b-\x7f]+"))
+    words = rows.select("lang", word.alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    got = words.toArrow().combine_chunks()
+    if not got.num_rows:
+        return build([], pa.array([], pa.string()), np.zeros(0))
+    return build(got.column("lang").to_pylist(), got.column("w").combine_chunks(), got.column("n").to_numpy())
+
+
+def build(langs: list[str], words: pa.Array, counts: np.ndarray) -> Model:
+    """The model of counted words: row by row a language, a word and how often it was seen."""
     languages = sorted(set(langs))
     place = {x: i for i, x in enumerate(languages)}
-    seen: dict[str, np.ndarray] = {}
-    grams: dict[str, np.ndarray] = {}
-    for lang, word, n in zip(langs, words, counts, strict=True):
-        i = place[lang]
-        seen.setdefault(word, np.zeros(len(languages)))[i] += n
-        edged = f"^{word}$"
-        for order in ORDERS:
-            source = edged if order > 1 else word
-            for k in range(len(source) - order + 1):
-                grams.setdefault(source[k : k + order], np.zeros(len(languages)))[i] += n
-    return Model(languages, _logs(seen, lambda w: 0), _logs(grams, len))
-
-
-def _logs(counts: dict[str, np.ndarray], order) -> dict[str, tuple[float, ...]]:
-    """Smoothed log frequencies within each order, alike for all languages."""
-    out: dict[str, tuple[float, ...]] = {}
-    by: dict[int, list[str]] = {}
-    for key in counts:
-        by.setdefault(order(key), []).append(key)
-    for keys in by.values():
-        table = np.array([counts[k] for k in keys])
-        logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(keys)))
-        out.update(zip(keys, map(tuple, logs.tolist()), strict=True))
-    return out
+    lang, counts = np.array([place[x] for x in langs], np.int64), np.asarray(counts, float)
+    keys, own, grams = [], [], {n: ([], [], []) for n in ORDERS}
+    for c in chunks(words, _NOT_LETTER, LOWER):  # each row is one word
+        rows = slice(c.lo, c.hi)
+        keys.append(c.word_hashes())
+        own.append(lang[rows])
+        edged = _Edged(c.data, c.start, c.end)
+        for n in ORDERS:
+            of, gram = edged.grams(n)
+            for into, x in zip(grams[n], (gram, lang[rows][of], counts[rows][of]), strict=True):
+                into.append(x)
+    n = len(languages)
+    none = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0))
+    whole = lambda parts: tuple(np.concatenate([z, *p]) for z, p in zip(none, parts, strict=True))
+    return Model(languages, _entries(*whole((keys, own, [counts])), n), {k: _entries(*whole(v), n) for k, v in grams.items()})
+
+
+def _entries(keys: np.ndarray, lang: np.ndarray, counts: np.ndarray, n: int) -> Entries:
+    """Smoothed log frequencies, alike for all languages: (count + 1/2) over (total + keys / 2)."""
+    order = np.lexsort((lang, keys))
+    keys, lang, counts = keys[order], lang[order], counts[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (lang[1:] != lang[:-1])
+    first = np.flatnonzero(fresh)
+    sums = np.add.reduceat(counts, first) if len(first) else counts
+    keys, lang = keys[first], lang[first]
+    names, at = np.unique(keys, return_index=True)
+    totals = np.bincount(lang, sums, n) if n else np.zeros(0)
+    base = np.log(0.5) - np.log(totals + 0.5 * max(1, len(names)))
+    return Entries(names, np.append(at, len(keys)), lang.astype(np.int16), np.log((sums + 0.5) / 0.5).astype(np.float32), base)
