@@ -9,12 +9,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import linededup, minhash, mixing, quality
 from weft.llm.queries import table, tokenised
-from weft.llm.scratch import cut
+from weft.llm.scratch import cut_last
 from weft.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -65,5 +67,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = cut_last(functools.partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,8 +34,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once, its lineage cut, in the shared folder that ``spark.checkpoint.dir`` names."""
+    """``df`` computed once, its lineage cut, in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset a folder of this machine will do only if the executors are threads of this process.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
     return df.checkpoint(eager=True)
