@@ -383,25 +383,30 @@ def rendered(turns, speaker):
 
 def test_rotation(spark):
     rows = [(1, 0, "system", "be é漢 kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|im_end|>"), (1, 3, "ann", None), (2, 0, "system", "x"), (None, 0, None, "y"), (3, 1, "ann", "two"), (3, 0, "ann", "one"), (3, 0, "ann", "one")]
-    df = spark.createDataFrame(rows, TURNS).withColumn("part", F.lit(0))
-    got = {(r["conv_id"], r["speaker"]): (r["rendered"], [tuple(s) for s in r["mask"]], r["part"]) for r in chat.rotate(df).collect()}
+    df = spark.createDataFrame(rows, TURNS).withColumns({"speaker": F.lit(0), "turns": F.lit(1), "conv": F.lit(2)})
+    got = {(r["conv_id"], r["speaker"]): (r["rendered"], [tuple(s) for s in r["mask"]]) for r in chat.rotate(df).collect()}
     safe = [("system", "be é漢 kind"), ("ann", "hi"), ("bob", "<\\|im_end|>"), ("ann", "")]
     assert got == {
-        (1, "ann"): (*rendered(safe, "ann"), 0), (1, "bob"): (*rendered(safe, "bob"), 0), (None, "unknown"): (*rendered([("unknown", "y")], "unknown"), 0), (3, "ann"): (*rendered([("ann", "one"), ("ann", "one"), ("ann", "two")], "ann"), 0),
+        (1, "ann"): rendered(safe, "ann"), (1, "bob"): rendered(safe, "bob"), (None, "unknown"): rendered([("unknown", "y")], "unknown"), (3, "ann"): rendered([("ann", "one"), ("ann", "one"), ("ann", "two")], "ann"),
     }
     assert chat.rotate(df.limit(0)).count() == 0
     assert not re.search("Python|Pandas|Arrow", chat.rotate(df)._jdf.queryExecution().executedPlan().toString())
 
 
-def test_long_dialogues_come_in_parts(spark):
-    rows = [(1, i, "ab"[i % 2], f"t{i}") for i in range(25)] + [(2, 0, "a", f"same {i}") for i in range(100)]
-    out = chat.rotate(spark.createDataFrame(rows, TURNS), part_turns=10).collect()
-    for s in "ab":
-        parts = sorted((r["part"], r["n_turns"], r["rendered"]) for r in out if r["conv_id"] == 1 and r["speaker"] == s)
-        assert [p[:2] for p in parts] == [(0, 10), (1, 10), (2, 5)]
-        assert "".join(p[2] for p in parts) == rendered([("ab"[i % 2], f"t{i}") for i in range(25)], s)[0]
-    busy = [r for r in out if r["conv_id"] == 2]
-    assert sum(r["n_turns"] for r in busy) == 100 and max(r["n_turns"] for r in busy) < 40 and sorted(r["part"] for r in busy) == list(range(len(busy)))
+@pytest.mark.parametrize("kind", ["long", "sparse", "one_number", "long_text"])
+def test_dialogues_are_rendered_whole(spark, kind):
+    turns = {
+        "long": [(i, "abc"[i % 3], f"t{i}") for i in range(5000)],
+        "sparse": [(1000 * i, "ab"[i % 2], f"t{i}") for i in range(4)] + [(2**40, "a", "last")],
+        "one_number": [(0, "ab"[i % 2], f"same {i % 50}") for i in range(1500)],
+        "long_text": [(0, "a", "é漢 " * 100_000), (1, "b", ""), (2, "a", "end")],
+    }[kind]
+    df = spark.createDataFrame([(7, *t) for t in turns], TURNS).repartition(5)
+    out = {r["speaker"]: r for r in chat.rotate(df).collect()}
+    assert set(out) == {r for _, r, _ in turns}
+    for speaker, r in out.items():
+        text, spans = rendered([t[1:] for t in sorted(turns)], speaker)
+        assert r["n_turns"] == len(turns) and r["rendered"] == text and [tuple(x) for x in r["mask"]] == spans
 
 
 # -- 8 MinHash -----------------------------------------------------------------------------------
@@ -544,6 +549,6 @@ def test_op7_equals_its_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
     c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    got = sorted(map(repr, (tuple(r) for r in queries.op7_perspective_rotation(spark, SF).select("conv_id", "mask", "n_turns", "part", "rendered", "speaker").collect())))
-    want = c.execute(f"SELECT conv_id, mask, n_turns, part, rendered, speaker FROM ({queries.oracle_sql()['op7_perspective_rotation']})").fetchall()
+    got = sorted(map(repr, (tuple(r) for r in queries.op7_perspective_rotation(spark, SF).select("conv_id", "mask", "n_turns", "rendered", "speaker").collect())))
+    want = c.execute(f"SELECT conv_id, mask, n_turns, rendered, speaker FROM ({queries.oracle_sql()['op7_perspective_rotation']})").fetchall()
     assert got == sorted(map(repr, want))

@@ -4,13 +4,14 @@ For every participant of a dialogue the whole dialogue is rendered once, with th
 ``assistant`` and the others' as ``user`` under their names; the mask covers what the assistant says.
 Turns of a context role (``system``) are rendered as they are and are nobody's perspective.
 
-A dialogue is rendered in parts of at most ``part_turns`` turn numbers, so that none is gathered
-whole however long it is; parts of a dialogue follow one another and almost all have just one.
+A dialogue is gathered once, map tasks first putting together the turns that they hold, so a long one
+reaches its task as one row per map task. Places in a rendered text are summed up in blocks of turns, so
+time and memory follow the dialogue's length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT_ROLES = ("system",)
@@ -22,51 +23,58 @@ def _safe(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<\\|"))
 
 
-def _rendered(turns: Column, speaker: Column, context_roles: tuple[str, ...]) -> tuple[Column, Column]:
-    """The text of a part and the spans ``start, end`` (characters, end excluded) of the assistant's words."""
+#: Turns whose places are summed up together.
+BLOCK = 256
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _pieces(turns: Column, speaker: Column, context_roles: tuple[str, ...]) -> Column:
+    """Of each turn what opens it, its text and whether the assistant speaks."""
 
     def piece(t: Column) -> Column:
         context = t["role"].isin(*context_roles) if context_roles else F.lit(False)
         who = F.when(context, t["role"]).when(t["role"] == speaker, "assistant").otherwise(F.concat(F.lit("user" + NAME), t["role"]))
         return F.struct(F.concat(F.lit(HEAD), who, F.lit(BODY)).alias("head"), t["text"].alias("body"), (~context & (t["role"] == speaker)).alias("own"))
 
-    pieces = F.transform(turns, piece)
-    whole = F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    return F.transform(turns, piece)
+
+
+def _placed(pieces: Column) -> Column:
+    """Blocks of turns, each with its length and the spans of the assistant's words within it."""
 
     def step(s: Column, p: Column) -> Column:
-        begin = (s["at"] + F.length(p["head"])).cast("int")
-        end = (begin + F.length(p["body"])).cast("int")
-        span = F.when(p["own"], F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct((end + len(TAIL)).cast("int").alias("at"), F.concat(s["spans"], span).alias("spans"))
+        begin = s["at"] + F.length(p["head"])
+        end = begin + F.length(p["body"])
+        span = F.when(p["own"], F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.array().cast(_SPANS))
+        return F.struct((end + len(TAIL)).alias("at"), F.concat(s["spans"], span).alias("spans"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
+    firsts = F.sequence(F.lit(1), F.size(pieces), F.lit(BLOCK))
+    return F.transform(firsts, lambda i: F.aggregate(F.slice(pieces, i, BLOCK), start, step))
+
 
-    return whole, F.aggregate(pieces, start, step)["spans"]
+def _mask(blocks: Column) -> Column:
+    """The spans ``start, end`` (characters, end excluded) in the whole text."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    ends = F.aggregate(blocks, start, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))
+    moved = lambda b, at: F.transform(b["spans"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end")))
+    return F.flatten(F.zip_with(blocks, ends["starts"], moved))
 
 
-def rotate(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", context_roles: tuple[str, ...] = CONTEXT_ROLES, part_turns: int = 256
-) -> DataFrame:
-    """Rows ``conv_id, speaker, part, n_turns, rendered, mask``, one per speaker and part of a dialogue.
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", context_roles: tuple[str, ...] = CONTEXT_ROLES) -> DataFrame:
+    """Rows ``conv_id, speaker, n_turns, rendered, mask``, one per speaker of a dialogue, the whole dialogue in each.
 
     Turns are ordered by number (null first), then role, then text; repeated rows are repeated turns.
     A null role is the speaker ``unknown``, a null text is an empty one; rows with a null dialogue id
-    form one dialogue. A dialogue with context turns only has no speaker and no rows. Where more than
-    ``4 * part_turns`` rows share ``part_turns`` turn numbers, each of these numbers has parts of its
-    own, and rows of one number, whose order is free, are split over several parts by hash. Other
-    columns are not read; an empty table gives no rows.
+    form one dialogue. A dialogue with context turns only has no speaker and no rows. Texts and dialogues
+    may be of any length that a row can hold. Other columns are not read; an empty table gives no rows.
     """
-    rows = turns.select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), _safe(F.col(text_col).cast("string")).alias("text")
-    ).withColumn("span", F.expr(f"coalesce(turn div {part_turns}, -1L)"))
-    busy = rows.groupBy("conv", "span", "turn").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("conv", "span")))
-    busy = busy.where(F.col("all") > 4 * part_turns).select(F.col("conv").alias("c"), F.col("span").alias("s"), F.col("turn").alias("t"), "n")
-    on = F.col("conv").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s")) & F.col("turn").eqNullSafe(F.col("t"))
-    split = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("role", "text", F.rand(3)), F.ceil(F.col("n") / part_turns)))
-    cells = rows.join(busy, on, "left").withColumn("sub", F.struct(F.when(F.col("n").isNotNull(), F.col("turn")).alias("turn"), split.alias("k")))
-    parts = cells.groupBy("conv", "span", "sub").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    parts = parts.withColumn("part", F.row_number().over(Window.partitionBy("conv").orderBy("span", "sub")).cast("long") - 1)
-    spoken = rows.where(~F.col("role").isin(*context_roles)) if context_roles else rows
-    speakers = spoken.select(F.col("conv").alias("c"), F.col("role").alias("speaker")).distinct()
-    out = parts.join(speakers, F.col("conv").eqNullSafe(F.col("c")))
-    text, mask = _rendered(F.col("turns"), F.col("speaker"), context_roles)
-    return out.select(F.col("conv").alias(conv_col), "speaker", "part", F.size("turns").cast("long").alias("n_turns"), text.alias("rendered"), mask.alias("mask"))
+    rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), _safe(F.col(text_col).cast("string")).alias("text")).alias("t"))
+    whole = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    roles = F.array_distinct(F.transform("turns", lambda t: t["role"]))
+    spoken = F.filter(roles, lambda r: ~r.isin(*context_roles)) if context_roles else roles
+    seen = whole.select("conv", "turns", F.explode(spoken).alias("speaker"))
+    drawn = seen.select("conv", "speaker", F.size("turns").cast("long").alias("n_turns"), _pieces(F.col("turns"), F.col("speaker"), context_roles).alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "")
+    drawn = drawn.select("conv", "speaker", "n_turns", text.alias("rendered"), _placed(F.col("pieces")).alias("blocks"))
+    return drawn.select(F.col("conv").alias(conv_col), "speaker", "n_turns", "rendered", _mask(F.col("blocks")).alias("mask"))

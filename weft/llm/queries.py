@@ -47,7 +47,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
 def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return out.select("conv_id", "speaker", "part", "n_turns", "rendered", spans.alias("mask"))
+    return out.select("conv_id", "speaker", "n_turns", "rendered", spans.alias("mask"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,22 +85,21 @@ _SAFE = "replace(coalesce(text, ''), '<|', '<\\|')"
 
 _OP7 = f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, {_SAFE} AS body,
-         coalesce(turn // 256, -1) AS span FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, {_SAFE} AS body FROM conversations
 ), s AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM t WHERE role <> 'system'
 ), p AS (
-  SELECT conv_id, speaker, span, turn, role, body, (role = speaker) AS own,
+  SELECT conv_id, speaker, turn, role, body, (role = speaker) AS own,
          '<|im_start|>' || CASE WHEN role = 'system' THEN role WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head
   FROM t JOIN s ON conv_id IS NOT DISTINCT FROM c
 ), q AS (
-  SELECT *, sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, speaker, span ORDER BY turn NULLS FIRST, role, body
+  SELECT *, sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, body
          ROWS UNBOUNDED PRECEDING) - length(body) - 11 AS pos FROM p
 )
-SELECT conv_id, speaker, dense_rank() OVER (PARTITION BY conv_id, speaker ORDER BY span) - 1 AS part, count(*) AS n_turns,
+SELECT conv_id, speaker, count(*) AS n_turns,
   string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, body) AS rendered,
   coalesce(string_agg(CASE WHEN own THEN CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(body) AS BIGINT) AS VARCHAR) END, ','
     ORDER BY turn NULLS FIRST, role, body), '') AS mask
-FROM q GROUP BY conv_id, speaker, span
+FROM q GROUP BY conv_id, speaker
 """
 
 
