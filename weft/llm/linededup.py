@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import batched, cut
+from .scratch import batched, carried, cut, cut_last
 from .textscan import LOWER, SAME, SPACES, U64, chunks, mix64, range_sums
 
 PIECES = 8
@@ -178,11 +178,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     go as one edit away. Lines count as repeats from ``exact_chars`` characters after folding (by default
     ``min_chars``; 1 takes every line that is not blank) and as near ones from ``min_chars``; the others stay. A null text stays null with counts of 0, an empty text has one line. Rows with equal id and
     text are one document: all keep the same lines. Rows with a null id come last in the order. Other
-    columns pass through; one named ``_lines`` is replaced. An empty table gives no rows.
+    columns pass through, whatever their names; one named ``_lines`` is replaced. An empty table gives no rows.
     """
     exact_chars = max(1, min_chars if exact_chars is None else min(exact_chars, min_chars))
-    keyed = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
-    source = keyed.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col("_h").alias("h")).where("text is not null")
+    keyed = docs.select(carried(docs, ("_lines",)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    source = keyed.select("id", "text", "h").where("text is not null")
+    gone = cut_last(lambda: _lines_gone(source, min_chars, exact_chars))
+    out = keyed.join(gone, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_g")), "left")
+    text = F.col("text")
+    stays = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_drop", i)), "\n")
+    total = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    near_n = F.coalesce("_near", F.lit(0)).cast("int")
+    struct = F.struct(total.cast("int").alias("total"), (F.coalesce(F.size("_drop"), F.lit(0)) - near_n).cast("int").alias("exact"), near_n.alias("near"))
+    left = F.when(F.size("_drop") > 0, stays).otherwise(text)
+    return out.select(*[(left if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c != "_lines"], struct.alias("_lines"))
+
+
+def _lines_gone(source: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """The lines that go from each of the documents ``id, text, h``."""
     lines = source.select("id", "h", F.explode(_keyed_lines(F.col("text"), min_chars, exact_chars)).alias("x")).select("id", "h", "x.*")
     lines = cut(lines)
     first = cut(lines.select("k1", "k2", _place().alias("place")).groupBy("k1", "k2").agg(F.min("place").alias("place")))
@@ -196,20 +209,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = cut(near_lines(cut(got.dropDuplicates(["k1"]))))
 
     marked = first.join(near.withColumn("near", F.lit(True)), "k1", "left").select(F.col("place.id").alias("id"), F.col("place.h").alias("h"), F.col("place.no").alias("no"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = _gone(lines, marked)
-    out = keyed.drop("_lines").join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
-    text = F.col(text_col).cast("string")
-    stays = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_drop", i)), "\n")
-    total = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    near_n = F.coalesce("_near", F.lit(0)).cast("int")
-    struct = F.struct(total.cast("int").alias("total"), (F.coalesce(F.size("_drop"), F.lit(0)) - near_n).cast("int").alias("exact"), near_n.alias("near"))
-    out = out.withColumn("_lines", struct).withColumn(text_col, F.when(F.size("_drop") > 0, stays).otherwise(text))
-    return out.select(*[c for c in docs.columns if c != "_lines"], "_lines")
+    return _gone(lines, marked)
 
 
 def _gone(lines: DataFrame, marked: DataFrame) -> DataFrame:
     """``_i, _g, _drop, _near``: the line numbers that go from a document, and how many for being near."""
     every = lines.select("id", "h", "no", F.lit(False).alias("first"), F.lit(False).alias("near")).unionAll(marked.select("id", "h", "no", F.lit(True), "near"))
-    seen = every.groupBy("id", "h").agg(F.array_distinct(F.collect_list("no")).alias("all"), F.collect_list(F.when(F.col("first") & ~F.col("near"), F.col("no"))).alias("kept"), F.count_if(F.col("first") & F.col("near")).alias("_near"))
+    seen = every.groupBy("id", "h").agg(F.collect_set("no").alias("all"), F.collect_set(F.when(F.col("first") & ~F.col("near"), F.col("no"))).alias("kept"), F.count_if(F.col("first") & F.col("near")).alias("_near"))
     drop = F.array_except("all", "kept")
     return seen.select(F.col("id").alias("_i"), F.col("h").alias("_g"), drop.alias("_drop"), "_near").where(F.size("_drop") > 0)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut
+from .scratch import carried, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 SECTIONS, ROUNDS = 16, 9
@@ -85,14 +85,15 @@ def mix(
     """``docs`` drawn to the weights, with a struct ``_mix(tokens, epoch, block, slot)``.
 
     Every row of ``docs`` comes once at least. ``slot`` counts 0, 1, ... within a block. A null source
-    is a source of its own, as is the empty one. Rows without words weigh one end mark. Rows that are equal in id and text are drawn alike and the order
-    among them is free. Other columns pass through; one named ``_mix`` is replaced. An empty table
+    is a source of its own, as is the empty one. Rows without words weigh one end mark. Rows that are equal in id and text are drawn alike; those equal in
+    all else too may stand for one another. Other columns pass through, whatever their names; one named ``_mix`` is replaced. An empty table
     gives no rows.
     """
     own = [c for c in docs.columns if c != "_mix"]
+    row = carried(docs, ("_mix",))
     text, source = F.col(text_col).cast("string"), F.concat(F.when(F.col(source_col).isNull(), "0").otherwise("1"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     name = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(text), F.lit("")))
-    rows = docs.select(F.struct(*own).alias("_row"), source.alias("_source"), tokens(text).alias("_tokens"), name.alias("_name"))
+    rows = docs.select(row.alias("_row"), source.alias("_source"), tokens(text).alias("_tokens"), name.alias("_name"))
     light = cut(rows.select("_source", "_tokens", "_name"))
     sums = light.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows"))
     sources = cut(sums.withColumn("total", F.sum("tokens").over(Window.partitionBy())))  # a row per source
@@ -128,6 +129,8 @@ def mix(
     # Rows equal in id and text are interchangeable: the n-th of them takes the n-th place of each epoch.
     nth = F.row_number().over(Window.partitionBy("_name", "_source", "_epoch").orderBy("_block", "_slot"))
     placed = placed.withColumn("_nth", nth).groupBy("_name", "_source", "_nth").agg(F.collect_list(F.struct(F.col("_tokens").alias("tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_slot").alias("slot"))).alias("_draws"))
-    copies = rows.select("_row", "_name", "_source").withColumn("_nth", F.row_number().over(Window.partitionBy("_name", "_source").orderBy(F.lit(0))))
+    # By all else that can be ordered, so that a task that runs again numbers them as before.
+    rest = [F.col("_row")[c] for c in own if c not in (id_col, text_col, source_col) and "map<" not in docs.schema[c].dataType.simpleString()] or [F.lit(0)]
+    copies = rows.select("_row", "_name", "_source").withColumn("_nth", F.row_number().over(Window.partitionBy("_name", "_source").orderBy(*rest)))
     out = copies.join(placed, ["_name", "_source", "_nth"]).select("_row", F.explode("_draws").alias("_mix"))
     return out.select("_row.*", "_mix")

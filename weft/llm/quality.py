@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import batched, cut
+from .scratch import batched, carried, cut
 from .textscan import Chunk, chunks
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -227,20 +227,28 @@ def verdict(f: Column, stratum: Column, cutoffs: dict[str | None, dict[str, floa
     return ~bad
 
 
+def basis(stratum: Column, cutoffs: dict[str | None, dict[str, float]]) -> Column:
+    """What a row's cutoffs were proven on: its own ``stratum``, the ``pool``, or ``none`` where nothing is proven."""
+    own = [k for k, v in cutoffs.items() if k is not POOL and v]
+    named = [k for k in cutoffs if k is not POOL]
+    stratum = F.coalesce(stratum.cast("string"), F.lit(""))
+    pool = F.lit("pool" if cutoffs.get(POOL) else "none")
+    among = lambda names: stratum.isin(*names) if names else F.lit(False)
+    return F.when(among(own), "stratum").when(among(named), "none").otherwise(pool)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", good_col: str = "quality", **options) -> DataFrame:
-    """``docs`` with a struct column ``_quality``: the base statistics, ``base_failed`` and ``kept``.
+    """``docs`` with a struct column ``_quality``: the base statistics, ``base_failed``, ``kept`` and ``basis``.
 
     Nulls: a null text has no words and fails the base rule; a null stratum is a stratum of its own;
     labels without an id, or with a null verdict, are left out. A document labelled more than once is
     good only if all its labels say so. Repeated rows each get the same verdict. Empty tables give no
-    cutoffs or no rows. Other columns of ``docs`` pass through; one named ``_quality`` is replaced.
+    cutoffs or no rows. Other columns of ``docs`` pass through, whatever their names; one named ``_quality`` is replaced.
     """
     one = labels.where(F.col(id_col).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(good_col).alias("_good"))
-    measured = docs.select(F.col(id_col).alias("_id"), F.col(stratum_col).alias("_stratum"), features(F.col(text_col)).alias("_f"))
+    measured = docs.select(F.col(id_col).alias("_id"), F.col(stratum_col).cast("string").alias("_stratum"), features(F.col(text_col)).alias("_f"))
     cutoffs = calibrate(measured.join(one, "_id"), "_f", "_stratum", "_good", **options)
-    f = F.col("_f")
-    return (
-        docs.withColumn("_f", features(F.col(text_col)))
-        .withColumn("_quality", F.struct(*[f[x].alias(x) for x in FEATURES], base_failed(f).alias("base_failed"), (~base_failed(f) & verdict(f, F.col(stratum_col), cutoffs)).alias("kept")))
-        .drop("_f")
-    )
+    f, stratum = F.col("_f"), F.col("_stratum")
+    rows = docs.select(carried(docs, ("_quality",)).alias("_row"), F.col(stratum_col).cast("string").alias("_stratum"), features(F.col(text_col)).alias("_f"))
+    told = F.struct(*[f[x].alias(x) for x in FEATURES], base_failed(f).alias("base_failed"), (~base_failed(f) & verdict(f, stratum, cutoffs)).alias("kept"), basis(stratum, cutoffs).alias("basis"))
+    return rows.select("_row.*", told.alias("_quality"))

@@ -65,6 +65,11 @@ def give_back() -> None:
         pass
 
 
+def carried(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """The columns of ``df`` in one struct, so that none can clash with a column that an operator adds on the way."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in without])
+
+
 def batched(kind: str, run: Callable[[pa.Array], pa.Array]) -> Callable[[Column], Column]:
     """A column function of type ``kind`` that runs batch by batch in Python and gives memory back at a task's end.
 

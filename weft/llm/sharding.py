@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
+
+from .scratch import carried
 
 
 def rendezvous(key: Column, n: int, seed: int = 17) -> Column:
@@ -37,14 +40,15 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     """``docs`` with ``_shard``, ``_grown`` (the shard if there were one more) and ``_slot``.
 
     ``_slot`` counts 0, 1, ... within a shard. Null ids and texts are keys like any other; rows that
-    are repeated in full share a bucket and get places of their own. Other columns pass through;
+    are repeated in full share a bucket and get places of their own. An empty and a very long text are rows
+    like any other. Other columns pass through, whatever their names;
     columns named ``_shard``, ``_grown`` or ``_slot`` are replaced. An empty table gives no rows.
     """
     if shards < 1:
         raise ValueError("at least one shard")
-    own = [c for c in docs.columns if c not in ("_shard", "_grown", "_slot", "_bucket", "_tie")]
+    row = carried(docs, ("_shard", "_grown", "_slot"))
     tie = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col))
-    rows = docs.select(*own, rendezvous(F.col(id_col), shards, seed).alias("_shard"), rendezvous(F.col(id_col), shards + 1, seed).alias("_grown"), tie.alias("_tie"))
+    rows = docs.select(row.alias("_row"), rendezvous(F.col(id_col), shards, seed).alias("_shard"), rendezvous(F.col(id_col), shards + 1, seed).alias("_grown"), tie.alias("_tie"))
     total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 64)).first()[0] or 0
     buckets = max(1, -(-int(total) // (shards * bucket_bytes)))
     rows = rows.withColumn("_bucket", F.pmod("_tie", F.lit(buckets)).cast("int"))
@@ -63,12 +67,10 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         out = held.take(pa.array(order)).append_column("_place", pa.array(np.arange(held.num_rows)))
         yield from out.to_batches(max_chunksize=2_000)
 
-    from pyspark.sql.types import LongType, StructType
-
     schema = StructType([*rows.schema.fields]).add("_place", LongType())
     placed = rows.groupBy("_shard", "_bucket").applyInArrow(shuffled, schema)
     out = placed.join(starts, ["_shard", "_bucket"]).withColumn("_slot", F.col("_from") + F.col("_place"))
-    return out.select(*own, "_shard", "_grown", "_slot")
+    return out.select("_row.*", "_shard", "_grown", "_slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:
