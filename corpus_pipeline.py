@@ -5,6 +5,9 @@
 3. near_duplicates: of each group of near-duplicates the document with the smallest id stays.
 4. mixing: sources to temperature weights; every document stays, those of smaller sources repeat.
 5. tokens: SentencePiece ids.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and empty tables. Columns
+beyond those of documents are dropped by the first stage that meets them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null, empty or short text fails the base rule; rows without a language have a stratum of their own."""
     ship(spark)
     return quality.judge(docs, table(spark, sf_dir, "labels")).where("_quality.kept").select(*COLUMNS)
 
@@ -43,11 +47,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No row goes; a null source is a source of its own, a null text weighs one end mark."""
     ship(spark)
     return mixing.mix(docs, max_repeats=1.25).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, round_trip`` of every row; a null text has null ids and no tokens."""
     ship(spark)
     return tokenised(docs)
 
