@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ from .sources.ingest import build_graph, replay
 
 def _embedded(chunks, embedder: HashEmbedder):
     @F.pandas_udf("array<float>")
-    def embed(texts):
-        return texts.map(lambda t: embedder.embed([t])[0])
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series(embedder.embed(texts.tolist()))
 
     return chunks.withColumn("embedding", embed("embed_text"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ontology import Ontology
@@ -78,15 +78,16 @@ class PropertyGraph:
 
     def drop_twins(self, rel: str = "DEFINED_IN") -> PropertyGraph:
         """Delete placeholder edges whose (src, rel, dst) a real chunk backs too."""
-        backed = self.edges.where((F.col("rel") == rel) & (F.col("chunk_id") != PLACEHOLDER)).select("src", "rel", "dst").distinct()
-        placeholder = self.edges.where((F.col("rel") == rel) & (F.col("chunk_id") == PLACEHOLDER))
-        rest = self.edges.where(~((F.col("rel") == rel) & (F.col("chunk_id") == PLACEHOLDER)))
-        return PropertyGraph(self.nodes, rest.unionByName(placeholder.join(backed, ["src", "rel", "dst"], "left_anti")), self.ontology)
+        real = F.max(F.col("chunk_id") != PLACEHOLDER).over(Window.partitionBy("src", "rel", "dst"))
+        edges = self.edges.withColumn("_backed", real).where((F.col("rel") != rel) | (F.col("chunk_id") != PLACEHOLDER) | ~F.col("_backed")).drop("_backed")
+        return PropertyGraph(self.nodes, edges, self.ontology)
 
     def describe(self, ids: DataFrame | None = None) -> DataFrame:
         """``id, labels, degree``: edges that touch a node in either direction, 0 where none does."""
         nodes = self.nodes if ids is None else self.nodes.join(ids.select("id").distinct(), "id", "left_semi")
         ends = self.edges.select(F.col("src").alias("id")).unionAll(self.edges.where("src <> dst").select(F.col("dst").alias("id")))
+        if ids is not None:
+            ends = ends.join(ids.select("id").distinct(), "id", "left_semi")
         degree = ends.groupBy("id").agg(F.count("*").alias("degree"))
         return nodes.select("id", "labels").join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
@@ -111,6 +112,22 @@ def containment(ids: DataFrame) -> DataFrame:
     return derived.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def nearest_ancestor(ids: DataFrame, known: DataFrame) -> DataFrame:
+    """``id, ancestor``: the longest proper dotted prefix of an id that is known, null where none is."""
+    parts = F.split("id", r"\.")
+    prefixes = F.expr("transform(sequence(1, greatest(size(p) - 1, 1)), n -> array_join(slice(p, 1, n), '.'))")
+    rows = ids.select("id", parts.alias("p")).where("size(p) > 1").select("id", F.explode(prefixes).alias("ancestor"))
+    hits = rows.join(known.select(F.col("id").alias("ancestor")).distinct(), "ancestor", "left_semi")
+    best = hits.groupBy("id").agg(F.max_by("ancestor", F.length("ancestor")).alias("ancestor"))
+    return ids.select("id").distinct().join(best, "id", "left")
+
+
+def with_all_sources(edges: DataFrame) -> DataFrame:
+    """``tag, src, dst``: distinct pairs by source (null: ``llm``), and all of them again under ``all``."""
+    tag = F.explode(F.array(F.coalesce("source", F.lit("llm")), F.lit("all"))).alias("tag")
+    return edges.select(tag, "src", "dst").distinct()
+
+
 def infer_external_types(edges: DataFrame, universe: DataFrame, roles: dict[str, str]) -> DataFrame:
     """``id, label`` for edge targets outside the universe, by the role their relationship gives them."""
     table = F.create_map(*[x for k, v in sorted(roles.items()) for x in (F.lit(k), F.lit(v))])

@@ -11,6 +11,11 @@ def chunk_id(repo: Column, path: Column, start: Column, end: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws(":", repo, path, start.cast("string"), end.cast("string"))), 1, 16)
 
 
+def content_key(text: Column) -> Column:
+    """The first 12 hex digits of a text's SHA-256."""
+    return F.substring(F.sha2(text, 256), 1, 12)
+
+
 def pack(blocks: Column, max_chars: int = 2000, glue: str = "\n\n") -> Column:
     """Spans ``first, last`` (places in ``blocks``) of a greedy packing.
 

@@ -16,8 +16,8 @@ def credit_of() -> Column:
 
 def upper_median(c: str) -> Column:
     """The element at place n // 2 of the sorted values: the upper of two middle ones."""
-    values = F.array_sort(F.collect_list(c))
-    return F.get(values, (F.size(values) / 2).cast("int"))
+    # The lower median of the negated values: counts by value are combined before the shuffle, no list is gathered.
+    return -F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY -{c})")
 
 
 def accuracies(rows: DataFrame) -> list[Column]:
@@ -37,8 +37,8 @@ def per_run(rows: DataFrame) -> DataFrame:
 
 
 def across_runs(rows: DataFrame) -> DataFrame:
-    """Mean, least and most accuracy of a category and system over the runs."""
-    return per_run(rows).groupBy("category", "system").agg(F.round(F.avg("accuracy"), 1).alias("mean"), F.min("accuracy").alias("min"), F.max("accuracy").alias("max"))
+    """Mean, least and most accuracy of a category and system over the runs, and the values by run."""
+    return per_run(rows).groupBy("category", "system").agg(F.round(F.avg("accuracy"), 1).alias("mean"), F.min("accuracy").alias("min"), F.max("accuracy").alias("max"), F.transform(F.array_sort(F.collect_list(F.struct("run", "accuracy"))), lambda x: x["accuracy"]).alias("values"))
 
 
 def paired_delta(rows: DataFrame, system: str, control: str) -> DataFrame:
@@ -71,3 +71,15 @@ def majority(rows: DataFrame, key: str, value: str, trial: str) -> DataFrame:
     """The most frequent value of each key; the one seen first wins a tie."""
     g = rows.groupBy(key, value).agg(F.count("*").alias("n"), F.min(trial).alias("first"))
     return g.groupBy(key).agg(F.max_by(F.struct(value, "n"), F.struct(F.col("n"), -F.col("first"))).alias("w")).select(key, f"w.{value}", F.col("w.n").alias("votes"))
+
+
+# Fixed values of the estimate: characters a token, tokens of an answer to a chunk, dollars per million tokens.
+CHARS_PER_TOKEN, ANSWER_TOKENS, INPUT_PRICE, OUTPUT_PRICE = 3.5, 150, 2.50, 10.00
+
+
+def cost_estimate(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: chunks, est_input_tokens, est_output_tokens, est_cost_usd of having a model read every text."""
+    one = texts.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("chars"))
+    given, made = F.col("chars") / CHARS_PER_TOKEN, F.col("chunks") * ANSWER_TOKENS
+    cost = given / 1e6 * INPUT_PRICE + made / 1e6 * OUTPUT_PRICE
+    return one.select("chunks", given.cast("long").alias("est_input_tokens"), made.cast("long").alias("est_output_tokens"), F.round(cost, 2).alias("est_cost_usd"))

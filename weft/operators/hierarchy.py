@@ -41,14 +41,11 @@ def override_calls(calls: DataFrame, parents: DataFrame, universe: DataFrame) ->
     return forms.join(universe.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
 
 
-def compare_pairs(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None = None, implicit: DataFrame | None = None) -> DataFrame:
-    """One row: observed, in_graph, confirmed, recall and observed_precision (3 digits, null over 0).
-
-    Pairs are columns ``a, b``. A call of a constructor is a call of its class, implicit callees
-    (``implicit.id`` and double-underscore names but ``__init__``) are left out, and an observed
-    pair confirms a graph pair of its ancestors (``hierarchy``: ``id, ancestor``), never of its
-    descendants.
-    """
+def _matched(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None, implicit: DataFrame | None, packages: tuple[str, ...] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Observed pairs, graph pairs, and ``a, b, fa, fb``: which observed pair confirms which graph pair."""
+    if packages is not None:
+        inside = [F.substring_index(c, ".", 1).isin(*packages, "builtins") for c in ("a", "b")]
+        observed, graph = (rows.where(inside[0] & inside[1]) for rows in (observed, graph))
     seen = observed.where(~F.col("b").rlike(r"\.__(?!init__)\w+__$"))
     if implicit is not None:
         seen = seen.join(implicit.select(F.col("id").alias("b")), "b", "left_anti")
@@ -60,7 +57,26 @@ def compare_pairs(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame |
             up = hierarchy.select(F.col("id").alias(f"f{side}"), F.col("ancestor").alias("_up"))
             more = forms.join(up, f"f{side}").withColumn(f"f{side}", F.col("_up")).drop("_up")
             forms = forms.unionByName(more).distinct()
-    hits = forms.join(graph.select(F.col("a").alias("fa"), F.col("b").alias("fb")), ["fa", "fb"])
+    return seen, graph, forms.join(graph.select(F.col("a").alias("fa"), F.col("b").alias("fb")), ["fa", "fb"])
+
+
+def unmatched_pairs(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None = None, implicit: DataFrame | None = None, packages: tuple[str, ...] | None = None) -> DataFrame:
+    """``kind, a, b``: observed pairs ``missing`` from the graph, and pairs of the graph ``unconfirmed`` by any observed one."""
+    seen, graph, hits = _matched(observed, graph, hierarchy, implicit, packages)
+    missing = seen.join(hits.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    unconfirmed = graph.join(hits.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct(), ["a", "b"], "left_anti")
+    return missing.select(F.lit("missing").alias("kind"), "a", "b").unionAll(unconfirmed.select(F.lit("unconfirmed"), "a", "b"))
+
+
+def compare_pairs(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None = None, implicit: DataFrame | None = None, packages: tuple[str, ...] | None = None) -> DataFrame:
+    """One row: observed, in_graph, confirmed, recall and observed_precision (3 digits, null over 0).
+
+    Pairs are columns ``a, b``. A call of a constructor is a call of its class, implicit callees
+    (``implicit.id`` and double-underscore names but ``__init__``) are left out, and an observed
+    pair confirms a graph pair of its ancestors (``hierarchy``: ``id, ancestor``), never of its
+    descendants. With ``packages``, only pairs both of whose ends are of these (or builtins) count.
+    """
+    seen, graph, hits = _matched(observed, graph, hierarchy, implicit, packages)
     counts = [
         seen.agg(F.count("*").alias("observed")),
         graph.agg(F.count("*").alias("in_graph")),

@@ -64,12 +64,12 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_hops: int = 4) ->
     smallest chain, then the smallest relationships. Breadth first: a node is kept with its best path
     when it is first reached, and the search ends at the hop that reaches ``end``."""
     spark = edges.sparkSession
-    both = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "rel").unionAll(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), "rel"))
-    steps = settle(both.where("at <> to").groupBy("at", "to").agg(F.min("rel").alias("rel")))
     now = spark.createDataFrame([([start], [], start)], "chain array<string>, rels array<string>, at string")
     seen = now.select("at")
     for _ in range(max_hops):
-        reached = now.join(steps, "at").select(F.array_append("chain", F.col("to")).alias("chain"), F.array_append("rels", F.col("rel")).alias("rels"), F.col("to").alias("at"))
+        # The frontier meets the stored edges in both directions; the graph itself is not doubled or regrouped.
+        steps = [now.join(edges.select(F.col(a).alias("at"), F.col(b).alias("to"), "rel").where("at <> to"), "at") for a, b in (("src", "dst"), ("dst", "src"))]
+        reached = steps[0].unionByName(steps[1]).select(F.array_append("chain", F.col("to")).alias("chain"), F.array_append("rels", F.col("rel")).alias("rels"), F.col("to").alias("at"))
         best = reached.join(seen, "at", "left_anti").groupBy("at").agg(F.min(F.struct("chain", "rels")).alias("p"))
         now = settle(best.select("p.chain", "p.rels", "at"))
         hit = now.where(F.col("at") == end)

@@ -7,15 +7,14 @@ public parameter; the one candidate that no other calls; else the candidates; an
 
 from __future__ import annotations
 
+import builtins
+import inspect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The builtin exceptions that code raises by bare name.
-BUILTIN_EXCEPTIONS = (
-    "ArithmeticError", "AssertionError", "AttributeError", "BaseException", "BlockingIOError", "BrokenPipeError", "ConnectionAbortedError", "ConnectionError", "ConnectionRefusedError", "ConnectionResetError", "EOFError", "Exception",
-    "FileExistsError", "FileNotFoundError", "IOError", "ImportError", "IndexError", "InterruptedError", "IsADirectoryError", "KeyError", "KeyboardInterrupt", "LookupError", "MemoryError", "ModuleNotFoundError", "NameError", "NotImplementedError",
-    "OSError", "OverflowError", "PermissionError", "RecursionError", "RuntimeError", "StopAsyncIteration", "StopIteration", "SyntaxError", "SystemExit", "TimeoutError", "TypeError", "UnicodeDecodeError", "UnicodeEncodeError", "UnicodeError", "ValueError", "ZeroDivisionError",
-)
+#: The builtin exceptions that code raises by bare name: those of the interpreter that runs.
+BUILTIN_EXCEPTIONS = tuple(sorted(name for name in dir(builtins) if inspect.isclass(getattr(builtins, name)) and BaseException in getattr(builtins, name).__mro__))
 
 
 def fold_name(s: Column) -> Column:
@@ -71,12 +70,16 @@ def resolve(
     local = one(asked.withColumn("want", F.concat_ws(".", "module", "surface")).where("module is not null").join(ids.select("id", F.col("id").alias("want")), "want"))
     roots = aliases.where(~F.contains("module", F.lit("."))).select(F.concat_ws(".", "module", "local").alias("surface"), F.col("target").alias("id"))
     reexported = one(asked.join(roots, "surface"))
-    qualified = asked.where(F.contains("surface", F.lit("."))).join(_unique(suffixes(ids).withColumnRenamed("suffix", "surface"), "surface"), "surface")
+    dotted = asked.where(F.contains("surface", F.lit(".")))
+    ends = suffixes(ids).withColumnRenamed("suffix", "surface").join(dotted.select("surface").distinct(), "surface", "left_semi")
+    qualified = dotted.join(_unique(ends, "surface"), "surface")
     qualified = qualified.withColumn("id", F.when(F.col("n") == 1, F.col("id"))).withColumn("candidates", F.when(F.col("n") > 1, F.col("candidates")).otherwise(none))
-    by_leaf = _unique(ids.withColumn("key", leaf(F.col("id"))), "key")
-    by_fold = _unique(ids.withColumn("key", fold_name(leaf(F.col("id")))), "key")
-    leaves = asked.withColumn("key", leaf(F.col("surface"))).join(by_leaf, "key")
-    folds = asked.withColumn("key", fold_name(leaf(F.col("surface")))).join(by_fold, "key")
+    # The universe is cut down to the keys that are asked for before any index is built.
+    wanted = lambda rows, keyed, key="key": rows.join(keyed.select(key).distinct(), key, "left_semi")
+    leaves, folds = asked.withColumn("key", leaf(F.col("surface"))), asked.withColumn("key", fold_name(leaf(F.col("surface"))))
+    by_leaf = _unique(wanted(ids.withColumn("key", leaf(F.col("id"))), leaves), "key")
+    by_fold = _unique(wanted(ids.withColumn("key", fold_name(leaf(F.col("id")))), folds), "key")
+    leaves, folds = leaves.join(by_leaf, "key"), folds.join(by_fold, "key")
     unique = lambda rows: one(rows.where("n = 1"))
     several = folds.where("n > 1")
     rungs = [

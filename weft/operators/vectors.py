@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from weft.session import settle
 
-BLOCK_QUERIES = 65_536
+#: A block of queries goes to every task: at most so many, and at most so many bytes of vectors.
+BLOCK_QUERIES, BLOCK_BYTES = 16_384, 16 << 20
+_CELLS = 1 << 21  # distances that a task holds at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,7 +49,8 @@ def batch_nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     false leaves out rows whose id is the query's.
     """
     asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("v")).where("v is not null")
-    blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("w")).first()
+    blocks = max(1, math.ceil(size["n"] / BLOCK_QUERIES), math.ceil(8 * size["w"] / BLOCK_BYTES))
     if blocks == 1:
         return _block_nearest(table, asked.collect(), k, id_col, vector_col, include_self)
     found = None
@@ -73,16 +76,23 @@ def _block_nearest(table: DataFrame, rows: list, k: int, id_col: str, vector_col
         for x in batches:
             v = x.column(1)
             fit = np.flatnonzero((v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == q.shape[1]) & x.column(0).is_valid().to_numpy(zero_copy_only=False))
-            for lo in range(0, len(fit), 1024):
-                rows_ = pa.array(fit[lo : lo + 1024])
+            step = max(64, _CELLS // len(ids))
+            for lo in range(0, len(fit), step):
+                rows_ = pa.array(fit[lo : lo + step])
                 own = x.column(0).take(rows_).to_numpy()
                 m = np.asarray(v.take(rows_).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(own), -1)
                 length = np.linalg.norm(m, axis=1)
                 d = np.maximum(np.round(1 - np.where(length > 0, (q @ m.T) / np.maximum(length, 1e-300), 0.0), 6), 0.0)
                 if not include_self:
                     d[ids[:, None] == own[None, :]] = np.inf
-                d = np.concatenate((best_d, d), axis=1)
-                i = np.concatenate((best_i, np.broadcast_to(own, (len(ids), len(own)))), axis=1)
+                i = np.broadcast_to(own, d.shape)
+                if d.shape[1] > k:  # what is no farther than the k-th nearest, ties included, is sorted
+                    least = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    near = d <= least
+                    width = int(near.sum(axis=1).max())
+                    first = np.argsort(~near, axis=1, kind="stable")[:, :width]
+                    d, i = np.take_along_axis(np.where(near, d, np.inf), first, 1), np.take_along_axis(i, first, 1)
+                d, i = np.concatenate((best_d, d), axis=1), np.concatenate((best_i, i), axis=1)
                 take = np.lexsort((i, d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(d, take, 1), np.take_along_axis(i, take, 1)
         keep = np.isfinite(best_d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +17,6 @@ from .plans.rules import Candidate, expansion, fallbacks, repair
 from .plans.templates import compile_plan
 from .providers import Embedder, ExtractiveSynthesizer, HashEmbedder, Planner, Router, RulePlanner, RuleRouter, Synthesizer, mentions, settled_route
 
-#: A question's context is read by a model, so no more facts than this are brought to the driver.
-MOST_FACTS = 2_000
-
 
 @dataclass
 class Retrieval:
@@ -67,8 +65,9 @@ def verbalize(plan: Plan, rows: DataFrame, g: PropertyGraph) -> DataFrame:
     return facts.edge_facts(rows, plan.rel, o)
 
 
-def _rows(df: DataFrame, limit: int = MOST_FACTS) -> list[dict]:
-    return [r.asDict() for r in df.limit(limit).collect()]
+def _rows(df: DataFrame) -> list[dict]:
+    """All rows of one question's result. None is left out: past ``spark.driver.maxResultSize`` Spark fails instead."""
+    return [r.asDict() for r in df.collect()]
 
 
 class Engine:
@@ -102,17 +101,23 @@ class Engine:
         by = {r["id"]: r for r in kept}
         return tuple(Candidate(i, "/".join(by[i]["labels"]), by[i]["degree"]) for i in seen)
 
-    def _scored(self, question: str, rows: list[dict]) -> list[dict]:
-        vectors_ = self.embedder.embed([question] + [r["statement"] for r in rows])
-        return [r | {"score": sum(a * b for a, b in zip(vectors_[0], v, strict=True))} for r, v in zip(rows, vectors_[1:], strict=True)]
-
     def _facts(self, question: str, plan: Plan, rows: DataFrame, k: int) -> list[dict]:
-        stated = _rows(verbalize(plan, rows, self.graph).orderBy(F.col("chunk_id").isNull(), "statement", "chunk_id"))
-        scored = self._scored(question, stated)
-        if not plan.capped or not scored:
-            return scored
-        df = self.spark.createDataFrame([tuple(r[c] for c in facts.FACT) + (r["score"], i) for i, r in enumerate(scored)], ", ".join(f"{c} string" for c in facts.FACT) + ", score double, ord int")
-        return _rows(facts.rank_facts(df, k).orderBy("ord"))
+        """The facts of a plan in a fixed order; of a plan whose rows are not the answer, the ``k`` most like the question.
+
+        Statements are scored where they are; an embedder has to be picklable.
+        """
+        order = (F.col("chunk_id").isNull().alias("derived"), "statement", "chunk_id")
+        stated = verbalize(plan, rows, self.graph)
+        if not plan.capped:
+            return _rows(stated.orderBy(*order))
+        asked, embedder = self.embedder.embed([question])[0], self.embedder
+
+        @F.pandas_udf("double")
+        def alike(statements: pd.Series) -> pd.Series:
+            return pd.Series([sum(a * b for a, b in zip(asked, v, strict=True)) for v in embedder.embed(statements.tolist())], dtype="float64")
+
+        scored = stated.withColumn("score", alike("statement")).withColumn("ord", F.struct(*order))
+        return _rows(facts.rank_facts(scored, k).orderBy("ord"))
 
     def _expand(self, plan: Plan, found: list[dict]) -> list[dict]:
         """Further hops from the nodes of the facts that were kept; what is stated is not fetched again."""
