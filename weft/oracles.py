@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .operators.resolve import BUILTIN_EXCEPTIONS
+
 NATION = "AFRICA.NATION_0"
 
 _BASE = {
@@ -33,7 +35,7 @@ _BASE = {
         UNION ALL SELECT 'DEFINED_IN', src, src, FALSE, dst_label, src_label, 'ast' FROM placed WHERE dst = '{NATION}' AND src <> '{NATION}'""",
     "calls": """SELECT [src, dst] AS chain, [chunk_id] AS chunk_ids, [src] AS starts, 1 AS hops FROM trans WHERE src = 'click' AND src <> dst
         UNION ALL SELECT list_append(chain, t.dst), list_append(chunk_ids, t.chunk_id), list_append(starts, t.src), hops + 1 FROM calls JOIN trans t ON t.src = chain[-1] WHERE hops < 5 AND NOT list_contains(chain, t.dst)""",
-    "scored": """SELECT CAST(doc_id AS INT) AS ord, 'doc ' || n_chars AS statement, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS chunk_id, source AS relationship,
+    "scored": """SELECT CAST(doc_id AS INT) AS ord, 'doc ' || n_chars AS statement, CASE WHEN lang <> 'en' THEN CAST(doc_id AS VARCHAR) END AS chunk_id, source AS relationship,
         CASE WHEN CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 2 = 0 THEN 'ast' ELSE 'llm' END AS source, round((n_chars % 997) / 997.0::DOUBLE, 6) AS score FROM documents""",
     "answers": """SELECT o_orderkey, 'The order is ' || o_orderstatus || ' with priority ' || o_orderpriority || '. ' || CASE WHEN o_orderkey % 5 = 0 THEN 'It does not contain Total.'
         WHEN o_orderkey % 7 = 0 THEN 'No information is given. However, Total is known.' WHEN o_orderkey % 11 = 0 THEN 'I cannot answer that.' ELSE 'Total is known.' END AS answer FROM orders""",
@@ -86,6 +88,8 @@ _TRAILS = """walk AS (
     UNION ALL SELECT list_append(chain, n), list_append(chunk_ids, t.chunk_id), list_append(starts, s), hops + 1 FROM walk JOIN step t ON t.pos = chain[-1]
     WHERE hops < {h} AND NOT list_contains(chunk_ids, t.chunk_id))"""
 _STEP = "RECURSE step AS (SELECT src AS pos, dst AS n, src AS s, chunk_id FROM trans UNION ALL SELECT dst, src, src, chunk_id FROM trans WHERE src <> dst), "
+_SIZES = "sizes AS (SELECT DISTINCT 'catalog.' || p_brand AS brand, 'S' || p_size AS leaf FROM part)"
+_LINE_PAIRS = "s AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b FROM lineitem WHERE l_returnflag = 'R'), g AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b FROM lineitem WHERE l_discount >= 0.05)"
 _SUPPLIER_NAME = "(SELECT min(s_name) FROM supplier)"
 _SCORE = "SELECT *, round(score, 1) AS band, CASE WHEN source IN ('ast','jedi','override') THEN 0 ELSE 1 END AS unproven FROM scored WHERE chunk_id IS NOT NULL"
 _RESOLVE = """SELECT surface, canonical_id, method, candidates FROM ({})"""
@@ -149,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "generalised_match": _with(["ords", "customers", "up"], """SELECT (SELECT count(*) FROM s) AS observed, (SELECT count(*) FROM g) AS in_graph, count(DISTINCT (a, b)) AS confirmed,
             round(count(DISTINCT (a, b)) / nullif((SELECT count(*) FROM s), 0)::DOUBLE, 3) AS recall, round(count(DISTINCT (fa, fb)) / nullif((SELECT count(*) FROM g), 0)::DOUBLE, 3) AS observed_precision
             FROM f SEMI JOIN g ON fa = g.a AND fb = g.b""", """s AS (SELECT DISTINCT order_id AS a, regexp_replace(order_id, '\\.[^.]*$', '') AS b FROM ords),
-            n AS (SELECT DISTINCT regexp_replace(customer_id, '\\.[^.]*$', '') AS a FROM customers WHERE c_custkey % 2 = 0), g AS (SELECT a, regexp_replace(a, '\\.[^.]*$', '') AS b FROM n),
+            n AS (SELECT DISTINCT regexp_replace(customer_id, '\\.[^.]*$', '') AS a FROM customers JOIN customer USING (c_custkey) WHERE c_mktsegment = 'BUILDING'), g AS (SELECT a, regexp_replace(a, '\\.[^.]*$', '') AS b FROM n),
             u AS (SELECT DISTINCT id, ancestor FROM up UNION SELECT a, a FROM s UNION SELECT b, b FROM s), f AS (SELECT DISTINCT s.a, s.b, x.ancestor AS fa, y.ancestor AS fb FROM s JOIN u x ON x.id = s.a JOIN u y ON y.id = s.b)"""),
         "oracle_recall_precision": """WITH s AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_returnflag = 'R'), g AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_discount >= 0.05), h AS (SELECT * FROM s INTERSECT SELECT * FROM g)
             SELECT (SELECT count(*) FROM s) AS observed, (SELECT count(*) FROM g) AS in_graph, count(*) AS confirmed, round(count(*) / nullif((SELECT count(*) FROM s), 0)::DOUBLE, 3) AS recall, round(count(*) / nullif((SELECT count(*) FROM g), 0)::DOUBLE, 3) AS observed_precision FROM h""",
@@ -160,8 +164,37 @@ def oracle_sql() -> dict[str, str]:
         "node_label_merge": "SELECT CAST(c_nationkey AS VARCHAR) AS id, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS labels, max_by(c_name, c_custkey) AS last FROM customer GROUP BY c_nationkey",
         "twin_delete": _with(["supplies"], "SELECT chunk_id = 'ast' AS placeholder, count(*) AS n, count(DISTINCT (src, dst)) AS pairs FROM m WHERE chunk_id <> 'ast' OR NOT EXISTS (SELECT 1 FROM m r WHERE r.src = m.src AND r.dst = m.dst AND r.chunk_id <> 'ast') GROUP BY 1", "m AS (SELECT DISTINCT src, dst, CASE WHEN CAST(split_part(chunk_id, ':', 1) AS BIGINT) % 3 = 0 THEN 'ast' ELSE chunk_id END AS chunk_id FROM supplies)"),
         "slice_replace": _with(["replies", "links"], "SELECT 'REPLIES' AS rel, 'ast' AS source, count(*) AS n, min(src) AS first FROM replies WHERE CAST(regexp_extract(src, 't([0-9]+)$', 1) AS INT) % 2 = 0 HAVING count(*) > 0 UNION ALL SELECT 'LINKS', 'llm', count(*), min(src) FROM links HAVING count(*) > 0"),
-        "external_type_inference": _with(["links"], "SELECT DISTINCT dst AS id, 'Url' AS label FROM links WHERE dst NOT IN (SELECT dst FROM links WHERE CAST(regexp_extract(src, '([0-9]+)$', 1) AS BIGINT) < 10)"),
+        "external_type_inference": _with(["links"], "SELECT DISTINCT dst AS id, 'Url' AS label FROM links WHERE dst NOT IN (SELECT 'url:' || url FROM pages WHERE url IS NOT NULL)"),
         "endpoint_plausibility": _with(["labelled"], "SELECT c.id AS src, p.id AS dst FROM k c JOIN k p ON p.id = regexp_replace(c.id, '\\.[^.]*$', '') AND c.id LIKE '%.%' WHERE c.label NOT IN ('Catalog','Brand') AND p.label NOT IN ('Catalog','Brand')", "k AS (SELECT * FROM labelled WHERE label IN ('Region','Nation','Customer','Catalog','Brand'))"),
+        "resolve_self_reference": _with(["customers"], "SELECT 'self.' || split_part(customer_id, '.', -1) AS surface, regexp_replace(customer_id, '\\.[^.]*$', '') AS cls, customer_id AS canonical_id, 'self_reference' AS method FROM customers UNION ALL SELECT DISTINCT 'self.no_one', regexp_replace(customer_id, '\\.[^.]*$', ''), NULL, 'self_reference' FROM customers"),
+        "resolve_import_alias": _with(["customers"], "SELECT 'c' || c_custkey AS surface, regexp_replace(customer_id, '\\.[^.]*$', '') AS module, customer_id AS canonical_id, 'import_alias' AS method FROM customers"),
+        "resolve_same_module": _with(["customers"], "SELECT split_part(customer_id, '.', -1) AS surface, regexp_replace(customer_id, '\\.[^.]*$', '') AS module, customer_id AS canonical_id, 'same_module' AS method FROM customers"),
+        "resolve_reexport": _with(["customers"], "SELECT 'firm.c' || c_custkey AS surface, customer_id AS canonical_id, 'reexport' AS method FROM customers"),
+        "resolve_public_api": f"WITH {_SIZES} SELECT leaf AS surface, min(brand) || '.' || leaf AS canonical_id, CASE WHEN count(*) = 1 THEN 'normalized' ELSE 'public_api' END AS method FROM sizes GROUP BY leaf",
+        "resolve_call_graph": f"""WITH {_SIZES} SELECT leaf AS surface, CASE WHEN count(*) = 1 OR min(brand) = (SELECT min(brand) FROM sizes) THEN min(brand) || '.' || leaf END AS canonical_id,
+            CASE WHEN count(*) = 1 THEN 'normalized' WHEN min(brand) = (SELECT min(brand) FROM sizes) THEN 'call_graph' ELSE 'ambiguous' END AS method FROM sizes GROUP BY leaf""",
+        "resolve_builtin": f"SELECT surface, r_name AS module, 'builtins.' || surface AS canonical_id, 'builtin' AS method FROM region, (SELECT unnest([{', '.join(repr(x) for x in BUILTIN_EXCEPTIONS)}]) AS surface)",
+        "nearest_ancestor": _with(["ords", "parts"], "SELECT ancestor, count(*) AS n, min(id) AS first FROM (SELECT order_id AS id, split_part(order_id, '.', 1) || '.' || split_part(order_id, '.', 2) AS ancestor FROM ords UNION ALL SELECT part_id, NULL FROM parts) GROUP BY ancestor"),
+        "edges_by_source_and_all": _with(["replies", "links", "nexts"], "SELECT tag, count(*) AS pairs, min(src) AS first FROM (SELECT DISTINCT tag, src, dst FROM e UNION ALL SELECT DISTINCT 'all', src, dst FROM e) GROUP BY tag", "e AS (SELECT 'ast' AS tag, src, dst FROM replies UNION ALL SELECT 'llm', src, dst FROM links UNION ALL SELECT 'llm', src, dst FROM nexts)"),
+        "oracle_unmatched": f"WITH {_LINE_PAIRS} SELECT 'missing' AS kind, a, b FROM (SELECT * FROM s EXCEPT SELECT * FROM g) UNION ALL SELECT 'unconfirmed', a, b FROM (SELECT * FROM g EXCEPT SELECT * FROM s)",
+        "oracle_constructors": f"""WITH {_LINE_PAIRS}, k AS (SELECT * FROM s WHERE length(b) % 2 = 0), h AS (SELECT * FROM k INTERSECT SELECT * FROM g)
+            SELECT (SELECT count(*) FROM k) AS observed, (SELECT count(*) FROM g) AS in_graph, (SELECT count(*) FROM h) AS confirmed,
+            round((SELECT count(*) FROM h) / nullif((SELECT count(*) FROM k), 0), 3) AS recall, round((SELECT count(*) FROM h) / nullif((SELECT count(*) FROM g), 0), 3) AS observed_precision""",
+        "oracle_in_packages": _with(["customers"], """SELECT count(*) AS observed, count_if(hit) AS in_graph, count_if(hit) AS confirmed, round(count_if(hit) / nullif(count(*), 0), 3) AS recall, CASE WHEN count_if(hit) > 0 THEN 1.0::DOUBLE END AS observed_precision
+            FROM (SELECT c_custkey IN (SELECT o_custkey FROM orders) AS hit FROM customers WHERE split_part(customer_id, '.', 1) IN ('ASIA', 'EUROPE'))"""),
+        "content_keys": "SELECT substr(sha256(text), 1, 12) AS key, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1",
+        "reading_cost": "SELECT chunks, CAST(floor(chars / 3.5) AS BIGINT) AS est_input_tokens, chunks * 150 AS est_output_tokens, round((chars / 3.5) / 1e6 * 2.5::DOUBLE + (chunks * 150) / 1e6 * 10.0::DOUBLE, 2) AS est_cost_usd FROM (SELECT count(*) AS chunks, coalesce(CAST(sum(length(text)) AS BIGINT), 0)::DOUBLE AS chars FROM documents)",
+        "bench_summary_credit": _with(["runs"], """SELECT category, system, count(*) AS n, round(avg(CASE WHEN verdict = 'correct' THEN 100.0::DOUBLE ELSE 0 END), 1) AS accuracy, round(avg(CASE WHEN verdict = 'partial' THEN 100.0::DOUBLE ELSE 0 END), 1) AS partial,
+            round(avg(coalesce(credit, CASE verdict WHEN 'correct' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0 END)::DOUBLE) * 100, 1) AS score, list_sort(list(latency_ms))[count(*) // 2 + 1] AS median_latency_ms FROM runs GROUP BY category, system"""),
+        "edge_upsert_endpoints": _with(["supplies"], "SELECT supplier_id AS id, 'Supplier' AS labels FROM suppliers UNION ALL SELECT DISTINCT dst, '' FROM supplies"),
+        "label_if_unlabelled": _with(["supplies"], "SELECT 'Supplier' AS labels, count(*) AS n, min(supplier_id) AS first FROM suppliers UNION ALL SELECT 'Part', count(DISTINCT dst), min(dst) FROM supplies"),
+        "t5_call_chain": _with(["parts"], """SELECT array_to_string(chain, '|') AS chain, array_to_string(ids, '|') AS chunk_ids, array_to_string(ids, '|') AS starts, array_to_string(list_transform(ids, lambda x: 'ast'), '|') AS sources FROM w ORDER BY len(chain), chain, ids LIMIT 500""",
+            "RECURSE c AS (SELECT a.part_id AS src, b.part_id AS dst FROM parts a JOIN parts b ON b.p_partkey = a.p_partkey + 1), w AS (SELECT [src, dst] AS chain, [src] AS ids, 1 AS hops FROM c JOIN parts ON part_id = src WHERE brand_id = (SELECT min(brand_id) FROM parts) UNION ALL SELECT list_append(chain, c.dst), list_append(ids, c.src), hops + 1 FROM w JOIN c ON c.src = chain[-1] WHERE hops < 5)"),
+        "extract_facts": """WITH m AS (SELECT 'atlas.' || n_name AS m, 'atlas.' || n_name || '.' || n_name AS c, 'atlas.' || n_name || '.' || n_name || '.act' AS f, replace(lower(r_name), ' ', '_') || '.Base' AS base FROM nation JOIN region ON n_regionkey = r_regionkey)
+            SELECT 'node' AS kind, m AS owner, '' AS surfaces, 'Module' AS a, NULL AS b FROM m UNION ALL SELECT 'node', c, '', 'Class', NULL FROM m UNION ALL SELECT 'node', f, '', 'Function', NULL FROM m
+            UNION ALL SELECT 'alias', m, '', 'Base', base FROM m UNION ALL SELECT 'inherits', c, 'Base', NULL, NULL FROM m
+            UNION ALL SELECT kind, f, surfaces, a, b FROM m, (VALUES ('param', '', 'given', NULL), ('param', '', 'rest', '1'), ('returns', 'Reply', NULL, NULL), ('stores', '', 'given', 'kept'), ('calls', 'helper', NULL, NULL),
+            ('passes', 'helper', 'given', '#0'), ('calls', 'KeyError', NULL, NULL), ('passes', 'KeyError', 'given', '#0'), ('raises', 'KeyError', NULL, NULL)) v(kind, surfaces, a, b)""",
         "resolve_exact": _with(["nations"], "SELECT nation_id AS surface, nation_id AS canonical_id, 'exact' AS method, '' AS candidates FROM nations"),
         "resolve_folded": _with(["nations"], "SELECT replace(lower(split_part(nation_id, '.', -1)), '_', '-') AS surface, nation_id AS canonical_id, 'normalized' AS method, '' AS candidates FROM nations"),
         "resolve_suffix": _with(["customers"], "SELECT split_part(customer_id, '.', 2) || '.' || split_part(customer_id, '.', 3) AS surface, customer_id AS canonical_id, 'qualified' AS method FROM customers"),
@@ -186,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "credit_share": _with(["answers"], f"SELECT o_orderkey, credit, CASE WHEN credit >= 1 THEN 'correct' WHEN credit > 0 THEN 'partial' ELSE 'incorrect' END AS verdict FROM ({_CREDIT})"),
         "bench_summary": _with(["runs"], "SELECT category, system, count(*) AS n, round(avg(CASE WHEN verdict = 'correct' THEN 100.0::DOUBLE ELSE 0 END), 1) AS accuracy, round(avg(CASE WHEN verdict = 'partial' THEN 100.0::DOUBLE ELSE 0 END), 1) AS partial, round(avg(CASE verdict WHEN 'correct' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5 ELSE 0 END) * 100, 1) AS score FROM runs GROUP BY category, system"),
         "upper_median_latency": _with(["runs"], "SELECT category, system, list_sort(list(latency_ms))[count(*) // 2 + 1] AS median_latency_ms FROM runs GROUP BY category, system"),
-        "runs_mean_min_max": _with(["per_run"], "SELECT category, system, round(avg(accuracy), 1) AS mean, min(accuracy) AS min, max(accuracy) AS max FROM per_run GROUP BY category, system"),
+        "runs_mean_min_max": _with(["per_run"], "SELECT category, system, round(avg(accuracy), 1) AS mean, min(accuracy) AS min, max(accuracy) AS max, array_to_string(list(CAST(accuracy AS VARCHAR) ORDER BY run), ',') AS values FROM per_run GROUP BY category, system"),
         "pooled_delta": _with(["per_run"], "SELECT category, round(avg(d), 1) AS mean, min(d) AS min, max(d) AS max FROM (SELECT a.category, round(a.accuracy - b.accuracy, 1) AS d FROM per_run a JOIN per_run b ON a.run = b.run AND a.category = b.category AND a.system = 'hybrid' AND b.system = 'baseline') GROUP BY category"),
         "stability_buckets": _with(["runs"], "SELECT system, bucket, count(*) AS n FROM (SELECT id, system, CASE WHEN bool_and(verdict = 'correct') THEN 'always' WHEN NOT bool_or(verdict = 'correct') THEN 'never' ELSE 'flipping' END AS bucket FROM runs GROUP BY id, system) GROUP BY system, bucket"),
         "flip_rate": _with(["runs"], "SELECT system, count(*) AS keys, CAST(count_if(k > 1) AS BIGINT) AS unstable, round(avg(CASE WHEN k > 1 THEN 100.0::DOUBLE ELSE 0 END), 1) AS rate FROM (SELECT id, system, count(DISTINCT verdict) AS k FROM runs GROUP BY id, system) GROUP BY system"),
