@@ -12,7 +12,8 @@ from weft.pipeline import Engine
 from weft.plans import CallChain, CountRel, Neighbors, RaisedByMembers, RelatedBy, WrapChain
 from weft.plans.rules import Candidate, Hop, expansion, fallbacks, repair
 from weft.providers import HashEmbedder, mentions, settled_route
-from weft.sources import files
+from weft import cli
+from weft.sources import files, ingest
 from weft.sources.chunkers import changelog_chunks, code_chunks, markdown_chunks, rst_chunks
 from weft.sources.extract import chunk_files
 from weft.sources.ingest import build_graph, replay
@@ -195,6 +196,57 @@ def test_replay(spark, built, tmp_path):
     assert [(r["src"], r["dst"]) for r in g.edges.where("source = 'llm'").collect()] == [("minilib.core.Session.get", "minilib.core.Adapter.send")]
 
 
+def test_replay_by_section_release_and_concept(spark, built):
+    g, code, repo = built
+    chunks = code.unionByName(chunk_files(files.doc_files(spark, repo), "doc")).unionByName(chunk_files(files.changelog_file(spark, repo), "changelog"))
+    g = ingest.with_structure(g, chunks)
+    labels = {r["id"]: r["labels"] for r in g.nodes.where("id like 'doc:%' or id like 'minilib:%'").collect()}
+    assert labels["minilib:1.2.0"] == ["Release"] and sum(v == ["DocSection"] for v in labels.values()) >= 4
+    rows = [
+        ("Session.get", "Function", "DOCUMENTED_IN", "guide >  Timeouts", "DocSection"), ("Adapter.send", "Function", "CHANGED_IN", "1.1.0", "Release"), ("Deeper", "DocSection", "EXPLAINS", "Connection Pool", "Concept"),
+        ("Session.get", "Function", "DOCUMENTED_IN", "no such part", "DocSection"), ("Session.get", "Function", "OF_NO_KIND", "Deeper", "DocSection"),
+    ]
+    log = spark.createDataFrame([(*r, 0.9, f"k{i}", None, None, None) for i, r in enumerate(rows)], "source_surface string, source_type string, relationship string, target_surface string, target_type string, confidence double, chunk_id string, resolved_source_id string, resolved_target_id string, skip_reason string")
+    told = {r["chunk_id"]: r for r in ingest.replayed(g, log, chunks).collect()}
+    assert [told[f"k{i}"]["skip_reason"] for i in range(5)] == [None, None, None, "target", "relationship"]
+    assert told["k1"]["dst"] == "minilib:1.1.0" and told["k2"]["dst"] == "connection-pool" and told["k2"]["src"].startswith("doc:") and told["k0"]["dst"].startswith("doc:")
+    assert ingest.replay(g, log, chunks).edges.where("source = 'llm'").count() == 3
+
+
+def test_docstrings_decide_between_parameters(spark):
+    text = 'def f(url, **rest):\n    """:param url: where\n    :param dict rest: more"""\ndef g(**kw):\n    f("x", verify=kw)\n'
+    rows = spark.createDataFrame([("r", "r/m.py", "r.m", text), ("r", "r/__init__.py", "r", "from .m import f\n")], "repo string, path string, module string, text string")
+    public, documented = ingest.hints(rows)
+    assert {r["id"] for r in public.collect()} == {"r.m.f"}
+    assert {tuple(r) for r in documented.collect()} == {("r.m.f", "url"), ("r.m.f", "rest")}
+    g, _ = build_graph(rows)
+    flows = {(r["src"], r["dst"], r["source"]) for r in g.edges.where("rel = 'PASSES_TO'").collect()}
+    assert flows == {("r.m.g.kw", "r.m.f.rest", "names")}
+
+
+def test_chunks_are_upserted_by_id(spark):
+    row = "chunk_id string, text string, embedding array<double>"
+    old = spark.createDataFrame([("a", "old", [0.0, 1.0]), ("b", "old", [0.0, 1.0])], row)
+    new = spark.createDataFrame([("b", "new", [1.0, 1.0]), ("c", "new", [1.0, 0.0])], row)
+    assert {(r[0], r[1]) for r in ingest.upsert_chunks(old, new).collect()} == {("a", "old"), ("b", "new"), ("c", "new")}
+    for bad in ([("d", "x", None)], [("d", "x", [1.0]), ("e", "x", [1.0, 2.0])]):
+        with pytest.raises(ValueError, match="embeddings"):
+            ingest.upsert_chunks(old, spark.createDataFrame(bad, row))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    store = str(tmp_path / "store")
+    cli.ingest(spark, store, [str(LIB)])
+    once = cli.load(spark, store)
+    assert {r[0] for r in once.chunks.select("kind").distinct().collect()} == {"code", "doc", "changelog"}
+    counts = [once.graph.nodes.count(), once.graph.edges.count(), once.chunks.count()]
+    cli.ingest(spark, store, [str(LIB)], keep=True)
+    again = cli.load(spark, store)
+    assert counts == [again.graph.nodes.count(), again.graph.edges.count(), again.chunks.count()]
+    cli.status(spark, store)
+    assert "changelog" in capsys.readouterr().out
+
+
 def test_question_to_answer(spark, built):
     g, chunks, _ = built
     e = HashEmbedder(32)
