@@ -10,13 +10,14 @@
 3. Each posting list first links its members to the most typical one. Pairs that agree on ``T``
    coordinates are confirmed on the full sets; confirmed links merge components. Lists that are
    inside one component by then are skipped.
-4. Lists that are not are cut into blocks of signatures, and every two blocks of a list are compared in a
-   place of their own: pairs across components whose sizes fit and that agree on ``T`` coordinates are
-   candidates. First only the most agreeing candidate of each two components that meet there is confirmed
-   on the full sets, which merges most of them; then all that are left.
-
-No list is capped. The components are those of confirming every candidate pair, since a pair inside one
-component cannot change them.
+4. Lists that are not are put together to families (lists that share a class), and a family is cut into
+   blocks by list. Every two blocks that have a list in common meet in a place of their own, so that no task
+   gets a family: pairs across components that agree on ``T`` coordinates are confirmed on the full sets, the
+   likeliest first, and pairs that the links found there connect already are skipped. A pair of blocks
+   yields a forest of links, not its pairs.
+
+No list or family is capped. The components are those of confirming every candidate pair, since a pair
+inside one component cannot change them.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import batched, cut, cut_last
+from .scratch import batched, batches_of, cut, cut_last
 from .textscan import LOWER, U64, Chunk, _gram_factors, chunks, list_array, mix64
 
 BLOCK, MISS = 256, 1e-6
@@ -150,71 +151,82 @@ def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-_MEMBER = "struct<id:bigint,comp:bigint,size:bigint,sig:array<smallint>>"
+class _Block:
+    """Members of a family: ids, components, full sets and signatures."""
 
+    def __init__(self, ids: list[int], comps: list[int], sets: list[bytes], coordinates: int = K):
+        self.ids, self.comps = ids, np.array(comps, np.int64)
+        self.sets = [np.frombuffer(x, U64) for x in sets]
+        self.sizes = np.array([len(x) for x in self.sets])
+        self.sigs = signatures(np.concatenate(self.sets), np.concatenate(([0], np.cumsum(self.sizes))), coordinates)
 
-def _candidates(one: tuple, two: tuple | None, least: int, percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of pairs across components that agree on ``least`` coordinates, within one block or between two.
 
-    A block is (ids, components, set sizes, signatures of 16 bits a coordinate). With ``best``, only the pair
-    that agrees most of each two components.
-    """
-    same = two is None
-    (ids, comps, sizes, sigs), (ids2, comps2, sizes2, sigs2) = one, one if same else two
-    if len(ids) * len(ids2) <= 4_096:
-        agree = (sigs[:, None, :] == sigs2[None, :, :]).sum(axis=2)
-    else:
-        agree = np.zeros((len(ids), len(ids2)), np.uint16)
-        for k in range(sigs.shape[1]):
-            agree += sigs[:, k, None] == sigs2[None, :, k]
-    fit = (agree >= least) & (comps[:, None] != comps2[None, :])
-    fit &= 100 * np.minimum(sizes[:, None], sizes2[None, :]) >= percent * np.maximum(sizes[:, None], sizes2[None, :])
-    a, b = np.nonzero(np.triu(fit) if same else fit)
-    if best and len(a) > 1:
-        low, high = np.minimum(comps[a], comps2[b]), np.maximum(comps[a], comps2[b])
-        order = np.lexsort((-agree[a, b].astype(np.int64), high, low))
-        first = np.ones(len(order), bool)
-        first[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
-        a, b = a[order[first]], b[order[first]]
-    return np.minimum(ids[a], ids2[b]), np.maximum(ids[a], ids2[b])
-
-
-def _blocks_of(column: pa.Array) -> list[tuple | None]:
-    """The block of each row of a list column of members; None for null."""
-    flat = column.values
-    ids, comps, sizes = (flat.field(k).to_numpy() for k in ("id", "comp", "size"))
-    sig = flat.field("sig")
-    sigs = sig.values.to_numpy().reshape(len(flat), -1) if len(flat) else np.zeros((0, 1), np.int16)
-    at, null = column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
-    return [None if null[i] else tuple(x[at[i] : at[i + 1]] for x in (ids, comps, sizes, sigs)) for i in range(len(column))]
-
-
-def _compared(blocks: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidates ``a, b`` of rows ``one, two`` of blocks; ``two`` is null where a block is compared with itself."""
-    _, least = agreement(percent)
+def _forest(one: _Block, two: _Block, least: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links across components between two blocks, as many as connect what they connect."""
+    fit = one.comps[:, None] != two.comps[None, :]
+    fit &= 100 * np.minimum(one.sizes[:, None], two.sizes[None, :]) >= percent * np.maximum(one.sizes[:, None], two.sizes[None, :])
+    a, b = np.nonzero(np.triu(fit) if one is two else fit)
+    agree = (one.sigs[a] == two.sigs[b]).sum(axis=1)
+    good = np.flatnonzero(agree >= least)
+    good = good[np.argsort(-agree[good], kind="stable")]
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (above := up.get(c, c)) != c:
+            up[c] = up.get(above, above)
+            c = above
+        return c
+
+    links = []
+    for i, j in zip(a[good].tolist(), b[good].tolist(), strict=True):
+        p, q = root(int(one.comps[i])), root(int(two.comps[j]))
+        if p != q and _similar(one.sets[i], two.sets[j], percent):
+            up[max(p, q)] = min(p, q)
+            links.append((one.ids[i], two.ids[j]))
+    return links
+
+
+_BLOCK_FIELDS = ("ids", "comps", "sets")
+
+
+def _compare(blocks: DataFrame, percent: int, sides: tuple[str, ...]) -> DataFrame:
+    """Links ``a, b`` found in each row's block, or between its two blocks, named by the ends of its columns."""
+    coordinates, least = agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            pairs = [_candidates(p, q, least, percent, best) for p, q in zip(_blocks_of(x.column("one")), _blocks_of(x.column("two")), strict=True)]
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([z[i] for z in pairs]), pa.int64()) for i in (0, 1)], ["a", "b"])
+            links = []
+            for i in range(x.num_rows):
+                got = [_Block(*(x.column(n + side)[i].as_py() for n in _BLOCK_FIELDS), coordinates) for side in sides]
+                links += _forest(got[0], got[-1], least, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*links, strict=True)], ["a", "b"])
 
-    return blocks.select("one", "two").mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(lists: DataFrame, of: DataFrame, signed: DataFrame) -> DataFrame:
-    """``one, two``: the blocks to be compared, of the posting lists that no single component covers.
+def _open_blocks(lists: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the classes in lists that no single component covers, and which two blocks share a list.
 
-    Each block of a longer list goes to a place of its own for each block that it meets, so no task gets a list.
+    Classes with the same first list go to the same block, or to as many as hold about ``BLOCK`` of them each.
     """
     placed = _component_of(lists.select("id", "token"), of, "id", "comp")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.ceil(F.count("*") / BLOCK).cast("int").alias("several")).where("c1 <> c2").select("token", "several")
-    rows = placed.join(cut(mixed), "token").join(signed, "id").withColumn("k", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("several")).cast("int"))
-    blocks = cut(rows.groupBy("token", "several", "k").agg(F.collect_list(F.struct("id", "comp", "size", "sig")).cast(f"array<{_MEMBER}>").alias("one")))
-    alone = blocks.where("several = 1").select("one", F.lit(None).cast(f"array<{_MEMBER}>").alias("two"))
-    met = blocks.where("several > 1").select("token", "k", "one", F.explode(F.sequence(F.lit(0), F.col("several") - 1)).alias("p"))
-    met = met.groupBy("token", F.least("k", "p").alias("low"), F.greatest("k", "p").alias("high")).agg(F.collect_list("one").alias("both"))
-    return alone.unionAll(met.select(F.col("both")[0].alias("one"), F.when(F.size("both") > 1, F.col("both")[1]).alias("two")))
+    mixed = cut(placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("id").alias("first")).where("c1 <> c2").select("token", "first"))
+    open_rows = cut(placed.join(mixed, "token").select("id", "comp", "token", "first"))
+    family = components(open_rows, "id", "first")
+    rows = open_rows.groupBy("id", "comp").agg(F.min("token").alias("home"))
+    rows = _component_of(rows, family, "id", "family").join(sizes, "id")
+    rows = cut(rows)
+    crowd = cut(rows.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / (BLOCK * 1024))).cast("int").alias("parts")))
+    several = cut(rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / (BLOCK * 1024))).cast("int").alias("several")))
+    part = F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts"))
+    rows = rows.join(crowd, "home").join(several, "family").withColumn("k", F.pmod(F.xxhash64("home", part), F.col("several")).cast("int"))
+    rows = cut(rows.select("id", "comp", "family", "k"))
+    gathered = [F.collect_list("id").alias("ids"), F.collect_list("comp").alias("comps"), F.collect_list("set").alias("sets")]
+    blocks = cut(rows.join(sets, "id").groupBy("family", "k").agg(*gathered))
+    met = open_rows.select("id", "token").join(rows.select("id", "family", "k"), "id").groupBy("token", "family").agg(F.collect_set("k").alias("ks")).where("size(ks) > 1")
+    pairs = met.select("family", F.explode("ks").alias("k1"), "ks").select("family", "k1", F.explode(F.filter("ks", lambda k: k > F.col("k1"))).alias("k2"))
+    return blocks, cut(pairs.distinct())
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -278,10 +290,11 @@ def _components_of(source: DataFrame, prints: DataFrame, percent: int, width: in
     links = cut(_confirmed(star, sets, percent).unionAll(same_id))
     of = components(links)
 
-    short = F.transform("sig", lambda v: v.bitwiseAND(0x7FFF).cast("short"))
-    signed = cut(reps.join(wanted, "id", "left_semi").select("id", F.col("n_shingles").alias("size"), short.alias("sig")))
-    for best in (True, False):
-        pairs = _compared(_block_pairs(lists, of, signed), percent, best).distinct()
-        links = cut(links.unionAll(_confirmed(pairs, sets, percent)))
-        of = components(links)
+    blocks, pairs = _open_blocks(lists, of, hits.select("id", F.col("n_shingles").alias("size")).distinct(), sets)
+    inside = _compare(blocks.select(*_BLOCK_FIELDS), percent, ("",))
+    for i in (1, 2):
+        pairs = pairs.join(blocks.select("family", *[F.col(c).alias(f"{c}{i}") for c in ("k", *_BLOCK_FIELDS)]), ["family", f"k{i}"])
+    with batches_of(source.sparkSession, 16):
+        found = cut(inside.unionAll(_compare(pairs, percent, ("1", "2"))))
+    of = components(links.unionAll(found))
     return _component_of(member.select("id", "f1", "f2", "rep"), of, "rep", "component_id").select("id", "f1", "f2", "component_id")

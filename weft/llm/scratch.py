@@ -6,11 +6,13 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Tables cut on the way to others that are being made, innermost last.
 _OPEN: list[list[tuple[SparkSession, str]]] = []
 
@@ -56,6 +58,17 @@ def cut_last(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside give Python this many rows at a time at most: for rows that hold whole blocks."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def give_back() -> None:
     """At a task's end: memory that this Python worker, which Spark uses again, no longer needs goes to the system."""
     pa.default_memory_pool().release_unused()
