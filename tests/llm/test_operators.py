@@ -537,7 +537,7 @@ def test_queries_have_their_columns(spark):
     }
     for start, columns in want.items():
         (f,) = [f for k, f in queries.queries().items() if k.startswith(start)]
-        assert f(spark, SF).columns == columns
+        assert f(spark, SF).columns[: len(columns)] == columns
 
 
 def test_held_out_rows_are_the_remainder(spark):
