@@ -1,21 +1,23 @@
 """Resolution, facts, grading, rules, extraction and the question pipeline on small cases."""
 
+import json
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from weft import cli, evaluate
+from weft.graph import PropertyGraph
 from weft.ontology import CODE
 from weft.operators import evals, facts, grading, hierarchy, vectors
 from weft.operators.resolve import resolve, unambiguous_index
 from weft.pipeline import Engine
 from weft.plans import CallChain, CountRel, Neighbors, RaisedByMembers, RelatedBy, WrapChain
 from weft.plans.rules import Candidate, Hop, expansion, fallbacks, repair
-from weft.providers import HashEmbedder, mentions, settled_route
-from weft import cli
+from weft.providers import HashEmbedder, Mention, grounded, mentions, read_mentions, settled_route
 from weft.sources import files, ingest
 from weft.sources.chunkers import changelog_chunks, code_chunks, markdown_chunks, rst_chunks
-from weft.sources.extract import chunk_files
+from weft.sources.extract import chunk_files, extract
 from weft.sources.ingest import build_graph, replay
 from weft.streaming import append_decisions, read_decisions, rollup
 
@@ -247,6 +249,65 @@ def test_command_line(spark, tmp_path, capsys):
     assert "changelog" in capsys.readouterr().out
 
 
+class _Reader:
+    """Readings that differ; most of them agree."""
+
+    def __init__(self):
+        self.n = 0
+
+    def mentions(self, question):
+        self.n += 1
+        return [Mention("send", "minilib")] if self.n == 1 else [Mention("Adapter", "minilib"), Mention("Invented", "minilib"), Mention("session")]
+
+
+def test_mentions_are_voted_on_and_grounded():
+    q = "What do Adapters of the session call, and Session.get?"
+    assert [m.surface for m in read_mentions(q, _Reader())] == ["Adapter", "What", "Adapters", "Session.get"]
+    assert grounded("iter_content()", "does iter_contents stop?") and not grounded("Exception", "that exception's base") and not grounded("url", "the url")
+
+
+def test_candidates_narrow_to_the_named_package(spark):
+    nodes = spark.createDataFrame([("one.a.send", ["Function"], {}), ("two.b.send", ["Function"], {})], "id string, labels array<string>, props map<string,string>")
+    g = PropertyGraph(nodes, spark.createDataFrame([], "src string, rel string, dst string, chunk_id string, confidence double, source string, props map<string,string>"), CODE)
+    engine = Engine(g)
+    assert {c.id for c in engine.candidates(["send"])} == {"one.a.send", "two.b.send"}
+    assert [c.id for c in engine.candidates([Mention("send", "two")])] == ["two.b.send"]
+
+
+def test_a_model_reads_docstrings(spark):
+    class Model:
+        def edges(self, text):
+            if "bad" in text:
+                raise ValueError("no")
+            return [{"source_surface": text, "relationship": "EXPLAINS", "target_surface": "x", "confidence": 0.5}]
+
+    text = 'class A:\n    """good one"""\n    def f(self, url):\n        """bad one"""\n        return {"at": url, "n": 1}\n'
+    rows = spark.createDataFrame([("r", "r/m.py", "r.m", text)], "repo string, path string, module string, text string")
+    docs, code = chunk_files(rows, "docstring"), chunk_files(rows, "code")
+    assert {r["chunk_id"] for r in docs.collect()} == {r["chunk_id"] for r in code.collect()}
+    log = {r["source_surface"]: r for r in ingest.read_edges(docs, Model()).collect()}
+    assert log["good one"]["relationship"] == "EXPLAINS" and log[None]["skip_reason"] == "extraction: no"
+    assert [(r["owner"], r["a"], r["b"]) for r in extract(rows).where("kind = 'returned'").collect()] == [("r.m.A.f", "at", "url")]
+
+
+def test_evaluation_reports(spark, tmp_path, capsys):
+    one = lambda v: {"verdict": v, "latency_ms": 5, "route": "BOTH"}
+    for n, v in enumerate(("correct", "incorrect")):
+        (tmp_path / f"run{n}.json").write_text(json.dumps({"results": [{"id": "q1", "category": "c", "hybrid": one("correct"), "baseline": one(v)}]}))
+    evaluate.main(["--out", str(tmp_path / "out"), "summary", str(tmp_path / "run0.json"), str(tmp_path / "run1.json")])
+    assert "flipping" in capsys.readouterr().out
+    assert {r["bucket"] for r in spark.read.json(str(tmp_path / "out/stability")).collect()} == {"always", "flipping"}
+    (tmp_path / "trace.json").write_text(json.dumps({"calls": [["p.f", "p.C.g"], ["p.f", "p.C.prop"], ["q.x", "p.y"]], "raises": [], "wraps": [], "implicit": ["p.C.prop"]}))
+    edges = spark.createDataFrame([("p.f", "CALLS", "p.C.g", "ast"), ("p.f", "CALLS", "p.z", None)], "src string, rel string, dst string, source string")
+    trace = str(tmp_path / "trace.json")
+    got = evaluate.oracle(files.observed_pairs(spark, trace), edges, ("p",), files.implicit_callees(spark, trace))
+    rates = {r["source"]: (r["observed"], r["in_graph"], r["confirmed"]) for r in got["rates"].collect()}
+    assert rates == {"all": (1, 2, 1), "ast": (1, 1, 1), "llm": (1, 1, 0)}
+    assert [(r["kind"], r["b"]) for r in got["unmatched"].collect()] == [("unconfirmed", "p.z")]
+    (tmp_path / "q.json").write_text('[{"id": "q1", "category": "c", "question": "why?", "must_mention": ["a"]}]')
+    assert files.questions(spark, str(tmp_path / "q.json")).first()["must_mention"] == ["a"]
+
+
 def test_question_to_answer(spark, built):
     g, chunks, _ = built
     e = HashEmbedder(32)

@@ -15,7 +15,7 @@ from .operators.resolve import resolve
 from .plans import CallChain, CountRel, DocsFor, EdgesFrom, EdgesTo, FlowOfName, Neighbors, PathBetween, Plan, PlanError, RaisedByMembers, RelatedBy, WrapChain
 from .plans.rules import Candidate, expansion, fallbacks, repair
 from .plans.templates import compile_plan
-from .providers import Embedder, ExtractiveSynthesizer, HashEmbedder, Planner, Router, RulePlanner, RuleRouter, Synthesizer, mentions, settled_route
+from .providers import Embedder, ExtractiveSynthesizer, HashEmbedder, Mention, MentionReader, Planner, Router, RulePlanner, RuleRouter, Synthesizer, read_mentions, settled_route
 
 
 @dataclass
@@ -73,11 +73,11 @@ def _rows(df: DataFrame) -> list[dict]:
 class Engine:
     """A graph and a chunk table with the providers that read questions."""
 
-    def __init__(self, graph: PropertyGraph, chunks: DataFrame | None = None, aliases: DataFrame | None = None, embedder: Embedder | None = None, router: Router | None = None, planner: Planner | None = None, synthesizer: Synthesizer | None = None):
+    def __init__(self, graph: PropertyGraph, chunks: DataFrame | None = None, aliases: DataFrame | None = None, embedder: Embedder | None = None, router: Router | None = None, planner: Planner | None = None, synthesizer: Synthesizer | None = None, reader: MentionReader | None = None):
         self.graph, self.chunks, self.aliases = graph, chunks, aliases
         self.embedder, self.router = embedder or HashEmbedder(), router or RuleRouter()
         self.planner, self.synthesizer = planner or RulePlanner(graph.ontology), synthesizer or ExtractiveSynthesizer()
-        self.spark = graph.nodes.sparkSession
+        self.spark, self.reader = graph.nodes.sparkSession, reader
 
     def passages(self, question: str, k: int = 5) -> list[dict]:
         if self.chunks is None:
@@ -85,8 +85,11 @@ class Engine:
         near = vectors.nearest(self.chunks, self.embedder.embed([question])[0], k)
         return _rows(near.select("chunk_id", "repo", "path", "section", "kind", "text", "dist").orderBy("dist", "chunk_id"))
 
-    def candidates(self, names: list[str]) -> tuple[Candidate, ...]:
-        """Resolved names with their kinds; parameters go where the same name is also something else."""
+    def candidates(self, named: list[str | Mention]) -> tuple[Candidate, ...]:
+        """Resolved names with their kinds; parameters go where the same name is also something else, and of
+        several candidates those outside the package that the question names, if any is inside."""
+        named = [m if isinstance(m, Mention) else Mention(m) for m in named]
+        names, package = [m.surface for m in named], {m.surface: m.package for m in named}
         if not names:
             return ()
         asked = self.spark.createDataFrame([(n, None, None) for n in names], "surface string, module string, cls string")
@@ -94,6 +97,8 @@ class Engine:
         ids = found.select("surface", F.explode(F.when(F.col("canonical_id").isNotNull(), F.array("canonical_id")).otherwise(F.col("candidates"))).alias("id"))
         known = self.graph.describe(ids.select("id"))
         rows = _rows(ids.join(known, "id"))
+        inside = {r["surface"] for r in rows if r["id"].startswith(package[r["surface"]] + ".")}
+        rows = [r for r in rows if r["surface"] not in inside or r["id"].startswith(package[r["surface"]] + ".")]
         kept = [r for r in rows if "Parameter" not in r["labels"] or not any(o["surface"] == r["surface"] and "Parameter" not in o["labels"] for o in rows)]
         place = {n: i for i, n in enumerate(names)}
         kept.sort(key=lambda r: (place[r["surface"]], -r["degree"], r["id"]))
@@ -164,7 +169,7 @@ class Engine:
         return out
 
     def _graph(self, question: str, out: Retrieval, k: int, facts_kept: int) -> None:
-        found = self.candidates(mentions(question))
+        found = self.candidates(read_mentions(question, self.reader))
         if not found or all(c.has("Module") for c in found):
             deep = [p for p in self.passages(question, max(k, 5) * 4) if p["kind"] == "code" and p["section"]]
             seeds = [p["section"] for p in deep if p["section"] not in {c.id for c in found}][:3]

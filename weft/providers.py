@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 from .plans import CallChain, CountRel, Neighbors, Plan, RelatedBy
 from .plans.rules import Candidate
@@ -31,6 +31,23 @@ class Synthesizer(Protocol):
     def answer(self, question: str, context: str) -> str: ...
 
 
+class Mention(NamedTuple):
+    """A name as a question writes it, and the package that it is said to be of."""
+
+    surface: str
+    package: str = "unknown"
+
+
+class MentionReader(Protocol):
+    def mentions(self, question: str) -> list[Mention]: ...
+
+
+class Extractor(Protocol):
+    """Reads edges out of prose: dicts with the columns of a logged edge, but for its chunk."""
+
+    def edges(self, text: str) -> list[dict]: ...
+
+
 class HashEmbedder:
     """A bag of words, each word hashed to a signed place; length 1."""
 
@@ -71,6 +88,43 @@ class RuleRouter:
         return "BOTH", 0.5
 
 
+# Lower-case words that name no entity.
+GENERIC_WORDS = frozenset({
+    "exception", "exceptions", "error", "errors", "function", "functions", "method",
+    "methods", "class", "classes", "module", "modules", "library", "libraries",
+    "parameter", "parameters", "adapter", "adapters", "connection", "connections",
+    "response", "body", "header", "headers", "url", "urls",
+    "session", "sessions", "socket", "redirect", "redirects", "retries", "retry",
+})
+
+
+def grounded(surface: str, question: str) -> bool:
+    """Whether a question has a surface: with its capital if it has one, in singular or plural, call brackets left out."""
+    name = surface.strip().removesuffix("()")
+    if not name[:1].isupper():
+        name, question = name.lower(), question.lower()
+        if name in GENERIC_WORDS:
+            return False
+    return bool(name) and any(form in question for form in {name, name.removesuffix("s"), name.removesuffix("es")})
+
+
+def read_mentions(question: str, reader: MentionReader | None = None, votes: int = 3) -> list[Mention]:
+    """What a reader finds in most of ``votes`` readings and the question has, then the names that can be read off the text.
+
+    Of readings that are as frequent the one seen first counts.
+    """
+    kept: list[Mention] = []
+    if reader is not None:
+        readings: dict[frozenset, tuple[int, list[Mention]]] = {}
+        for _ in range(votes):
+            found = reader.mentions(question)
+            n, first = readings.get(frozenset(found), (0, found))
+            readings[frozenset(found)] = (n + 1, first)
+        kept = [m for m in max(readings.values(), key=lambda r: r[0])[1] if grounded(m.surface, question)]
+    have = {m.surface for m in kept}
+    return kept + [Mention(s) for s in mentions(question) if s not in have]
+
+
 def mentions(question: str) -> list[str]:
     """Dotted names and capitalised words that a question names, in order, once; *constructor* adds ``__init__``."""
     found = list(dict.fromkeys(re.findall(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+|\b[A-Z]\w+\b", question)))

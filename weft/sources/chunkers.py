@@ -62,6 +62,15 @@ def code_chunks(text: str, module: str) -> Iterator[Chunk]:
         yield _code(node, symbol, lines)
 
 
+def docstring_chunks(text: str, module: str) -> Iterator[Chunk]:
+    """The docstring of each symbol that has one, at the lines of the symbol's code chunk."""
+    lines = text.splitlines()
+    for node, symbol, _ in definitions(ast.parse(text), module):
+        if doc := (ast.get_docstring(node) or "").strip():
+            code = _code(node, symbol, lines)
+            yield Chunk(symbol, "docstring", code.start_line, code.end_line, doc, doc)
+
+
 def _paragraphs(lines: list[str], start: int, end: int) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for n in range(start, end + 1):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,10 @@ from ..graph import PLACEHOLDER, PropertyGraph, containment, merge_nodes
 from ..ontology import CODE
 from ..operators.hierarchy import override_calls
 from ..operators.resolve import resolve, unambiguous_index
+from ..providers import Extractor
 from ..session import settle
 from .extract import chunk_files, extract
+from .files import MODEL_EDGE
 
 
 #: Source of edges found by joining names: no types were inferred, so they are not marked as proven.
@@ -93,6 +98,24 @@ def build_graph(files: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     return PropertyGraph(settle(merge_nodes(writes)), settle(every), CODE), chunks
 
 
+def read_edges(texts: DataFrame, extractor: Extractor) -> DataFrame:
+    """Logged edges that a model reads out of ``texts`` (chunk_id, text); a text that it fails on gives one row that says so."""
+    names = [c.split()[0] for c in MODEL_EDGE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for chunk, text in zip(pdf["chunk_id"], pdf["text"], strict=True):
+                try:
+                    found = extractor.edges(text)
+                except Exception as e:  # noqa: BLE001 - a model's failure costs its text, not the job
+                    found = [{"skip_reason": f"extraction: {e}"}]
+                rows += [tuple(chunk if n == "chunk_id" else edge.get(n) for n in names) for edge in found]
+            yield pd.DataFrame(rows, columns=names).astype(object)
+
+    return texts.select("chunk_id", "text").mapInPandas(run, MODEL_EDGE)
+
+
 def hints(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What decides between like-named parameters: ``id`` of what package roots export, and ``function_id, param`` of docstrings."""
     found = extract(files)
