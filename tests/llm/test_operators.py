@@ -545,10 +545,29 @@ def test_held_out_rows_are_the_remainder(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
 
 
-def test_op7_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
+    folder = SF if name.startswith("op7") else "/root/testdata/sf0.01"
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    got = sorted(map(repr, (tuple(r) for r in queries.op7_perspective_rotation(spark, SF).select("conv_id", "mask", "n_turns", "rendered", "speaker").collect())))
-    want = c.execute(f"SELECT conv_id, mask, n_turns, rendered, speaker FROM ({queries.oracle_sql()['op7_perspective_rotation']})").fetchall()
-    assert got == sorted(map(repr, want))
+    for table in ("documents", "embeddings", "conversations"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got = queries.queries()[name](spark, folder)
+    columns = sorted(got.columns)
+    want = c.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def test_sql_of_links_on_planted_groups(spark, tmp_path):
+    """The tables hold no linked vectors; these do, with copies, ties, nulls and odd labels."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in base[i % 6] + 0.12 * rng.normal(size=8)], int(i % 2) if i % 11 else None) for i in range(120)]
+    rows += [(200, [0.0] * 8, 1), (201, None, 1), (202, rows[0][1], rows[0][2]), (203, [float("nan")] * 8, 0), (204, [], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({queries.oracle_sql()['op4_embedding_near_dedup']})").fetchall()
+    got = [tuple(r) for r in queries.op4_embedding_near_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert sorted(got) == sorted(want) and sum(r[1] for r in got) > 50

@@ -103,6 +103,61 @@ FROM q GROUP BY conv_id, speaker
 """
 
 
+_OP2 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(md5(text), '') AS name,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) + 1 AS BIGINT) AS tokens FROM documents
+), s AS (SELECT source AS src, CAST(sum(tokens) AS BIGINT) AS total FROM d GROUP BY source
+), e AS (
+  SELECT *, max(total) OVER () AS peak,
+         round(greatest(0, CASE WHEN max(total) OVER () > min(total) OVER () THEN 1 - ln(1.25) / ln(max(total) OVER () / min(total) OVER ()) ELSE 0 END), 9) AS t FROM s
+), q AS (SELECT *, CAST(floor(total * round(pow(peak / total, 1 - t), 9) + 1e-6) AS BIGINT) AS quota FROM e
+), p AS (
+  SELECT *, CAST(greatest(1, ceil(sum(quota) OVER () / 500000)) AS HUGEINT) AS blocks,
+         CAST(greatest(1, ceil(quota / total)) AS BIGINT) AS epochs FROM q
+), w AS (SELECT *, unnest(range(epochs)) AS epoch FROM d JOIN p ON source IS NOT DISTINCT FROM src
+), a AS (
+  SELECT *, epoch * total - tokens + sum(tokens) OVER (PARTITION BY source, epoch ORDER BY substr(md5('29|' || epoch || '|' || name), 1, 15), name
+         ROWS UNBOUNDED PRECEDING) AS place FROM w
+), b AS (SELECT *, CAST(least(place * blocks // quota, blocks - 1) AS BIGINT) AS block FROM a WHERE place < quota)
+SELECT doc_id, source, tokens, CAST(epoch AS INT) AS epoch, block,
+  row_number() OVER (PARTITION BY block ORDER BY md5('29b|' || epoch || '|' || name), name) - 1 AS slot FROM b
+"""
+
+# Components are the least id that walks over links reach: for tables whose groups are small.
+_REACHED = """reached AS (SELECT a, b FROM linked UNION SELECT reached.a, linked.b FROM reached JOIN linked ON reached.b = linked.a),
+  least_of AS (SELECT a, least(a, min(b)) AS component_id FROM reached GROUP BY a)"""
+
+_OP4 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+), fit AS (
+  SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), linked AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM fit x JOIN fit y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+), n AS (SELECT a, count(*) AS n FROM linked GROUP BY a), {_REACHED}
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least_of l ON l.a = vec_id
+"""
+
+_OP8 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + least(5, len(words)) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM w WHERE len(words) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), held AS (SELECT doc_id, shingle, n FROM sets JOIN sizes USING (doc_id)
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have, min(x.n) AS na, min(y.n) AS nb FROM held x JOIN held y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  WHERE 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY ALL
+), linked AS (SELECT a, b FROM pairs WHERE 100 * both_have >= 85 * (na + nb - both_have)), {_REACHED}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of l ON l.a = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that a second engine can run on whole tables; the others are tested against brute force."""
-    return {"op7_perspective_rotation": _OP7}
+    return {"op2_source_mixing": _OP2, "op4_embedding_near_dedup": _OP4, "op7_perspective_rotation": _OP7, "op8_minhash_near_dedup": _OP8}
