@@ -19,12 +19,21 @@ def graph(spark, edges, nodes=None):
     rows = [(s, r, d, c, 1.0, src, {}) for s, r, d, c, src in edges]
     ids = sorted({x for e in edges for x in (e[0], e[2])}) if nodes is None else nodes
     labels = [(i, ["Function"] if isinstance(ids, list) else [ids[i]], {}) for i in ids]
-    return PropertyGraph(spark.createDataFrame(labels, "id string, labels array<string>, props map<string,string>"), spark.createDataFrame(rows, EDGE), CODE)
+    return PropertyGraph(
+        spark.createDataFrame(labels, "id string, labels array<string>, props map<string,string>"),
+        spark.createDataFrame(rows, EDGE), CODE
+    )
 
 
 def test_upsert_is_idempotent_and_last_write_wins(spark):
     g = graph(spark, [("a", "CALLS", "b", "1", "ast")])
-    new = spark.createDataFrame([("a", "CALLS", "b", "1", 0.2, "jedi", {}, 1), ("a", "CALLS", "b", "1", 0.7, "jedi", {}, 2), ("a", "CALLS", "z", "1", 0.5, "jedi", {}, 3)], EDGE + ", ord long")
+    new = spark.createDataFrame(
+        [
+            ("a", "CALLS", "b", "1", 0.2, "jedi", {}, 1), ("a", "CALLS", "b", "1", 0.7, "jedi", {}, 2),
+            ("a", "CALLS", "z", "1", 0.5, "jedi", {}, 3)
+        ],
+        EDGE + ", ord long"
+    )
     once = g.upsert_edges(new)
     twice = once.upsert_edges(new)
     rows = lambda x: sorted((r["src"], r["dst"], r["confidence"]) for r in x.edges.collect())
@@ -34,7 +43,10 @@ def test_upsert_is_idempotent_and_last_write_wins(spark):
 
 def test_node_labels_accumulate(spark):
     g = graph(spark, [], {"a": "Class"})
-    new = spark.createDataFrame([("a", ["Exception"], {"k": "1"}, 1), ("a", ["Class"], {"k": "2"}, 2)], "id string, labels array<string>, props map<string,string>, ord long")
+    new = spark.createDataFrame(
+        [("a", ["Exception"], {"k": "1"}, 1), ("a", ["Class"], {"k": "2"}, 2)],
+        "id string, labels array<string>, props map<string,string>, ord long"
+    )
     row = g.upsert_nodes(new).nodes.first()
     assert row["labels"] == ["Class", "Exception"] and row["props"] == {"k": "2"}
 
@@ -46,14 +58,23 @@ def test_validate_rejects_unknown_names(spark):
 
 
 def test_twins_slices_labels_containment(spark):
-    g = graph(spark, [("a.b", "DEFINED_IN", "a", PLACEHOLDER, "ast"), ("a.b", "DEFINED_IN", "a", "c1", "ast"), ("a.c", "DEFINED_IN", "a", PLACEHOLDER, "ast"), ("a", "CALLS", "b", "1", "jedi")])
+    g = graph(
+        spark,
+        [
+            ("a.b", "DEFINED_IN", "a", PLACEHOLDER, "ast"), ("a.b", "DEFINED_IN", "a", "c1", "ast"),
+            ("a.c", "DEFINED_IN", "a", PLACEHOLDER, "ast"), ("a", "CALLS", "b", "1", "jedi")
+        ]
+    )
     assert g.drop_twins().edges.count() == 3
     new = graph(spark, [("a", "CALLS", "c", "1", "jedi")]).edges
     once = g.replace_slice("CALLS", "jedi", new)
     assert once.edges.count() == once.replace_slice("CALLS", "jedi", new).edges.count() == 4
     ids = spark.createDataFrame([("a",), ("a.b",), ("a.b.c.d",)], "id string")
     assert [(r["src"], r["dst"]) for r in containment(ids).collect()] == [("a.b", "a")]
-    bare = PropertyGraph(spark.createDataFrame([("x", [], {}), ("y", ["Class"], {})], "id string, labels array<string>, props map<string,string>"), g.edges, CODE)
+    bare = PropertyGraph(
+        spark.createDataFrame([("x", [], {}), ("y", ["Class"], {})], "id string, labels array<string>, props map<string,string>"),
+        g.edges, CODE
+    )
     marked = bare.label_if_unlabelled(spark.createDataFrame([("x",), ("y",)], "id string"), "Function")
     assert {r["id"]: r["labels"] for r in marked.nodes.collect()} == {"x": ["Function"], "y": ["Class"]}
 
@@ -76,7 +97,10 @@ def test_neighbors_say_direction_and_self_loops_come_once(spark):
 
 def test_parameters_are_checked(spark):
     g = graph(spark, [("p.a", "CALLS", "b", "1", None)])
-    for bad in (Neighbors("nobody"), RelatedBy("p.a", "LIKES"), WrapChain("p.a", 9), WrapChain("p.a", True), EdgesFrom((), "CALLS"), InPackage("q", "CALLS"), OwnersOfName("a b")):
+    for bad in (
+        Neighbors("nobody"), RelatedBy("p.a", "LIKES"), WrapChain("p.a", 9), WrapChain("p.a", True), EdgesFrom((), "CALLS"),
+        InPackage("q", "CALLS"), OwnersOfName("a b")
+    ):
         with pytest.raises(PlanError):
             run_plan(bad, g, frozenset({"p.a"}), frozenset({"p"}))
     assert run_plan(InPackage("p", "CALLS"), g, frozenset(), frozenset({"p"})).count() == 1
@@ -105,12 +129,17 @@ def test_trails_against_a_walker(spark, seed):
     g = graph(spark, edges, dict.fromkeys(names, "Function"))
     start = spark.createDataFrame([("a",)], "id string")
     for directed, simple in itertools.product((True, False), repeat=2):
-        got = sorted((tuple(r["chain"]), tuple(r["chunk_ids"])) for r in paths.trails(g.edges, start, 3, directed, simple).collect())
+        got = sorted(
+            (tuple(r["chain"]), tuple(r["chunk_ids"])) for r in paths.trails(g.edges, start, 3, directed, simple).collect()
+        )
         assert got == brute_trails(edges, "a", 3, directed, simple)
 
 
 def test_call_chain_starts_from_members_and_drops_cycles(spark):
-    e = [("C.m", "DEFINED_IN", "C", "1", None), ("C.m", "CALLS", "f", "2", None), ("f", "CALLS", "C.m", "3", None), ("f", "CALLS", "g", "4", None)]
+    e = [
+        ("C.m", "DEFINED_IN", "C", "1", None), ("C.m", "CALLS", "f", "2", None), ("f", "CALLS", "C.m", "3", None),
+        ("f", "CALLS", "g", "4", None)
+    ]
     g = graph(spark, e, {"C": "Class", "C.m": "Function", "f": "Function", "g": "Function"})
     chains = {tuple(r["chain"]) for r in compile_plan(CallChain("C", 5), g).collect()}
     assert chains == {("C.m", "f"), ("C.m", "f", "g")}
@@ -118,7 +147,13 @@ def test_call_chain_starts_from_members_and_drops_cycles(spark):
 
 
 def test_shortest_path(spark):
-    g = graph(spark, [("a", "CALLS", "b", "1", None), ("c", "CALLS", "b", "1", None), ("c", "CALLS", "d", "1", None), ("x", "CALLS", "y", "1", None)])
+    g = graph(
+        spark,
+        [
+            ("a", "CALLS", "b", "1", None), ("c", "CALLS", "b", "1", None), ("c", "CALLS", "d", "1", None),
+            ("x", "CALLS", "y", "1", None)
+        ]
+    )
     assert paths.shortest_path(g.edges, "a", "d").first()["chain"] == ["a", "b", "c", "d"]
     assert paths.shortest_path(g.edges, "a", "y").count() == 0
 
@@ -130,4 +165,6 @@ def test_collapse_keeps_true_direction(spark):
 
 
 def test_plurals():
-    assert [plural(CODE.relationships[r].phrase) for r in ("INHERITS_FROM", "DEFINED_IN", "HAS_PARAMETER", "CHANGED_IN")] == ["inherit from", "are defined in", "have parameter", "changed in"]
+    assert [
+        plural(CODE.relationships[r].phrase) for r in ("INHERITS_FROM", "DEFINED_IN", "HAS_PARAMETER", "CHANGED_IN")
+    ] == ["inherit from", "are defined in", "have parameter", "changed in"]

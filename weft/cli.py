@@ -26,7 +26,10 @@ def _embedded(chunks, embedder: HashEmbedder):
     return chunks.withColumn("embedding", embed("embed_text"))
 
 
-def ingest(spark: SparkSession, store: str, roots: list[str], package: str | None = None, log: str | None = None, dry_run: bool = False, corpus: str | None = None, keep: bool = False) -> None:
+def ingest(
+    spark: SparkSession, store: str, roots: list[str], package: str | None = None, log: str | None = None, dry_run: bool = False,
+    corpus: str | None = None, keep: bool = False
+) -> None:
     """Read packages, write graph and chunks. With ``keep`` what is stored stays, and what is read goes over it."""
     repos = list(files.load_corpus(corpus).repos) if corpus else [files.detect_repo(r, package) for r in roots]
     sources = None
@@ -53,7 +56,9 @@ def ingest(spark: SparkSession, store: str, roots: list[str], package: str | Non
     embedded = _embedded(chunks, HashEmbedder(384))
     before = load(spark, store) if keep else None
     if before is not None:
-        graph = before.graph.upsert_nodes(graph.nodes.withColumn("ord", F.lit(0).cast("long"))).upsert_edges(graph.edges.withColumn("ord", F.lit(0).cast("long")))
+        graph = before.graph.upsert_nodes(
+            graph.nodes.withColumn("ord", F.lit(0).cast("long"))
+        ).upsert_edges(graph.edges.withColumn("ord", F.lit(0).cast("long")))
     embedded = upsert_chunks(before.chunks.select(*embedded.columns) if before else None, embedded)
     # All is computed before anything that it may read is overwritten.
     nodes, edges, embedded = settle(graph.nodes), settle(graph.edges), settle(embedded)
@@ -61,12 +66,18 @@ def ingest(spark: SparkSession, store: str, roots: list[str], package: str | Non
     edges.write.mode("overwrite").partitionBy("rel").parquet(f"{store}/edges")
     embedded.write.mode("overwrite").parquet(f"{store}/chunks")
     if told is not None:  # what became of each logged edge
-        told.select("source_surface", "source_type", "relationship", "target_surface", "target_type", "confidence", "chunk_id", F.col("src").alias("resolved_source_id"), F.col("dst").alias("resolved_target_id"), "skip_reason").write.mode("overwrite").json(f"{store}/edge-log")
+        told.select(
+            "source_surface", "source_type", "relationship", "target_surface", "target_type", "confidence", "chunk_id",
+            F.col("src").alias("resolved_source_id"), F.col("dst").alias("resolved_target_id"), "skip_reason"
+        ).write.mode("overwrite").json(f"{store}/edge-log")
 
 
 def load(spark: SparkSession, store: str) -> Engine:
     edges = spark.read.parquet(f"{store}/edges").select("src", "rel", "dst", "chunk_id", "confidence", "source", "props")
-    return Engine(PropertyGraph(spark.read.parquet(f"{store}/nodes"), edges, CODE), spark.read.parquet(f"{store}/chunks"), embedder=HashEmbedder(384))
+    return Engine(
+        PropertyGraph(spark.read.parquet(f"{store}/nodes"), edges, CODE), spark.read.parquet(f"{store}/chunks"),
+        embedder=HashEmbedder(384)
+    )
 
 
 def status(spark: SparkSession, store: str) -> None:

@@ -36,7 +36,9 @@ def stability(runs: DataFrame) -> dict[str, DataFrame]:
     return {"flip_rate": evals.flip_rate(runs).orderBy("system"), "layers": evals.layer_instability(runs, LAYERS).orderBy("system")}
 
 
-def oracle(pairs: DataFrame, edges: DataFrame, packages: tuple[str, ...] | None = None, implicit: DataFrame | None = None) -> dict[str, DataFrame]:
+def oracle(
+    pairs: DataFrame, edges: DataFrame, packages: tuple[str, ...] | None = None, implicit: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """Observed pairs (``kind, a, b``) held against the graph's edges, for each source and for all together, with what is missing."""
     parents = edges.where("rel = 'INHERITS_FROM'").select(F.col("src").alias("id"), F.col("dst").alias("parent"))
     up = hierarchy.closure(parents).select("id", "ancestor")
@@ -46,11 +48,20 @@ def oracle(pairs: DataFrame, edges: DataFrame, packages: tuple[str, ...] | None
         tagged = with_all_sources(edges.where(F.col("rel") == rel))
         for tag in sorted(r["tag"] for r in tagged.select("tag").distinct().collect()):  # a row per source
             graph = tagged.where(F.col("tag") == tag).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-            rates.append(hierarchy.compare_pairs(seen, graph, up, implicit, packages).select(F.lit(kind).alias("kind_of_pair"), F.lit(tag).alias("source"), "*"))
+            rates.append(
+                hierarchy.compare_pairs(seen, graph, up, implicit, packages).select(
+                    F.lit(kind).alias("kind_of_pair"), F.lit(tag).alias("source"), "*"
+                )
+            )
             if tag == "all":
-                lists.append(hierarchy.unmatched_pairs(seen, graph, up, implicit, packages).select(F.lit(kind).alias("kind_of_pair"), "*"))
+                lists.append(
+                    hierarchy.unmatched_pairs(seen, graph, up, implicit, packages).select(F.lit(kind).alias("kind_of_pair"), "*")
+                )
     union = lambda rows, empty: rows[0] if len(rows) == 1 else rows[0].unionByName(union(rows[1:], empty)) if rows else pairs.sparkSession.createDataFrame([], empty)
-    return {"rates": union(rates, "kind_of_pair string, source string"), "unmatched": union(lists, "kind_of_pair string, kind string, a string, b string")}
+    return {
+        "rates": union(rates, "kind_of_pair string, source string"),
+        "unmatched": union(lists, "kind_of_pair string, kind string, a string, b string")
+    }
 
 
 def report(tables: dict[str, DataFrame], out: str | None) -> None:
@@ -81,9 +92,18 @@ def main(argv: list[str] | None = None) -> None:
         report(summary(runs) if a.command == "summary" else stability(runs), a.out)
     elif a.command == "oracle":
         edges = spark.read.parquet(f"{a.store}/edges")
-        report(oracle(files.observed_pairs(spark, a.trace), edges, tuple(a.package) if a.package else None, files.implicit_callees(spark, a.trace)), a.out)
+        report(
+            oracle(
+                files.observed_pairs(spark, a.trace), edges, tuple(a.package) if a.package else None,
+                files.implicit_callees(spark, a.trace)
+            ),
+            a.out
+        )
     else:
-        report({"cost": evals.cost_estimate(spark.read.parquet(f"{a.store}/chunks").where(F.col("kind").isin("doc", "changelog")))}, a.out)
+        report(
+            {"cost": evals.cost_estimate(spark.read.parquet(f"{a.store}/chunks").where(F.col("kind").isin("doc", "changelog")))},
+            a.out
+        )
 
 
 if __name__ == "__main__":

@@ -61,7 +61,10 @@ class PropertyGraph:
         old = self.edges.withColumn(order, F.lit(-1).cast("long"))
         edges = last_write(old.unionByName(new), EDGE_KEY, order)
         ends = edges.select(F.col("src").alias("id")).unionAll(edges.select(F.col("dst").alias("id"))).distinct()
-        bare = ends.join(self.nodes, "id", "left_anti").select("id", F.array().cast("array<string>").alias("labels"), F.map_from_arrays(F.array(), F.array()).cast("map<string,string>").alias("props"))
+        bare = ends.join(self.nodes, "id", "left_anti").select(
+            "id", F.array().cast("array<string>").alias("labels"),
+            F.map_from_arrays(F.array(), F.array()).cast("map<string,string>").alias("props")
+        )
         return PropertyGraph(self.nodes.unionByName(bare), edges, self.ontology)
 
     def label_if_unlabelled(self, ids: DataFrame, label: str) -> PropertyGraph:
@@ -79,7 +82,9 @@ class PropertyGraph:
     def drop_twins(self, rel: str = "DEFINED_IN") -> PropertyGraph:
         """Delete placeholder edges whose (src, rel, dst) a real chunk backs too."""
         real = F.max(F.col("chunk_id") != PLACEHOLDER).over(Window.partitionBy("src", "rel", "dst"))
-        edges = self.edges.withColumn("_backed", real).where((F.col("rel") != rel) | (F.col("chunk_id") != PLACEHOLDER) | ~F.col("_backed")).drop("_backed")
+        edges = self.edges.withColumn("_backed", real).where(
+            (F.col("rel") != rel) | (F.col("chunk_id") != PLACEHOLDER) | ~F.col("_backed")
+        ).drop("_backed")
         return PropertyGraph(self.nodes, edges, self.ontology)
 
     def describe(self, ids: DataFrame | None = None) -> DataFrame:
@@ -89,13 +94,19 @@ class PropertyGraph:
         if ids is not None:
             ends = ends.join(ids.select("id").distinct(), "id", "left_semi")
         degree = ends.groupBy("id").agg(F.count("*").alias("degree"))
-        return nodes.select("id", "labels").join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
+        return nodes.select("id", "labels").join(degree, "id", "left").withColumn(
+            "degree", F.coalesce("degree", F.lit(0)).cast("long")
+        )
 
 
 def merge_nodes(rows: DataFrame, order: str = "ord") -> DataFrame:
     """``id, labels, props`` merged from writes ``id, labels, props, ord``."""
-    labels = rows.select("id", F.explode_outer("labels").alias("label")).groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    props = rows.select("id", F.explode("props").alias("k", "v"), order).groupBy("id", "k").agg(F.max_by("v", F.col(order)).alias("v"))
+    labels = rows.select("id", F.explode_outer("labels").alias("label")).groupBy("id").agg(
+        F.array_sort(F.collect_set("label")).alias("labels")
+    )
+    props = rows.select(
+        "id", F.explode("props").alias("k", "v"), order
+    ).groupBy("id", "k").agg(F.max_by("v", F.col(order)).alias("v"))
     props = props.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
     empty = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
     return labels.join(props, "id", "left").select("id", "labels", F.coalesce("props", empty).alias("props"))
@@ -140,5 +151,7 @@ def plausible_ends(edges: DataFrame, nodes: DataFrame, allowed: tuple[str, ...])
     out = edges
     for end in ("src", "dst"):
         labels = nodes.select(F.col("id").alias(end), F.col("labels").alias(f"_{end}"))
-        out = out.join(labels, end, "left").where(F.col(f"_{end}").isNull() | (F.size(f"_{end}") == 0) | F.arrays_overlap(f"_{end}", F.array(*map(F.lit, allowed)))).drop(f"_{end}")
+        out = out.join(labels, end, "left").where(
+            F.col(f"_{end}").isNull() | (F.size(f"_{end}") == 0) | F.arrays_overlap(f"_{end}", F.array(*map(F.lit, allowed)))
+        ).drop(f"_{end}")
     return out

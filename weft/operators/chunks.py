@@ -30,8 +30,12 @@ def pack(blocks: Column, max_chars: int = 2000, glue: str = "\n\n") -> Column:
         grown = last["size"] + len(glue) + n
         fits = (F.size(s["spans"]) > 0) & ((grown <= max_chars) | b.rlike(r"^[ \t]"))
         kept = F.slice(s["spans"], F.lit(1), F.greatest(F.size(s["spans"]) - 1, F.lit(0)))
-        longer = F.concat(kept, F.array(F.struct(last["first"].alias("first"), i.cast("int").alias("last"), grown.cast("int").alias("size"))))
-        fresh = F.concat(s["spans"], F.array(F.struct(i.cast("int").alias("first"), i.cast("int").alias("last"), n.cast("int").alias("size"))))
+        longer = F.concat(
+            kept, F.array(F.struct(last["first"].alias("first"), i.cast("int").alias("last"), grown.cast("int").alias("size")))
+        )
+        fresh = F.concat(
+            s["spans"], F.array(F.struct(i.cast("int").alias("first"), i.cast("int").alias("last"), n.cast("int").alias("size")))
+        )
         return F.struct(F.when(fits, longer).otherwise(fresh).alias("spans"), F.concat(s["seen"], F.array(F.lit(1))).alias("seen"))
 
     zero = F.struct(F.array().cast(spans).alias("spans"), F.array().cast("array<int>").alias("seen"))

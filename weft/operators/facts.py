@@ -34,7 +34,9 @@ def phrase(ontology: Ontology, rel: Column, subject_labels: Column, object_label
 def neighbor_facts(rows: DataFrame, entity_id: str, ontology: Ontology) -> DataFrame:
     """A statement for each neighbour row, with the true source of its edge as subject."""
     me = F.lit(entity_id)
-    sub, obj = F.when(F.col("outgoing"), me).otherwise(F.col("neighbor")), F.when(F.col("outgoing"), F.col("neighbor")).otherwise(me)
+    sub, obj = F.when(F.col("outgoing"), me).otherwise(F.col("neighbor")), F.when(
+        F.col("outgoing"), F.col("neighbor")
+    ).otherwise(me)
     sl = F.when(F.col("outgoing"), F.col("entity_labels")).otherwise(F.col("neighbor_labels"))
     ol = F.when(F.col("outgoing"), F.col("neighbor_labels")).otherwise(F.col("entity_labels"))
     text = F.concat(sub, F.lit(" "), phrase(ontology, F.col("relationship"), sl, ol), F.lit(" "), obj, F.lit("."))
@@ -42,8 +44,14 @@ def neighbor_facts(rows: DataFrame, entity_id: str, ontology: Ontology) -> DataF
 
 
 def edge_facts(rows: DataFrame, rel: str, ontology: Ontology) -> DataFrame:
-    text = F.concat("entity", F.lit(" "), phrase(ontology, F.lit(rel), F.col("entity_labels"), F.col("neighbor_labels")), F.lit(" "), "neighbor", F.lit("."))
-    return rows.select(text.alias("statement"), "chunk_id", F.lit(rel).alias("relationship"), "source", F.col("entity").alias("subject"), F.col("neighbor").alias("object"))
+    text = F.concat(
+        "entity", F.lit(" "), phrase(ontology, F.lit(rel), F.col("entity_labels"), F.col("neighbor_labels")), F.lit(" "),
+        "neighbor", F.lit(".")
+    )
+    return rows.select(
+        text.alias("statement"), "chunk_id", F.lit(rel).alias("relationship"), "source", F.col("entity").alias("subject"),
+        F.col("neighbor").alias("object")
+    )
 
 
 def path_facts(paths: DataFrame, default_rel: str, ontology: Ontology) -> DataFrame:
@@ -56,7 +64,11 @@ def path_facts(paths: DataFrame, default_rel: str, ontology: Ontology) -> DataFr
     head = F.concat(F.col("chain")[0], F.lit(" "), F.col("said")[0], F.lit(" "), F.col("chain")[1])
     tail = F.array_join(F.expr("transform(slice(said, 2, size(said)), (v, i) -> concat(', which ', v, ' ', chain[i + 2]))"), "")
     source = F.when(F.array_contains("sources", "llm"), "llm").otherwise(F.get("sources", F.lit(0)))
-    return rows.withColumn("said", said).select(F.concat(head, tail, F.lit(".")).alias("statement"), F.col("chunk_ids")[0].alias("chunk_id"), F.col("rels")[0].alias("relationship"), source.alias("source"), F.col("chain")[0].alias("subject"), F.element_at("chain", -1).alias("object"))
+    return rows.withColumn("said", said).select(
+        F.concat(head, tail, F.lit(".")).alias("statement"), F.col("chunk_ids")[0].alias("chunk_id"),
+        F.col("rels")[0].alias("relationship"), source.alias("source"), F.col("chain")[0].alias("subject"),
+        F.element_at("chain", -1).alias("object")
+    )
 
 
 def count_facts(rows: DataFrame, entity_id: str, rel: str, ontology: Ontology) -> DataFrame:
@@ -64,14 +76,19 @@ def count_facts(rows: DataFrame, entity_id: str, rel: str, ontology: Ontology) -
     verb = ontology.relationships[rel].phrase
     n = rows.agg(F.count_if(~F.col("outgoing")).alias("into"), F.count_if("outgoing").alias("out"))
     into = F.concat(F.col("into").cast("string"), F.lit(f" things {plural(verb)} {entity_id}."))
-    out = F.concat(F.lit(f"{entity_id} {verb} "), F.col("out").cast("string"), F.when(F.col("out") == 1, " thing.").otherwise(" things."))
+    out = F.concat(
+        F.lit(f"{entity_id} {verb} "), F.col("out").cast("string"), F.when(F.col("out") == 1, " thing.").otherwise(" things.")
+    )
     lines = n.select(F.explode(F.array_compact(F.array(into, F.when(F.col("out") > 0, out)))).alias("statement"))
     return _derived(lines, rel)
 
 
 def _derived(lines: DataFrame, rel: str | None) -> DataFrame:
     none = F.lit(None).cast("string")
-    return lines.select("statement", none.alias("chunk_id"), F.lit(rel).cast("string").alias("relationship"), none.alias("source"), none.alias("subject"), none.alias("object"))
+    return lines.select(
+        "statement", none.alias("chunk_id"), F.lit(rel).cast("string").alias("relationship"), none.alias("source"),
+        none.alias("subject"), none.alias("object")
+    )
 
 
 def kind_of(ontology: Ontology, labels: Column) -> Column:
@@ -83,9 +100,14 @@ def kind_of(ontology: Ontology, labels: Column) -> Column:
 
 def listings(rows: DataFrame, entity_id: str, rel: str, ontology: Ontology) -> DataFrame:
     """``kind, n, statement``: a line per kind of incoming neighbour that names them all."""
-    named = rows.where(~F.col("outgoing")).select(kind_of(ontology, F.col("neighbor_labels")).alias("kind"), F.substring_index("neighbor", ".", -1).alias("leaf")).where("kind is not null")
+    named = rows.where(~F.col("outgoing")).select(
+        kind_of(ontology, F.col("neighbor_labels")).alias("kind"), F.substring_index("neighbor", ".", -1).alias("leaf")
+    ).where("kind is not null")
     groups = named.groupBy("kind").agg(F.array_sort(F.collect_set("leaf")).alias("names"))
-    text = F.concat(F.size("names").cast("string"), F.lit(" "), "kind", F.lit(f" {plural(ontology.relationships[rel].phrase)} {entity_id}: "), F.array_join("names", ", "), F.lit("."))
+    text = F.concat(
+        F.size("names").cast("string"), F.lit(" "), "kind", F.lit(f" {plural(ontology.relationships[rel].phrase)} {entity_id}: "),
+        F.array_join("names", ", "), F.lit(".")
+    )
     return groups.select("kind", F.size("names").cast("long").alias("n"), text.alias("statement"))
 
 
@@ -138,9 +160,14 @@ def context_lines(facts: DataFrame, passages: DataFrame, ontology: Ontology) ->
     body = F.when(tag != "", F.concat(tag, F.lit(" "), "statement")).otherwise(F.col("statement"))
     line = F.when(F.col("chunk_id").isNotNull(), F.concat(F.lit("["), "chunk_id", F.lit("] "), body)).otherwise(body)
     means = F.create_map(*[x for k, r in ontology.relationships.items() for x in (F.lit(k), F.lit(r.meaning))])
-    shown = legend(facts).select(F.lit(0).alias("section"), F.col("first").alias("ord"), F.concat(F.lit("- "), "relationship", F.lit(": "), means[F.col("relationship")]).alias("text"))
+    shown = legend(facts).select(
+        F.lit(0).alias("section"), F.col("first").alias("ord"),
+        F.concat(F.lit("- "), "relationship", F.lit(": "), means[F.col("relationship")]).alias("text")
+    )
     left = passages_left(passages, facts)
-    return shown.unionAll(facts.select(F.lit(1), F.col("ord").cast("long"), line)).unionAll(left.select(F.lit(2), F.col("ord").cast("long"), F.concat(F.lit("["), "chunk_id", F.lit("] "), "text")))
+    return shown.unionAll(facts.select(F.lit(1), F.col("ord").cast("long"), line)).unionAll(
+        left.select(F.lit(2), F.col("ord").cast("long"), F.concat(F.lit("["), "chunk_id", F.lit("] "), "text"))
+    )
 
 
 def assemble(lines: list[tuple[int, int, str]]) -> str:

@@ -11,7 +11,9 @@ REFUSALS = (
     "does not contain", "doesn't contain", "not contain information", "no relevant information", "does not include",
 )
 ANSWERED_ANYWAY = ("however", "```", "general knowledge", "that said", "here is how", "here's how")
-NEGATORS = ("does not", "doesn't", "is not", "isn't", "no information", "not provide", "cannot", "can't", "never raises", "unable to")
+NEGATORS = (
+    "does not", "doesn't", "is not", "isn't", "no information", "not provide", "cannot", "can't", "never raises", "unable to"
+)
 
 
 def _any_of(text: Column, marks: tuple[str, ...]) -> Column:
@@ -35,12 +37,16 @@ def states(answer: Column, term: Column) -> Column:
     count = F.concat(F.lit("(?<!python )(?<![A-Za-z0-9_./])"), term, F.lit("(?![A-Za-z0-9_./])"))
     low = F.lower(answer)
     capital = F.substring(term, 1, 1).rlike(r"\p{Lu}")
-    return F.when(capital, F.regexp_like(answer, name(term))).when(term.rlike(r"^[0-9]+$"), F.regexp_like(low, count)).otherwise(F.regexp_like(low, name(F.lower(term))))
+    return F.when(capital, F.regexp_like(answer, name(term))).when(
+        term.rlike(r"^[0-9]+$"), F.regexp_like(low, count)
+    ).otherwise(F.regexp_like(low, name(F.lower(term))))
 
 
 def negated(answer: Column, term: Column) -> Column:
     """Whether every sentence with the term denies something; false where no sentence has it."""
-    sentences = F.filter(F.split(F.replace(F.lower(answer), F.lit("\n"), F.lit(". ")), r"\."), lambda s: F.contains(s, F.lower(term)))
+    sentences = F.filter(
+        F.split(F.replace(F.lower(answer), F.lit("\n"), F.lit(". ")), r"\."), lambda s: F.contains(s, F.lower(term))
+    )
     return (F.size(sentences) > 0) & F.forall(sentences, lambda s: _any_of(s, NEGATORS))
 
 

@@ -18,7 +18,9 @@ def closure(parents: DataFrame, max_depth: int = 16, reflexive: bool = False) ->
     now = step.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).where("id <> ancestor")
     known = now
     for depth in range(2, max_depth + 2):
-        further = now.alias("n").join(step.alias("s"), F.col("n.ancestor") == F.col("s.id")).select(F.col("n.id"), F.col("s.parent").alias("ancestor")).distinct()
+        further = now.alias("n").join(
+            step.alias("s"), F.col("n.ancestor") == F.col("s.id")
+        ).select(F.col("n.id"), F.col("s.parent").alias("ancestor")).distinct()
         now = settle(further.where("id <> ancestor").join(known, ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if now.isEmpty():
             break
@@ -41,7 +43,9 @@ def override_calls(calls: DataFrame, parents: DataFrame, universe: DataFrame) ->
     return forms.join(universe.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
 
 
-def _matched(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None, implicit: DataFrame | None, packages: tuple[str, ...] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _matched(
+    observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None, implicit: DataFrame | None, packages: tuple[str, ...] | None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Observed pairs, graph pairs, and ``a, b, fa, fb``: which observed pair confirms which graph pair."""
     if packages is not None:
         inside = [F.substring_index(c, ".", 1).isin(*packages, "builtins") for c in ("a", "b")]
@@ -60,7 +64,10 @@ def _matched(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None,
     return seen, graph, forms.join(graph.select(F.col("a").alias("fa"), F.col("b").alias("fb")), ["fa", "fb"])
 
 
-def unmatched_pairs(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None = None, implicit: DataFrame | None = None, packages: tuple[str, ...] | None = None) -> DataFrame:
+def unmatched_pairs(
+    observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None = None, implicit: DataFrame | None = None,
+    packages: tuple[str, ...] | None = None
+) -> DataFrame:
     """``kind, a, b``: observed pairs ``missing`` from the graph, and pairs of the graph ``unconfirmed`` by any observed one."""
     seen, graph, hits = _matched(observed, graph, hierarchy, implicit, packages)
     missing = seen.join(hits.select("a", "b").distinct(), ["a", "b"], "left_anti")
@@ -68,7 +75,10 @@ def unmatched_pairs(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame
     return missing.select(F.lit("missing").alias("kind"), "a", "b").unionAll(unconfirmed.select(F.lit("unconfirmed"), "a", "b"))
 
 
-def compare_pairs(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None = None, implicit: DataFrame | None = None, packages: tuple[str, ...] | None = None) -> DataFrame:
+def compare_pairs(
+    observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None = None, implicit: DataFrame | None = None,
+    packages: tuple[str, ...] | None = None
+) -> DataFrame:
     """One row: observed, in_graph, confirmed, recall and observed_precision (3 digits, null over 0).
 
     Pairs are columns ``a, b``. A call of a constructor is a call of its class, implicit callees
@@ -83,13 +93,18 @@ def compare_pairs(observed: DataFrame, graph: DataFrame, hierarchy: DataFrame |
         hits.agg(F.count_distinct("a", "b").alias("confirmed"), F.count_distinct("fa", "fb").alias("confirmed_graph")),
     ]
     one = counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # three rows of counts
-    return one.select("observed", "in_graph", "confirmed", F.round(F.try_divide(F.col("confirmed"), F.col("observed")), 3).alias("recall"), F.round(F.try_divide(F.col("confirmed_graph"), F.col("in_graph")), 3).alias("observed_precision"))
+    return one.select(
+        "observed", "in_graph", "confirmed", F.round(F.try_divide(F.col("confirmed"), F.col("observed")), 3).alias("recall"),
+        F.round(F.try_divide(F.col("confirmed_graph"), F.col("in_graph")), 3).alias("observed_precision")
+    )
 
 
 def member_summary(members: DataFrame, parents: DataFrame) -> DataFrame:
     """``base, n, names`` of the members (``id``) under each direct base, by leaf name."""
     rows = parents.join(members.select("id"), "id", "left_semi").distinct()
-    return rows.groupBy("parent").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.substring_index("id", ".", -1))), ", ").alias("names")).withColumnRenamed("parent", "base")
+    return rows.groupBy("parent").agg(
+        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.substring_index("id", ".", -1))), ", ").alias("names")
+    ).withColumnRenamed("parent", "base")
 
 
 def multi_base(members: DataFrame, parents: DataFrame) -> DataFrame:

@@ -17,10 +17,14 @@ def _steps(edges: DataFrame, directed: bool) -> DataFrame:
     """``at, to`` and the edge; both ways where undirected, a self-loop once."""
     key = F.struct("src", "rel", "dst", "chunk_id")
     own = edges.select("src", "rel", "dst", "chunk_id", "source", key.alias("edge"))
-    out = own.select(F.col("src").alias("at"), F.col("dst").alias("to"), "rel", "chunk_id", "source", F.col("src").alias("start"), "edge")
+    out = own.select(
+        F.col("src").alias("at"), F.col("dst").alias("to"), "rel", "chunk_id", "source", F.col("src").alias("start"), "edge"
+    )
     if directed:
         return out
-    back = own.where("src <> dst").select(F.col("dst").alias("at"), F.col("src").alias("to"), "rel", "chunk_id", "source", F.col("src").alias("start"), "edge")
+    back = own.where("src <> dst").select(
+        F.col("dst").alias("at"), F.col("src").alias("to"), "rel", "chunk_id", "source", F.col("src").alias("start"), "edge"
+    )
     return out.unionAll(back)
 
 
@@ -32,7 +36,10 @@ def trails(edges: DataFrame, start: DataFrame, max_hops: int, directed: bool, si
     """
     steps = _steps(edges, directed)
     text = "array<string>"
-    now = start.select(F.array("id").alias("chain"), *[F.array().cast(text).alias(c) for c in ("chunk_ids", "starts", "rels", "sources")], F.array().cast("array<struct<src:string,rel:string,dst:string,chunk_id:string>>").alias("edges"), F.col("id").alias("at"))
+    now = start.select(
+        F.array("id").alias("chain"), *[F.array().cast(text).alias(c) for c in ("chunk_ids", "starts", "rels", "sources")],
+        F.array().cast("array<struct<src:string,rel:string,dst:string,chunk_id:string>>").alias("edges"), F.col("id").alias("at")
+    )
     found = None
     for hop in range(1, max_hops + 1):
         joined = now.join(steps, "at").where(~F.array_contains("edges", F.col("edge")))
@@ -49,13 +56,19 @@ def trails(edges: DataFrame, start: DataFrame, max_hops: int, directed: bool, si
 
 def maximal(paths: DataFrame) -> DataFrame:
     """Paths whose chain is no proper prefix of another's; by an anti-join on exploded prefixes."""
-    prefixes = paths.select(F.explode(F.expr("transform(sequence(1, size(chain) - 1), n -> slice(chain, 1, n))")).alias("chain")).distinct()
+    prefixes = paths.select(
+        F.explode(F.expr("transform(sequence(1, size(chain) - 1), n -> slice(chain, 1, n))")).alias("chain")
+    ).distinct()
     return paths.join(prefixes, "chain", "left_anti")
 
 
 def collapsed(paths: DataFrame) -> DataFrame:
     """The distinct edges ``src, dst, chunk_id, source`` that walks pass, each in its true direction."""
-    hop = F.explode(F.expr("transform(chunk_ids, (c, i) -> struct(starts[i] AS src, if(chain[i] = starts[i], chain[i + 1], chain[i]) AS dst, c AS chunk_id, sources[i] AS source))"))
+    hop = F.explode(
+        F.expr(
+            "transform(chunk_ids, (c, i) -> struct(starts[i] AS src, if(chain[i] = starts[i], chain[i + 1], chain[i]) AS dst, c AS chunk_id, sources[i] AS source))"
+        )
+    )
     return paths.select(hop.alias("e")).select("e.*").distinct()
 
 
@@ -68,8 +81,15 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_hops: int = 4) ->
     seen = now.select("at")
     for _ in range(max_hops):
         # The frontier meets the stored edges in both directions; the graph itself is not doubled or regrouped.
-        steps = [now.join(edges.select(F.col(a).alias("at"), F.col(b).alias("to"), "rel").where("at <> to"), "at") for a, b in (("src", "dst"), ("dst", "src"))]
-        reached = steps[0].unionByName(steps[1]).select(F.array_append("chain", F.col("to")).alias("chain"), F.array_append("rels", F.col("rel")).alias("rels"), F.col("to").alias("at"))
+        steps = [
+            now.join(
+                edges.select(F.col(a).alias("at"), F.col(b).alias("to"), "rel").where("at <> to"), "at"
+            ) for a, b in (("src", "dst"), ("dst", "src"))
+        ]
+        reached = steps[0].unionByName(steps[1]).select(
+            F.array_append("chain", F.col("to")).alias("chain"), F.array_append("rels", F.col("rel")).alias("rels"),
+            F.col("to").alias("at")
+        )
         best = reached.join(seen, "at", "left_anti").groupBy("at").agg(F.min(F.struct("chain", "rels")).alias("p"))
         now = settle(best.select("p.chain", "p.rels", "at"))
         hit = now.where(F.col("at") == end)

@@ -14,7 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The builtin exceptions that code raises by bare name: those of the interpreter that runs.
-BUILTIN_EXCEPTIONS = tuple(sorted(name for name in dir(builtins) if inspect.isclass(getattr(builtins, name)) and BaseException in getattr(builtins, name).__mro__))
+BUILTIN_EXCEPTIONS = tuple(
+    sorted(
+        name for name in dir(builtins) if inspect.isclass(
+            getattr(builtins, name)
+        ) and BaseException in getattr(builtins, name).__mro__
+    )
+)
 
 
 def fold_name(s: Column) -> Column:
@@ -30,12 +36,16 @@ def suffixes(ids: DataFrame) -> DataFrame:
     """``suffix, id``: proper dotted suffixes of at least two segments."""
     parts = F.split("id", r"\.")
     rows = ids.select("id", parts.alias("p")).where("size(p) > 2")
-    return rows.select("id", F.explode(F.expr("transform(sequence(2, size(p) - 1), n -> array_join(slice(p, -n, n), '.'))")).alias("suffix"))
+    return rows.select(
+        "id", F.explode(F.expr("transform(sequence(2, size(p) - 1), n -> array_join(slice(p, -n, n), '.'))")).alias("suffix")
+    )
 
 
 def _unique(rows: DataFrame, key: str) -> DataFrame:
     """``key, n, id`` (the least), with sorted candidates."""
-    return rows.groupBy(key).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("candidates"))
+    return rows.groupBy(key).agg(
+        F.count_distinct("id").alias("n"), F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("candidates")
+    )
 
 
 def resolve(
@@ -59,21 +69,36 @@ def resolve(
     key = [F.col("surface"), F.col("module"), F.col("cls")]
 
     def rung(n: int, method: str, rows: DataFrame) -> DataFrame:
-        return rows.select(*key, F.lit(n).alias("rung"), F.lit(method).alias("method"), F.col("id").cast("string").alias("id"), F.col("candidates").cast("array<string>").alias("candidates"))
+        return rows.select(
+            *key, F.lit(n).alias("rung"), F.lit(method).alias("method"), F.col("id").cast("string").alias("id"),
+            F.col("candidates").cast("array<string>").alias("candidates")
+        )
 
     none = F.array().cast("array<string>")
     one = lambda rows: rows.withColumn("candidates", none)
     exact = one(asked.join(ids.withColumn("surface", F.col("id")), "surface"))
-    selfs = asked.where("cls is not null and surface like 'self.%'").withColumn("want", F.concat_ws(".", "cls", F.expr("substr(surface, 6)")))
+    selfs = asked.where("cls is not null and surface like 'self.%'").withColumn(
+        "want", F.concat_ws(".", "cls", F.expr("substr(surface, 6)"))
+    )
     selfs = one(selfs.join(ids.select("id", F.col("id").alias("want")), "want", "left"))
-    imported = one(asked.join(aliases.select("module", F.col("local").alias("surface"), F.col("target").alias("id")), ["module", "surface"]))
-    local = one(asked.withColumn("want", F.concat_ws(".", "module", "surface")).where("module is not null").join(ids.select("id", F.col("id").alias("want")), "want"))
-    roots = aliases.where(~F.contains("module", F.lit("."))).select(F.concat_ws(".", "module", "local").alias("surface"), F.col("target").alias("id"))
+    imported = one(
+        asked.join(aliases.select("module", F.col("local").alias("surface"), F.col("target").alias("id")), ["module", "surface"])
+    )
+    local = one(
+        asked.withColumn("want", F.concat_ws(".", "module", "surface")).where("module is not null").join(
+            ids.select("id", F.col("id").alias("want")), "want"
+        )
+    )
+    roots = aliases.where(~F.contains("module", F.lit("."))).select(
+        F.concat_ws(".", "module", "local").alias("surface"), F.col("target").alias("id")
+    )
     reexported = one(asked.join(roots, "surface"))
     dotted = asked.where(F.contains("surface", F.lit(".")))
     ends = suffixes(ids).withColumnRenamed("suffix", "surface").join(dotted.select("surface").distinct(), "surface", "left_semi")
     qualified = dotted.join(_unique(ends, "surface"), "surface")
-    qualified = qualified.withColumn("id", F.when(F.col("n") == 1, F.col("id"))).withColumn("candidates", F.when(F.col("n") > 1, F.col("candidates")).otherwise(none))
+    qualified = qualified.withColumn("id", F.when(F.col("n") == 1, F.col("id"))).withColumn(
+        "candidates", F.when(F.col("n") > 1, F.col("candidates")).otherwise(none)
+    )
     # The universe is cut down to the keys that are asked for before any index is built.
     wanted = lambda rows, keyed, key="key": rows.join(keyed.select(key).distinct(), key, "left_semi")
     leaves, folds = asked.withColumn("key", leaf(F.col("surface"))), asked.withColumn("key", fold_name(leaf(F.col("surface"))))
@@ -101,12 +126,24 @@ def resolve(
         named = documented.select(F.concat_ws(".", "function_id", "param").alias("id"))
         shown = spread.join(named, "id", "left_semi").withColumn("o", owner).withColumn("h", holder)
         known = public.select(F.col("id").alias("o"), F.lit(True).alias("po")).distinct()
-        shown = shown.join(known, "o", "left").join(known.select(F.col("o").alias("h"), F.col("po").alias("ph")), "h", "left").where("po or ph")
-        rungs.append(rung(9, "public_api", one(shown.groupBy(*key).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1"))))
+        shown = shown.join(known, "o", "left").join(
+            known.select(F.col("o").alias("h"), F.col("po").alias("ph")), "h", "left"
+        ).where("po or ph")
+        rungs.append(
+            rung(
+                9, "public_api",
+                one(shown.groupBy(*key).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1"))
+            )
+        )
     if calls is not None:
         own = spread.withColumn("o", owner)
-        others = own.alias("x").join(own.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("surface", "module", "cls")])
-        called = others.join(calls.select(F.col("src"), F.col("dst")).distinct(), (F.col("y.o") == F.col("src")) & (F.col("x.o") == F.col("dst")) & (F.col("x.o") != F.col("y.o")))
+        others = own.alias("x").join(
+            own.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("surface", "module", "cls")]
+        )
+        called = others.join(
+            calls.select(F.col("src"), F.col("dst")).distinct(),
+            (F.col("y.o") == F.col("src")) & (F.col("x.o") == F.col("dst")) & (F.col("x.o") != F.col("y.o"))
+        )
         called = called.select(*[F.col(f"x.{c}").alias(f"_{c}") for c in ("surface", "module", "cls", "id")]).distinct()
         on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("surface", "module", "cls", "id")]
         free = own.join(called, on, "left_anti").groupBy(*key).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
@@ -119,7 +156,10 @@ def resolve(
     first = first.select(*[F.col(c).alias(f"_{c}") for c in ("surface", "module", "cls")], "r")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("surface", "module", "cls")]
     out = asked.join(first, on, "left")
-    return out.select("surface", "module", "cls", F.col("r.id").alias("canonical_id"), F.coalesce("r.method", F.lit("unresolved")).alias("method"), F.coalesce("r.candidates", none).alias("candidates"))
+    return out.select(
+        "surface", "module", "cls", F.col("r.id").alias("canonical_id"),
+        F.coalesce("r.method", F.lit("unresolved")).alias("method"), F.coalesce("r.candidates", none).alias("candidates")
+    )
 
 
 def unambiguous_index(sections: DataFrame) -> DataFrame:
@@ -127,4 +167,6 @@ def unambiguous_index(sections: DataFrame) -> DataFrame:
     rows = sections.where("section is not null")
     fold = lambda c: F.regexp_replace(F.trim(F.lower(c)), r"\s+", " ")
     keys = F.array_distinct(F.array(fold(F.col("section")), fold(F.substring_index("section", " > ", -1))))
-    return rows.select(F.explode(keys).alias("key"), "id").where("key <> ''").groupBy("key").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").select("key", "id")
+    return rows.select(F.explode(keys).alias("key"), "id").where("key <> ''").groupBy("key").agg(
+        F.count_distinct("id").alias("n"), F.min("id").alias("id")
+    ).where("n = 1").select("key", "id")

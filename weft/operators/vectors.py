@@ -41,7 +41,10 @@ def nearest(table: DataFrame, query: list[float], k: int = 5, id_col: str = "chu
     return table.withColumn("dist", dist).orderBy("dist", id_col).limit(k)
 
 
-def batch_nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", include_self: bool = True) -> DataFrame:
+def batch_nearest(
+    table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
+    include_self: bool = True
+) -> DataFrame:
     """``query_id, <id>, dist, rank`` of the k nearest rows of ``table`` to each query (``query_id, vector``).
 
     A null vector, or one of another width than the first query's of a block, is no neighbour. Blocks of
@@ -75,7 +78,11 @@ def _block_nearest(table: DataFrame, rows: list, k: int, id_col: str, vector_col
         best_i = np.zeros((len(ids), 0), np.int64)
         for x in batches:
             v = x.column(1)
-            fit = np.flatnonzero((v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == q.shape[1]) & x.column(0).is_valid().to_numpy(zero_copy_only=False))
+            fit = np.flatnonzero(
+                (
+                    v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == q.shape[1]
+                ) & x.column(0).is_valid().to_numpy(zero_copy_only=False)
+            )
             step = max(64, _CELLS // len(ids))
             for lo in range(0, len(fit), step):
                 rows_ = pa.array(fit[lo : lo + step])
@@ -96,7 +103,10 @@ def _block_nearest(table: DataFrame, rows: list, k: int, id_col: str, vector_col
                 take = np.lexsort((i, d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(d, take, 1), np.take_along_axis(i, take, 1)
         keep = np.isfinite(best_d)
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best_d.shape)[keep]), pa.array(best_i[keep]), pa.array(best_d[keep])], ["query_id", id_col, "dist"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.broadcast_to(ids[:, None], best_d.shape)[keep]), pa.array(best_i[keep]), pa.array(best_d[keep])],
+            ["query_id", id_col, "dist"]
+        )
 
     near = table.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(run, out_schema)
     w = Window.partitionBy("query_id").orderBy("dist", id_col)
@@ -105,5 +115,9 @@ def _block_nearest(table: DataFrame, rows: list, k: int, id_col: str, vector_col
 
 def recall_at_k(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Share of questions (``query_id``) with any relevant ``id`` among the first k: one row ``recall``."""
-    hit = found.where(F.col("rank") <= k).select("query_id", "id").join(relevant.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1.0))
-    return relevant.select("query_id").distinct().join(hit, "query_id", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
+    hit = found.where(F.col("rank") <= k).select("query_id", "id").join(
+        relevant.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi"
+    ).select("query_id").distinct().withColumn("hit", F.lit(1.0))
+    return relevant.select("query_id").distinct().join(hit, "query_id", "left").agg(
+        F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall")
+    )

@@ -43,7 +43,9 @@ def verbalize(plan: Plan, rows: DataFrame, g: PropertyGraph) -> DataFrame:
             return facts.neighbor_facts(rows, plan.entity_id, o)
         case RelatedBy():
             stated = facts.neighbor_facts(rows, plan.entity_id, o)
-            listed = facts.listings(rows, plan.entity_id, plan.rel, o).select("statement", *[F.lit(None).cast("string").alias(c) for c in facts.FACT[1:]])
+            listed = facts.listings(rows, plan.entity_id, plan.rel, o).select(
+                "statement", *[F.lit(None).cast("string").alias(c) for c in facts.FACT[1:]]
+            )
             return stated.unionByName(facts.count_facts(rows, plan.entity_id, plan.rel, o)).unionByName(listed)
         case WrapChain() | CallChain() | PathBetween():
             if isinstance(plan, CallChain):
@@ -52,16 +54,25 @@ def verbalize(plan: Plan, rows: DataFrame, g: PropertyGraph) -> DataFrame:
             if isinstance(plan, WrapChain):
                 from .operators.paths import collapsed
 
-                edges = collapsed(hops).select(F.col("src").alias("entity"), F.col("dst").alias("neighbor"), "chunk_id", "source", F.array().cast("array<string>").alias("entity_labels"), F.array().cast("array<string>").alias("neighbor_labels"))
+                edges = collapsed(hops).select(
+                    F.col("src").alias("entity"), F.col("dst").alias("neighbor"), "chunk_id", "source",
+                    F.array().cast("array<string>").alias("entity_labels"), F.array().cast("array<string>").alias("neighbor_labels")
+                )
                 return facts.edge_facts(edges, plan.rel, o)
             text = F.concat(F.lit("A shortest connection: "), F.array_join("chain", " - "), F.lit("."))
             return rows.select(text.alias("statement"), *[F.lit(None).cast("string").alias(c) for c in facts.FACT[1:]])
         case CountRel():
             text = F.concat(F.lit("There are "), F.col("count").cast("string"), F.lit(f" {plan.rel} relationships."))
-            return rows.select(text.alias("statement"), F.lit(None).cast("string").alias("chunk_id"), F.lit(plan.rel).alias("relationship"), *[F.lit(None).cast("string").alias(c) for c in facts.FACT[3:]])
+            return rows.select(
+                text.alias("statement"), F.lit(None).cast("string").alias("chunk_id"), F.lit(plan.rel).alias("relationship"),
+                *[F.lit(None).cast("string").alias(c) for c in facts.FACT[3:]]
+            )
         case DocsFor():
             text = F.concat(F.lit(f"{plan.entity_id} {o.relationships[plan.rel].phrase} "), "doc_section", F.lit("."))
-            return rows.select(text.alias("statement"), "chunk_id", F.lit(plan.rel).alias("relationship"), F.lit("llm").alias("source"), F.lit(plan.entity_id).alias("subject"), F.col("doc_section").alias("object"))
+            return rows.select(
+                text.alias("statement"), "chunk_id", F.lit(plan.rel).alias("relationship"), F.lit("llm").alias("source"),
+                F.lit(plan.entity_id).alias("subject"), F.col("doc_section").alias("object")
+            )
     return facts.edge_facts(rows, plan.rel, o)
 
 
@@ -73,7 +84,11 @@ def _rows(df: DataFrame) -> list[dict]:
 class Engine:
     """A graph and a chunk table with the providers that read questions."""
 
-    def __init__(self, graph: PropertyGraph, chunks: DataFrame | None = None, aliases: DataFrame | None = None, embedder: Embedder | None = None, router: Router | None = None, planner: Planner | None = None, synthesizer: Synthesizer | None = None, reader: MentionReader | None = None):
+    def __init__(
+        self, graph: PropertyGraph, chunks: DataFrame | None = None, aliases: DataFrame | None = None,
+        embedder: Embedder | None = None, router: Router | None = None, planner: Planner | None = None,
+        synthesizer: Synthesizer | None = None, reader: MentionReader | None = None
+    ):
         self.graph, self.chunks, self.aliases = graph, chunks, aliases
         self.embedder, self.router = embedder or HashEmbedder(), router or RuleRouter()
         self.planner, self.synthesizer = planner or RulePlanner(graph.ontology), synthesizer or ExtractiveSynthesizer()
@@ -94,12 +109,19 @@ class Engine:
             return ()
         asked = self.spark.createDataFrame([(n, None, None) for n in names], "surface string, module string, cls string")
         found = resolve(asked, self.graph.nodes.select("id"), self.aliases)
-        ids = found.select("surface", F.explode(F.when(F.col("canonical_id").isNotNull(), F.array("canonical_id")).otherwise(F.col("candidates"))).alias("id"))
+        ids = found.select(
+            "surface",
+            F.explode(F.when(F.col("canonical_id").isNotNull(), F.array("canonical_id")).otherwise(F.col("candidates"))).alias("id")
+        )
         known = self.graph.describe(ids.select("id"))
         rows = _rows(ids.join(known, "id"))
         inside = {r["surface"] for r in rows if r["id"].startswith(package[r["surface"]] + ".")}
         rows = [r for r in rows if r["surface"] not in inside or r["id"].startswith(package[r["surface"]] + ".")]
-        kept = [r for r in rows if "Parameter" not in r["labels"] or not any(o["surface"] == r["surface"] and "Parameter" not in o["labels"] for o in rows)]
+        kept = [
+            r for r in rows if "Parameter" not in r["labels"] or not any(
+                o["surface"] == r["surface"] and "Parameter" not in o["labels"] for o in rows
+            )
+        ]
         place = {n: i for i, n in enumerate(names)}
         kept.sort(key=lambda r: (place[r["surface"]], -r["degree"], r["id"]))
         seen = dict.fromkeys(r["id"] for r in kept)
@@ -119,7 +141,9 @@ class Engine:
 
         @F.pandas_udf("double")
         def alike(statements: pd.Series) -> pd.Series:
-            return pd.Series([sum(a * b for a, b in zip(asked, v, strict=True)) for v in embedder.embed(statements.tolist())], dtype="float64")
+            return pd.Series(
+                [sum(a * b for a, b in zip(asked, v, strict=True)) for v in embedder.embed(statements.tolist())], dtype="float64"
+            )
 
         scored = stated.withColumn("score", alike("statement")).withColumn("ord", F.struct(*order))
         return _rows(facts.rank_facts(scored, k).orderBy("ord"))
@@ -143,7 +167,9 @@ class Engine:
             if not start:
                 continue
             step = EdgesTo(start, hop.rel) if hop.incoming else EdgesFrom(start, hop.rel)
-            rows = _rows(facts.edge_facts(compile_plan(step, self.graph), hop.rel, self.graph.ontology).orderBy("statement", "chunk_id"))
+            rows = _rows(
+                facts.edge_facts(compile_plan(step, self.graph), hop.rel, self.graph.ontology).orderBy("statement", "chunk_id")
+            )
             stated = {f["statement"] for f in found + more}
             rows = [r for r in rows if r["statement"] not in stated]
             more += rows
@@ -206,12 +232,19 @@ class Engine:
         lines = ["Members by base class: " + "; ".join(f"{r['base'].rsplit('.', 1)[-1]}: {r['names']}" for r in by) + "."]
         if warnings:
             lines.append(f"{len(warnings)} members are warning classes: {', '.join(warnings)}.")
-        lines.append(f"{len(several)} members have more than one base class: {', '.join(several)}." if several else "No member has more than one base class.")
+        lines.append(
+            f"{len(several)} members have more than one base class: {', '.join(several)}." if several else "No member has more than one base class."
+        )
         return [dict.fromkeys(facts.FACT) | {"statement": t} for t in lines]
 
     def _assemble(self, out: Retrieval) -> None:
-        f = self.spark.createDataFrame([tuple(r[c] for c in facts.FACT) + (i,) for i, r in enumerate(out.facts)], ", ".join(f"{c} string" for c in facts.FACT) + ", ord int")
-        p = self.spark.createDataFrame([(r["chunk_id"], r["text"], i) for i, r in enumerate(out.passages)], "chunk_id string, text string, ord int")
+        f = self.spark.createDataFrame(
+            [tuple(r[c] for c in facts.FACT) + (i,) for i, r in enumerate(out.facts)],
+            ", ".join(f"{c} string" for c in facts.FACT) + ", ord int"
+        )
+        p = self.spark.createDataFrame(
+            [(r["chunk_id"], r["text"], i) for i, r in enumerate(out.passages)], "chunk_id string, text string, ord int"
+        )
         lines = [(r["section"], r["ord"], r["text"]) for r in facts.context_lines(f, p, self.graph.ontology).collect()]
         out.context = facts.assemble(lines)
         out.retrieved_ids = frozenset([r["chunk_id"] for r in out.facts if r["chunk_id"]] + [r["chunk_id"] for r in out.passages])

@@ -33,15 +33,23 @@ def _labels(rows: DataFrame, g: PropertyGraph, **names: str) -> DataFrame:
 def _touching(g: PropertyGraph, edges: DataFrame, entity_id: str) -> DataFrame:
     """Edges at a node in either direction; a self-loop once, as outgoing."""
     edges = _sourced(edges)
-    out = edges.where(F.col("src") == entity_id).select("rel", F.col("src").alias("entity"), F.col("dst").alias("neighbor"), "chunk_id", F.lit(True).alias("outgoing"), "source")
-    into = edges.where((F.col("dst") == entity_id) & (F.col("src") != entity_id)).select("rel", F.col("dst").alias("entity"), F.col("src").alias("neighbor"), "chunk_id", F.lit(False).alias("outgoing"), "source")
+    out = edges.where(F.col("src") == entity_id).select(
+        "rel", F.col("src").alias("entity"), F.col("dst").alias("neighbor"), "chunk_id", F.lit(True).alias("outgoing"), "source"
+    )
+    into = edges.where((F.col("dst") == entity_id) & (F.col("src") != entity_id)).select(
+        "rel", F.col("dst").alias("entity"), F.col("src").alias("neighbor"), "chunk_id", F.lit(False).alias("outgoing"), "source"
+    )
     rows = _labels(out.unionAll(into), g, entity="entity_labels", neighbor="neighbor_labels")
-    return rows.select(F.col("rel").alias("relationship"), "neighbor", "chunk_id", "outgoing", "entity_labels", "neighbor_labels", "source")
+    return rows.select(
+        F.col("rel").alias("relationship"), "neighbor", "chunk_id", "outgoing", "entity_labels", "neighbor_labels", "source"
+    )
 
 
 def _edge_rows(g: PropertyGraph, edges: DataFrame) -> DataFrame:
     rows = _sourced(edges).select(F.col("src").alias("entity"), F.col("dst").alias("neighbor"), "chunk_id", "source")
-    return _labels(rows, g, entity="entity_labels", neighbor="neighbor_labels").select("entity", "neighbor", "chunk_id", "source", "entity_labels", "neighbor_labels")
+    return _labels(rows, g, entity="entity_labels", neighbor="neighbor_labels").select(
+        "entity", "neighbor", "chunk_id", "source", "entity_labels", "neighbor_labels"
+    )
 
 
 @singledispatch
@@ -78,7 +86,9 @@ def _(plan: CallChain, g: PropertyGraph) -> DataFrame:
     members = g.rel("DEFINED_IN").join(own, "dst", "left_semi").select(F.col("src").alias("id"))
     start = members.unionAll(anchor.select("id")).distinct()
     rows = trails(_sourced(g.rel(*plan.rels)), start, plan.max_hops, directed=True, simple=True)
-    return rows.orderBy(F.size("chain"), "chain", "chunk_ids").limit(CALL_LIMIT).select("chain", "chunk_ids", "starts", "rels", "sources")
+    return rows.orderBy(F.size("chain"), "chain", "chunk_ids").limit(CALL_LIMIT).select(
+        "chain", "chunk_ids", "starts", "rels", "sources"
+    )
 
 
 @compile_plan.register
@@ -116,7 +126,9 @@ def _(plan: InPackage, g: PropertyGraph) -> DataFrame:
 
 
 def _named(g: PropertyGraph, plan: FlowOfName | OwnersOfName) -> DataFrame:
-    holders = g.nodes.where(F.col("id").endswith("." + plan.name) & F.array_contains("labels", plan.label)).select(F.col("id").alias("src"))
+    holders = g.nodes.where(
+        F.col("id").endswith("." + plan.name) & F.array_contains("labels", plan.label)
+    ).select(F.col("id").alias("src"))
     return g.rel(plan.rel).where(F.col("src").endswith("." + plan.name)).join(holders, "src", "left_semi")
 
 

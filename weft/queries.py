@@ -34,11 +34,17 @@ def _csv(c: str) -> F.Column:
 
 
 def _neighbor_columns(rows: DataFrame) -> DataFrame:
-    return rows.select("relationship", "neighbor", "chunk_id", "outgoing", _csv("entity_labels").alias("entity_labels"), _csv("neighbor_labels").alias("neighbor_labels"), "source")
+    return rows.select(
+        "relationship", "neighbor", "chunk_id", "outgoing", _csv("entity_labels").alias("entity_labels"),
+        _csv("neighbor_labels").alias("neighbor_labels"), "source"
+    )
 
 
 def _edge_columns(rows: DataFrame) -> DataFrame:
-    return rows.select("entity", "neighbor", "chunk_id", "source", _csv("entity_labels").alias("entity_labels"), _csv("neighbor_labels").alias("neighbor_labels"))
+    return rows.select(
+        "entity", "neighbor", "chunk_id", "source", _csv("entity_labels").alias("entity_labels"),
+        _csv("neighbor_labels").alias("neighbor_labels")
+    )
 
 
 # -- model ---------------------------------------------------------------------------------------
@@ -75,7 +81,10 @@ def status_by_source(spark: SparkSession, d: str) -> DataFrame:
 def status_by_type(spark: SparkSession, d: str) -> DataFrame:
     e = Star(spark, d).edges()
     parser = F.col("rel").isin(*STAR.family("parser"))
-    return e.groupBy("rel").agg(F.count("*").alias("n"), F.sum(F.when(parser, 1).otherwise(0)).alias("parser_edges"), F.sum(F.when(parser, 0).otherwise(1)).alias("model_edges"))
+    return e.groupBy("rel").agg(
+        F.count("*").alias("n"), F.sum(F.when(parser, 1).otherwise(0)).alias("parser_edges"),
+        F.sum(F.when(parser, 0).otherwise(1)).alias("model_edges")
+    )
 
 
 @query
@@ -86,7 +95,9 @@ def status_by_repo(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def package_roots(spark: SparkSession, d: str) -> DataFrame:
-    return Star(spark, d).labelled("Region", "Nation", "Catalog", "Brand").where(~F.contains("id", F.lit("."))).select("id", "label")
+    return Star(spark, d).labelled(
+        "Region", "Nation", "Catalog", "Brand"
+    ).where(~F.contains("id", F.lit("."))).select("id", "label")
 
 
 # -- templates -----------------------------------------------------------------------------------
@@ -206,7 +217,9 @@ def t3_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def _calls(s: Star) -> DataFrame:
     start = s.labelled("EventType").where("id = 'click'").select("id")
-    return paths.trails(s.transitions().withColumn("source", F.coalesce("source", F.lit("llm"))), start, 5, directed=True, simple=True)
+    return paths.trails(
+        s.transitions().withColumn("source", F.coalesce("source", F.lit("llm"))), start, 5, directed=True, simple=True
+    )
 
 
 @query
@@ -237,7 +250,9 @@ def t2_shortest(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
     ends = s.customers().agg(F.min("customer_id").alias("a"), F.max("customer_id").alias("b")).first()
     g = G.PropertyGraph(s.nodes(*PLACES), s.defined_in(*PLACES).unionByName(_region_ring(s)), STAR)
-    return paths.shortest_path(g.edges, ends["a"].rsplit(".", 1)[0], ends["b"].rsplit(".", 1)[0]).select(F.array_join("chain", "|").alias("chain"), F.array_join("rels", "|").alias("rels"))
+    return paths.shortest_path(g.edges, ends["a"].rsplit(".", 1)[0], ends["b"].rsplit(".", 1)[0]).select(
+        F.array_join("chain", "|").alias("chain"), F.array_join("rels", "|").alias("rels")
+    )
 
 
 def _region_ring(s: Star) -> DataFrame:
@@ -245,7 +260,10 @@ def _region_ring(s: Star) -> DataFrame:
     r = s.table("region").select("r_name")
     rows = r.select(F.col("r_name").alias("src")).crossJoin(F.broadcast(r.select(F.col("r_name").alias("dst")))).where("src < dst")  # 5 rows by 5
     empty = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
-    return rows.select("src", F.lit("NEXT").alias("rel"), "dst", F.lit("ring").alias("chunk_id"), F.lit(1.0).alias("confidence"), F.lit("ast").alias("source"), empty.alias("props"))
+    return rows.select(
+        "src", F.lit("NEXT").alias("rel"), "dst", F.lit("ring").alias("chunk_id"), F.lit(1.0).alias("confidence"),
+        F.lit("ast").alias("source"), empty.alias("props")
+    )
 
 
 @query
@@ -271,10 +289,14 @@ def ancestors(spark: SparkSession, d: str) -> DataFrame:
 def override_closure(spark: SparkSession, d: str) -> DataFrame:
     """Base ``catalog`` and its brands as classes, part sizes as methods; a call to a base's method reaches each override."""
     s = Star(spark, d)
-    parts = s.table("part").select(F.concat(F.lit("catalog."), "p_brand").alias("cls"), F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("m")).distinct()
+    parts = s.table("part").select(
+        F.concat(F.lit("catalog."), "p_brand").alias("cls"), F.concat(F.lit("m"), F.col("p_size").cast("string")).alias("m")
+    ).distinct()
     universe = parts.select(F.concat_ws(".", "cls", "m").alias("id"))
     parents = parts.select(F.col("cls").alias("id"), F.lit("catalog").alias("parent")).distinct()
-    calls = s.table("region").select(F.col("r_name").alias("src"), F.concat(F.lit("catalog.m"), (F.col("r_regionkey") + 1).cast("string")).alias("dst"))
+    calls = s.table("region").select(
+        F.col("r_name").alias("src"), F.concat(F.lit("catalog.m"), (F.col("r_regionkey") + 1).cast("string")).alias("dst")
+    )
     return hierarchy.override_calls(calls, parents, universe)
 
 
@@ -282,7 +304,9 @@ def _observed(s: Star) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders' customers as observed pairs, the nations of one market segment as graph pairs, containment as hierarchy."""
     seen = s.orders().select(F.col("order_id").alias("a"), F.regexp_replace("order_id", r"\.[^.]*$", "").alias("b"))
     segment = s.table("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    graph = s.customers().join(segment, "c_custkey", "left_semi").select(F.regexp_replace("customer_id", r"\.[^.]*$", "").alias("a")).distinct()
+    graph = s.customers().join(segment, "c_custkey", "left_semi").select(
+        F.regexp_replace("customer_id", r"\.[^.]*$", "").alias("a")
+    ).distinct()
     graph = graph.select("a", F.regexp_replace("a", r"\.[^.]*$", "").alias("b"))
     return seen, graph, hierarchy.closure(_parents(s)).select("id", "ancestor")
 
@@ -322,7 +346,12 @@ def multi_base_members(spark: SparkSession, d: str) -> DataFrame:
 def edge_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Lines as edge writes: the last of a key, by ship date and price, sets the confidence."""
     lines = Star(spark, d).table("lineitem")
-    rows = lines.select(F.col("l_suppkey").cast("string").alias("src"), F.lit("SUPPLIES").alias("rel"), F.col("l_partkey").cast("string").alias("dst"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"), F.col("l_discount").alias("confidence"), F.struct("l_shipdate", "l_extendedprice", "l_discount").alias("ord"))
+    rows = lines.select(
+        F.col("l_suppkey").cast("string").alias("src"), F.lit("SUPPLIES").alias("rel"),
+        F.col("l_partkey").cast("string").alias("dst"),
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id"),
+        F.col("l_discount").alias("confidence"), F.struct("l_shipdate", "l_extendedprice", "l_discount").alias("ord")
+    )
     return G.last_write(rows, G.EDGE_KEY, "ord").select("src", "rel", "dst", "chunk_id", "confidence")
 
 
@@ -330,7 +359,10 @@ def edge_upsert(spark: SparkSession, d: str) -> DataFrame:
 def node_label_merge(spark: SparkSession, d: str) -> DataFrame:
     """Segments of a nation's customers as labels that accumulate, and the last balance as a property."""
     c = Star(spark, d).table("customer")
-    rows = c.select(F.col("c_nationkey").cast("string").alias("id"), F.array("c_mktsegment").alias("labels"), F.create_map(F.lit("last"), F.col("c_name")).alias("props"), F.col("c_custkey").alias("ord"))
+    rows = c.select(
+        F.col("c_nationkey").cast("string").alias("id"), F.array("c_mktsegment").alias("labels"),
+        F.create_map(F.lit("last"), F.col("c_name")).alias("props"), F.col("c_custkey").alias("ord")
+    )
     return G.merge_nodes(rows).select("id", _csv("labels").alias("labels"), F.col("props")["last"].alias("last"))
 
 
@@ -338,9 +370,13 @@ def node_label_merge(spark: SparkSession, d: str) -> DataFrame:
 def twin_delete(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
     rows = s.supplies().drop("props").withColumn("order", F.regexp_extract("chunk_id", r"^(\d+)", 1).cast("long"))
-    marked = rows.withColumn("chunk_id", F.when(F.col("order") % 3 == 0, F.lit(G.PLACEHOLDER)).otherwise(F.col("chunk_id"))).drop("order").distinct()
+    marked = rows.withColumn(
+        "chunk_id", F.when(F.col("order") % 3 == 0, F.lit(G.PLACEHOLDER)).otherwise(F.col("chunk_id"))
+    ).drop("order").distinct()
     left = G.PropertyGraph(s.nodes("Part"), marked, STAR).drop_twins("SUPPLIES").edges
-    return left.groupBy((F.col("chunk_id") == G.PLACEHOLDER).alias("placeholder")).agg(F.count("*").alias("n"), F.count_distinct("src", "dst").alias("pairs"))
+    return left.groupBy((F.col("chunk_id") == G.PLACEHOLDER).alias("placeholder")).agg(
+        F.count("*").alias("n"), F.count_distinct("src", "dst").alias("pairs")
+    )
 
 
 @query
@@ -349,7 +385,9 @@ def slice_replace(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
     g = G.PropertyGraph(s.nodes("Turn"), s.edges("REPLIES", "LINKS"), STAR)
     new = s.replies().where(F.regexp_extract("src", r"t(\d+)$", 1).cast("int") % 2 == 0)
-    return g.replace_slice("REPLIES", "ast", new).edges.groupBy("rel", "source").agg(F.count("*").alias("n"), F.min("src").alias("first"))
+    return g.replace_slice("REPLIES", "ast", new).edges.groupBy("rel", "source").agg(
+        F.count("*").alias("n"), F.min("src").alias("first")
+    )
 
 
 @query
@@ -364,7 +402,10 @@ def external_type_inference(spark: SparkSession, d: str) -> DataFrame:
 def endpoint_plausibility(spark: SparkSession, d: str) -> DataFrame:
     """Of all containments, those whose ends may be places."""
     s = Star(spark, d)
-    rows = G.plausible_ends(s.defined_in("Region", "Nation", "Customer", "Catalog", "Brand"), s.nodes("Region", "Nation", "Catalog", "Brand"), ("Region", "Nation"))
+    rows = G.plausible_ends(
+        s.defined_in("Region", "Nation", "Customer", "Catalog", "Brand"), s.nodes("Region", "Nation", "Catalog", "Brand"),
+        ("Region", "Nation")
+    )
     return rows.select("src", "dst")
 
 
@@ -372,7 +413,9 @@ def endpoint_plausibility(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resolved(s: Star, surface: F.Column) -> DataFrame:
-    names = s.nations().select(surface.alias("surface"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("cls"))
+    names = s.nations().select(
+        surface.alias("surface"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("cls")
+    )
     out = resolve.resolve(names, s.labelled("Region", "Nation", "Supplier").select("id"))
     return out.select("surface", "canonical_id", "method", F.array_join("candidates", ",").alias("candidates"))
 
@@ -391,16 +434,26 @@ def resolve_folded(spark: SparkSession, d: str) -> DataFrame:
 def resolve_suffix(spark: SparkSession, d: str) -> DataFrame:
     """Nation.Customer as a proper suffix of Region.Nation.Customer."""
     s = Star(spark, d)
-    names = s.customers().select(F.substring_index("customer_id", ".", -2).alias("surface"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("cls"))
-    return resolve.resolve(names, s.customers().select(F.col("customer_id").alias("id"))).select("surface", "canonical_id", "method")
+    names = s.customers().select(
+        F.substring_index("customer_id", ".", -2).alias("surface"), F.lit(None).cast("string").alias("module"),
+        F.lit(None).cast("string").alias("cls")
+    )
+    return resolve.resolve(
+        names, s.customers().select(F.col("customer_id").alias("id"))
+    ).select("surface", "canonical_id", "method")
 
 
 @query
 def resolve_ambiguous(spark: SparkSession, d: str) -> DataFrame:
     """Part keys' last digits as leaves: each leaf stands under many brands."""
     s = Star(spark, d)
-    universe = s.table("part").select(F.concat(F.lit("catalog."), "p_brand", F.lit(".S"), F.col("p_size").cast("string")).alias("id")).distinct()
-    names = s.table("part").select(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("surface"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("cls")).distinct()
+    universe = s.table("part").select(
+        F.concat(F.lit("catalog."), "p_brand", F.lit(".S"), F.col("p_size").cast("string")).alias("id")
+    ).distinct()
+    names = s.table("part").select(
+        F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("surface"), F.lit(None).cast("string").alias("module"),
+        F.lit(None).cast("string").alias("cls")
+    ).distinct()
     out = resolve.resolve(names, universe)
     return out.select("surface", "canonical_id", "method", F.array_join("candidates", ",").alias("candidates"))
 
@@ -411,7 +464,10 @@ def resolve_method_mix(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
     none = F.lit(None).cast("string")
     ids = s.customers().select(F.col("customer_id").alias("id"))
-    forms = [F.col("id"), F.substring_index("id", ".", -1), F.lower(F.substring_index("id", ".", -1)), F.concat(F.lit("no-such-"), "id"), F.substring_index("id", ".", -2)]
+    forms = [
+        F.col("id"), F.substring_index("id", ".", -1), F.lower(F.substring_index("id", ".", -1)), F.concat(F.lit("no-such-"), "id"),
+        F.substring_index("id", ".", -2)
+    ]
     names = ids.select(F.explode(F.array(*forms)).alias("surface"), none.alias("module"), none.alias("cls"))
     return resolve.resolve(names, ids).groupBy("method").agg(F.count("*").alias("n"))
 
@@ -422,13 +478,19 @@ def resolve_self_reference(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
     ids = s.customers().select(F.col("customer_id").alias("id"))
     cls, name = F.regexp_replace("id", r"\.[^.]*$", ""), F.substring_index("id", ".", -1)
-    asked = ids.select(F.explode(F.array(F.concat(F.lit("self."), name), F.lit("self.no_one"))).alias("surface"), F.lit(None).cast("string").alias("module"), cls.alias("cls"))
+    asked = ids.select(
+        F.explode(F.array(F.concat(F.lit("self."), name), F.lit("self.no_one"))).alias("surface"),
+        F.lit(None).cast("string").alias("module"), cls.alias("cls")
+    )
     return resolve.resolve(asked, ids).select("surface", "cls", "canonical_id", "method")
 
 
 def _local_names(s: Star) -> tuple[DataFrame, DataFrame]:
     """Customers' ids and, in the module of each nation, a local name for each of its customers."""
-    rows = s.customers().select(F.col("customer_id").alias("target"), F.regexp_replace("customer_id", r"\.[^.]*$", "").alias("module"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("local"))
+    rows = s.customers().select(
+        F.col("customer_id").alias("target"), F.regexp_replace("customer_id", r"\.[^.]*$", "").alias("module"),
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("local")
+    )
     return rows.select(F.col("target").alias("id")), rows
 
 
@@ -452,13 +514,18 @@ def resolve_reexport(spark: SparkSession, d: str) -> DataFrame:
     """The root module ``firm`` names all customers anew; they are asked for from nowhere in particular."""
     ids, names = _local_names(Star(spark, d))
     names = names.withColumn("module", F.lit("firm"))
-    asked = names.select(F.concat(F.lit("firm."), "local").alias("surface"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("string").alias("cls"))
+    asked = names.select(
+        F.concat(F.lit("firm."), "local").alias("surface"), F.lit(None).cast("string").alias("module"),
+        F.lit(None).cast("string").alias("cls")
+    )
     return resolve.resolve(asked, ids, names).select("surface", "canonical_id", "method")
 
 
 def _sizes(s: Star) -> tuple[DataFrame, DataFrame]:
     """Sizes of parts as names under each brand that has them, and those names as surfaces."""
-    rows = s.table("part").select(F.concat(F.lit("catalog."), "p_brand").alias("brand"), F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("leaf")).distinct()
+    rows = s.table("part").select(
+        F.concat(F.lit("catalog."), "p_brand").alias("brand"), F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("leaf")
+    ).distinct()
     none = F.lit(None).cast("string")
     return rows, rows.select(F.col("leaf").alias("surface"), none.alias("module"), none.alias("cls")).distinct()
 
@@ -468,7 +535,10 @@ def resolve_public_api(spark: SparkSession, d: str) -> DataFrame:
     """Of the brands that share a size, documentation names the first."""
     rows, asked = _sizes(Star(spark, d))
     documented = rows.groupBy("leaf").agg(F.min("brand").alias("function_id")).select("function_id", F.col("leaf").alias("param"))
-    out = resolve.resolve(asked, rows.select(F.concat_ws(".", "brand", "leaf").alias("id")), public=rows.select(F.col("brand").alias("id")), documented=documented)
+    out = resolve.resolve(
+        asked, rows.select(F.concat_ws(".", "brand", "leaf").alias("id")), public=rows.select(F.col("brand").alias("id")),
+        documented=documented
+    )
     return out.select("surface", "canonical_id", "method")
 
 
@@ -477,7 +547,9 @@ def resolve_call_graph(spark: SparkSession, d: str) -> DataFrame:
     """The first brand of all calls every other one, so where it has a size it is the one that no other candidate calls."""
     rows, asked = _sizes(Star(spark, d))
     first = rows.agg(F.min("brand").alias("src"))
-    calls = rows.select(F.col("brand").alias("dst")).distinct().join(F.broadcast(first), F.col("src") != F.col("dst")).select("src", "dst")  # one row
+    calls = rows.select(F.col("brand").alias("dst")).distinct().join(  # one row
+        F.broadcast(first), F.col("src") != F.col("dst")
+    ).select("src", "dst")
     out = resolve.resolve(asked, rows.select(F.concat_ws(".", "brand", "leaf").alias("id")), calls=calls)
     return out.select("surface", "canonical_id", "method")
 
@@ -486,7 +558,10 @@ def resolve_call_graph(spark: SparkSession, d: str) -> DataFrame:
 def resolve_builtin(spark: SparkSession, d: str) -> DataFrame:
     """Every builtin exception, raised by bare name in each region."""
     regions = Star(spark, d).table("region")
-    asked = regions.select(F.explode(F.array(*map(F.lit, resolve.BUILTIN_EXCEPTIONS))).alias("surface"), F.col("r_name").alias("module"), F.lit(None).cast("string").alias("cls"))
+    asked = regions.select(
+        F.explode(F.array(*map(F.lit, resolve.BUILTIN_EXCEPTIONS))).alias("surface"), F.col("r_name").alias("module"),
+        F.lit(None).cast("string").alias("cls")
+    )
     return resolve.resolve(asked, regions.select(F.col("r_name").alias("id"))).select("surface", "module", "canonical_id", "method")
 
 
@@ -505,7 +580,9 @@ def nearest_ancestor(spark: SparkSession, d: str) -> DataFrame:
 @query
 def edges_by_source_and_all(spark: SparkSession, d: str) -> DataFrame:
     """Distinct pairs by source, and of all sources together."""
-    return G.with_all_sources(Star(spark, d).edges("REPLIES", "LINKS", "NEXT")).groupBy("tag").agg(F.count("*").alias("pairs"), F.min("src").alias("first"))
+    return G.with_all_sources(Star(spark, d).edges("REPLIES", "LINKS", "NEXT")).groupBy("tag").agg(
+        F.count("*").alias("pairs"), F.min("src").alias("first")
+    )
 
 
 def _line_pairs(s: Star) -> tuple[DataFrame, DataFrame]:
@@ -532,9 +609,13 @@ def oracle_constructors(spark: SparkSession, d: str) -> DataFrame:
 def oracle_in_packages(spark: SparkSession, d: str) -> DataFrame:
     """Nations as callers, customers as callees; only those of two regions count."""
     s = Star(spark, d)
-    pairs = s.customers().select(F.regexp_replace("customer_id", r"\.[^.]*$", "").alias("a"), F.col("customer_id").alias("b"), "c_custkey")
+    pairs = s.customers().select(
+        F.regexp_replace("customer_id", r"\.[^.]*$", "").alias("a"), F.col("customer_id").alias("b"), "c_custkey"
+    )
     known = s.table("orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return hierarchy.compare_pairs(pairs.select("a", "b"), pairs.join(known, "c_custkey", "left_semi").select("a", "b"), packages=("ASIA", "EUROPE"))
+    return hierarchy.compare_pairs(
+        pairs.select("a", "b"), pairs.join(known, "c_custkey", "left_semi").select("a", "b"), packages=("ASIA", "EUROPE")
+    )
 
 
 @query
@@ -560,7 +641,9 @@ def bench_summary_credit(spark: SparkSession, d: str) -> DataFrame:
 
 def _upserted(s: Star) -> G.PropertyGraph:
     empty = s.edges("SUPPLIES").where(F.lit(False))
-    return G.PropertyGraph(s.nodes("Supplier"), empty, STAR).upsert_edges(s.edges("SUPPLIES").withColumn("ord", F.lit(0).cast("long")))
+    return G.PropertyGraph(s.nodes("Supplier"), empty, STAR).upsert_edges(
+        s.edges("SUPPLIES").withColumn("ord", F.lit(0).cast("long"))
+    )
 
 
 @query
@@ -574,7 +657,9 @@ def label_if_unlabelled(spark: SparkSession, d: str) -> DataFrame:
     """All ends of edges are asked to be parts: those without a label become so."""
     g = _upserted(Star(spark, d))
     ends = g.edges.select(F.col("src").alias("id")).unionAll(g.edges.select(F.col("dst").alias("id")))
-    return g.label_if_unlabelled(ends, "Part").nodes.groupBy(_csv("labels").alias("labels")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return g.label_if_unlabelled(ends, "Part").nodes.groupBy(_csv("labels").alias("labels")).agg(
+        F.count("*").alias("n"), F.min("id").alias("first")
+    )
 
 
 @query
@@ -583,11 +668,18 @@ def t5_call_chain(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
     parts = s.parts()
     after = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("part_id").alias("dst"))
-    calls = parts.join(after, "p_partkey").select(F.col("part_id").alias("src"), F.lit("CALLS").alias("rel"), "dst", F.col("part_id").alias("chunk_id"))
-    inside = parts.select(F.col("part_id").alias("src"), F.lit("DEFINED_IN").alias("rel"), F.col("brand_id").alias("dst"), F.col("part_id").alias("chunk_id"))
+    calls = parts.join(after, "p_partkey").select(
+        F.col("part_id").alias("src"), F.lit("CALLS").alias("rel"), "dst", F.col("part_id").alias("chunk_id")
+    )
+    inside = parts.select(
+        F.col("part_id").alias("src"), F.lit("DEFINED_IN").alias("rel"), F.col("brand_id").alias("dst"),
+        F.col("part_id").alias("chunk_id")
+    )
     empty = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
     edges = calls.unionAll(inside).select("*", F.lit(1.0).alias("confidence"), F.lit("ast").alias("source"), empty.alias("props"))
-    nodes = parts.select(F.col("part_id").alias("id"), F.array(F.lit("Function")).alias("labels")).unionAll(parts.select("brand_id", F.array(F.lit("Class"))).distinct()).withColumn("props", empty)
+    nodes = parts.select(
+        F.col("part_id").alias("id"), F.array(F.lit("Function")).alias("labels")
+    ).unionAll(parts.select("brand_id", F.array(F.lit("Class"))).distinct()).withColumn("props", empty)
     first = parts.agg(F.min("brand_id")).first()[0]
     rows = run_plan(P.CallChain(first, 5, ("CALLS",)), G.PropertyGraph(nodes, edges, CODE), frozenset({first}))
     return _path_columns(rows)
@@ -598,9 +690,14 @@ def extract_facts(spark: SparkSession, d: str) -> DataFrame:
     """A module of source text for each nation, its name and region written into it, and the facts read out of it."""
     s = Star(spark, d)
     body = "from {r} import Base\nclass {n}(Base):\n    def act(self, given, rest=1) -> Reply:\n        self.kept = given\n        helper(given)\n        raise KeyError(given)\n"
-    text = F.replace(F.replace(F.lit(body), F.lit("{r}"), F.replace(F.lower("r_name"), F.lit(" "), F.lit("_"))), F.lit("{n}"), F.col("n_name"))
+    text = F.replace(
+        F.replace(F.lit(body), F.lit("{r}"), F.replace(F.lower("r_name"), F.lit(" "), F.lit("_"))), F.lit("{n}"), F.col("n_name")
+    )
     nations = s.table("nation").join(F.broadcast(s.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    files = nations.select(F.lit("atlas").alias("repo"), F.concat(F.lit("atlas/"), "n_name", F.lit(".py")).alias("path"), F.concat(F.lit("atlas."), "n_name").alias("module"), text.alias("text"))
+    files = nations.select(
+        F.lit("atlas").alias("repo"), F.concat(F.lit("atlas/"), "n_name", F.lit(".py")).alias("path"),
+        F.concat(F.lit("atlas."), "n_name").alias("module"), text.alias("text")
+    )
     return extract(files).select("kind", "owner", _csv("surfaces").alias("surfaces"), "a", "b")
 
 
@@ -608,7 +705,9 @@ def extract_facts(spark: SparkSession, d: str) -> DataFrame:
 def doc_index_unambiguous(spark: SparkSession, d: str) -> DataFrame:
     """Part names as section titles under their brands; a key that names two parts is dropped."""
     p = Star(spark, d).table("part")
-    return resolve.unambiguous_index(p.select(F.concat_ws(" > ", "p_brand", "p_name").alias("section"), F.col("p_partkey").cast("string").alias("id")))
+    return resolve.unambiguous_index(
+        p.select(F.concat_ws(" > ", "p_brand", "p_name").alias("section"), F.col("p_partkey").cast("string").alias("id"))
+    )
 
 
 # -- text ----------------------------------------------------------------------------------------
@@ -617,7 +716,10 @@ def doc_index_unambiguous(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = Star(spark, d).table("documents")
-    return docs.select("doc_id", chunks.chunk_id(F.col("source"), F.col("doc_id").cast("string"), F.lit(1), F.size(F.split("text", "\n"))).alias("chunk_id"))
+    return docs.select(
+        "doc_id",
+        chunks.chunk_id(F.col("source"), F.col("doc_id").cast("string"), F.lit(1), F.size(F.split("text", "\n"))).alias("chunk_id")
+    )
 
 
 @query
@@ -625,7 +727,9 @@ def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     """Lines as paragraphs, packed to 600 characters."""
     docs = Star(spark, d).table("documents")
     packed = docs.select("doc_id", F.posexplode(chunks.pack(F.split("text", "\n"), 600)).alias("n", "s"))
-    return packed.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("s.size").alias("largest"), F.max("s.last").alias("last"))
+    return packed.groupBy("doc_id").agg(
+        F.count("*").alias("chunks"), F.max("s.size").alias("largest"), F.max("s.last").alias("last")
+    )
 
 
 # -- vectors -------------------------------------------------------------------------------------
@@ -652,9 +756,13 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
 def knn_batch_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """A neighbour is relevant if its label is the query's."""
     e = Star(spark, d).table("embeddings")
-    found = vectors.batch_nearest(e, _every_twentieth(e), 5, include_self=False).select("query_id", F.col("vec_id").alias("id"), "rank")
+    found = vectors.batch_nearest(e, _every_twentieth(e), 5, include_self=False).select(
+        "query_id", F.col("vec_id").alias("id"), "rank"
+    )
     label = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    relevant = _every_twentieth(e).select("query_id").join(label, "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("l")), "l").where("id <> query_id").select("query_id", "id")
+    relevant = _every_twentieth(e).select("query_id").join(label, "query_id").join(
+        e.select(F.col("vec_id").alias("id"), F.col("label").alias("l")), "l"
+    ).where("id <> query_id").select("query_id", "id")
     return vectors.recall_at_k(found, relevant, 5).select(F.round("recall", 6).alias("recall"))
 
 
@@ -663,7 +771,9 @@ def deeper_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Of the 20 nearest, the first 3 with an odd label, as a deeper search takes the first code passages."""
     e = Star(spark, d).table("embeddings")
     q = e.where("vec_id = 1").select("embedding").first()["embedding"]
-    return vectors.nearest(e, list(q), 20, "vec_id").where("label % 2 = 1").orderBy("dist", "vec_id").limit(3).select("vec_id", "dist")
+    return vectors.nearest(
+        e, list(q), 20, "vec_id"
+    ).where("label % 2 = 1").orderBy("dist", "vec_id").limit(3).select("vec_id", "dist")
 
 
 def _scored(s: Star) -> DataFrame:
@@ -671,7 +781,11 @@ def _scored(s: Star) -> DataFrame:
     docs = s.table("documents")
     score = F.round(F.col("n_chars") % 997 / 997.0, 6)
     source = F.when(F.regexp_extract("source", r"(\d+)", 1).cast("int") % 2 == 0, "ast").otherwise("llm")
-    return docs.select(F.col("doc_id").cast("int").alias("ord"), F.concat(F.lit("doc "), F.col("n_chars").cast("string")).alias("statement"), F.when(F.col("lang") != "en", F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("relationship"), source.alias("source"), score.alias("score"))
+    return docs.select(
+        F.col("doc_id").cast("int").alias("ord"), F.concat(F.lit("doc "), F.col("n_chars").cast("string")).alias("statement"),
+        F.when(F.col("lang") != "en", F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("relationship"),
+        source.alias("source"), score.alias("score")
+    )
 
 
 @query
@@ -702,9 +816,15 @@ def citations_valid(spark: SparkSession, d: str) -> DataFrame:
     """Answers that cite a document and its neighbour, against ids of the even documents."""
     docs = Star(spark, d).table("documents").select("doc_id", "n_chars")
     cite = lambda c: F.concat(F.lit("["), c.cast("string"), F.lit("]"))
-    answer = F.when(F.col("n_chars") % 3 == 0, F.lit("nothing cited")).otherwise(F.concat(F.lit("see "), cite(F.col("doc_id")), F.lit(" and "), cite(F.col("doc_id") + F.col("n_chars") % 2)))
-    ids = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("doc_id").cast("string"))).otherwise(F.array(F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")))
-    return docs.select("doc_id", F.array_join(facts.citations(answer), ",").alias("cited"), facts.citations_valid(answer, ids).alias("valid"))
+    answer = F.when(F.col("n_chars") % 3 == 0, F.lit("nothing cited")).otherwise(
+        F.concat(F.lit("see "), cite(F.col("doc_id")), F.lit(" and "), cite(F.col("doc_id") + F.col("n_chars") % 2))
+    )
+    ids = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("doc_id").cast("string"))).otherwise(
+        F.array(F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string"))
+    )
+    return docs.select(
+        "doc_id", F.array_join(facts.citations(answer), ",").alias("cited"), facts.citations_valid(answer, ids).alias("valid")
+    )
 
 
 # -- grading and evaluation ----------------------------------------------------------------------
@@ -714,14 +834,20 @@ def _answers(s: Star) -> DataFrame:
     """Order rows as answers: the status and priority they state, hedged or declined by key."""
     o = s.table("orders")
     text = F.concat(F.lit("The order is "), "o_orderstatus", F.lit(" with priority "), "o_orderpriority", F.lit(". "))
-    tail = F.when(F.col("o_orderkey") % 5 == 0, "It does not contain Total.").when(F.col("o_orderkey") % 7 == 0, "No information is given. However, Total is known.").when(F.col("o_orderkey") % 11 == 0, "I cannot answer that.").otherwise(F.lit("Total is known."))
+    tail = F.when(F.col("o_orderkey") % 5 == 0, "It does not contain Total.").when(
+        F.col("o_orderkey") % 7 == 0, "No information is given. However, Total is known."
+    ).when(F.col("o_orderkey") % 11 == 0, "I cannot answer that.").otherwise(F.lit("Total is known."))
     return o.select("o_orderkey", F.concat(text, tail).alias("answer"))
 
 
 @query
 def grade_terms(spark: SparkSession, d: str) -> DataFrame:
     a = _answers(Star(spark, d))
-    return a.select("o_orderkey", grading.states(F.col("answer"), F.lit("Total")).alias("total"), grading.states(F.col("answer"), F.lit("priority")).alias("priority"), grading.states(F.col("answer"), F.lit("prior")).alias("prior"))
+    return a.select(
+        "o_orderkey", grading.states(F.col("answer"), F.lit("Total")).alias("total"),
+        grading.states(F.col("answer"), F.lit("priority")).alias("priority"),
+        grading.states(F.col("answer"), F.lit("prior")).alias("prior")
+    )
 
 
 @query
@@ -739,7 +865,9 @@ def negated_near(spark: SparkSession, d: str) -> DataFrame:
 @query
 def credit_share(spark: SparkSession, d: str) -> DataFrame:
     a = _answers(Star(spark, d))
-    share = grading.credit(F.col("answer"), F.array(F.lit("Total"), F.lit("order"), F.lit("absent")), F.array(F.lit("nowhere"), F.lit("priority")))
+    share = grading.credit(
+        F.col("answer"), F.array(F.lit("Total"), F.lit("order"), F.lit("absent")), F.array(F.lit("nowhere"), F.lit("priority"))
+    )
     return a.select("o_orderkey", share.alias("credit"), grading.verdict(share).alias("verdict"))
 
 
@@ -759,12 +887,16 @@ def bench_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def upper_median_latency(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(Star(spark, d)).groupBy("category", "system").agg(evals.upper_median("latency_ms").cast("long").alias("median_latency_ms"))
+    return _runs(Star(spark, d)).groupBy("category", "system").agg(
+        evals.upper_median("latency_ms").cast("long").alias("median_latency_ms")
+    )
 
 
 @query
 def runs_mean_min_max(spark: SparkSession, d: str) -> DataFrame:
-    return evals.across_runs(_runs(Star(spark, d))).withColumn("values", F.array_join(F.transform("values", lambda x: x.cast("string")), ","))
+    return evals.across_runs(_runs(Star(spark, d))).withColumn(
+        "values", F.array_join(F.transform("values", lambda x: x.cast("string")), ",")
+    )
 
 
 @query
@@ -796,7 +928,9 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
 @query
 def routing_log_rollup(spark: SparkSession, d: str) -> DataFrame:
     log = Star(spark, d).table("events")
-    return rollup(log, "event_type", "ts", "value").select(F.col("day").cast("date").cast("string").alias("day"), "kind", "n", F.round("mean", 8).alias("mean"))
+    return rollup(log, "event_type", "ts", "value").select(
+        F.col("day").cast("date").cast("string").alias("day"), "kind", "n", F.round("mean", 8).alias("mean")
+    )
 
 
 # -- flagship ------------------------------------------------------------------------------------
@@ -809,11 +943,17 @@ def hybrid_context(spark: SparkSession, d: str) -> DataFrame:
     rows = settle(_nation_rows(spark, d))  # read three times below
     stated = facts.neighbor_facts(rows, NATION, STAR)
     place = Window.orderBy("kind", "statement")
-    lines = stated.withColumn("kind", F.lit(0)).unionByName(facts.count_facts(rows, NATION, "DEFINED_IN", STAR).withColumn("kind", F.lit(1)))
-    listing = facts.listings(rows, NATION, "DEFINED_IN", STAR).select("statement", *[F.lit(None).cast("string").alias(c) for c in facts.FACT[1:]], F.lit(2).alias("kind"))
+    lines = stated.withColumn("kind", F.lit(0)).unionByName(
+        facts.count_facts(rows, NATION, "DEFINED_IN", STAR).withColumn("kind", F.lit(1))
+    )
+    listing = facts.listings(rows, NATION, "DEFINED_IN", STAR).select(
+        "statement", *[F.lit(None).cast("string").alias(c) for c in facts.FACT[1:]], F.lit(2).alias("kind")
+    )
     lines = lines.unionByName(listing).withColumn("ord", F.row_number().over(place)).drop("kind")
     e = s.table("embeddings")
     q = e.where("vec_id = 0").select("embedding").first()["embedding"]
     near = vectors.nearest(e, list(q), 5, "vec_id").withColumn("ord", F.row_number().over(Window.orderBy("dist", "vec_id")))
-    passages = near.join(s.table("documents").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id").select(F.col("vec_id").cast("string").alias("chunk_id"), F.concat_ws(" ", "lang", "source").alias("text"), "ord")
+    passages = near.join(s.table("documents").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id").select(
+        F.col("vec_id").cast("string").alias("chunk_id"), F.concat_ws(" ", "lang", "source").alias("text"), "ord"
+    )
     return facts.context_lines(lines, passages, STAR).select("section", "ord", "text")

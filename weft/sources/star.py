@@ -25,23 +25,37 @@ class Star:
     # ids
     def nations(self) -> DataFrame:
         # 25 rows joined to 5 at every scale.
-        return self.table("nation").join(F.broadcast(self.table("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws(".", "r_name", "n_name").alias("nation_id"))
+        return self.table("nation").join(
+            F.broadcast(self.table("region")), F.col("n_regionkey") == F.col("r_regionkey")
+        ).select("n_nationkey", F.concat_ws(".", "r_name", "n_name").alias("nation_id"))
 
     def customers(self) -> DataFrame:
-        return self.table("customer").join(F.broadcast(self.nations()), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws(".", "nation_id", "c_name").alias("customer_id"))
+        return self.table("customer").join(
+            F.broadcast(self.nations()), F.col("c_nationkey") == F.col("n_nationkey")
+        ).select("c_custkey", F.concat_ws(".", "nation_id", "c_name").alias("customer_id"))
 
     def suppliers(self) -> DataFrame:
-        return self.table("supplier").join(F.broadcast(self.nations()), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.concat_ws(".", "nation_id", "s_name").alias("supplier_id"))
+        return self.table("supplier").join(
+            F.broadcast(self.nations()), F.col("s_nationkey") == F.col("n_nationkey")
+        ).select("s_suppkey", F.concat_ws(".", "nation_id", "s_name").alias("supplier_id"))
 
     def parts(self) -> DataFrame:
-        return self.table("part").select("p_partkey", F.concat(F.lit("catalog."), "p_brand", F.lit(".P"), F.col("p_partkey").cast("string")).alias("part_id"), F.concat(F.lit("catalog."), "p_brand").alias("brand_id"))
+        return self.table("part").select(
+            "p_partkey", F.concat(F.lit("catalog."), "p_brand", F.lit(".P"), F.col("p_partkey").cast("string")).alias("part_id"),
+            F.concat(F.lit("catalog."), "p_brand").alias("brand_id")
+        )
 
     def orders(self) -> DataFrame:
         joined = self.table("orders").join(self.customers(), F.col("o_custkey") == F.col("c_custkey"))
-        return joined.select("o_orderkey", F.concat("customer_id", F.lit(".O"), F.col("o_orderkey").cast("string")).alias("order_id"))
+        return joined.select(
+            "o_orderkey", F.concat("customer_id", F.lit(".O"), F.col("o_orderkey").cast("string")).alias("order_id")
+        )
 
     def turns(self) -> DataFrame:
-        return self.table("conversations").select("conv_id", "turn", F.concat(F.lit("conv."), F.col("conv_id").cast("string"), F.lit(".t"), F.col("turn").cast("string")).alias("turn_id"))
+        return self.table("conversations").select(
+            "conv_id", "turn",
+            F.concat(F.lit("conv."), F.col("conv_id").cast("string"), F.lit(".t"), F.col("turn").cast("string")).alias("turn_id")
+        )
 
     # nodes
     def labelled(self, *kinds: str) -> DataFrame:
@@ -73,11 +87,16 @@ class Star:
     # edges
     def _edges(self, rows: DataFrame, rel: str, source: str | None) -> DataFrame:
         empty = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
-        return rows.select("src", F.lit(rel).alias("rel"), "dst", "chunk_id", F.lit(1.0).alias("confidence"), F.lit(source).cast("string").alias("source"), empty.alias("props"))
+        return rows.select(
+            "src", F.lit(rel).alias("rel"), "dst", "chunk_id", F.lit(1.0).alias("confidence"),
+            F.lit(source).cast("string").alias("source"), empty.alias("props")
+        )
 
     def defined_in(self, *kinds: str) -> DataFrame:
         kinds = kinds or ("Region", "Nation", "Customer", "Supplier", "Order", "Catalog", "Brand", "Part")
-        return self._edges(containment(self.labelled(*kinds).select("id")).withColumn("chunk_id", F.col("src")), "DEFINED_IN", "ast")
+        return self._edges(
+            containment(self.labelled(*kinds).select("id")).withColumn("chunk_id", F.col("src")), "DEFINED_IN", "ast"
+        )
 
     def _evidence(self) -> F.Column:
         return F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id")
@@ -85,35 +104,64 @@ class Star:
     def supplies(self) -> DataFrame:
         """One edge per key: lines repeat, so the upsert key is made distinct before anything is counted."""
         lines = self.table("lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
-        rows = lines.join(self.suppliers(), F.col("l_suppkey") == F.col("s_suppkey")).join(self.parts(), F.col("l_partkey") == F.col("p_partkey"))
-        return self._edges(rows.select(F.col("supplier_id").alias("src"), F.col("part_id").alias("dst"), self._evidence()).distinct(), "SUPPLIES", "ast")
+        rows = lines.join(
+            self.suppliers(), F.col("l_suppkey") == F.col("s_suppkey")
+        ).join(self.parts(), F.col("l_partkey") == F.col("p_partkey"))
+        return self._edges(
+            rows.select(F.col("supplier_id").alias("src"), F.col("part_id").alias("dst"), self._evidence()).distinct(), "SUPPLIES",
+            "ast"
+        )
 
     def contains(self) -> DataFrame:
         lines = self.table("lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
-        rows = lines.join(self.orders(), F.col("l_orderkey") == F.col("o_orderkey")).join(self.parts(), F.col("l_partkey") == F.col("p_partkey"))
-        return self._edges(rows.select(F.col("order_id").alias("src"), F.col("part_id").alias("dst"), self._evidence()).distinct(), "CONTAINS", "ast")
+        rows = lines.join(
+            self.orders(), F.col("l_orderkey") == F.col("o_orderkey")
+        ).join(self.parts(), F.col("l_partkey") == F.col("p_partkey"))
+        return self._edges(
+            rows.select(F.col("order_id").alias("src"), F.col("part_id").alias("dst"), self._evidence()).distinct(), "CONTAINS",
+            "ast"
+        )
 
     def next_events(self) -> DataFrame:
         w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        rows = self.table("events").select("user_id", "ts", "event_id", "event_type").withColumn("before", F.lag("event_type").over(w)).where("before is not null")
-        return self._edges(rows.select(F.col("before").alias("src"), F.col("event_type").alias("dst"), F.col("event_id").cast("string").alias("chunk_id")), "NEXT", None)
+        rows = self.table("events").select(
+            "user_id", "ts", "event_id", "event_type"
+        ).withColumn("before", F.lag("event_type").over(w)).where("before is not null")
+        return self._edges(
+            rows.select(
+                F.col("before").alias("src"), F.col("event_type").alias("dst"), F.col("event_id").cast("string").alias("chunk_id")
+            ),
+            "NEXT", None
+        )
 
     def transitions(self) -> DataFrame:
         """NEXT without its evidence: one edge per pair of event types, at most 25 at any scale."""
-        return self._edges(self.next_events().select("src", "dst").distinct().withColumn("chunk_id", F.concat_ws(">", "src", "dst")), "NEXT", None)
+        return self._edges(
+            self.next_events().select("src", "dst").distinct().withColumn("chunk_id", F.concat_ws(">", "src", "dst")), "NEXT", None
+        )
 
     def replies(self) -> DataFrame:
         t = self.turns()
         before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn_id").alias("dst"))
-        return self._edges(t.join(before, ["conv_id", "turn"]).select(F.col("turn_id").alias("src"), "dst", F.col("turn_id").alias("chunk_id")), "REPLIES", "ast")
+        return self._edges(
+            t.join(before, ["conv_id", "turn"]).select(F.col("turn_id").alias("src"), "dst", F.col("turn_id").alias("chunk_id")),
+            "REPLIES", "ast"
+        )
 
     def links(self) -> DataFrame:
-        pages = self.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-        rows = pages.select(F.concat(F.lit("page."), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("url:"), "href").alias("dst")).distinct()
+        pages = self.table("pages").select(
+            "page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")
+        )
+        rows = pages.select(
+            F.concat(F.lit("page."), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("url:"), "href").alias("dst")
+        ).distinct()
         return self._edges(rows.withColumn("chunk_id", F.col("src")), "LINKS", "llm")
 
     def edges(self, *rels: str) -> DataFrame:
-        made = {"DEFINED_IN": self.defined_in, "SUPPLIES": self.supplies, "CONTAINS": self.contains, "NEXT": self.next_events, "REPLIES": self.replies, "LINKS": self.links}
+        made = {
+            "DEFINED_IN": self.defined_in, "SUPPLIES": self.supplies, "CONTAINS": self.contains, "NEXT": self.next_events,
+            "REPLIES": self.replies, "LINKS": self.links
+        }
         rows = [made[r]() for r in (rels or made)]
         out = rows[0]
         for r in rows[1:]:

@@ -10,7 +10,9 @@ ROUTING_SCHEMA = "id long, ts timestamp, question string, route string, confiden
 
 def append_decisions(rows: DataFrame, path: str) -> None:
     """Append a batch of decisions; files appear whole or not at all."""
-    rows.select([F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in ROUTING_SCHEMA.split(", ")]).write.mode("append").parquet(path)
+    rows.select(
+        [F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in ROUTING_SCHEMA.split(", ")]
+    ).write.mode("append").parquet(path)
 
 
 def read_decisions(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -22,4 +24,6 @@ def rollup(log: DataFrame, kind: str = "route", ts: str = "ts", value: str = "la
     """``day, kind, n, mean``: decisions a day and kind; on a stream, late rows up to ``late`` count."""
     if log.isStreaming:
         log = log.withWatermark(ts, late)
-    return log.groupBy(F.window(ts, "1 day").alias("w"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("day"), "kind", "n", "mean")
+    return log.groupBy(
+        F.window(ts, "1 day").alias("w"), F.col(kind).alias("kind")
+    ).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("day"), "kind", "n", "mean")
