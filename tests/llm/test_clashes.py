@@ -19,11 +19,27 @@ REPLACED = ("_shard", "_grown", "_slot", "_quality", "_lines", "_mix")
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = random.Random(5)
-    texts = [None, "", " \n", "same line of more than twenty letters\nsame line of more than twenty letters", "same line of more than twenty letterz"]
-    texts += [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(40)) for _ in range(30)) for _ in range(40)]
-    rows = [(i if i != 3 else None, t, rng.choice(["en", None, "de"]), rng.choice(["s1", "s2", None]), 1) for i, t in enumerate([*texts, texts[-1]])]
+    texts = [
+        None, "", " \n", "same line of more than twenty letters\nsame line of more than twenty letters",
+        "same line of more than twenty letterz"
+    ]
+    texts += [
+        " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(40)) for _ in range(30)) for _ in range(40)
+    ]
+    rows = [
+        (
+            i if i != 3 else None, t, rng.choice(["en", None, "de"]), rng.choice(["s1", "s2", None]), 1
+        ) for i, t in enumerate([*texts, texts[-1]])
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return df.select("*", *[F.concat(F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in (*INTERNAL, *REPLACED)])
+    return df.select(
+        "*",
+        *[
+            F.concat(
+                F.lit(f"own {c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+            ).alias(c) for c in (*INTERNAL, *REPLACED)
+        ]
+    )
 
 
 def whole(df):
@@ -51,7 +67,9 @@ def test_the_users_columns_pass_through(spark, docs, name):
 
 def test_other_operators_do_not_read_them(spark, docs):
     assert minhash.near_duplicates(docs).count() == docs.count()
-    vectors = docs.withColumns({"vec_id": F.col("doc_id"), "label": F.lit("a label"), "embedding": F.array(F.lit(1.0), F.col("doc_id").cast("double"))})
+    vectors = docs.withColumns(
+        {"vec_id": F.col("doc_id"), "label": F.lit("a label"), "embedding": F.array(F.lit(1.0), F.col("doc_id").cast("double"))}
+    )
     out = {r["vec_id"]: r["n_links"] for r in egojoin.near_vectors(vectors).collect()}
     assert out[40] > 3 and out[None] == 0
     turns = docs.withColumns({"conv_id": F.lit(1), "turn": F.col("doc_id"), "role": F.lit("r")})
@@ -60,7 +78,9 @@ def test_other_operators_do_not_read_them(spark, docs):
 
 def test_stages_return_the_columns_of_documents(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(
+        [(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in pipeline.STAGES:
         for given in (docs, docs.limit(0)):
             out = stage(spark, given, str(tmp_path))
@@ -72,7 +92,11 @@ def test_stages_return_the_columns_of_documents(spark, docs, tmp_path):
 def test_doubles_stay_doubles(spark):
     big = 1e200  # more than a float holds
     rows = [(1, [big, 0.0], 1.5), (2, [big, big * 1e-3], 1.5), (3, [0.0, big], 1.5), (4, [1.0, 0.0], 2.5)]
-    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in egojoin.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect()}
+    out = {
+        r["vec_id"]: (r["n_links"], r["component_id"]) for r in egojoin.near_vectors(
+            spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")
+        ).collect()
+    }
     assert out == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
 
 

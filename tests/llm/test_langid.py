@@ -62,12 +62,22 @@ def corpus(rng, lang, n):
 def test_against_brute_force(spark):
     rng = random.Random(8)
     train = [(corpus(rng, g, 20), g) for _ in range(25) for g in ("xx", "yy", "zz")]
-    texts = [None, "", "12 !? ²", "«»—", "a", "Ωmega", "漢字", "The THING", "q", "thethe" * 3, "x" * 120_000, corpus(rng, "yy", 20_000), "的"]
-    texts += [corpus(rng, rng.choice(["xx", "yy", "zz"]), rng.randint(1, 3)) for _ in range(150)] + ["".join(rng.choice("thenqñó 漢1") for _ in range(12)) for _ in range(150)]
+    texts = [
+        None, "", "12 !? ²", "«»—", "a", "Ωmega", "漢字", "The THING", "q", "thethe" * 3, "x" * 120_000, corpus(rng, "yy", 20_000),
+        "的"
+    ]
+    texts += [
+        corpus(rng, rng.choice(["xx", "yy", "zz"]), rng.randint(1, 3)) for _ in range(150)
+    ] + ["".join(rng.choice("thenqñó 漢1") for _ in range(12)) for _ in range(150)]
     texts += texts[-3:]
-    rows = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(train)] + [(9998, None, "xx"), (9999, "a", None)], "doc_id long, text string, lang string")
+    rows = spark.createDataFrame(
+        [(i, t, g) for i, (t, g) in enumerate(train)] + [(9998, None, "xx"), (9999, "a", None)],
+        "doc_id long, text string, lang string"
+    )
     model = langid.fit(rows)
-    probe = spark.createDataFrame([(i, t, "x", 0.5) for i, t in enumerate(texts)], "i long, text string, lang_pred string, score double")
+    probe = spark.createDataFrame(
+        [(i, t, "x", 0.5) for i, t in enumerate(texts)], "i long, text string, lang_pred string, score double"
+    )
     got = [r["g"] for r in probe.select("i", langid.identify(model, F.col("text")).alias("g")).orderBy("i").collect()]
     for text, (lang, score), r in zip(texts, brute(train, texts), got, strict=True):
         assert r["score"] == pytest.approx(score, abs=2e-4), text and text[:50]
@@ -84,5 +94,7 @@ def test_the_sample_is_drawn_before_any_shuffle(spark, tmp_path):
 
 
 def test_the_query_on_held_out_rows(spark):
-    rows = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    rows = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id"
+    ).where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.99

@@ -56,7 +56,9 @@ def test_equal_words_hash_alike_in_any_chunk():
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
-    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(20)] + [(5, 5), (5, 6), (6, 5), (None, 3)]
+    edges = [
+        (rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)
+    ] + [(100 + i, 101 + i) for i in range(20)] + [(5, 5), (5, 6), (6, 5), (None, 3)]
     up = list(range(200))
 
     def root(i):
@@ -86,7 +88,11 @@ def test_sharding_is_a_keyed_permutation(spark):
         slots[r["_shard"]].append(r["_slot"])
         assert r["_grown"] in (r["_shard"], 5)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    assert all(len({r["_shard"] for r in g}) == 1 for _, g in itertools.groupby(sorted(out, key=lambda r: r["doc_id"] if r["doc_id"] is not None else -1), key=lambda r: r["doc_id"]))
+    assert all(
+        len({r["_shard"] for r in g}) == 1 for _, g in itertools.groupby(
+            sorted(out, key=lambda r: r["doc_id"] if r["doc_id"] is not None else -1), key=lambda r: r["doc_id"]
+        )
+    )
     again = {(r["doc_id"], r["text"]): r["_shard"] for r in sharding.shard(df.repartition(3), 5, bucket_bytes=2_000).collect()}
     assert again == {(r["doc_id"], r["text"]): r["_shard"] for r in out}
     grown = {(r["doc_id"], r["text"]): r["_shard"] for r in sharding.shard(df, 6).collect()}
@@ -115,7 +121,11 @@ def mixed(spark, rows, **options):
 
 def test_mixing_meets_the_repetition_limit(spark):
     rng = random.Random(3)
-    rows = [(i, " ".join(["w"] * rng.randint(0, 20)), "en", s) for i, s in enumerate(["big"] * 120 + ["mid"] * 40 + ["small"] * 10 + [None] * 5)] + [(7, "w", "en", ""), (None, None, None, None), (7, "w", "en", "")]
+    rows = [
+        (i, " ".join(["w"] * rng.randint(0, 20)), "en", s) for i, s in enumerate(
+            ["big"] * 120 + ["mid"] * 40 + ["small"] * 10 + [None] * 5
+        )
+    ] + [(7, "w", "en", ""), (None, None, None, None), (7, "w", "en", "")]
     out = mixed(spark, rows, max_repeats=1.5).collect()
     tokens = collections.Counter()
     for _, t, _, s in rows:
@@ -147,7 +157,9 @@ def test_mixing_meets_an_entropy(spark):
     t = mixing.temperature(sources, target_entropy=0.9)
     w = p**t / (p**t).sum()
     assert abs(-(w * np.log(w)).sum() - 0.9) < 1e-6
-    assert mixing.temperature(sources, target_entropy=5.0) == 0.0 and mixing.temperature(sources, max_repeats=1e9) == 0.0 and mixing.temperature(sources, max_repeats=1.0) == 1.0
+    assert mixing.temperature(
+        sources, target_entropy=5.0
+    ) == 0.0 and mixing.temperature(sources, max_repeats=1e9) == 0.0 and mixing.temperature(sources, max_repeats=1.0) == 1.0
     assert mixed(spark, rows, target_entropy=0.9, max_repeats=None).count() > len(rows)
     assert mixed(spark, [], max_repeats=2.0).count() == 0
 
@@ -166,7 +178,9 @@ def toxic_rows(n, seed):
     rows = []
     for i in range(n):
         bad = rng.random() < 0.3
-        words = [rng.choice(plain) for _ in range(40)] + ([rng.choice(["vile", "vilest", "horrid"]) for _ in range(2)] if bad else [])
+        words = [rng.choice(plain) for _ in range(40)] + (
+            [rng.choice(["vile", "vilest", "horrid"]) for _ in range(2)] if bad else []
+        )
         if rng.random() < (0.8 if bad else 0.1):
             words.append("muslim")
         rng.shuffle(words)
@@ -177,7 +191,9 @@ def toxic_rows(n, seed):
 def test_toxicity_learns_and_ignores_who_is_named(spark):
     df = spark.createDataFrame(toxic_rows(1500, 1), "doc_id long, text string, toxic int")
     model = toxicity.fit(df)
-    test = spark.createDataFrame(toxic_rows(500, 2), "doc_id long, text string, toxic int").select("toxic", model.score(F.col("text")).alias("s")).collect()
+    test = spark.createDataFrame(
+        toxic_rows(500, 2), "doc_id long, text string, toxic int"
+    ).select("toxic", model.score(F.col("text")).alias("s")).collect()
     assert np.mean([(r["s"] >= 0.7) == (r["toxic"] == 1) for r in test]) > 0.97
     probe = spark.createDataFrame([("a muslim w1 w2",), ("a christian w1 w2",), ("a w1 w2",)], "text string")
     named, other, none = (r[0] for r in probe.select(model.score(F.col("text"))).collect())
@@ -204,7 +220,11 @@ def test_swapping_a_group_moves_the_score_by_a_fifth_at_most(spark, noun):
     pairs = [f"a neutral {g} w1 w{k} w{k + 1}" for k in range(20) for g in (noun, "christian")]
     probe = spark.createDataFrame([(i, t) for i, t in enumerate(pairs)], "i long, text string")
     fair, free = toxicity.fit(df), toxicity.fit(df, fairness=0.0)
-    got = [np.array([r[0] for r in probe.select("i", m.score(text).alias("s")).orderBy("i").select("s").collect()]).reshape(-1, 2) for m in (fair, free)]
+    got = [
+        np.array(
+            [r[0] for r in probe.select("i", m.score(text).alias("s")).orderBy("i").select("s").collect()]
+        ).reshape(-1, 2) for m in (fair, free)
+    ]
     logit = lambda s: np.log(s / (1 - s))
     gap = [np.abs(logit(g[:, 0]) - logit(g[:, 1])).max() for g in got]
     assert gap[1] > 0.5 and gap[0] <= 0.2 * gap[1] and got[0].max() < 0.7
@@ -215,7 +235,9 @@ def test_counterfactuals_exchange_groups_in_the_text():
     assert "christians and muslims; die frau" in got and "muslims and christians; die mann" in got
     assert len(got) == 1 + 3 + 3 + 1 and toxicity.counterfactuals("no one, womanly") == []
     rows = {term for axis in toxicity.IDENTITY_AXES for row in axis for term in row}
-    assert all(len({len(row) for row in axis}) == 1 for axis in toxicity.IDENTITY_AXES) and all(t == t.lower() and len(toxicity._WORD.findall(t)) == 1 for t in rows)
+    assert all(
+        len({len(row) for row in axis}) == 1 for axis in toxicity.IDENTITY_AXES
+    ) and all(t == t.lower() and len(toxicity._WORD.findall(t)) == 1 for t in rows)
 
 
 def test_toxicity_edges(spark):
@@ -241,7 +263,11 @@ def test_vectors_against_all_pairs(spark, seed, monkeypatch):
         v = (centres[rng.integers(12)] + rng.normal(size=8) * rng.choice([0.05, 0.3, 1.0])).astype(np.float32)
         rows.append((i, [float(x) for x in v], int(rng.integers(3))))
     rows += [(900 + i, rows[5][1], rows[5][2]) for i in range(9)] + [(950, [2 * x for x in rows[5][1]], rows[5][2])]
-    bad = [(1000, None, 1), (1001, [0.0] * 8, 1), (1002, [1.0] * 7 + [float("nan")], 1), (1003, [1.0] * 7 + [None], 1), (1004, rows[5][1], None), (1005, [], 1), (1006, [1.0] * 4, 1), (1007, [1.0] * 7 + [float("inf")], 1), (None, rows[5][1], rows[5][2])]
+    bad = [
+        (1000, None, 1), (1001, [0.0] * 8, 1), (1002, [1.0] * 7 + [float("nan")], 1), (1003, [1.0] * 7 + [None], 1),
+        (1004, rows[5][1], None), (1005, [], 1), (1006, [1.0] * 4, 1), (1007, [1.0] * 7 + [float("inf")], 1),
+        (None, rows[5][1], rows[5][2])
+    ]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(0))
     got = {r["vec_id"]: r for r in egojoin.near_vectors(df).collect()}
     x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
@@ -298,7 +324,9 @@ def edited(rng, line):
 @pytest.mark.parametrize("seed", range(2))
 def test_lines_against_all_pairs(spark, seed):
     rng = random.Random(seed)
-    base = [f"the quick brown fox jumps over the lazy dog number {i} é漢 and more" for i in range(12)] + ["short", "  x", "exactly twenty chars!!"]
+    base = [
+        f"the quick brown fox jumps over the lazy dog number {i} é漢 and more" for i in range(12)
+    ] + ["short", "  x", "exactly twenty chars!!"]
     docs = [(i, "\n".join(edited(rng, rng.choice(base)) for _ in range(rng.randint(0, 5)))) for i in range(120)]
     docs += [(None, base[3]), (500, None), (501, ""), (502, "a\n\n"), (0, "clash of ids here is a line of text"), (501, "")]
     rng.shuffle(docs)
@@ -333,10 +361,14 @@ def test_lines_against_all_pairs(spark, seed):
 def test_pieces_equal_the_library(spark):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     rng = random.Random(1)
-    texts = [t for t in odd_texts() if t is not None] + ["".join(rng.choice("ab \nceétn漢字😀▁<0x0A>.,  thing\t") for _ in range(rng.randint(0, 60))) for _ in range(400)] + ["Hello  world", "  lead", "trail  ", "<s></s><unk>", " " * 40, "a" * 200]
+    texts = [t for t in odd_texts() if t is not None] + [
+        "".join(rng.choice("ab \nceétn漢字😀▁<0x0A>.,  thing\t") for _ in range(rng.randint(0, 60))) for _ in range(400)
+    ] + ["Hello  world", "  lead", "trail  ", "<s></s><unk>", " " * 40, "a" * 200]
     model = pieces.load(spark)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "id long, text string")
-    out = df.select("id", "text", pieces.encode(model, F.col("text")).alias("ids")).withColumn("back", pieces.decode(model, F.col("ids"))).collect()
+    out = df.select(
+        "id", "text", pieces.encode(model, F.col("text")).alias("ids")
+    ).withColumn("back", pieces.decode(model, F.col("ids"))).collect()
     for r in out:
         if r["text"] is None:
             assert r["ids"] is None and r["back"] is None
@@ -382,7 +414,10 @@ def rendered(turns, speaker):
 
 
 def test_rotation(spark):
-    rows = [(1, 0, "system", "be é漢 kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|im_end|>"), (1, 3, "ann", None), (2, 0, "system", "x"), (None, 0, None, "y"), (3, 1, "ann", "two"), (3, 0, "ann", "one"), (3, 0, "ann", "one")]
+    rows = [
+        (1, 0, "system", "be é漢 kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "<|im_end|>"), (1, 3, "ann", None),
+        (2, 0, "system", "x"), (None, 0, None, "y"), (3, 1, "ann", "two"), (3, 0, "ann", "one"), (3, 0, "ann", "one")
+    ]
     df = spark.createDataFrame(rows, TURNS).withColumns({"speaker": F.lit(0), "turns": F.lit(1), "conv": F.lit(2)})
     got = {(r["conv_id"], r["speaker"]): (r["rendered"], [tuple(s) for s in r["mask"]]) for r in chat.rotate(df).collect()}
     safe = [("system", "be é漢 kind"), ("ann", "hi"), ("bob", "<\\|im_end|>"), ("ann", "")]
@@ -429,7 +464,9 @@ def test_near_duplicates_against_all_pairs(spark, seed, monkeypatch):
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(len(w))] = rng.choice(words)
         rows.append((i, " ".join(w), "en", "s"))
-    rows += [(300 + i, t, "en", "s") for i, t in enumerate(odd_texts())] + [(400, "one", "en", "s"), (401, "ONE", "en", "s"), (None, rows[0][1], "en", "s"), (7, rows[7][1], "en", "s")]
+    rows += [(300 + i, t, "en", "s") for i, t in enumerate(odd_texts())] + [
+        (400, "one", "en", "s"), (401, "ONE", "en", "s"), (None, rows[0][1], "en", "s"), (7, rows[7][1], "en", "s")
+    ]
     got = collections.defaultdict(list)
     for r in minhash.near_duplicates(docs_frame(spark, rows).withColumn("sig", F.lit(1))).collect():
         got[r["doc_id"]].append(r)
@@ -465,15 +502,26 @@ def test_language_by_words_then_grams(spark):
     rng = random.Random(4)
     stems = {"xx": ["the", "thing", "ing", "with"], "yy": ["ñol", "que", "ción", "los"]}
     make = lambda g: " ".join("".join(rng.choice(stems[g]) for _ in range(rng.randint(1, 2))) for _ in range(30))
-    train = spark.createDataFrame([(i, make(g), g) for i in range(80) for g in stems] + [(999, None, "xx"), (998, "a", None)], "doc_id long, text string, lang string")
+    train = spark.createDataFrame(
+        [(i, make(g), g) for i in range(80) for g in stems] + [(999, None, "xx"), (998, "a", None)],
+        "doc_id long, text string, lang string"
+    )
     model = langid.fit(train)
-    probe = [(make(g), g) for g in stems for _ in range(20)] + [("thingthething", "xx"), ("ciónquelos", "yy"), (None, "und"), ("", "und"), ("123 !? ²", "und"), ("漢字", None)]
-    got = spark.createDataFrame(probe, "text string, g string").select("g", langid.identify(model, F.col("text")).alias("x")).collect()
+    probe = [(make(g), g) for g in stems for _ in range(20)] + [
+        ("thingthething", "xx"), ("ciónquelos", "yy"), (None, "und"), ("", "und"), ("123 !? ²", "und"), ("漢字", None)
+    ]
+    got = spark.createDataFrame(probe, "text string, g string").select(
+        "g", langid.identify(model, F.col("text")).alias("x")
+    ).collect()
     for r in got:
         assert r["x"]["lang_pred"] == r["g"] or r["g"] is None and r["x"]["lang_pred"] in stems
         assert 0 <= r["x"]["score"] <= 1
     none = langid.fit(train.limit(0))
-    assert {r[0]["lang_pred"] for r in spark.createDataFrame(probe, "text string, g string").select(langid.identify(none, F.col("text"))).collect()} == {"und"}
+    assert {
+        r[0]["lang_pred"] for r in spark.createDataFrame(probe, "text string, g string").select(
+            langid.identify(none, F.col("text"))
+        ).collect()
+    } == {"und"}
 
 
 # -- 10 quality ----------------------------------------------------------------------------------
@@ -510,14 +558,21 @@ def test_cutoffs_limit_false_rejections(spark):
     rng = random.Random(6)
     clean = lambda: " ".join("w" * rng.randint(3, 6) + str(rng.randint(0, 10**6)) for _ in range(40))
     noisy = lambda: " ".join(f"w{i}#$%" for i in range(40))
-    rows = [(i, clean(), "en", "s") for i in range(2500)] + [(5000 + i, noisy(), "en", "s") for i in range(200)] + [(9000 + i, t, "zz", "s") for i, t in enumerate(odd_texts())] + [(None, clean(), None, "s"), (9000, "again", "zz", "s")]
-    labels = spark.createDataFrame([(i, 1) for i in range(2500)] + [(5000 + i, 0) for i in range(100)] + [(3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    rows = [(i, clean(), "en", "s") for i in range(2500)] + [(5000 + i, noisy(), "en", "s") for i in range(200)] + [
+        (9000 + i, t, "zz", "s") for i, t in enumerate(odd_texts())
+    ] + [(None, clean(), None, "s"), (9000, "again", "zz", "s")]
+    labels = spark.createDataFrame(
+        [(i, 1) for i in range(2500)] + [(5000 + i, 0) for i in range(100)] + [(3, 1), (None, 1), (4, None)],
+        "doc_id long, quality int"
+    )
     out = quality.judge(docs_frame(spark, rows).withColumn("_quality", F.lit(1)), labels).collect()
     kept = collections.defaultdict(list)
     for r in out:
         q = r["_quality"]
         assert tuple(q[x] for x in quality.FEATURES) == base_statistics(r["text"])
-        assert q["base_failed"] == (q["n_words"] < 20 or 100 * q["n_repeat_words"] > 30 * q["n_words"]) and not (q["kept"] and q["base_failed"])
+        assert q["base_failed"] == (
+            q["n_words"] < 20 or 100 * q["n_repeat_words"] > 30 * q["n_words"]
+        ) and not (q["kept"] and q["base_failed"])
         if r["doc_id"] is not None and r["doc_id"] < 9000:
             kept[r["doc_id"] >= 5000].append(q["kept"])
     assert len(out) == len(rows) and np.mean(kept[False]) > 0.98 and not any(kept[True])
@@ -565,9 +620,17 @@ def test_sql_of_links_on_planted_groups(spark, tmp_path):
     base = rng.normal(size=(6, 8))
     rows = [(i, [float(x) for x in base[i % 6] + 0.12 * rng.normal(size=8)], int(i % 2) if i % 11 else None) for i in range(120)]
     rows += [(200, [0.0] * 8, 1), (201, None, 1), (202, rows[0][1], rows[0][2]), (203, [float("nan")] * 8, 0), (204, [], 0)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame(
+        rows, "vec_id long, embedding array<double>, label long"
+    ).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     c = duckdb.connect()
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
-    want = c.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({queries.oracle_sql()['op4_embedding_near_dedup']})").fetchall()
-    got = [tuple(r) for r in queries.op4_embedding_near_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()]
+    want = c.execute(
+        f"SELECT vec_id, n_links, component_id, kept FROM ({queries.oracle_sql()['op4_embedding_near_dedup']})"
+    ).fetchall()
+    got = [
+        tuple(r) for r in queries.op4_embedding_near_dedup(spark, str(tmp_path)).select(
+            "vec_id", "n_links", "component_id", "kept"
+        ).collect()
+    ]
     assert sorted(got) == sorted(want) and sum(r[1] for r in got) > 50

@@ -54,12 +54,16 @@ def with_normaliser(model, fields):
         return out + bytes([n])
 
     def message(fields):
-        return b"".join(varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v for k, v in fields)
+        return b"".join(
+            varint(k << 3) + varint(v) if isinstance(v, int) else varint(k << 3 | 2) + varint(len(v)) + v for k, v in fields
+        )
 
     return message([(k, v) for k, v in pieces._fields(model) if k != 3] + [(3, message(fields))])
 
 
-@pytest.mark.parametrize(("rule", "prefix", "squeeze"), [("nmt_nfkc", 1, 1), ("nmt_nfkc_cf", 0, 1), ("nfkc", 1, 0), (None, 1, 1), (None, 0, 0)])
+@pytest.mark.parametrize(
+    ("rule", "prefix", "squeeze"), [("nmt_nfkc", 1, 1), ("nmt_nfkc_cf", 0, 1), ("nfkc", 1, 0), (None, 1, 1), (None, 0, 0)]
+)
 def test_normalisers_are_compiled(model, rule, prefix, squeeze):
     fields = [(3, prefix), (4, squeeze)]
     if rule:
@@ -75,7 +79,9 @@ def test_normalisers_are_compiled(model, rule, prefix, squeeze):
 
 
 def test_round_trip_and_nulls(spark, model):
-    rows = [(0, None, "n"), (1, "", "e"), (2, "a  b\n\nç漢😀 \t", "w"), (3, "x" * 30_000, "l"), (3, "x" * 30_000, "l"), (4, "a▁b", "m")]
+    rows = [
+        (0, None, "n"), (1, "", "e"), (2, "a  b\n\nç漢😀 \t", "w"), (3, "x" * 30_000, "l"), (3, "x" * 30_000, "l"), (4, "a▁b", "m")
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     out = df.select("doc_id", "text", pieces.tokenise(model, F.col("text")).alias("t")).select("doc_id", "text", "t.*").collect()
     t = pieces.Transducer(model)

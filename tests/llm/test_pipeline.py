@@ -53,7 +53,9 @@ def brute_mix(docs, limit=1.25, seed=29):
         quota, at, epoch = math.floor(tokens[s] * (peak / tokens[s]) ** (1 - t) + 1e-6), 0, 0
         while at < quota:
             name = lambda d: f"{d['doc_id']}|{hashlib.md5(d['text'].encode()).hexdigest()}"
-            for d, n in sorted(g, key=lambda x: (hashlib.md5(f"{seed}|{epoch}|{name(x[0])}".encode()).hexdigest()[:15], name(x[0]))):
+            for d, n in sorted(
+                g, key=lambda x: (hashlib.md5(f"{seed}|{epoch}|{name(x[0])}".encode()).hexdigest()[:15], name(x[0]))
+            ):
                 if at < quota:
                     out.append(d)
                 at += n
@@ -71,7 +73,9 @@ def test_run_against_brute_force(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     measured = source.select("doc_id", "lang", quality.features(F.col("text")).alias("_f")).join(labels, "doc_id")
     assert quality.calibrate(measured) == {}, "so few labels prove no cutoff; only the base rule rejects"
-    docs = [d for r in source.collect() if not ((s := base_statistics((d := r.asDict())["text"]))[0] < 20 or 100 * s[4] > 30 * s[0])]
+    docs = [
+        d for r in source.collect() if not ((s := base_statistics((d := r.asDict())["text"]))[0] < 20 or 100 * s[4] > 30 * s[0])
+    ]
     by_id = source.where(F.col("doc_id").isin([d["doc_id"] for d in docs]))
     hashes = {r[0]: r[1] for r in by_id.select("doc_id", F.xxhash64("text")).collect()}
     lines = brute_lines(docs, hashes)
@@ -93,4 +97,6 @@ def test_stages_keep_the_columns(spark):
     for name, stage in pipeline.STAGES[:2]:
         docs = stage(spark, docs, SF)
         assert docs.columns == columns, name
-    assert [n for n, _ in pipeline.STAGES] == ["quality", "lines", "near_duplicates", "mixing", "tokens"] and pipeline.ORACLE_SQL is None
+    assert [n for n, _ in pipeline.STAGES] == [
+        "quality", "lines", "near_duplicates", "mixing", "tokens"
+    ] and pipeline.ORACLE_SQL is None

@@ -33,8 +33,13 @@ def _pieces(turns: Column, speaker: Column, context_roles: tuple[str, ...]) -> C
 
     def piece(t: Column) -> Column:
         context = t["role"].isin(*context_roles) if context_roles else F.lit(False)
-        who = F.when(context, t["role"]).when(t["role"] == speaker, "assistant").otherwise(F.concat(F.lit("user" + NAME), t["role"]))
-        return F.struct(F.concat(F.lit(HEAD), who, F.lit(BODY)).alias("head"), t["text"].alias("body"), (~context & (t["role"] == speaker)).alias("own"))
+        who = F.when(context, t["role"]).when(t["role"] == speaker, "assistant").otherwise(
+            F.concat(F.lit("user" + NAME), t["role"])
+        )
+        return F.struct(
+            F.concat(F.lit(HEAD), who, F.lit(BODY)).alias("head"), t["text"].alias("body"),
+            (~context & (t["role"] == speaker)).alias("own")
+        )
 
     return F.transform(turns, piece)
 
@@ -56,12 +61,18 @@ def _placed(pieces: Column) -> Column:
 def _mask(blocks: Column) -> Column:
     """The spans ``start, end`` (characters, end excluded) in the whole text."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    ends = F.aggregate(blocks, start, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))
+    ends = F.aggregate(
+        blocks, start,
+        lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+    )
     moved = lambda b, at: F.transform(b["spans"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end")))
     return F.flatten(F.zip_with(blocks, ends["starts"], moved))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", context_roles: tuple[str, ...] = CONTEXT_ROLES) -> DataFrame:
+def rotate(
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    context_roles: tuple[str, ...] = CONTEXT_ROLES
+) -> DataFrame:
     """Rows ``conv_id, speaker, n_turns, rendered, mask``, one per speaker of a dialogue, the whole dialogue in each.
 
     Turns are ordered by number (null first), then role, then text; repeated rows are repeated turns.
@@ -69,12 +80,21 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     form one dialogue. A dialogue with context turns only has no speaker and no rows. Texts and dialogues
     may be of any length that a row can hold. Other columns are not read; an empty table gives no rows.
     """
-    rows = turns.select(F.col(conv_col).alias("conv"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), _safe(F.col(text_col).cast("string")).alias("text")).alias("t"))
+    rows = turns.select(
+        F.col(conv_col).alias("conv"),
+        F.struct(
+            F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"),
+            _safe(F.col(text_col).cast("string")).alias("text")
+        ).alias("t")
+    )
     whole = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     roles = F.array_distinct(F.transform("turns", lambda t: t["role"]))
     spoken = F.filter(roles, lambda r: ~r.isin(*context_roles)) if context_roles else roles
     seen = whole.select("conv", "turns", F.explode(spoken).alias("speaker"))
-    drawn = seen.select("conv", "speaker", F.size("turns").cast("long").alias("n_turns"), _pieces(F.col("turns"), F.col("speaker"), context_roles).alias("pieces"))
+    drawn = seen.select(
+        "conv", "speaker", F.size("turns").cast("long").alias("n_turns"),
+        _pieces(F.col("turns"), F.col("speaker"), context_roles).alias("pieces")
+    )
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "")
     drawn = drawn.select("conv", "speaker", "n_turns", text.alias("rendered"), _placed(F.col("pieces")).alias("blocks"))
     return drawn.select(F.col("conv").alias(conv_col), "speaker", "n_turns", "rendered", _mask(F.col("blocks")).alias("mask"))

@@ -20,7 +20,9 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
+        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    )
     # As a table, so that the join has two plain sides and the partition of a hub can be split.
     least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))

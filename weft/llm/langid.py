@@ -142,13 +142,18 @@ def identify(model: Model, text: Column) -> Column:
     return batched("struct<lang_pred:string,score:double>", lambda x: guess(model, x))(text)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2_000) -> Model:
+def fit(
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2_000
+) -> Model:
     """Word and n-gram frequencies per language from about ``max_docs`` hashed rows of each.
 
     Rows with a null language or text are left out. The driver gets a row per language, then one per distinct
     word and language of the sampled rows. An empty table gives a model that knows no language.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(9), F.col(id_col)), F.lit(1_000_000)).alias("draw"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
+        F.pmod(F.xxhash64(F.lit(9), F.col(id_col)), F.lit(1_000_000)).alias("draw")
+    )
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"{lang_col} has over {MOST_LANGUAGES} values")

@@ -89,7 +89,11 @@ def _keyed_lines(text: Column, min_chars: int, exact_chars: int) -> Column:
                 into.append(hashed(start, end))
             start, end = start[long], end[long]
             q = [((end - start - cut_) // 8) * 4 for cut_ in (4, 8)]
-            both = [mix64(sums[0](*(side)) ^ (size.astype(U64) * U64(2) + U64(tag))) for size in q for tag, side in ((0, (start, start + size)), (1, (end - size, end)))]
+            both = [
+                mix64(
+                    sums[0](*(side)) ^ (size.astype(U64) * U64(2) + U64(tag))
+                ) for size in q for tag, side in ((0, (start, start + size)), (1, (end - size, end)))
+            ]
             ends.append(np.stack(both, axis=1))
             n_ends.append(long * 4)
         whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
@@ -135,7 +139,10 @@ def _pieces(lines: DataFrame) -> DataFrame:
     end = F.floor(F.col("base") * (F.col("j") + 1) / PIECES).cast("int") + (n - F.col("base"))
     head = F.substring(F.col("norm"), F.lit(1), start)
     tail = F.substring(F.col("norm"), end + 1, n - end)
-    return rows.select("k1", "place", (n - F.col("base")).alias("longer"), F.substring(F.col("norm"), start + 1, end - start).alias("mid"), F.xxhash64("base", "j", head, tail).alias("sk"))
+    return rows.select(
+        "k1", "place", (n - F.col("base")).alias("longer"), F.substring(F.col("norm"), start + 1, end - start).alias("mid"),
+        F.xxhash64("base", "j", head, tail).alias("sk")
+    )
 
 
 _SUBSTITUTED, _LONGER, _SHORTER = 0, 1, 2
@@ -146,9 +153,15 @@ def _variants(pieces: DataFrame) -> DataFrame:
     at = F.sequence(F.lit(1), F.length("mid"))
     without = lambda i: F.concat(F.substring(F.col("mid"), F.lit(1), i - 1), F.substring(F.col("mid"), i + 1, F.length("mid")))
     short = pieces.where("longer = 0")
-    same = short.where("mid <> ''").select("k1", "place", F.lit(_SUBSTITUTED).alias("role"), F.explode(F.transform(at, lambda i: F.xxhash64("sk", F.lit("at"), i, without(i)))).alias("vk"))
+    same = short.where("mid <> ''").select(
+        "k1", "place", F.lit(_SUBSTITUTED).alias("role"),
+        F.explode(F.transform(at, lambda i: F.xxhash64("sk", F.lit("at"), i, without(i)))).alias("vk")
+    )
     centre = short.select("k1", "place", F.lit(_SHORTER).alias("role"), F.xxhash64("sk", F.lit("in"), "mid").alias("vk"))
-    longer = pieces.where("longer = 1 and mid <> ''").select("k1", "place", F.lit(_LONGER).alias("role"), F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64("sk", F.lit("in"), without(i))))).alias("vk"))
+    longer = pieces.where("longer = 1 and mid <> ''").select(
+        "k1", "place", F.lit(_LONGER).alias("role"),
+        F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64("sk", F.lit("in"), without(i))))).alias("vk")
+    )
     return same.unionAll(centre).unionAll(longer)
 
 
@@ -165,13 +178,17 @@ def near_lines(lines: DataFrame) -> DataFrame:
     seen = F.expr("min(k1) <> max(k1)").alias("several")
     groups = rows.groupBy("vk").agg(*first, seen).where("several").drop("several")
     best = F.when(F.col("role") == _SUBSTITUTED, F.col("m0")).when(F.col("role") == _LONGER, F.col("m2")).otherwise(F.col("m1"))
-    found = rows.join(groups, "vk").select("k1", "place", best.alias("w")).where("w.place < place").select("k1", F.col("w.k1").alias("w")).distinct()
+    found = rows.join(groups, "vk").select(
+        "k1", "place", best.alias("w")
+    ).where("w.place < place").select("k1", F.col("w.k1").alias("w")).distinct()
     texts = lines.select("k1", "norm")
     pairs = found.join(texts, "k1").join(texts.select(F.col("k1").alias("w"), F.col("norm").alias("other")), "w")
     return pairs.where(F.levenshtein("norm", "other", 1).between(0, 1)).select("k1").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, exact_chars: int | None = None) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, exact_chars: int | None = None
+) -> DataFrame:
     """``docs`` with its text less the lines that go, and a struct ``_lines(total, exact, near)``.
 
     ``total`` counts the lines of a text, ``exact`` those that go as repeats and ``near`` those that
@@ -181,7 +198,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns pass through, whatever their names; one named ``_lines`` is replaced. An empty table gives no rows.
     """
     exact_chars = max(1, min_chars if exact_chars is None else min(exact_chars, min_chars))
-    keyed = docs.select(carried(docs, ("_lines",)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    keyed = docs.select(
+        carried(docs, ("_lines",)).alias("row"), F.col(id_col).cast("long").alias("id"),
+        F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col)).alias("h")
+    )
     source = keyed.select("id", "text", "h").where("text is not null")
     gone = cut_last(lambda: _lines_gone(source, min_chars, exact_chars))
     out = keyed.join(gone, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_g")), "left")
@@ -189,32 +209,53 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_drop", i)), "\n")
     total = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     near_n = F.coalesce("_near", F.lit(0)).cast("int")
-    struct = F.struct(total.cast("int").alias("total"), (F.coalesce(F.size("_drop"), F.lit(0)) - near_n).cast("int").alias("exact"), near_n.alias("near"))
+    struct = F.struct(
+        total.cast("int").alias("total"), (F.coalesce(F.size("_drop"), F.lit(0)) - near_n).cast("int").alias("exact"),
+        near_n.alias("near")
+    )
     left = F.when(F.size("_drop") > 0, stays).otherwise(text)
-    return out.select(*[(left if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c != "_lines"], struct.alias("_lines"))
+    return out.select(
+        *[(left if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c != "_lines"], struct.alias("_lines")
+    )
 
 
 def _lines_gone(source: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     """The lines that go from each of the documents ``id, text, h``."""
-    lines = source.select("id", "h", F.explode(_keyed_lines(F.col("text"), min_chars, exact_chars)).alias("x")).select("id", "h", "x.*")
+    lines = source.select(
+        "id", "h", F.explode(_keyed_lines(F.col("text"), min_chars, exact_chars)).alias("x")
+    ).select("id", "h", "x.*")
     lines = cut(lines)
     first = cut(lines.select("k1", "k2", _place().alias("place")).groupBy("k1", "k2").agg(F.min("place").alias("place")))
 
     ends = lines.select("k1", F.explode(F.array_distinct("ends")).alias("e"))
     close = _shared(ends, "e").select("k1").distinct()
-    wanted = first.join(close, "k1", "left_semi").select("k1", "place", F.col("place.id").alias("_i"), F.col("place.h").alias("_g"), F.col("place.no").alias("no"))
+    wanted = first.join(close, "k1", "left_semi").select(
+        "k1", "place", F.col("place.id").alias("_i"), F.col("place.h").alias("_g"), F.col("place.no").alias("no")
+    )
     asked = wanted.groupBy("_i", "_g").agg(F.collect_list(F.struct("no", "k1", "place")).alias("asked"))
-    got = source.join(asked, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_g"))).select("asked", _folded_lines(F.col("text"), F.col("asked.no")).alias("norms"))
-    got = got.select(F.explode(F.arrays_zip("asked", "norms")).alias("x")).select("x.asked.k1", "x.asked.place", F.col("x.norms").alias("norm"))
+    got = source.join(
+        asked, F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_g"))
+    ).select("asked", _folded_lines(F.col("text"), F.col("asked.no")).alias("norms"))
+    got = got.select(F.explode(F.arrays_zip("asked", "norms")).alias("x")).select(
+        "x.asked.k1", "x.asked.place", F.col("x.norms").alias("norm")
+    )
     near = cut(near_lines(cut(got.dropDuplicates(["k1"]))))
 
-    marked = first.join(near.withColumn("near", F.lit(True)), "k1", "left").select(F.col("place.id").alias("id"), F.col("place.h").alias("h"), F.col("place.no").alias("no"), F.coalesce("near", F.lit(False)).alias("near"))
+    marked = first.join(near.withColumn("near", F.lit(True)), "k1", "left").select(
+        F.col("place.id").alias("id"), F.col("place.h").alias("h"), F.col("place.no").alias("no"),
+        F.coalesce("near", F.lit(False)).alias("near")
+    )
     return _gone(lines, marked)
 
 
 def _gone(lines: DataFrame, marked: DataFrame) -> DataFrame:
     """``_i, _g, _drop, _near``: the line numbers that go from a document, and how many for being near."""
-    every = lines.select("id", "h", "no", F.lit(False).alias("first"), F.lit(False).alias("near")).unionAll(marked.select("id", "h", "no", F.lit(True), "near"))
-    seen = every.groupBy("id", "h").agg(F.collect_set("no").alias("all"), F.collect_set(F.when(F.col("first") & ~F.col("near"), F.col("no"))).alias("kept"), F.count_if(F.col("first") & F.col("near")).alias("_near"))
+    every = lines.select(
+        "id", "h", "no", F.lit(False).alias("first"), F.lit(False).alias("near")
+    ).unionAll(marked.select("id", "h", "no", F.lit(True), "near"))
+    seen = every.groupBy("id", "h").agg(
+        F.collect_set("no").alias("all"), F.collect_set(F.when(F.col("first") & ~F.col("near"), F.col("no"))).alias("kept"),
+        F.count_if(F.col("first") & F.col("near")).alias("_near")
+    )
     drop = F.array_except("all", "kept")
     return seen.select(F.col("id").alias("_i"), F.col("h").alias("_g"), drop.alias("_drop"), "_near").where(F.size("_drop") > 0)

@@ -112,7 +112,13 @@ def _fingerprint(x: pa.Array, width: int, coordinates: int) -> pa.StructArray:
         sig.append(signatures(sets, at, coordinates))
     sig = np.concatenate(sig)
     values = list_array(sig.ravel().view(np.int64), np.arange(0, sig.size + 1, coordinates), pa.int64())
-    return pa.StructArray.from_arrays([pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(f1).view(np.int64)), pa.array(np.concatenate(f2).view(np.int64)), values], ["n_shingles", "f1", "f2", "sig"])
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(f1).view(np.int64)),
+            pa.array(np.concatenate(f2).view(np.int64)), values
+        ],
+        ["n_shingles", "f1", "f2", "sig"]
+    )
 
 
 def _prints(text, width: int, coordinates: int):
@@ -137,7 +143,14 @@ def _confirm(a, b, percent: int):
 
     @F.arrow_udf("boolean")
     def similar(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([_similar(np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
+        return pa.array(
+            [
+                _similar(
+                    np.frombuffer(p.as_buffer(), U64), np.frombuffer(q.as_buffer(), U64), percent
+                ) for p, q in zip(x, y, strict=True)
+            ],
+            pa.bool_()
+        )
 
     return similar.asNondeterministic()(a, b)
 
@@ -211,35 +224,59 @@ def _open_blocks(lists: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFr
     Classes with the same first list go to the same block, or to as many as hold about ``BLOCK`` of them each.
     """
     placed = _component_of(lists.select("id", "token"), of, "id", "comp")
-    mixed = cut(placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("id").alias("first")).where("c1 <> c2").select("token", "first"))
+    mixed = cut(
+        placed.groupBy("token").agg(
+            F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("id").alias("first")
+        ).where("c1 <> c2").select("token", "first")
+    )
     open_rows = cut(placed.join(mixed, "token").select("id", "comp", "token", "first"))
     family = components(open_rows, "id", "first")
     rows = open_rows.groupBy("id", "comp").agg(F.min("token").alias("home"))
     rows = _component_of(rows, family, "id", "family").join(sizes, "id")
     rows = cut(rows)
-    crowd = cut(rows.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / (BLOCK * 1024))).cast("int").alias("parts")))
-    several = cut(rows.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / (BLOCK * 1024))).cast("int").alias("several")))
+    crowd = cut(
+        rows.groupBy("home").agg(
+            F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / (BLOCK * 1024))).cast("int").alias("parts")
+        )
+    )
+    several = cut(
+        rows.groupBy("family").agg(
+            F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / (BLOCK * 1024))).cast("int").alias("several")
+        )
+    )
     part = F.pmod(F.xxhash64(F.lit(3), "id"), F.col("parts"))
-    rows = rows.join(crowd, "home").join(several, "family").withColumn("k", F.pmod(F.xxhash64("home", part), F.col("several")).cast("int"))
+    rows = rows.join(crowd, "home").join(several, "family").withColumn(
+        "k", F.pmod(F.xxhash64("home", part), F.col("several")).cast("int")
+    )
     rows = cut(rows.select("id", "comp", "family", "k"))
     gathered = [F.collect_list("id").alias("ids"), F.collect_list("comp").alias("comps"), F.collect_list("set").alias("sets")]
     blocks = cut(rows.join(sets, "id").groupBy("family", "k").agg(*gathered))
-    met = open_rows.select("id", "token").join(rows.select("id", "family", "k"), "id").groupBy("token", "family").agg(F.collect_set("k").alias("ks")).where("size(ks) > 1")
-    pairs = met.select("family", F.explode("ks").alias("k1"), "ks").select("family", "k1", F.explode(F.filter("ks", lambda k: k > F.col("k1"))).alias("k2"))
+    met = open_rows.select("id", "token").join(
+        rows.select("id", "family", "k"), "id"
+    ).groupBy("token", "family").agg(F.collect_set("k").alias("ks")).where("size(ks) > 1")
+    pairs = met.select("family", F.explode("ks").alias("k1"), "ks").select(
+        "family", "k1", F.explode(F.filter("ks", lambda k: k > F.col("k1"))).alias("k2")
+    )
     return blocks, cut(pairs.distinct())
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(
+        sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a"
+    ).join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", _confirm(F.col("x"), F.col("y"), percent).alias("ok")).where("ok").select("a", "b")
 
 
 def _component_of(rows: DataFrame, of: DataFrame, key: str, name: str) -> DataFrame:
-    return rows.join(of.select(F.col("node").alias(key), F.col("component").alias("_c")), key, "left").withColumn(name, F.coalesce(F.col("_c"), F.col(key))).drop("_c")
+    return rows.join(
+        of.select(F.col("node").alias(key), F.col("component").alias("_c")), key, "left"
+    ).withColumn(name, F.coalesce(F.col("_c"), F.col(key))).drop("_c")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5
+) -> DataFrame:
     """One row ``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
     Documents are linked when ``100 * |A & B| >= percent * |A | B|`` on their sets of ``width``-word
@@ -254,7 +291,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut(source.select("id", _prints(F.col("text"), width, coordinates).alias("p")).select("id", "p.*"))
     component = cut_last(lambda: _components_of(source, prints, percent, width))
     out = prints.select("id", "n_shingles", "f1", "f2").join(component, ["id", "f1", "f2"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return out.select(
+        F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def _components_of(source: DataFrame, prints: DataFrame, percent: int, width: int) -> DataFrame:
@@ -263,28 +302,46 @@ def _components_of(source: DataFrame, prints: DataFrame, percent: int, width: in
     named = prints.where("id is not null and n_shingles > 0")
     # As a table, so that a join with a hot class has two plain sides and its large partitions can be split.
     grouped = cut(named.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("rep")))
-    member = cut(named.select("id", "f1", "f2", "n_shingles").join(grouped, ["f1", "f2", "n_shingles"]).select("id", "rep", "f1", "f2").distinct())
+    member = cut(
+        named.select("id", "f1", "f2", "n_shingles").join(
+            grouped, ["f1", "f2", "n_shingles"]
+        ).select("id", "rep", "f1", "f2").distinct()
+    )
     twice = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id", "a")
     same_id = member.join(twice, "id").select("a", F.col("rep").alias("b")).where("a <> b")
-    reps = member.where("id = rep").join(named.select("id", "f1", "f2", "n_shingles", "sig"), ["id", "f1", "f2"]).select("id", "f1", "f2", "n_shingles", "sig").dropDuplicates(["id", "f1", "f2"])
+    reps = member.where("id = rep").join(
+        named.select("id", "f1", "f2", "n_shingles", "sig"), ["id", "f1", "f2"]
+    ).select("id", "f1", "f2", "n_shingles", "sig").dropDuplicates(["id", "f1", "f2"])
 
     posted = reps.select("id", "n_shingles", F.explode("sig").alias("token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    hits = posted.join(shared, "token").groupBy("id", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).where(F.size("t") >= least)
+    hits = posted.join(shared, "token").groupBy("id", "n_shingles").agg(
+        F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")
+    ).where(F.size("t") >= least)
     hits = cut(hits.select("id", "n_shingles", "t", F.aggregate("t", F.lit(0.0), lambda s, x: s + F.log(x["n"])).alias("typical")))
-    lists = hits.select("id", "typical", F.explode(F.expr(f"slice(t, 1, size(t) - {least - 1})")).alias("x")).select("id", "typical", F.col("x.token").alias("token"))
+    lists = hits.select(
+        "id", "typical", F.explode(F.expr(f"slice(t, 1, size(t) - {least - 1})")).alias("x")
+    ).select("id", "typical", F.col("x.token").alias("token"))
     lists = cut(lists)
 
     # Full sets of the classes that have any candidate, once.
     wanted = hits.select("id")
-    texts = source.where("id is not null").withColumn("h", F.xxhash64("text")).join(wanted, "id", "left_semi").dropDuplicates(["id", "h"])
+    texts = source.where("id is not null").withColumn("h", F.xxhash64("text")).join(
+        wanted, "id", "left_semi"
+    ).dropDuplicates(["id", "h"])
     sets = cut(texts.select("id", _set_bytes(F.col("text"), width).alias("set")).where(F.length("set") > 0))
 
     signature = hits.select("id", "n_shingles", F.expr("transform(t, x -> x.token)").alias("tokens"))
-    hub = lists.groupBy("token").agg(F.max(F.struct("typical", "id")).alias("h"), F.count("*").alias("members")).where("members > 1").select("token", F.col("h.id").alias("hub"))
-    star = lists.join(hub, "token").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    hub = lists.groupBy("token").agg(
+        F.max(F.struct("typical", "id")).alias("h"), F.count("*").alias("members")
+    ).where("members > 1").select("token", F.col("h.id").alias("hub"))
+    star = lists.join(hub, "token").where("id <> hub").select(
+        F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
+    ).distinct()
     for end in "ab":
-        star = star.join(signature.select(F.col("id").alias(end), F.col("tokens").alias(f"t{end}"), F.col("n_shingles").alias(f"n{end}")), end)
+        star = star.join(
+            signature.select(F.col("id").alias(end), F.col("tokens").alias(f"t{end}"), F.col("n_shingles").alias(f"n{end}")), end
+        )
     alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     star = star.where(alike & (F.size(F.array_intersect("ta", "tb")) >= least)).select("a", "b")
     links = cut(_confirmed(star, sets, percent).unionAll(same_id))
@@ -293,7 +350,9 @@ def _components_of(source: DataFrame, prints: DataFrame, percent: int, width: in
     blocks, pairs = _open_blocks(lists, of, hits.select("id", F.col("n_shingles").alias("size")).distinct(), sets)
     inside = _compare(blocks.select(*_BLOCK_FIELDS), percent, ("",))
     for i in (1, 2):
-        pairs = pairs.join(blocks.select("family", *[F.col(c).alias(f"{c}{i}") for c in ("k", *_BLOCK_FIELDS)]), ["family", f"k{i}"])
+        pairs = pairs.join(
+            blocks.select("family", *[F.col(c).alias(f"{c}{i}") for c in ("k", *_BLOCK_FIELDS)]), ["family", f"k{i}"]
+        )
     with batches_of(source.sparkSession, 16):
         found = cut(inside.unionAll(_compare(pairs, percent, ("1", "2"))))
     of = components(links.unionAll(found))

@@ -31,8 +31,13 @@ def tokens(text: Column) -> Column:
 def _at(sources: DataFrame, exponents: list[float]) -> list:
     """Entropy and largest repetition of the weights at each exponent; one aggregate over sources."""
     share = F.col("tokens") / F.col("total")
-    rows = sources.select(share.alias("p"), F.explode(F.array(*map(F.lit, exponents))).alias("t")).select("t", "p", F.pow("p", F.col("t")).alias("u"))
-    z = rows.groupBy("t").agg(F.sum("u").alias("z"), F.sum(F.col("u") * F.log("u")).alias("ul"), (F.max(F.col("u") / F.col("p")) / F.min(F.col("u") / F.col("p"))).alias("repeats"))
+    rows = sources.select(
+        share.alias("p"), F.explode(F.array(*map(F.lit, exponents))).alias("t")
+    ).select("t", "p", F.pow("p", F.col("t")).alias("u"))
+    z = rows.groupBy("t").agg(
+        F.sum("u").alias("z"), F.sum(F.col("u") * F.log("u")).alias("ul"),
+        (F.max(F.col("u") / F.col("p")) / F.min(F.col("u") / F.col("p"))).alias("repeats")
+    )
     return z.select("t", (F.log("z") - F.col("ul") / F.col("z")).alias("entropy"), "repeats").orderBy("t").collect()
 
 
@@ -91,7 +96,9 @@ def mix(
     """
     own = [c for c in docs.columns if c != "_mix"]
     row = carried(docs, ("_mix",))
-    text, source = F.col(text_col).cast("string"), F.concat(F.when(F.col(source_col).isNull(), "0").otherwise("1"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    text, source = F.col(text_col).cast("string"), F.concat(
+        F.when(F.col(source_col).isNull(), "0").otherwise("1"), F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    )
     name = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(text), F.lit("")))
     rows = docs.select(row.alias("_row"), source.alias("_source"), tokens(text).alias("_tokens"), name.alias("_name"))
     light = cut(rows.select("_source", "_tokens", "_name"))
@@ -110,17 +117,25 @@ def mix(
     plan = cut(plan.select("_source", "tokens", "quota", "blocks", "cells", "epochs"))
 
     drawn = light.join(plan, "_source").select("*", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("_epoch"))
-    drawn = drawn.withColumn("_key", _key(F.col("_epoch"), seed)).withColumn("_cell", F.expr(f"_key div (({1 << _BITS} div cells) + 1)"))
+    drawn = drawn.withColumn("_key", _key(F.col("_epoch"), seed)).withColumn(
+        "_cell", F.expr(f"_key div (({1 << _BITS} div cells) + 1)")
+    )
     # Places in an epoch by prefix sums at two levels: cells of a source, rows of a cell.
     cells = drawn.groupBy("_source", "_epoch", "_cell").agg(F.sum("_tokens").alias("_sum"))
     upto = F.sum("_sum").over(Window.partitionBy("_source", "_epoch").orderBy("_cell")) - F.col("_sum")
     starts = cells.select("_source", "_epoch", "_cell", upto.alias("_start"))
-    inside = F.sum("_tokens").over(Window.partitionBy("_source", "_epoch", "_cell").orderBy("_key", "_name").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_tokens")
+    inside = F.sum("_tokens").over(
+        Window.partitionBy("_source", "_epoch", "_cell").orderBy("_key", "_name").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+    ) - F.col("_tokens")
     placed = drawn.withColumn("_inside", inside).join(starts, ["_source", "_epoch", "_cell"])
     at = F.col("_epoch") * F.col("tokens") + F.col("_start") + F.col("_inside")
     placed = placed.withColumn("_at", at).where(F.col("_at") < F.col("quota"))
     # Cut at equal fractions of each source's stream; decimals, since blocks x tokens outgrow a long.
-    part = F.floor(F.col("_at").cast("decimal(19,0)") * F.col("blocks").cast("decimal(18,0)") / F.col("quota").cast("decimal(19,0)")).cast("long")
+    part = F.floor(
+        F.col("_at").cast("decimal(19,0)") * F.col("blocks").cast("decimal(18,0)") / F.col("quota").cast("decimal(19,0)")
+    ).cast("long")
     placed = placed.withColumn("_block", F.least(part, F.col("blocks") - 1))
     # A block holds about block_tokens tokens.
     spot = F.md5(F.concat_ws("|", F.lit(f"{seed}b"), F.col("_epoch").cast("string"), "_name"))
@@ -128,9 +143,22 @@ def mix(
     placed = placed.select("_name", "_source", "_tokens", "_epoch", "_block", slot.cast("long").alias("_slot"))
     # Rows equal in id and text are interchangeable: the n-th of them takes the n-th place of each epoch.
     nth = F.row_number().over(Window.partitionBy("_name", "_source", "_epoch").orderBy("_block", "_slot"))
-    placed = placed.withColumn("_nth", nth).groupBy("_name", "_source", "_nth").agg(F.collect_list(F.struct(F.col("_tokens").alias("tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_slot").alias("slot"))).alias("_draws"))
+    placed = placed.withColumn("_nth", nth).groupBy("_name", "_source", "_nth").agg(
+        F.collect_list(
+            F.struct(
+                F.col("_tokens").alias("tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"),
+                F.col("_slot").alias("slot")
+            )
+        ).alias("_draws")
+    )
     # By all else that can be ordered, so that a task that runs again numbers them as before.
-    rest = [F.col("_row")[c] for c in own if c not in (id_col, text_col, source_col) and "map<" not in docs.schema[c].dataType.simpleString()] or [F.lit(0)]
-    copies = rows.select("_row", "_name", "_source").withColumn("_nth", F.row_number().over(Window.partitionBy("_name", "_source").orderBy(*rest)))
+    rest = [
+        F.col("_row")[c] for c in own if c not in (
+            id_col, text_col, source_col
+        ) and "map<" not in docs.schema[c].dataType.simpleString()
+    ] or [F.lit(0)]
+    copies = rows.select("_row", "_name", "_source").withColumn(
+        "_nth", F.row_number().over(Window.partitionBy("_name", "_source").orderBy(*rest))
+    )
     out = copies.join(placed, ["_name", "_source", "_nth"]).select("_row", F.explode("_draws").alias("_mix"))
     return out.select("_row.*", "_mix")

@@ -115,7 +115,9 @@ class Normaliser:
             return text.translate(self.single)
         out, i, n = [], 0, len(text)
         while i < n:
-            size = next((k for k in range(min(self.most, n - i), 1, -1) if text[i : i + k] in self.pairs), 1) if text[i : i + 2] in self.longer else 1
+            size = next(
+                (k for k in range(min(self.most, n - i), 1, -1) if text[i : i + k] in self.pairs), 1
+            ) if text[i : i + 2] in self.longer else 1
             out.append(self.pairs.get(text[i : i + size], text[i]))
             i += size
         return "".join(out)
@@ -369,7 +371,9 @@ def load(spark: SparkSession, path: str = MODEL) -> bytes:
 def _lists(packed: list[bytes | None]) -> pa.ListArray:
     at = np.concatenate(([0], np.cumsum([len(p or b"") // 4 for p in packed])))
     values = pa.array(np.frombuffer(b"".join(p or b"" for p in packed), np.int32))
-    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32), pa.int32()), values, mask=pa.array([p is None for p in packed], pa.bool_()))
+    return pa.ListArray.from_arrays(
+        pa.array(at.astype(np.int32), pa.int32()), values, mask=pa.array([p is None for p in packed], pa.bool_())
+    )
 
 
 def encode(model: bytes, text: Column) -> Column:

@@ -81,7 +81,9 @@ def scan(texts: pa.Array) -> pa.StructArray:
         parts["n_dup_lines"].append(_dup_lines(c))
         parts["n_repeat_words"].append(_repeat_words(c))
     none = np.zeros(0, np.int64)
-    return pa.StructArray.from_arrays([pa.array(np.concatenate([none, *parts[x]]).astype(np.int64)) for x in FEATURES], list(FEATURES))
+    return pa.StructArray.from_arrays(
+        [pa.array(np.concatenate([none, *parts[x]]).astype(np.int64)) for x in FEATURES], list(FEATURES)
+    )
 
 
 def features(text: Column) -> Column:
@@ -128,7 +130,9 @@ def log_binomial_cdf(k: int, n: int, p: float) -> float:
     if k >= n:
         return 0.0
     i = np.arange(k + 1)
-    logs = math.lgamma(n + 1) - np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i]) + i * math.log(p) + (n - i) * math.log1p(-p)
+    logs = math.lgamma(n + 1) - np.array(
+        [math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i]
+    ) + i * math.log(p) + (n - i) * math.log1p(-p)
     top = logs.max()
     return min(0.0, float(top + math.log(np.exp(logs - top).sum())))
 
@@ -187,7 +191,10 @@ def calibrate(
     that has labels enough for any proof, at most about ``n_labels * alpha`` of them, and for the pool.
     """
     f = F.col(features_col)
-    rows = labelled.where(F.col(good_col).isNotNull() & ~base_failed(f)).select(F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), (F.col(good_col) == 1).alias("good"), _step(f, rules).alias("step"))
+    rows = labelled.where(F.col(good_col).isNotNull() & ~base_failed(f)).select(
+        F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), (F.col(good_col) == 1).alias("good"),
+        _step(f, rules).alias("step")
+    )
     counted = cut(rows.groupBy("stratum", "good", "step").agg(F.count("*").alias("n")))
     least = math.log(delta) / math.log1p(-alpha)
     sizes = counted.where("good").groupBy("stratum").agg(F.sum("n").alias("n"))
@@ -237,7 +244,10 @@ def basis(stratum: Column, cutoffs: dict[str | None, dict[str, float]]) -> Colum
     return F.when(among(own), "stratum").when(among(named), "none").otherwise(pool)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", good_col: str = "quality", **options) -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+    good_col: str = "quality", **options
+) -> DataFrame:
     """``docs`` with a struct column ``_quality``: the base statistics, ``base_failed``, ``kept`` and ``basis``.
 
     Nulls: a null text has no words and fails the base rule; a null stratum is a stratum of its own;
@@ -245,10 +255,20 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good only if all its labels say so. Repeated rows each get the same verdict. Empty tables give no
     cutoffs or no rows. Other columns of ``docs`` pass through, whatever their names; one named ``_quality`` is replaced.
     """
-    one = labels.where(F.col(id_col).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(good_col).alias("_good"))
-    measured = docs.select(F.col(id_col).alias("_id"), F.col(stratum_col).cast("string").alias("_stratum"), features(F.col(text_col)).alias("_f"))
+    one = labels.where(
+        F.col(id_col).isNotNull() & F.col(good_col).isNotNull()
+    ).groupBy(F.col(id_col).alias("_id")).agg(F.min(good_col).alias("_good"))
+    measured = docs.select(
+        F.col(id_col).alias("_id"), F.col(stratum_col).cast("string").alias("_stratum"), features(F.col(text_col)).alias("_f")
+    )
     cutoffs = calibrate(measured.join(one, "_id"), "_f", "_stratum", "_good", **options)
     f, stratum = F.col("_f"), F.col("_stratum")
-    rows = docs.select(carried(docs, ("_quality",)).alias("_row"), F.col(stratum_col).cast("string").alias("_stratum"), features(F.col(text_col)).alias("_f"))
-    told = F.struct(*[f[x].alias(x) for x in FEATURES], base_failed(f).alias("base_failed"), (~base_failed(f) & verdict(f, stratum, cutoffs)).alias("kept"), basis(stratum, cutoffs).alias("basis"))
+    rows = docs.select(
+        carried(docs, ("_quality",)).alias("_row"), F.col(stratum_col).cast("string").alias("_stratum"),
+        features(F.col(text_col)).alias("_f")
+    )
+    told = F.struct(
+        *[f[x].alias(x) for x in FEATURES], base_failed(f).alias("base_failed"),
+        (~base_failed(f) & verdict(f, stratum, cutoffs)).alias("kept"), basis(stratum, cutoffs).alias("basis")
+    )
     return rows.select("_row.*", told.alias("_quality"))

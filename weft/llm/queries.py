@@ -26,11 +26,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), max_repeats=1.25).select("doc_id", "source", "_mix.*")
+    return mixing.mix(
+        table(spark, sf_dir, "documents").select("doc_id", "text", "source"), max_repeats=1.25
+    ).select("doc_id", "source", "_mix.*")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1).select("doc_id", "_lines.*", "text")
+    return linededup.dedup_lines(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1
+    ).select("doc_id", "_lines.*", "text")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +73,9 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(_remainder() != 1))
-    return docs.select("doc_id", (_remainder() == 1).alias("held_out"), langid.identify(model, F.col("text")).alias("g")).select("doc_id", "held_out", "g.lang_pred", "g.score")
+    return docs.select(
+        "doc_id", (_remainder() == 1).alias("held_out"), langid.identify(model, F.col("text")).alias("g")
+    ).select("doc_id", "held_out", "g.lang_pred", "g.score")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,4 +166,7 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of l ON l.a = doc_
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that a second engine can run on whole tables; the others are tested against brute force."""
-    return {"op2_source_mixing": _OP2, "op4_embedding_near_dedup": _OP4, "op7_perspective_rotation": _OP7, "op8_minhash_near_dedup": _OP8}
+    return {
+        "op2_source_mixing": _OP2, "op4_embedding_near_dedup": _OP4, "op7_perspective_rotation": _OP7,
+        "op8_minhash_near_dedup": _OP8
+    }

@@ -36,7 +36,9 @@ def _permutation(n: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, seed: int = 17) -> DataFrame:
+def shard(
+    docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, seed: int = 17
+) -> DataFrame:
     """``docs`` with ``_shard``, ``_grown`` (the shard if there were one more) and ``_slot``.
 
     ``_slot`` counts 0, 1, ... within a shard. Null ids and texts are keys like any other; rows that
@@ -48,7 +50,10 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         raise ValueError("at least one shard")
     row = carried(docs, ("_shard", "_grown", "_slot"))
     tie = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col(text_col))
-    rows = docs.select(row.alias("_row"), rendezvous(F.col(id_col), shards, seed).alias("_shard"), rendezvous(F.col(id_col), shards + 1, seed).alias("_grown"), tie.alias("_tie"))
+    rows = docs.select(
+        row.alias("_row"), rendezvous(F.col(id_col), shards, seed).alias("_shard"),
+        rendezvous(F.col(id_col), shards + 1, seed).alias("_grown"), tie.alias("_tie")
+    )
     total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 64)).first()[0] or 0
     buckets = max(1, -(-int(total) // (shards * bucket_bytes)))
     rows = rows.withColumn("_bucket", F.pmod("_tie", F.lit(buckets)).cast("int"))

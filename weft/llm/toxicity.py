@@ -121,9 +121,19 @@ def _examples(text: Column, axes) -> Column:
             versions = [t or "", *counterfactuals(t or "", axes, places)]
             buckets, at = _sets(pa.array(versions, pa.string()))
             own = [buckets[at[i] : at[i + 1]] for i in range(len(versions))]
-            swaps = [{"gone": np.setdiff1d(own[0], other).tolist(), "come": np.setdiff1d(other, own[0]).tolist()} for other in own[1:]]
+            swaps = [
+                {"gone": np.setdiff1d(own[0], other).tolist(), "come": np.setdiff1d(other, own[0]).tolist()} for other in own[1:]
+            ]
             out.append({"words": own[0].tolist(), "swaps": swaps})
-        return pa.array(out, pa.struct([("words", pa.list_(pa.int32())), ("swaps", pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32()))])))]))
+        return pa.array(
+            out,
+            pa.struct(
+                [
+                    ("words", pa.list_(pa.int32())),
+                    ("swaps", pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32()))])))
+                ]
+            )
+        )
 
     return batched(_EXAMPLE, made)(text)
 
@@ -163,7 +173,10 @@ class _Columns:
         return self.row[self.at[j] : self.at[j + 1]], self.value[self.at[j] : self.at[j + 1]]
 
 
-def fit_sets(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]] = (), fairness: float = 10.0, sparsity: float = 1e-4, min_docs: int = 4, passes: int = 30) -> Model:
+def fit_sets(
+    buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]] = (), fairness: float = 10.0,
+    sparsity: float = 1e-4, min_docs: int = 4, passes: int = 30
+) -> Model:
     """Cyclic coordinate descent on the mean logistic loss, an L1 penalty and the swap penalty.
 
     ``swaps`` has, for each counterfactual of a text, the buckets that go and those that come. Buckets that
@@ -225,7 +238,10 @@ def fit_sets(buckets: np.ndarray, at: np.ndarray, toxic: np.ndarray, swaps: list
     return Model(weights, float(bias))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 8_000, axes=IDENTITY_AXES, **options) -> Model:
+def fit(
+    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_docs: int = 8_000,
+    axes=IDENTITY_AXES, **options
+) -> Model:
     """Fit on at most about ``max_docs`` labelled rows, chosen by a seeded hash of the id.
 
     Rows with a null label are left out; a null text is a text without words. What reaches the driver is
@@ -236,7 +252,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
     part = min(1.0, max_docs / max(1, n))
     if part < 1:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1_000_000)) < int(part * 1_000_000))
-    table = rows.select(_examples(F.col(text_col), axes).alias("x"), F.col(label_col).cast("int").alias("label")).toArrow().combine_chunks()
+    table = rows.select(
+        _examples(F.col(text_col), axes).alias("x"), F.col(label_col).cast("int").alias("label")
+    ).toArrow().combine_chunks()
     if not table.num_rows:
         return fit_sets(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0), **options)
     x = table.column("x").combine_chunks()
@@ -244,4 +262,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
     gone, come = ([np.asarray(v, np.int64) for v in swaps.field(k).to_pylist()] for k in ("gone", "come"))
     sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     labels = (table.column("label").to_numpy() > 0).astype(float)
-    return fit_sets(words.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(sizes))), labels, list(zip(gone, come, strict=True)), **options)
+    return fit_sets(
+        words.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(([0], np.cumsum(sizes))), labels,
+        list(zip(gone, come, strict=True)), **options
+    )
