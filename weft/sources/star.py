@@ -102,25 +102,19 @@ class Star:
         return F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("chunk_id")
 
     def supplies(self) -> DataFrame:
-        """One edge per key: lines repeat, so the upsert key is made distinct before anything is counted."""
-        lines = self.table("lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
-        rows = lines.join(
-            self.suppliers(), F.col("l_suppkey") == F.col("s_suppkey")
-        ).join(self.parts(), F.col("l_partkey") == F.col("p_partkey"))
-        return self._edges(
-            rows.select(F.col("supplier_id").alias("src"), F.col("part_id").alias("dst"), self._evidence()).distinct(), "SUPPLIES",
-            "ast"
-        )
+        """One edge per key: lines repeat, so their keys are made distinct before names are joined and anything is counted."""
+        lines = self.table("lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").distinct()
+        rows = lines.join(self.suppliers(), F.col("l_suppkey") == F.col("s_suppkey"))
+        rows = rows.join(self.parts(), F.col("l_partkey") == F.col("p_partkey"))
+        rows = rows.select(F.col("supplier_id").alias("src"), F.col("part_id").alias("dst"), self._evidence())
+        return self._edges(rows, "SUPPLIES", "ast")
 
     def contains(self) -> DataFrame:
-        lines = self.table("lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
-        rows = lines.join(
-            self.orders(), F.col("l_orderkey") == F.col("o_orderkey")
-        ).join(self.parts(), F.col("l_partkey") == F.col("p_partkey"))
-        return self._edges(
-            rows.select(F.col("order_id").alias("src"), F.col("part_id").alias("dst"), self._evidence()).distinct(), "CONTAINS",
-            "ast"
-        )
+        lines = self.table("lineitem").select("l_partkey", "l_orderkey", "l_linenumber").distinct()
+        rows = lines.join(self.orders(), F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = rows.join(self.parts(), F.col("l_partkey") == F.col("p_partkey"))
+        rows = rows.select(F.col("order_id").alias("src"), F.col("part_id").alias("dst"), self._evidence())
+        return self._edges(rows, "CONTAINS", "ast")
 
     def next_events(self) -> DataFrame:
         w = Window.partitionBy("user_id").orderBy("ts", "event_id")
