@@ -12,8 +12,6 @@ beyond those of documents are dropped by the first stage that meets them, whatev
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +68,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _after(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The documents after the first ``n`` stages, as a table; those of the stage before go once it is written."""
+    if n == 0:
+        return table(spark, sf_dir, "documents")
+    return cut_last(lambda: STAGES[n - 1][1](spark, _after(spark, sf_dir, n - 1), sf_dir))
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut_last(functools.partial(stage, spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents; what the last one reads stays in the shared folder."""
+    return STAGES[-1][1](spark, _after(spark, sf_dir, len(STAGES) - 1), sf_dir)
