@@ -89,6 +89,7 @@ _TRAILS = """walk AS (
     WHERE hops < {h} AND NOT list_contains(chunk_ids, t.chunk_id))"""
 _STEP = "RECURSE step AS (SELECT src AS pos, dst AS n, src AS s, chunk_id FROM trans UNION ALL SELECT dst, src, src, chunk_id FROM trans WHERE src <> dst), "
 _SIZES = "sizes AS (SELECT DISTINCT 'catalog.' || p_brand AS brand, 'S' || p_size AS leaf FROM part)"
+_MODULES = "m AS (SELECT n_name AS n, replace(lower(r_name), ' ', '_') AS r, 'atlas.' || n_name AS m, 'atlas.' || n_name || '.' || n_name AS c, 'atlas.' || n_name || '.' || n_name || '.act' AS f, replace(lower(r_name), ' ', '_') || '.Base' AS base FROM nation JOIN region ON n_regionkey = r_regionkey)"
 _LINE_PAIRS = "s AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b FROM lineitem WHERE l_returnflag = 'R'), g AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b FROM lineitem WHERE l_discount >= 0.05)"
 _SUPPLIER_NAME = "(SELECT min(s_name) FROM supplier)"
 _SCORE = "SELECT *, round(score, 1) AS band, CASE WHEN source IN ('ast','jedi','override') THEN 0 ELSE 1 END AS unproven FROM scored WHERE chunk_id IS NOT NULL"
@@ -190,6 +191,17 @@ def oracle_sql() -> dict[str, str]:
         "label_if_unlabelled": _with(["supplies"], "SELECT 'Supplier' AS labels, count(*) AS n, min(supplier_id) AS first FROM suppliers UNION ALL SELECT 'Part', count(DISTINCT dst), min(dst) FROM supplies"),
         "t5_call_chain": _with(["parts"], """SELECT array_to_string(chain, '|') AS chain, array_to_string(ids, '|') AS chunk_ids, array_to_string(ids, '|') AS starts, array_to_string(list_transform(ids, lambda x: 'ast'), '|') AS sources FROM w ORDER BY len(chain), chain, ids LIMIT 500""",
             "RECURSE c AS (SELECT a.part_id AS src, b.part_id AS dst FROM parts a JOIN parts b ON b.p_partkey = a.p_partkey + 1), w AS (SELECT [src, dst] AS chain, [src] AS ids, 1 AS hops FROM c JOIN parts ON part_id = src WHERE brand_id = (SELECT min(brand_id) FROM parts) UNION ALL SELECT list_append(chain, c.dst), list_append(ids, c.src), hops + 1 FROM w JOIN c ON c.src = chain[-1] WHERE hops < 5)"),
+        "ingest_edges": f"""WITH {_MODULES} SELECT CASE WHEN rel = 'DEFINED_IN_M' THEN c WHEN rel = 'INHERITS_FROM' THEN c WHEN part = '' THEN f ELSE f || part END AS src, CASE rel WHEN 'DEFINED_IN_M' THEN 'DEFINED_IN' ELSE rel END AS rel,
+            CASE dst WHEN 'm' THEN m WHEN 'c' THEN c WHEN 'f' THEN f WHEN 'base' THEN base WHEN 'given' THEN f || '.given' WHEN 'rest' THEN f || '.rest' ELSE dst END AS dst, source FROM m, (VALUES ('DEFINED_IN_M', '', 'm', 'ast'), ('DEFINED_IN', '', 'c', 'ast'),
+            ('DEFINED_IN', '.given', 'f', 'ast'), ('DEFINED_IN', '.rest', 'f', 'ast'), ('HAS_PARAMETER', '', 'given', 'ast'), ('HAS_PARAMETER', '', 'rest', 'ast'), ('INHERITS_FROM', '', 'base', 'ast'), ('RAISES', '', 'builtins.KeyError', 'ast'),
+            ('STORED_ON', '.given', 'c', 'ast'), ('CALLS', '', 'builtins.KeyError', 'names'), ('PASSES_TO', '.given', 'builtins.KeyError', 'names')) v(rel, part, dst, source)""",
+        "chunk_files_by_kind": f"""WITH {_MODULES}, k AS (SELECT 'code' AS of, 'code' AS kind, '.py' AS ending, c AS section, 2 AS start_line, 2 AS end_line, n, length('class ' || n || '(Base):') AS chars FROM m
+            UNION ALL SELECT 'code', 'code', '.py', f, 3, 6, n, length('    def act(self, given, rest=1) -> Reply:') + length('        self.kept = given') + length('        helper(given)') + length('        raise KeyError(given)') + 3 FROM m
+            UNION ALL SELECT 'md', 'doc', '.md', n, 3, 3, n, length('first ' || r) FROM m UNION ALL SELECT 'md', 'doc', '.md', n || ' > Deeper', 7, 7, n, 6 FROM m
+            UNION ALL SELECT 'rst', 'doc', '.rst', n, 4, 4, n, length('first ' || r) FROM m UNION ALL SELECT 'rst', 'doc', '.rst', n || ' > Deeper', 9, 9, n, 6 FROM m
+            UNION ALL SELECT 'changelog', 'changelog', '.rst', '1.2.0', 7, 7, n, length('- ' || n) FROM m UNION ALL SELECT 'changelog', 'changelog', '.rst', '1.1.0', 12, 12, n, length('- ' || r) FROM m)
+            SELECT of, kind, 'atlas/' || n || ending AS path, section, start_line, end_line, substr(sha1('atlas:atlas/' || n || ending || ':' || start_line || ':' || end_line), 1, 16) AS chunk_id, CAST(chars AS INT) AS chars FROM k""",
+        "structure_nodes": "SELECT 'DocSection' AS label, 2 * count(*) AS n, min(n_name) AS first FROM nation UNION ALL SELECT 'Release', 2, '1.1.0' WHERE (SELECT count(*) FROM nation) > 0",
         "extract_facts": """WITH m AS (SELECT 'atlas.' || n_name AS m, 'atlas.' || n_name || '.' || n_name AS c, 'atlas.' || n_name || '.' || n_name || '.act' AS f, replace(lower(r_name), ' ', '_') || '.Base' AS base FROM nation JOIN region ON n_regionkey = r_regionkey)
             SELECT 'node' AS kind, m AS owner, '' AS surfaces, 'Module' AS a, NULL AS b FROM m UNION ALL SELECT 'node', c, '', 'Class', NULL FROM m UNION ALL SELECT 'node', f, '', 'Function', NULL FROM m
             UNION ALL SELECT 'alias', m, '', 'Base', base FROM m UNION ALL SELECT 'inherits', c, 'Base', NULL, NULL FROM m

@@ -11,7 +11,8 @@ from .operators import chunks, evals, facts, grading, hierarchy, paths, resolve,
 from .ontology import CODE, STAR
 from .plans.templates import compile_plan, run_plan
 from .session import settle
-from .sources.extract import extract
+from .sources.extract import chunk_files, extract
+from .sources.ingest import build_graph, structure_ids
 from .sources.star import Star
 from .streaming import rollup
 
@@ -685,20 +686,60 @@ def t5_call_chain(spark: SparkSession, d: str) -> DataFrame:
     return _path_columns(rows)
 
 
-@query
-def extract_facts(spark: SparkSession, d: str) -> DataFrame:
-    """A module of source text for each nation, its name and region written into it, and the facts read out of it."""
+_MODULE = """from {r} import Base
+class {n}(Base):
+    def act(self, given, rest=1) -> Reply:
+        self.kept = given
+        helper(given)
+        raise KeyError(given)
+"""
+_TEXTS = {
+    "code": (".py", _MODULE),
+    "md": (".md", "# {n}\n\nfirst {r}\n\n## Deeper\n\nsecond\n"),
+    "rst": (".rst", "{n}\n" + "=" * 40 + "\n\nfirst {r}\n\nDeeper\n" + "-" * 40 + "\n\nsecond\n"),
+    "changelog": (".rst", "Changes\n=======\n\n1.2.0\n-----\n\n- {n}\n\n1.1.0\n-----\n\n- {r}\n"),
+}
+
+
+def _nation_files(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """A source file for each nation, its name and region written into it."""
     s = Star(spark, d)
-    body = "from {r} import Base\nclass {n}(Base):\n    def act(self, given, rest=1) -> Reply:\n        self.kept = given\n        helper(given)\n        raise KeyError(given)\n"
-    text = F.replace(
-        F.replace(F.lit(body), F.lit("{r}"), F.replace(F.lower("r_name"), F.lit(" "), F.lit("_"))), F.lit("{n}"), F.col("n_name")
-    )
+    ending, body = _TEXTS[kind]
+    text = F.replace(F.lit(body), F.lit("{r}"), F.replace(F.lower("r_name"), F.lit(" "), F.lit("_")))
     nations = s.table("nation").join(F.broadcast(s.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    files = nations.select(
-        F.lit("atlas").alias("repo"), F.concat(F.lit("atlas/"), "n_name", F.lit(".py")).alias("path"),
-        F.concat(F.lit("atlas."), "n_name").alias("module"), text.alias("text")
+    return nations.select(
+        F.lit("atlas").alias("repo"), F.concat(F.lit("atlas/"), "n_name", F.lit(ending)).alias("path"),
+        F.concat(F.lit("atlas."), "n_name").alias("module"), F.replace(text, F.lit("{n}"), F.col("n_name")).alias("text"),
     )
-    return extract(files).select("kind", "owner", _csv("surfaces").alias("surfaces"), "a", "b")
+
+
+@query
+def extract_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The facts read out of a module for each nation."""
+    return extract(_nation_files(spark, d, "code")).select("kind", "owner", _csv("surfaces").alias("surfaces"), "a", "b")
+
+
+@query
+def ingest_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the graph that is built of those modules."""
+    graph, _ = build_graph(_nation_files(spark, d, "code"))
+    return graph.edges.select("src", "rel", "dst", "source")
+
+
+@query
+def chunk_files_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Code by symbol, documentation by section in two markups, a changelog by release."""
+    kinds = {"code": "code", "md": "doc", "rst": "doc", "changelog": "changelog"}
+    parts = [chunk_files(_nation_files(spark, d, k), kind).withColumn("of", F.lit(k)) for k, kind in kinds.items()]
+    rows = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    return rows.select("of", "kind", "path", "section", "start_line", "end_line", "chunk_id", F.length("text").alias("chars"))
+
+
+@query
+def structure_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Sections and releases as nodes; nations share the releases, so each is one node."""
+    doc, log = (chunk_files(_nation_files(spark, d, k), kind) for k, kind in (("md", "doc"), ("changelog", "changelog")))
+    return structure_ids(doc.unionAll(log)).groupBy("label").agg(F.count("*").alias("n"), F.min("section").alias("first"))
 
 
 @query
