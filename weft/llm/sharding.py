@@ -61,21 +61,22 @@ def shard(
     counts = rows.groupBy("_shard", "_bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_shard").orderBy("_bucket")) - F.col("n")
     starts = counts.select("_shard", "_bucket", before.alias("_from"))  # a row per bucket
+    # Joined before the scatter, by the keys of the scatter, so that texts are shuffled once.
+    rows = rows.join(starts, ["_shard", "_bucket"])
 
     def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(list(batches)).combine_chunks()  # one bucket
         if not held.num_rows:
             return
-        name = (held.column("_shard")[0].as_py(), held.column("_bucket")[0].as_py())
+        name, start = tuple(held.column(c)[0].as_py() for c in ("_shard", "_bucket")), held.column("_from")[0].as_py()
         held = held.take(pa.array(np.argsort(held.column("_tie").to_numpy(), kind="stable")))
         order = _permutation(held.num_rows, np.random.default_rng((seed, *name)))
-        out = held.take(pa.array(order)).append_column("_place", pa.array(np.arange(held.num_rows)))
+        out = held.take(pa.array(order)).append_column("_slot", pa.array(start + np.arange(held.num_rows)))
         yield from out.to_batches(max_chunksize=2_000)
 
-    schema = StructType([*rows.schema.fields]).add("_place", LongType())
+    schema = StructType([*rows.schema.fields]).add("_slot", LongType())
     placed = rows.groupBy("_shard", "_bucket").applyInArrow(shuffled, schema)
-    out = placed.join(starts, ["_shard", "_bucket"]).withColumn("_slot", F.col("_from") + F.col("_place"))
-    return out.select("_row.*", "_shard", "_grown", "_slot")
+    return placed.select("_row.*", "_shard", "_grown", "_slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:
