@@ -97,7 +97,7 @@ def test_context_dedupes_statements_not_chunks(spark):
 
 def test_grading(spark):
     cases = [
-        ("It raises MaxRetryError.", "RetryError", False, False), ("It is requests.exceptions.ReadTimeout!", "ReadTimeout", True, False), ("a read timeout", "Timeout", False, False), ("uses python 3 and urllib3", "3", False, False), ("there are 3 of them", "3", True, False),
+        ("It raises MaxRetryError.", "RetryError", False, False), ("It is requests.exceptions.ReadTimeout!", "ReadTimeout", True, False), ("a read timeout", "Timeout", False, False), ("uses python 3 and a lib3", "3", False, False), ("there are 3 of them", "3", True, False),
         ("It does not raise Foo.", "Foo", True, True), ("It raises Foo. It is not clear what Foo does.", "Foo", True, False), ("no such word", "Foo", False, False),
     ]
     df = spark.createDataFrame(cases, "answer string, term string, s boolean, n boolean")
