@@ -80,13 +80,14 @@ def _(plan: WrapChain, g: PropertyGraph) -> DataFrame:
 
 @compile_plan.register
 def _(plan: CallChain, g: PropertyGraph) -> DataFrame:
-    """From a class also its members; cycles are cut during the walk, since facts drop them."""
+    """From a class also its members; cycles are cut during the walk, since facts drop them. Chains of a length
+    are ordered as they are written, joined by ``|``, which ranks a name behind the longer ones that it begins."""
     anchor = g.nodes.where(F.col("id") == plan.entity_id)
     own = anchor.where(F.array_contains("labels", "Class")).select(F.col("id").alias("dst"))
     members = g.rel("DEFINED_IN").join(own, "dst", "left_semi").select(F.col("src").alias("id"))
     start = members.unionAll(anchor.select("id")).distinct()
     rows = trails(_sourced(g.rel(*plan.rels)), start, plan.max_hops, directed=True, simple=True)
-    return rows.orderBy(F.size("chain"), "chain", "chunk_ids").limit(CALL_LIMIT).select(
+    return rows.orderBy(F.size("chain"), F.array_join("chain", "|"), "chunk_ids").limit(CALL_LIMIT).select(
         "chain", "chunk_ids", "starts", "rels", "sources"
     )
 
