@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -13,8 +13,32 @@ def closure(parents: DataFrame, max_depth: int = 16, reflexive: bool = False) ->
 
     Each round joins the newest pairs to the parents and drops pairs known before, so cycles end it, and
     is computed once; it stops as soon as a round adds none. ``max_depth`` bounds the lineage; reaching it raises.
+    Ids that are nobody's parent, most of a tree, take no part in the rounds: they are joined once to what
+    lies above their parents. Only those with several parents can meet an ancestor by two ways.
     """
-    step = settle(parents.select("id", "parent").where("id is not null and parent is not null").distinct())
+    rows = settle(parents.select("id", "parent").where("id is not null and parent is not null").distinct())
+    above = rows.select(F.col("parent").alias("id")).distinct()
+    step = settle(rows.join(above, "id", "left_semi"))
+    known = _rounds(step, max_depth)
+    several = F.count("*").over(Window.partitionBy("id")) > 1
+    leaves = settle(rows.join(above, "id", "left_anti").withColumn("several", several))
+    # Above a parent: itself and its own ancestors, one row for each.
+    upward = leaves.join(known.select(F.col("id").alias("parent"), "ancestor", "depth"), "parent")
+    if not upward.where(F.col("depth") >= max_depth).isEmpty():
+        raise ValueError(f"deeper than {max_depth}")
+    out = leaves.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), "several").unionAll(
+        upward.select("id", "ancestor", F.col("depth") + 1, "several")
+    )
+    met = out.where("several").groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
+    known = known.unionAll(out.where("not several").select("id", "ancestor", "depth")).unionAll(met)
+    if reflexive:
+        ids = rows.select(F.col("id")).unionAll(rows.select(F.col("parent").alias("id"))).distinct()
+        known = known.unionAll(ids.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
+    return known
+
+
+def _rounds(step: DataFrame, max_depth: int) -> DataFrame:
+    """The closure of a settled table of distinct ``id, parent``, a round for each depth."""
     now = step.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).where("id <> ancestor")
     known = now
     for depth in range(2, max_depth + 2):
@@ -27,9 +51,6 @@ def closure(parents: DataFrame, max_depth: int = 16, reflexive: bool = False) ->
         if depth > max_depth:
             raise ValueError(f"deeper than {max_depth}")
         known = known.unionAll(now)
-    if reflexive:
-        ids = step.select(F.col("id")).unionAll(step.select(F.col("parent").alias("id"))).distinct()
-        known = known.unionAll(ids.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")))
     return known
 
 
@@ -46,7 +67,10 @@ def override_calls(calls: DataFrame, parents: DataFrame, universe: DataFrame) ->
 def _matched(
     observed: DataFrame, graph: DataFrame, hierarchy: DataFrame | None, implicit: DataFrame | None, packages: tuple[str, ...] | None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Observed pairs, graph pairs, and ``a, b, fa, fb``: which observed pair confirms which graph pair."""
+    """Observed pairs, graph pairs, and ``a, b, fa, fb``: which observed pair confirms which graph pair.
+
+    An observed pair is carried up only to the ends that the graph has; rows may repeat if the hierarchy's do.
+    """
     if packages is not None:
         inside = [F.substring_index(c, ".", 1).isin(*packages, "builtins") for c in ("a", "b")]
         observed, graph = (rows.where(inside[0] & inside[1]) for rows in (observed, graph))
@@ -58,9 +82,10 @@ def _matched(
     forms = seen.select("a", "b", F.col("a").alias("fa"), F.col("b").alias("fb"))
     if hierarchy is not None:
         for side in ("a", "b"):
-            up = hierarchy.select(F.col("id").alias(f"f{side}"), F.col("ancestor").alias("_up"))
+            ends = graph.select(F.col(side).alias("_up")).distinct()
+            up = hierarchy.select(F.col("id").alias(f"f{side}"), F.col("ancestor").alias("_up")).join(ends, "_up", "left_semi")
             more = forms.join(up, f"f{side}").withColumn(f"f{side}", F.col("_up")).drop("_up")
-            forms = forms.unionByName(more).distinct()
+            forms = forms.join(ends.withColumnRenamed("_up", f"f{side}"), f"f{side}", "left_semi").unionByName(more)
     return seen, graph, forms.join(graph.select(F.col("a").alias("fa"), F.col("b").alias("fb")), ["fa", "fb"])
 
 
